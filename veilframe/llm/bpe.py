@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import bounded, broadcast_file
+from .common import bounded, broadcast_file, map_arrow
 
 #: Entries kept in a worker's memo tables, and compiled states.
 PIECE_CACHE = 150_000
@@ -300,7 +300,7 @@ def encode_documents(df: DataFrame, ranks_path: str, pattern: str, id_col: str =
 
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids
-    return df.select(df[id_col].alias("id"), df[text_col].alias("t")).mapInArrow(encode, schema).withColumnRenamed("id", id_col)
+    return map_arrow(df.select(df[id_col].alias("id"), df[text_col].alias("t")), encode, schema).withColumnRenamed("id", id_col)
 
 
 def decode_ids(encoder: PrefixEncoder, ids: bytes) -> bytes:

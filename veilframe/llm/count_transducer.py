@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .bpe import PIECE_CACHE, PrefixEncoder
-from .common import bounded, broadcast_file
+from .common import bounded, broadcast_file, map_arrow
 
 #: Characters scanned at once, and characters of a chunk.
 BLOCK = 1 << 21
@@ -242,4 +242,4 @@ def count_tokens(df: DataFrame, tokenizer_path: str, limit: int = 512, id_col: s
             )
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(df[id_col].alias("id"), df[text_col].alias("t")).mapInArrow(count, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("id", id_col)
+    return map_arrow(df.select(df[id_col].alias("id"), df[text_col].alias("t")), count, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("id", id_col)

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_LIMIT
+from .common import BROADCAST_LIMIT, map_arrow
 
 #: Words of a window.
 WINDOW = 10
@@ -159,5 +159,5 @@ def find_contamination(
         return df.schema[c].dataType.simpleString()
 
     schema = ", ".join([f"id {kind(id_col)}", *(f"k{i} {kind(c)}" for i, c in enumerate(keep)), "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"]) + ", hit_spans array<struct<start:long,end:long>>" * spans
-    out = df.select(df[id_col].alias("id"), df[text_col].alias("t"), *(df[c].alias(f"k{i}") for i, c in enumerate(keep))).mapInArrow(scan, schema)
+    out = map_arrow(df.select(df[id_col].alias("id"), df[text_col].alias("t"), *(df[c].alias(f"k{i}") for i, c in enumerate(keep))), scan, schema)
     return out.withColumnsRenamed({"id": id_col} | {f"k{i}": c for i, c in enumerate(keep)})

@@ -12,6 +12,7 @@ from .common import table
 from .count_transducer import count_tokens
 from .decontaminate import find_contamination
 from .pii import report
+from .simhash import group
 from .url_filter import filter_urls
 
 
@@ -27,6 +28,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -39,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op4_bpe_encode": op4_bpe_encode,
     "op6_url_filter": op6_url_filter,
+    "op8_simhash": op8_simhash,
     "op9_decontamination": op9_decontamination,
     "op10_personal_data": op10_personal_data,
 }
