@@ -13,6 +13,7 @@ from .count_transducer import count_tokens
 from .decontaminate import find_contamination
 from .pii import report
 from .simhash import group
+from .superkmer import remove_repeats
 from .url_filter import filter_urls
 
 
@@ -28,6 +29,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group(table(spark, sf_dir, "documents"))
 
@@ -44,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op4_bpe_encode": op4_bpe_encode,
     "op6_url_filter": op6_url_filter,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_simhash": op8_simhash,
     "op9_decontamination": op9_decontamination,
     "op10_personal_data": op10_personal_data,
