@@ -11,20 +11,35 @@ from .bpe import encode_documents
 from .common import table
 from .count_transducer import count_tokens
 from .decontaminate import find_contamination
+from .langid import identify
+from .media import text_media_report
 from .pii import report
 from .simhash import group
 from .superkmer import remove_repeats
 from .url_filter import filter_urls
+from .warc import archive_report
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op3_warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_report(table(spark, sf_dir, "pages"))
+
+
 def op4_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
 
 
+def op5_media_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_media_report(table(spark, sf_dir, "documents"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
@@ -47,7 +62,10 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_language_id": op2_language_id,
+    "op3_warc_records": op3_warc_records,
     "op4_bpe_encode": op4_bpe_encode,
+    "op5_media_features": op5_media_features,
     "op6_url_filter": op6_url_filter,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_simhash": op8_simhash,
