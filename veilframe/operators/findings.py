@@ -66,7 +66,7 @@ def ask_model(texts: DataFrame, detector: Callable[[list[str]], list[str]], text
         for batch in batches:
             yield batch.assign(answer=detector(batch[text].fillna("").tolist()))
 
-    return texts.mapInPandas(ask, texts.schema.simpleString()[7:-1] + ",answer:string")
+    return texts.mapInPandas(ask, f"{texts.schema.simpleString()[:-1]},answer:string>")
 
 
 def pull_progress(line: Column) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.restorer import Restorer
 from ..options import Options
+from ..session import send_package
 from .anonymize import anonymize_scopes
 from .restore import mappings_by_scope
 
@@ -87,6 +88,8 @@ def restore_values(body: str, restorer: Restorer) -> str:
 def extract_slots(requests: DataFrame) -> DataFrame:
     """``(request_id, slot_ord, json_path, text)`` of ``requests(request_id, body)``."""
 
+    send_package(requests.sparkSession)
+
     @F.pandas_udf("array<struct<json_path:string,text:string>>")
     def slots(bodies: pd.Series) -> pd.Series:
         return bodies.map(lambda b: [{"json_path": "/".join(map(str, p)), "text": t} for p, t in request_slots(b)])
@@ -121,6 +124,8 @@ def anonymize_requests(requests: DataFrame, options: Options | None = None, find
 def restore_responses(responses: DataFrame, mapping: DataFrame) -> DataFrame:
     """``(request_id, body)`` with originals; a response whose request has no mapping stays unchanged."""
 
+    send_package(responses.sparkSession)
+
     @F.pandas_udf("string")
     def restore(bodies: pd.Series, entries: pd.Series) -> pd.Series:
         return pd.Series([b if b is None or e is None or not len(e) else restore_values(b, Restorer((x["placeholder"], x["original"]) for x in e)) for b, e in zip(bodies, entries, strict=True)])

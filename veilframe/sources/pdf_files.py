@@ -5,6 +5,8 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..session import send_package
+
 
 def images_to_pdf(pages: list[tuple[bytes, int, int]]) -> bytes:
     """A PDF 1.4 file with one JPEG image ``(jpeg, width, height)`` filling each page."""
@@ -36,4 +38,5 @@ def write_pdfs(pages: DataFrame) -> DataFrame:
         rows = rows.sort_values("page_no")
         return pd.DataFrame({"doc_id": [key[0]], "pdf": [images_to_pdf([(bytes(j), int(w), int(h)) for j, w, h in zip(rows["jpeg"], rows["width"], rows["height"], strict=True)])]})
 
+    send_package(pages.sparkSession)
     return pages.groupBy("doc_id").applyInPandas(build, f"doc_id {pages.schema['doc_id'].dataType.simpleString()}, pdf binary")

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 
 from ..functions.restorer import Restorer, json_inner
 from ..operators.restore import mappings_by_scope
+from ..session import send_package
 
 #: Kinds of text in a delta, and the field that holds it.
 FIELDS = {"text_delta": "text", "input_json_delta": "partial_json"}
@@ -106,6 +107,7 @@ def restore_batch(chunks: DataFrame, mapping: DataFrame) -> DataFrame:
         text = "".join(map(machine.push, rows["chunk"])) + machine.complete()
         return pd.DataFrame({"stream_id": [key[0]], "text": [text]})
 
+    send_package(chunks.sparkSession)
     joined = chunks.join(mappings_by_scope(mapping).withColumnRenamed("scope_id", "stream_id"), "stream_id", "left")
     kind = chunks.schema["stream_id"].dataType.simpleString()
     return joined.groupBy("stream_id").applyInPandas(run, f"stream_id {kind}, text string")
@@ -130,6 +132,7 @@ def restore_stream(chunks: DataFrame, mapping: DataFrame) -> DataFrame:
             state.update((machine.state(),))
         yield pd.DataFrame(out, columns=["stream_id", "seq", "text"])
 
+    send_package(chunks.sparkSession)
     joined = chunks.join(mappings_by_scope(mapping).withColumnRenamed("scope_id", "stream_id"), "stream_id", "left")
     kind = chunks.schema["stream_id"].dataType.simpleString()
     return joined.groupBy("stream_id").applyInPandasWithState(run, f"stream_id {kind}, seq long, text string", "machine string", "append", "NoTimeout")
