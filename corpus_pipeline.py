@@ -18,11 +18,23 @@ from veilframe.llm import bpe, common, decontaminate, langid, pii, simhash
 LEAST_SHARE = 0.5
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The table with columns ``c0``, ``c1``..., which no operator's result clashes with, and their names by the old ones."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def named(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    return rows.select(*(F.col(new).alias(old) for old, new in names.items()))
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without letters and those of which no learned language makes up half."""
     model = langid.fit(docs.where(~langid.held_out(docs["doc_id"])))
-    judged = langid.predict_languages(docs.withColumn("own_id", docs["doc_id"]), model, "own_id", keep=tuple(docs.columns))
-    return judged.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SHARE)).select(docs.columns)
+    rows, names = numbered(docs)
+    rest = tuple(c for c in rows.columns if c != names["doc_id"])
+    judged = langid.predict_languages(rows, model, names["doc_id"], names["text"], rest)
+    return named(judged.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SHARE)), names)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,9 +44,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in which a benchmark window occurs."""
-    marked = docs.withColumn("own_id", docs["doc_id"])
-    found = decontaminate.find_contamination(marked, common.table(spark, sf_dir, "benchmark"), "own_id", keep=tuple(docs.columns))
-    return found.where(~F.col("contaminated")).select(docs.columns)
+    rows, names = numbered(docs)
+    rest = tuple(c for c in rows.columns if c != names["doc_id"])
+    found = decontaminate.find_contamination(rows, common.table(spark, sf_dir, "benchmark"), names["doc_id"], names["text"], keep=rest)
+    return named(found.where(~F.col("contaminated")), names)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
