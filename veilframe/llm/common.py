@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import atexit
-import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import send_package
+
 #: Largest file or table that may be sent to every executor, in bytes.
 BROADCAST_LIMIT = 64 << 20
 
@@ -45,13 +45,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
-    """``mapInArrow`` with this package sent to the executors first, once for each Spark context."""
-    context, package = df.sparkSession.sparkContext, Path(__file__).parent.parent
-    if not getattr(context, "_veilframe_sent", False) and package.is_dir():
-        folder = tempfile.mkdtemp(prefix="veilframe-code-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        context.addPyFile(shutil.make_archive(f"{folder}/veilframe", "zip", package.parent, package.name))
-        context._veilframe_sent = True
+    """``mapInArrow`` with this package on the executors."""
+    send_package(df.sparkSession)
     return df.mapInArrow(function, schema)
 
 
