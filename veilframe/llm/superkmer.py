@@ -16,20 +16,20 @@ compressed, to be cut.
 from __future__ import annotations
 
 import hashlib
-import pickle
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded, map_arrow, materialize
 
 WINDOW = 13
-MER = 3
+MER = 2
 BUCKETS_PER_PARTITION = 32
 #: Documents sampled to find hot minimisers (one in SAMPLE), and the share that makes one hot (one in HOT).
 SAMPLE, HOT = 32, 1000
@@ -41,6 +41,7 @@ WORD_CACHE = 500_000
 LAST_ID = (1 << 63) - 1
 MIX = np.uint64(0x9E3779B97F4A7C15)
 FOLD = np.uint64(0xD6E8FEB86659FD93)
+PACK, UNPACK = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
 
 
 class WordHashes(dict):
@@ -55,10 +56,6 @@ class WordHashes(dict):
 _HASHES = WordHashes()
 
 
-def text_words(text: str | None) -> list[bytes]:
-    return (text or "").encode().split()
-
-
 def mix(values: np.ndarray) -> np.ndarray:
     values = (values ^ (values >> np.uint64(32))) * FOLD
     return values ^ (values >> np.uint64(29))
@@ -93,24 +90,25 @@ class Bundles:
         self.clear()
 
     def clear(self) -> None:
-        #: packed string: document, its places (row key, first window), minimiser
-        self.seen: dict[bytes, tuple[int, list[tuple[bytes, int]], int]] = {}
-        self.repeats: list[tuple[bytes, int, int]] = []
+        #: packed string: document, its places (tag, first window), minimiser
+        self.seen: dict[bytes, tuple[int, list[tuple[int, int]], int]] = {}
+        #: repeats found here: document, tag, first window, number of windows
+        self.repeats: list[tuple[int, int, int, int]] = []
         self.size = 0
 
-    def add(self, packed: bytes, minimiser: int, doc: int, key: bytes, start: int, count: int) -> None:
+    def add(self, packed: bytes, minimiser: int, doc: int, tag: int, start: int, count: int) -> None:
         other = self.seen.get(packed)
         self.size += 96
         if other is None:
-            self.seen[packed] = (doc, [(key, start)], minimiser)
+            self.seen[packed] = (doc, [(tag, start)], minimiser)
             self.size += len(packed) + 160
         elif other[0] == doc:
-            other[1].append((key, start))
+            other[1].append((tag, start))
         elif other[0] < doc:
-            self.repeats.append((key, start, count))
+            self.repeats.append((doc, tag, start, count))
         else:
-            self.repeats += [(k, s, count) for k, s in other[1]]
-            self.seen[packed] = (doc, [(key, start)], minimiser)
+            self.repeats += [(other[0], t, s, count) for t, s in other[1]]
+            self.seen[packed] = (doc, [(tag, start)], minimiser)
 
     def batches(self) -> Iterator[tuple[int, bytes]]:
         """(bucket, bundle), and (-1 - bucket, repeats found here)."""
@@ -120,29 +118,39 @@ class Bundles:
         for bucket, rows in by_bucket.items():
             yield bucket, pack_rows(rows)
         for i in range(0, len(self.repeats), 10_000):
-            yield -1 - i // 10_000 % self.buckets, pickle.dumps(self.repeats[i : i + 10_000])
+            yield -1 - i // 10_000 % self.buckets, np.array(self.repeats[i : i + 10_000], np.int64).tobytes()
         self.clear()
 
 
-def pack_rows(rows: list[tuple[bytes, int, list[tuple[bytes, int]]]]) -> bytes:
-    """Packed strings as lines, with their documents and places as arrays."""
+def pack_rows(rows: list[tuple[bytes, int, list[tuple[int, int]]]]) -> bytes:
+    """Packed strings as lines, with their documents (differences of the sorted ids) and places as arrays."""
+    rows.sort(key=_document)
     places = [p for _, _, places in rows for p in places]
-    numbers = [len(rows), len(places), *(doc for _, doc, _ in rows), *(len(p) for _, _, p in rows), *(start for _, start in places)]
-    return zlib.compress(np.array(numbers, np.int64).tobytes() + b"".join(key for key, _ in places) + b"\n".join(packed for packed, _, _ in rows), 1)
+    docs = np.array([doc for _, doc, _ in rows], np.int64)
+    docs[1:] -= docs[:-1].copy()
+    counts = np.array([len(p) for _, _, p in rows], np.uint32)
+    tags, starts = (np.array(x, np.uint32) for x in zip(*places, strict=True))
+    head = np.array([len(rows), len(places)], np.int64)
+    return PACK.compress(b"".join(x.tobytes() for x in (head, docs, counts, starts, tags)) + b"\n".join([packed for packed, _, _ in rows]))
+
+
+def _document(row: tuple[bytes, int, list[tuple[int, int]]]) -> int:
+    return row[1]
 
 
 def unpack_rows(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    """Documents, numbers of places, places' first windows and row keys, packed strings."""
-    data = zlib.decompress(data)
+    """Documents, numbers of places, places' first windows and tags, packed strings."""
+    data = UNPACK.decompress(data)
     n, m = np.frombuffer(data, np.int64, 2).tolist()
-    numbers, at = np.frombuffer(data, np.int64, 2 * n + m, 16), 16 + 8 * (2 * n + m)
-    return numbers[:n], numbers[n : 2 * n], numbers[2 * n :], np.frombuffer(data, np.uint64, 2 * m, at).reshape(m, 2), data[at + 16 * m :].split(b"\n")
+    at = 16 + 12 * n
+    places = np.frombuffer(data, np.uint32, 2 * m, at)
+    return np.cumsum(np.frombuffer(data, np.int64, n, 16)), np.frombuffer(data, np.uint32, n, 16 + 8 * n).astype(np.int64), places[:m].astype(np.int64), places[m:], data[at + 8 * m :].split(b"\n")
 
 
-def judge(bundles: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Row keys and first words of the bucket's windows that also occur in a smaller document."""
+def judge(bundles: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents, tags and first words of the bucket's windows that also occur in a smaller document."""
     *arrays, texts = (list(x) for x in zip(*map(unpack_rows, bundles), strict=True))
-    docs, n_places, starts, keys = map(np.concatenate, arrays)
+    docs, n_places, starts, tags = map(np.concatenate, arrays)
     number: dict[bytes, int] = {}
     words, sizes = [], []
     for text in (t for part in texts for t in part):
@@ -178,29 +186,29 @@ def judge(bundles: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.nd
     # each window that is hit, at all places of its super-k-mer
     times = n_places[owner[hit]]
     place = np.repeat((np.cumsum(n_places) - n_places)[owner[hit]] - np.cumsum(times) + times, times) + np.arange(times.sum())
-    return keys[place], starts[place] + np.repeat(step[hit], times)
+    return np.repeat(docs[owner[hit]], times), tags[place], starts[place] + np.repeat(step[hit], times)
 
 
-def runs(keys: np.ndarray, starts: np.ndarray) -> list[tuple[bytes, int, int]]:
-    """Consecutive windows of one row as (row key, first window, number of windows)."""
-    if not len(starts):
-        return []
-    order = np.lexsort((starts, keys[:, 1], keys[:, 0]))
-    keys, starts = keys[order], starts[order]
-    new = np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1) | (starts[1:] > starts[:-1] + 1)))
-    edges = np.append(np.flatnonzero(new), len(starts))
-    return [(keys[a].tobytes(), int(starts[a]), int(starts[b - 1] - starts[a]) + 1) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+def runs(docs: np.ndarray, tags: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Consecutive windows of one row as arrays of document, tag, first window and number of windows."""
+    order = np.lexsort((starts, tags, docs))
+    docs, tags, starts = docs[order], tags[order], starts[order]
+    new = np.ones(len(starts), bool)
+    new[1:] = (docs[1:] != docs[:-1]) | (tags[1:] != tags[:-1]) | (starts[1:] > starts[:-1] + 1)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(starts))[: len(first)] - 1
+    return docs[first], tags[first], starts[first], starts[last] - starts[first] + 1
 
 
-def row_key(doc: int | None, text: str | None) -> bytes:
-    """Names a row by its id and text, so that repeated ids do not mix."""
-    return hashlib.blake2b(repr(doc).encode() + b"\0" + (text or "").encode(), digest_size=16).digest()
+def row_tag(text: bytes) -> int:
+    """Keeps rows of one id but different texts apart."""
+    return zlib.crc32(text)
 
 
 def _sample_counts(df: DataFrame, window: int, mer: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [super_kmers(text_words(t.as_py()), window, mer)[1] for t in batch.column(0)]
+            found = [super_kmers((t.as_py() or "").encode().split(), window, mer)[1] for t in batch.column(0)]
             values, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
             yield pa.RecordBatch.from_pydict({"m": pa.array(values.view(np.int64)), "n": pa.array(counts.astype(np.int64))})
 
@@ -219,7 +227,7 @@ def hot_minimisers(df: DataFrame, id_col: str, text_col: str, window: int, mer:
 
 
 def repeated_windows(df: DataFrame, id_col: str, text_col: str, window: int = WINDOW, mer: int = MER) -> DataFrame:
-    """``(key, first, number)``: runs of windows, by row key, that also start in a document of smaller id."""
+    """``(doc, tag, first, number)``: runs of windows, by document and tag of its text, that also start in a document of smaller id."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = parts * BUCKETS_PER_PARTITION
     hot = hot_minimisers(df, id_col, text_col, window, mer)
@@ -232,18 +240,18 @@ def repeated_windows(df: DataFrame, id_col: str, text_col: str, window: int = WI
         found = Bundles(buckets)
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = text.as_py()
-                words = text_words(text)
+                data = (text.as_py() or "").encode()
+                words = data.split()
                 edges, minimisers = super_kmers(words, window, mer)
-                key, place = row_key(doc, text), LAST_ID if doc is None else doc
+                tag, place = row_tag(data), LAST_ID if doc is None else doc
                 edges = edges.tolist()
                 for a, b, m in zip(edges, edges[1:], minimisers.tolist(), strict=False):
                     if m not in hot:
-                        found.add(b" ".join(words[a : b + window - 1]), m, place, key, a, b - a)
+                        found.add(b" ".join(words[a : b + window - 1]), m, place, tag, a, b - a)
                         continue
                     for i in range(a, b):  # windows of a hot minimiser travel alone, by their own hash
                         packed = b" ".join(words[i : i + window])
-                        found.add(packed, int.from_bytes(hashlib.blake2b(packed, digest_size=8).digest(), "little"), place, key, i, 1)
+                        found.add(packed, int.from_bytes(hashlib.blake2b(packed, digest_size=8).digest(), "little"), place, tag, i, 1)
                 if found.size > GATHER:
                     yield bundle(found)
         yield bundle(found)
@@ -251,25 +259,24 @@ def repeated_windows(df: DataFrame, id_col: str, text_col: str, window: int = WI
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
 
-        def rows(found: list[tuple[bytes, int, int]]) -> pa.RecordBatch:
-            keys, firsts, numbers = zip(*found, strict=True) if found else ((), (), ())
-            return pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.binary()), "first": pa.array(firsts, pa.int64()), "number": pa.array(numbers, pa.int64())})
+        def rows(*columns: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({name: pa.array(c.astype(np.int64)) for name, c in zip(("doc", "tag", "first", "number"), columns, strict=True)})
 
         for batch in batches:
             for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if bucket != now and held:
-                    yield rows(runs(*judge(held, window)))
+                    yield rows(*runs(*judge(held, window)))
                     held = []
                 now = bucket
                 if bucket < 0:
-                    yield rows(pickle.loads(data.as_py()))
+                    yield rows(*np.frombuffer(data.as_py(), np.int64).reshape(-1, 4).T)
                 else:
                     held.append(data.as_py())
         if held:
-            yield rows(runs(*judge(held, window)))
+            yield rows(*runs(*judge(held, window)))
 
     packed = map_arrow(df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("t")), split, "bucket int, data binary")
-    return map_arrow(packed.repartition(parts, "bucket").sortWithinPartitions("bucket"), compare, "key binary, first long, number long")
+    return map_arrow(packed.repartition(parts, "bucket").sortWithinPartitions("bucket"), compare, "doc long, tag long, first long, number long")
 
 
 def covered(n_words: int, firsts: np.ndarray, numbers: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -291,22 +298,19 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     gives an empty table.
     """
     found = repeated_windows(df, id_col, text_col, window, mer)
-    per_row = found.groupBy("key").agg(F.collect_list(F.struct("first", "number")).alias("runs"))
+    per_row = found.groupBy("doc", "tag").agg(F.collect_list(F.struct("first", "number")).alias("runs"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, data = [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = text.as_py()
-                keys.append(row_key(doc, text))
-                data.append(zlib.compress(b" ".join(text_words(text)), 1))
-            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "key": pa.array(keys, pa.binary()), "data": pa.array(data, pa.binary())})
+            texts = [(t.as_py() or "").encode() for t in batch.column(1)]
+            docs = [LAST_ID if d is None else d for d in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "doc": pa.array(docs, pa.int64()), "tag": pa.array(list(map(row_tag, texts)), pa.int64()), "data": pa.array(list(map(PACK.compress, texts)), pa.binary())})
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_removed, digests, texts = [], [], [], []
             for data, hits in zip(batch.column(1), batch.column(2), strict=True):
-                words, hits = zlib.decompress(data.as_py()).split(), hits.as_py()
+                words, hits = UNPACK.decompress(data.as_py()).split(), hits.as_py()
                 n_words.append(len(words))
                 if hits:
                     gone = covered(len(words), np.array([h["first"] for h in hits]), np.array([h["number"] for h in hits]), window)
@@ -321,7 +325,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 columns["kept_text"] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_pydict(columns)
 
-    texts = map_arrow(df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("t")), whole, "id long, key binary, data binary")
-    joined = texts.join(per_row, "key", "left").select("id", "data", "runs")
+    texts = map_arrow(df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("t")), whole, "id long, doc long, tag long, data binary")
+    joined = texts.join(per_row, ["doc", "tag"], "left").select("id", "data", "runs")
     out = map_arrow(joined, cut, "id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text)
     return out.withColumnRenamed("id", id_col)
