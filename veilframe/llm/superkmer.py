@@ -41,7 +41,14 @@ WORD_CACHE = 500_000
 LAST_ID = (1 << 63) - 1
 MIX = np.uint64(0x9E3779B97F4A7C15)
 FOLD = np.uint64(0xD6E8FEB86659FD93)
-PACK, UNPACK = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+
+
+def squeeze(data: bytes) -> bytes:
+    return zstandard.compress(data, 3)
+
+
+def unsqueeze(data: bytes) -> bytes:
+    return zstandard.decompress(data)
 
 
 class WordHashes(dict):
@@ -131,7 +138,7 @@ def pack_rows(rows: list[tuple[bytes, int, list[tuple[int, int]]]]) -> bytes:
     counts = np.array([len(p) for _, _, p in rows], np.uint32)
     tags, starts = (np.array(x, np.uint32) for x in zip(*places, strict=True))
     head = np.array([len(rows), len(places)], np.int64)
-    return PACK.compress(b"".join(x.tobytes() for x in (head, docs, counts, starts, tags)) + b"\n".join([packed for packed, _, _ in rows]))
+    return squeeze(b"".join(x.tobytes() for x in (head, docs, counts, starts, tags)) + b"\n".join([packed for packed, _, _ in rows]))
 
 
 def _document(row: tuple[bytes, int, list[tuple[int, int]]]) -> int:
@@ -140,7 +147,7 @@ def _document(row: tuple[bytes, int, list[tuple[int, int]]]) -> int:
 
 def unpack_rows(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
     """Documents, numbers of places, places' first windows and tags, packed strings."""
-    data = UNPACK.decompress(data)
+    data = unsqueeze(data)
     n, m = np.frombuffer(data, np.int64, 2).tolist()
     at = 16 + 12 * n
     places = np.frombuffer(data, np.uint32, 2 * m, at)
@@ -304,13 +311,13 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             texts = [(t.as_py() or "").encode() for t in batch.column(1)]
             docs = [LAST_ID if d is None else d for d in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "doc": pa.array(docs, pa.int64()), "tag": pa.array(list(map(row_tag, texts)), pa.int64()), "data": pa.array(list(map(PACK.compress, texts)), pa.binary())})
+            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "doc": pa.array(docs, pa.int64()), "tag": pa.array(list(map(row_tag, texts)), pa.int64()), "data": pa.array(list(map(squeeze, texts)), pa.binary())})
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_removed, digests, texts = [], [], [], []
             for data, hits in zip(batch.column(1), batch.column(2), strict=True):
-                words, hits = UNPACK.decompress(data.as_py()).split(), hits.as_py()
+                words, hits = unsqueeze(data.as_py()).split(), hits.as_py()
                 n_words.append(len(words))
                 if hits:
                     gone = covered(len(words), np.array([h["first"] for h in hits]), np.array([h["number"] for h in hits]), window)
