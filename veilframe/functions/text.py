@@ -49,6 +49,20 @@ def with_prefix_sums(df: DataFrame, sizes: str, name: str) -> DataFrame:
     return df.withColumn(name, F.get(F.transform(F.array(starts), all_before), F.lit(0))).drop("_sums")
 
 
+def exploded(df: DataFrame, array: str, name: str, *keep: str) -> DataFrame:
+    """``keep`` and a row for every element of ``array``, as ``name``.
+
+    A plain explode would let the optimizer derive a filter on the array's size and push it below the projections that
+    compute the array, which would then be computed twice and inlined into one another.
+    """
+    return df.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows, such that no filter above is pushed into the projections below (for results that are costly to compute)."""
+    return df.select(F.explode(F.array(F.struct(*df.columns))).alias("_row")).select("_row.*")
+
+
 def occurrences(text: Column, needle: Column, flags: str = "") -> Column:
     """Starts of all non-overlapping occurrences of a literal needle (few are expected)."""
     pattern = F.concat(F.lit(flags), quoted(needle))

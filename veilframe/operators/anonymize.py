@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize
+from ..functions.text import exploded, normalize
 from ..options import Options
 from .detectors import detect
 from .findings import with_findings
@@ -52,7 +52,7 @@ def anonymize_rows(texts: DataFrame, options: Options | None = None, findings: D
 
 
 def explode_spans(found: DataFrame) -> DataFrame:
-    return found.select("scope_id", "ord", F.explode("spans").alias("s")).select("scope_id", "ord", "s.start", "s.len", "s.original", "s.category")
+    return exploded(found, "spans", "s", "scope_id", "ord").select("scope_id", "ord", "s.start", "s.len", "s.original", "s.category")
 
 
 def anonymize_scopes(texts: DataFrame, options: Options | None = None, findings: DataFrame | None = None, seed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

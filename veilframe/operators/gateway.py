@@ -94,7 +94,7 @@ def extract_slots(requests: DataFrame) -> DataFrame:
     def slots(bodies: pd.Series) -> pd.Series:
         return bodies.map(lambda b: [{"json_path": "/".join(map(str, p)), "text": t} for p, t in request_slots(b)])
 
-    rows = requests.select("request_id", F.posexplode(slots("body")).alias("slot_ord", "s"))
+    rows = requests.select("request_id", F.posexplode_outer(slots("body")).alias("slot_ord", "s")).where("s is not null")
     return rows.select("request_id", "slot_ord", "s.json_path", "s.text")
 
 

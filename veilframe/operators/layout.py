@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import occurrences
+from ..functions.text import exploded, occurrences
 from ..options import Options
 from .anonymize import anonymize_scopes
 
@@ -58,7 +58,7 @@ def plan_redaction(words: DataFrame, options: Options | None = None, findings: D
         return F.transform(occurrences(F.col("text"), m["original"]), lambda s: F.struct(s.alias("start"), (s + F.length(m["original"])).alias("end"), m["category"].alias("category"), m["placeholder"].alias("placeholder")))
 
     hits = hits.withColumn("ranges", F.flatten(F.transform(F.filter("m", lambda m: F.contains(F.col("text"), m["original"]) & (m["original"] != "")), ranges_of)))
-    rows = hits.select("page_id", "line_no", "ranges", F.explode("words").alias("w"))
+    rows = exploded(hits, "words", "w", "page_id", "line_no", "ranges")
     first = F.filter(F.transform("ranges", lambda r, i: F.struct(i.alias("i"), r.alias("r"))), lambda x: (F.col("w.start") < x["r"]["end"]) & (x["r"]["start"] < F.col("w.end")))[0]
     rows = rows.withColumn("hit", F.when(F.col("w.x0").isNotNull(), first))
     w = Window.partitionBy("page_id", "line_no").orderBy("w.word_idx")

@@ -14,10 +14,10 @@ K = "o_orderkey"
 LETTERS = f"translate(cast({K} % 10000 as string), '0123456789', 'abcdefghij')"
 DATE = f"concat({_pad(f'{K} % 28 + 1', 2)}, '.', {_pad(f'{K} % 12 + 1', 2)}, '.', cast(1950 + {K} % 50 as string))"
 
-#: name: (what stands before the value, the value, category, whether it is found, label number), in the order of the text
+#: name: (what stands before the value, the value, category), in the order of the text
 PARTS: dict[str, tuple[str, str, str]] = {
     "email": ("Mail ", f"concat('user', cast({K} as string), '@example', cast({K} % 7 as string), '.org')", "email"),
-    "iban": ("; Konto ", f"concat('CH', {_pad(f'{K} % 100', 2)}, {_pad(f'{K} * 7919', 17)})", "iban"),
+    "iban": ("; Konto ", f"concat('CH', {_pad(f'{K} % 100', 2)}, 'QX', {_pad(f'{K} % 100000', 5)}, 'ZWV', {_pad(f'({K} * 7) % 10000', 4)}, 'R')", "iban"),
     "bic": ("; BIC: ", f"concat('UBSWCHZH', {_pad(f'{K} % 1000', 3)})", "iban"),
     "social_security": ("; ssn ", f"concat('756.', {_pad(f'{K} % 10000', 4)}, '.', {_pad(f'({K} * 7) % 10000', 4)}, '.', {_pad(f'{K} % 100', 2)})", "ssn"),
     "health_card": ("; karte ", f"concat('807', {_pad(K, 17)})", "ssn"),

@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..categories import LABELS
-from ..functions.text import json_inner, luhn, normalize
+from ..functions.text import exploded, json_inner, luhn, normalize, settled
 from ..operators import audit, findings, gateway, layout, numbering, restore
 from ..operators.anonymize import accepted_spans, anonymize_rows, anonymize_scopes, explode_spans
 from ..operators.detectors import REGISTRY, is_plate, is_town, trim_name, trim_reference, with_candidates
@@ -56,7 +56,7 @@ SMALL = Options(**{**{f: False for f in Options.__dataclass_fields__ if Options.
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with e-mail addresses, IP addresses and cards replaced, each numbered by itself."""
     out = anonymize_rows(table(spark, sf_dir, "documents").select("doc_id", "text"), SMALL)
-    return out.where(F.size("mapping") > 0).select("doc_id", "anonymized_text", F.size("mapping").cast("long").alias("n_values"))
+    return settled(out).where(F.size("mapping") > 0).select("doc_id", "anonymized_text", F.size("mapping").cast("long").alias("n_values"))
 
 
 QUERIES["anonymize_documents"] = flagship
@@ -68,7 +68,7 @@ QUERIES["anonymize_documents"] = flagship
 def _detector_query(name: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = with_candidates(cases.case_texts(spark, sf_dir), "text", REGISTRY[name], "c")
-        rows = found.select("ord", F.explode("c").alias("c"))
+        rows = exploded(found, "c", "c", "ord")
         return longs(rows.select(F.col("ord").alias("o_orderkey"), "c.start", "c.len", "c.original", "c.category", "c.priority"))
 
     return run
@@ -82,13 +82,11 @@ for _name, (_before, _value, _category) in cases.PARTS.items():
     )(_detector_query(_name))
 
 
-@query(
-    "detect_any_date",
-    f"select o_orderkey, cast(unnest([{cases.start_sql('birth_date')}]) as bigint) as start, {cases.DATE} as original from orders",
-)
+@query("detect_any_date", f"select o_orderkey, cast(3 as bigint) as start, {cases.DATE} as original from orders union all select o_orderkey, 19, concat('2024-01-', lpad(cast(o_orderkey % 28 + 1 as string), 2, '0')) from orders")
 def detect_any_date(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = with_candidates(cases.case_texts(spark, sf_dir), "text", REGISTRY["any_date"], "c")
-    return longs(found.select(F.col("ord").alias("o_orderkey"), F.explode("c").alias("c")).select("o_orderkey", "c.start", "c.original"))
+    text = F.expr(f"concat('am ', {cases.DATE}, ' oder 2024-01-', lpad(cast(o_orderkey % 28 + 1 as string), 2, '0'), ', nicht 2024.')")
+    found = with_candidates(table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text")), "text", REGISTRY["any_date"], "c")
+    return longs(exploded(found, "c", "c", "o_orderkey").select("o_orderkey", "c.start", "c.original"))
 
 
 @query(
@@ -172,25 +170,28 @@ def overlap_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "cast(l_partkey % 60 as int) as start", "cast(l_quantity as int) % 12 + 1 as len", "cast(l_suppkey % 4 as int) as priority")
     arrays = rows.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "start", "len", "priority"))).alias("a"))
     cands = arrays.select("l_orderkey", F.transform("a", lambda x: F.struct(x["start"], x["len"], F.lit("x").alias("original"), F.lit("term").alias("category"), x["priority"], x["l_linenumber"].cast("int").alias("seq"))).alias("c"))
-    kept = cands.select("l_orderkey", F.explode(resolve_overlaps(F.col("c"))).alias("s"))
+    kept = exploded(cands.withColumn("r", resolve_overlaps(F.col("c"))), "r", "s", "l_orderkey")
     return longs(kept.select("l_orderkey", F.col("s.seq").alias("l_linenumber"), "s.start", "s.len", "s.priority"))
 
 
 @query(
     "overlap_pairs",
     """
-    with c as (select l_orderkey, l_linenumber, l_partkey % 60 as start, cast(l_quantity as bigint) % 12 + 1 as len, l_suppkey % 4 as priority from lineitem where l_linenumber <= 2)
-    select l_orderkey, cast(l_linenumber as bigint) as l_linenumber, cast(start as bigint) as start, cast(len as bigint) as len from c
-    where not exists (select 1 from c b where b.l_orderkey = c.l_orderkey and b.start < c.start + c.len and c.start < b.start + b.len
-      and (b.priority, -b.len, b.start, b.l_linenumber) < (c.priority, -c.len, c.start, c.l_linenumber))
+    with c as (select l_orderkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_quantity, l_suppkey) as seq, l_partkey % 60 as start, cast(l_quantity as bigint) % 12 + 1 as len, l_suppkey % 4 as priority from lineitem qualify seq <= 2)
+    select l_orderkey, seq, start, len from c
+    where not exists (select 1 from c b where b.l_orderkey = c.l_orderkey and b.start < c.start + c.len and c.start < b.start + b.len and (b.priority, -b.len, b.start, b.seq) < (c.priority, -c.len, c.start, c.seq))
     """,
 )
 def overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Without chains a span stays unless a better one overlaps it."""
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2").selectExpr("l_orderkey", "l_linenumber", "cast(l_partkey % 60 as int) as start", "cast(l_quantity as int) % 12 + 1 as len", "cast(l_suppkey % 4 as int) as priority")
-    arrays = rows.groupBy("l_orderkey").agg(F.collect_list(F.struct("start", "len", F.lit("x").alias("original"), F.lit("term").alias("category"), "priority", F.col("l_linenumber").cast("int").alias("seq"))).alias("c"))
-    kept = arrays.select("l_orderkey", F.explode(resolve_overlaps(F.col("c"))).alias("s"))
-    return longs(kept.select("l_orderkey", F.col("s.seq").alias("l_linenumber"), "s.start", "s.len"))
+    """Of two spans one stays unless the other is better and overlaps it."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity", "l_suppkey"))).alias("a"))
+
+    def candidate(x: Column, i: Column) -> Column:
+        start, length, priority = x["l_partkey"] % 60, x["l_quantity"].cast("int") % 12 + 1, x["l_suppkey"] % 4
+        return F.struct(start.cast("int").alias("start"), length.alias("len"), F.lit("x").alias("original"), F.lit("term").alias("category"), priority.cast("int").alias("priority"), (i + 1).cast("int").alias("seq"))
+
+    pairs = lines.withColumn("r", resolve_overlaps(F.transform(F.slice("a", 1, 2), candidate)))
+    return longs(exploded(pairs, "r", "s", "l_orderkey").select("l_orderkey", "s.seq", "s.start", "s.len"))
 
 
 EMAIL_SPANS_SQL = f"select o_custkey as scope_id, o_orderkey as ord, {cases.PARTS['email'][1]} as original from orders"
