@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -18,13 +19,16 @@ BROADCAST_LIMIT = 64 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the session's ``spark.checkpoint.dir``; where that is unset (single-machine
-    tests) a temporary folder is made and set.
+    It is the session's ``spark.checkpoint.dir``; where that is unset (single-machine tests) the context gets a
+    temporary folder of its own.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="veilframe-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        context = spark.sparkContext
+        folder = getattr(context, "_veilframe_shared", None)
+        if folder is None:
+            folder = context._veilframe_shared = "file://" + tempfile.mkdtemp(prefix="veilframe-")
+            atexit.register(shutil.rmtree, folder.removeprefix("file://"), ignore_errors=True)
     return folder.rstrip("/")
 
 

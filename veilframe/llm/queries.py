@@ -73,4 +73,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_personal_data": op10_personal_data,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The others need a tokenizer, a fitted model, XXH64, an automaton over all benchmark windows or match positions, which
+#: SQL has not; the tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op3_warc_records": """
+        with p as (select page_id, coalesce(html, '') as h from pages),
+        d as (select page_id, cast(octet_length(encode(h)) as bigint) as payload_bytes, sha1(h) as payload_digest from p),
+        m as (select payload_digest, payload_bytes, max(page_id) as last from d where payload_bytes >= 1000 group by all)
+        select page_id, d.payload_bytes, d.payload_digest, case when last <> page_id then 'revisit' else 'response' end as record_type, case when last <> page_id then last end as refers_to
+        from d left join m on d.payload_digest = m.payload_digest and d.payload_bytes = m.payload_bytes
+    """,
+    "op6_url_filter": """
+        with r as (select page_id, case when instr(url, '://') > 0 then substring(url, instr(url, '://') + 3) else '' end as rest from pages),
+        p as (select page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from r),
+        f as (select *, '.' || host as h from p),
+        j as (select *, case when ends_with(h, '.example.net') and starts_with(path, '/en/') then 'example.net/en/' when ends_with(h, '.example.com') and starts_with(path, '/de/') then 'example.com/de/'
+          when ends_with(h, '.org') and starts_with(path, '/fr/') then 'org/fr/' when ends_with(h, '.net') and starts_with(path, '/') then 'net/' end as rule from f)
+        select page_id, host, path, rule, case when rule in ('net/', 'example.com/de/') then 'block' else 'allow' end as verdict from j
+    """,
+    "op7_substring_dedup": """
+        with w as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as ws from documents),
+        win as (select doc_id, i, array_to_string(ws[i : i + 12], ' ') as k from w, lateral (select unnest(range(1, len(ws) - 11)) as i)),
+        first as (select k, min(doc_id) as least from win group by k),
+        hit as (select doc_id, i from win join first on win.k = first.k where least < doc_id),
+        gone as (select distinct doc_id, unnest(range(i, i + 13)) as j from hit),
+        word as (select doc_id, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as j from w),
+        kept as (select word.doc_id, string_agg(word, ' ' order by word.j) as t, count(*) as n from word left join gone on word.doc_id = gone.doc_id and word.j = gone.j where gone.j is null group by 1)
+        select w.doc_id, cast(len(ws) as bigint) as n_words, cast(len(ws) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(t, '')) as kept_sha256 from w left join kept on w.doc_id = kept.doc_id
+    """,
+}
