@@ -163,7 +163,7 @@ def fit(df: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col:
                 table += np.bincount(trigram_bins([text])[0], minlength=BINS)
         for lang, table in found.items():
             bins = np.flatnonzero(table)
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(bins)), "bin": pa.array(bins.astype(np.int32)), "n": pa.array(table[bins])})
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(bins), pa.string()), "bin": pa.array(bins.astype(np.int32)), "n": pa.array(table[bins])})
 
     counts = materialize(map_arrow(taken, count, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")), "trigrams")
     tables = {lang: np.zeros(BINS) for lang in rate}
