@@ -59,7 +59,8 @@ def plan_redaction(words: DataFrame, options: Options | None = None, findings: D
 
     hits = hits.withColumn("ranges", F.flatten(F.transform(F.filter("m", lambda m: F.contains(F.col("text"), m["original"]) & (m["original"] != "")), ranges_of)))
     rows = exploded(hits, "words", "w", "page_id", "line_no", "ranges")
-    first = F.filter(F.transform("ranges", lambda r, i: F.struct(i.alias("i"), r.alias("r"))), lambda x: (F.col("w.start") < x["r"]["end"]) & (x["r"]["start"] < F.col("w.end")))[0]
+    overlapping = F.filter(F.transform("ranges", lambda r, i: F.struct(i.alias("i"), r.alias("r"))), lambda x: (F.col("w.start") < x["r"]["end"]) & (x["r"]["start"] < F.col("w.end")))
+    first = F.get(overlapping, F.lit(0))
     rows = rows.withColumn("hit", F.when(F.col("w.x0").isNotNull(), first))
     w = Window.partitionBy("page_id", "line_no").orderBy("w.word_idx")
     rows = rows.withColumn("island", F.sum(F.when(F.col("hit.i").eqNullSafe(F.lag("hit.i").over(w)), 0).otherwise(1)).over(w)).where("hit is not null")

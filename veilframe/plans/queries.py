@@ -352,17 +352,18 @@ def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "pull_progress",
-    "select o_orderkey, case o_orderkey % 4 when 0 then 'pulling' when 1 then 'Success' when 2 then 'bad' end as status, cast(case when o_orderkey % 4 = 0 then least(100, (o_orderkey % 300) * 100 // 200) end as bigint) as percent, "
-    "case when o_orderkey % 4 <> 3 then o_orderkey % 4 = 1 end as is_success, case when o_orderkey % 4 <> 3 then o_orderkey % 4 = 2 end as is_error from orders",
+    "select o_orderkey, case o_orderkey % 4 when 0 then 'pulling' when 1 then 'Success' else 'bad' end as status, cast(case when o_orderkey % 4 = 0 then least(100, (o_orderkey % 300) * 100 // 200) else -1 end as bigint) as percent, "
+    "o_orderkey % 4 = 1 as is_success, o_orderkey % 4 = 2 as is_error from orders where o_orderkey % 4 <> 3",
 )
 def pull_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.expr("""case o_orderkey % 4 when 0 then concat('{"status":"pulling","total":200,"completed":', cast(o_orderkey % 300 as string), '}') when 1 then '{"status":"Success"}' when 2 then '{"error":"bad"}' else '{broken' end""")
-    return longs(table(spark, sf_dir, "orders").select("o_orderkey", findings.pull_progress(line).alias("p")).select("o_orderkey", "p.status", "p.percent", "p.is_success", "p.is_error"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", findings.pull_progress(line).alias("p")).where("p is not null")
+    return longs(rows.select("o_orderkey", "p.status", F.coalesce("p.percent", F.lit(-1)).alias("percent"), "p.is_success", "p.is_error"))
 
 
 @query("latest_runs", "select o_custkey as scope_id, max(o_orderkey) as run_gen, cast(1 as bigint) as phase from orders group by 1")
 def latest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("scope_id"), F.col("o_orderkey").alias("run_gen"), F.explode(F.array(F.lit(0), F.lit(1))).cast("long").alias("phase"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("scope_id"), F.col("o_orderkey").alias("run_gen"), F.explode(F.expr("array(0L, 1L)")).alias("phase"))
     return findings.latest_runs(rows)
 
 
