@@ -140,6 +140,22 @@ def test_links_are_complete(spark):
     assert classes(edges) == classes((a, b) for i, a in enumerate(fps) for b in fps[:i] if (a ^ b).bit_count() <= 3)
 
 
+def test_large_groups_are_looked_up(monkeypatch):
+    rng = np.random.default_rng(4)
+    fps = np.unique(np.array([int(b) ^ sum(1 << int(f) for f in rng.choice(64, 3, replace=False)) for b in rng.integers(0, 2**63, 4, np.uint64) for _ in range(40)], np.uint64))
+    keys, owners = simhash.index_entries(fps)
+
+    def sets():
+        links = simhash.Links()
+        simhash.link_bucket(keys, owners, links)
+        assert all((a ^ b).bit_count() <= 3 for a, b in links.made)
+        return [links.root(int(f)) for f in fps]
+
+    compared = sets()
+    monkeypatch.setattr(simhash, "LARGE", 1)
+    assert sets() == compared and len(set(compared)) < len(compared)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(50)] + [(100, i) for i in range(101, 140)] + [(7, 7), (200, 201), (200, 201)]
     got = dict(map(tuple, graph.components(spark.createDataFrame(chain, "u long, v long")).collect()))

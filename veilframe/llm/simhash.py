@@ -6,14 +6,16 @@ variant of a segment with one bit deleted (a wildcard).  Fingerprints that share
 share a variant with different deleted bits, are the candidates; all 64 bits are then compared.
 
 Index rows travel in bundles (one row for all entries of a task's batch that fall to a bucket).  Within a bucket
-entries are sorted by key and compared group by group; a large group is compared in blocks, or cut again into
-shorter segments by the same rule.  Only links that join two groups of a bucket for the first time
-are written, so links stay linear in the number of fingerprints; components are what they define.
+entries are sorted by key and compared group by group: small groups pair by pair, in blocks; in a group of more than
+``LARGE`` fingerprints each is looked up under every possible difference (at most 5,488), which is linear in the group.
+Only links that join two sets of a bucket for the first time are written, so links stay linear in the number
+of fingerprints; components are what they define.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,9 @@ from .graph import components
 SHINGLE = 3
 SEED = 42
 DISTANCE = 3
-BUCKETS = 1024
+BUCKETS_PER_PARTITION = 16
+#: Groups of more fingerprints are not compared pair by pair.
+LARGE = 1 << 19
 #: Pairs compared at once.
 PAIRS = 1 << 20
 #: Shingle hashes whose bits are counted at once.
@@ -51,7 +55,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(count * 2 > total, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, keep: tuple[str, ...] = ()) -> DataFrame:
+def fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE) -> DataFrame:
     """``(id, fp)``, a row per input row; ``fp`` is the fingerprint as a signed long.  Narrow."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,8 +78,8 @@ def index_entries(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.tile(fps, len(keys))
 
 
-def bucket_of(keys: np.ndarray) -> np.ndarray:
-    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(BUCKETS)
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(24)) % np.uint64(buckets)
 
 
 class Links:
@@ -111,6 +115,22 @@ def _compare(left: np.ndarray, right: np.ndarray, links: Links, distance: int, s
             links.add(a, b)
 
 
+def _differences(shift: int, most: int) -> np.ndarray:
+    """All masks of 1 to ``most`` bits among the 32 bits from ``shift`` on."""
+    bits = [1 << (shift + i) for i in range(32)]
+    return np.array([sum(c) for n in range(1, most + 1) for c in combinations(bits, n)], np.uint64)
+
+
+def _look_up(left: np.ndarray, right: np.ndarray, masks: np.ndarray, links: Links) -> None:
+    """Link each of ``left`` to those of ``right`` (sorted) from which it differs by a mask."""
+    for mask in masks:
+        wanted = left ^ mask
+        at = np.searchsorted(right, wanted)
+        at[at == len(right)] = 0
+        for i in np.flatnonzero(right[at] == wanted).tolist():
+            links.add(int(left[i]), int(wanted[i]))
+
+
 def link_bucket(keys: np.ndarray, fps: np.ndarray, links: Links, distance: int = DISTANCE) -> None:
     """Compare the candidates of one bucket's entries."""
     order = np.lexsort((fps, keys))
@@ -123,12 +143,21 @@ def link_bucket(keys: np.ndarray, fps: np.ndarray, links: Links, distance: int =
     for a, b in zip(edges[many].tolist(), edges[many + 1].tolist(), strict=True):
         group, key = fps[a:b], int(keys[a])
         deleted = (key >> 32 & 0xFF) - 1
+        own, other = (32, 0) if key >> 40 else (0, 32)
         if deleted < 0:
-            _compare(group, group, links, distance, True)
+            if len(group) > LARGE:
+                _look_up(group, group, _differences(other, distance), links)
+            else:
+                _compare(group, group, links, distance, True)
+            continue
+        bit = (group >> np.uint64(deleted + own)) & np.uint64(1)
+        if not bit.any() or bit.all():
+            continue
+        if len(group) > LARGE:
+            flip = np.uint64(1 << (deleted + own))
+            _look_up(group[bit == 0], group[bit == 1], np.append(_differences(other, distance - 1) | flip, flip), links)
         else:
-            bit = (group >> np.uint64(deleted + (32 if key >> 40 else 0))) & np.uint64(1)
-            if bit.any() and not bit.all():
-                _compare(group[bit == 0], group[bit == 1], links, distance, False)
+            _compare(group[bit == 0], group[bit == 1], links, distance, False)
 
 
 def links_between(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
@@ -136,15 +165,17 @@ def links_between(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
     Not all pairs: within a bucket a link is written only where it joins two sets.
     """
-    if not 0 <= distance <= DISTANCE:
-        raise ValueError(f"two segments are enough for at most {DISTANCE} bits")
+    if not 1 <= distance <= DISTANCE:
+        raise ValueError(f"two segments are enough for 1 to {DISTANCE} bits")
+    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_buckets = parts * BUCKETS_PER_PARTITION
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in range(0, batch.num_rows, 20_000):
                 fps = batch.column(0).slice(part, 20_000).to_numpy(zero_copy_only=False).view(np.uint64)
                 keys, owners = index_entries(fps)
-                buckets = bucket_of(keys)
+                buckets = bucket_of(keys, n_buckets)
                 order = np.argsort(buckets, kind="stable")
                 keys, owners, buckets = keys[order], owners[order], buckets[order]
                 edges = np.flatnonzero(np.concatenate(([True], buckets[1:] != buckets[:-1], [True])))
@@ -177,9 +208,8 @@ def links_between(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
         if held:
             yield done(held)
 
-    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bundles = map_arrow(distinct.select("fp"), bundle, "bucket int, entries binary")
-    return map_arrow(bundles.repartition(min(BUCKETS, parts), "bucket").sortWithinPartitions("bucket"), link, "u long, v long").distinct()
+    return map_arrow(bundles.repartition(parts, "bucket").sortWithinPartitions("bucket"), link, "u long, v long").distinct()
 
 
 def group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
