@@ -65,9 +65,13 @@ def settled(df: DataFrame) -> DataFrame:
 
 def occurrences(text: Column, needle: Column, flags: str = "") -> Column:
     """Starts of all non-overlapping occurrences of a literal needle (few are expected)."""
-    pattern = F.concat(F.lit(flags), quoted(needle))
-    pieces = F.split(text, pattern, -1)
-    return F.transform(
-        F.slice(pieces, F.lit(1), F.size(pieces) - 1),
-        lambda _, i: F.aggregate(F.slice(pieces, F.lit(1), i + 1), F.lit(0), lambda a, p: a + F.length(p)) + i * F.length(needle),
-    )
+    pieces = F.split(text, F.concat(F.lit(flags), quoted(needle)), -1)
+
+    def starts(pieces: Column) -> Column:
+        return F.transform(
+            F.slice(pieces, F.lit(1), F.size(pieces) - 1),
+            lambda _, i: F.aggregate(F.slice(pieces, F.lit(1), i + 1), F.lit(0), lambda a, p: a + F.length(p)) + i * F.length(needle),
+        )
+
+    # as above: binds the pieces, so that the text is split once
+    return F.get(F.transform(F.array(pieces), starts), F.lit(0))
