@@ -20,12 +20,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import bounded, broadcast_file, map_arrow
+from .common import bounded, broadcast_file, map_arrow, resident
 
 #: Entries kept in a worker's memo tables, and compiled states.
 PIECE_CACHE = 150_000
-PAIR_CACHE = 1_000_000
-STATE_LIMIT = 250_000
+PAIR_CACHE = 400_000
+STATE_LIMIT = 150_000
 #: Pieces of one text that are held at once.
 PIECES_AT_ONCE = 1 << 18
 NEVER = 1 << 40
@@ -233,16 +233,9 @@ def pack(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
-_ENCODERS: dict[bytes, PrefixEncoder] = {}
-
-
 def encoder_of(data: bytes) -> PrefixEncoder:
     """The worker's encoder for a rank file's bytes."""
-    key = hashlib.blake2b(data, digest_size=16).digest()
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = PrefixEncoder(read_ranks(data))
-    return _ENCODERS[key]
+    return resident("encoder", data, lambda d: PrefixEncoder(read_ranks(d)))
 
 
 def packed_blocks(encoder: PrefixEncoder, pattern: regex.Pattern, text: str) -> Iterator[bytes]:

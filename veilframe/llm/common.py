@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import shutil
 import tempfile
 import uuid
@@ -77,6 +78,19 @@ def broadcast_file(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(data)
 
 
+_RESIDENT: dict[tuple[str, bytes], object] = {}
+
+
+def resident(kind: str, data: bytes, build: Callable[[bytes], object]) -> object:
+    """What a worker keeps between tasks: the one object last built, so that operators that follow one another in a
+    worker do not add up their memory."""
+    key = kind, hashlib.blake2b(data, digest_size=16).digest()
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        _RESIDENT[key] = build(data)
+    return _RESIDENT[key]
+
+
 def bounded(cache: dict, limit: int) -> None:
     """Empty a memo table that has reached ``limit`` entries."""
     if len(cache) > limit:

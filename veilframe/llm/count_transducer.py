@@ -14,7 +14,6 @@ A piece start resets the second machine, so counts add up over pieces and over c
 
 from __future__ import annotations
 
-import hashlib
 import json
 from collections.abc import Iterator
 
@@ -24,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .bpe import PIECE_CACHE, PrefixEncoder
-from .common import bounded, broadcast_file, map_arrow
+from .common import bounded, broadcast_file, map_arrow, resident
 
 #: Characters scanned at once, and characters of a chunk.
 BLOCK = 1 << 21
@@ -191,15 +190,8 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-_COUNTERS: dict[bytes, TokenCounter] = {}
-
-
 def counter_of(data: bytes) -> TokenCounter:
-    key = hashlib.blake2b(data, digest_size=16).digest()
-    if key not in _COUNTERS:
-        _COUNTERS.clear()
-        _COUNTERS[key] = TokenCounter(data)
-    return _COUNTERS[key]
+    return resident("counter", data, TokenCounter)
 
 
 def blocks(texts: list[str], limit: int = BLOCK) -> Iterator[list[str]]:

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_LIMIT, map_arrow
+from .common import BROADCAST_LIMIT, map_arrow, resident
 
 #: Words of a window.
 WINDOW = 10
@@ -85,15 +85,8 @@ def hit_spans(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
     return [(len(data[:a].decode()), len(data[:b].decode())) for a, b in spans]
 
 
-_SCANNERS: dict[bytes, Scanner] = {}
-
-
 def scanner_of(data: bytes, size: int) -> Scanner:
-    key = hashlib.blake2b(data + size.to_bytes(4, "big"), digest_size=16).digest()
-    if key not in _SCANNERS:
-        _SCANNERS.clear()
-        _SCANNERS[key] = Scanner(pickle.loads(data), size)
-    return _SCANNERS[key]
+    return resident(f"scanner{size}", data, lambda d: Scanner(pickle.loads(d), size))
 
 
 def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> Iterator[bytes]:

@@ -8,7 +8,6 @@ each language, times ``PENALTY``).  The prediction is the largest proportion wit
 
 from __future__ import annotations
 
-import hashlib
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_LIMIT, map_arrow, materialize
+from .common import BROADCAST_LIMIT, map_arrow, materialize, resident
 
 BINS = 1 << 16
 SMOOTH = 0.5
@@ -27,7 +26,7 @@ ROUNDS = 10
 #: The model learns from about this many labelled documents of each language at most, chosen by a hash of their ids.
 SAMPLE = 4000
 #: Characters that are processed at once.
-BLOCK = 1 << 21
+BLOCK = 1 << 18
 UNDETERMINED = "und"
 _LETTERS: list[np.ndarray] = []
 
@@ -201,15 +200,8 @@ def predict_languages(df: DataFrame, model: Model, id_col: str = "doc_id", text_
     return out.withColumnsRenamed({"id": id_col} | {f"k{i}": c for i, c in enumerate(keep)})
 
 
-_MODELS: dict[bytes, Model] = {}
-
-
 def model_of(data: bytes) -> Model:
-    key = hashlib.blake2b(data, digest_size=16).digest()
-    if key not in _MODELS:
-        _MODELS.clear()
-        _MODELS[key] = Model(*pickle.loads(data))
-    return _MODELS[key]
+    return resident("model", data, lambda d: Model(*pickle.loads(d)))
 
 
 def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
