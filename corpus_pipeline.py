@@ -1,4 +1,4 @@
-"""From raw documents to token ids: five stages, each a table that the next one reads.
+"""From raw documents to token ids: six stages, each a table that the next one reads.
 
 Every stage takes ``(spark, docs, sf_dir)`` and works on all its predecessor kept.  All but the last return the
 columns of ``documents``.
@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import bpe, common, decontaminate, langid, pii, simhash
+from veilframe.llm import bpe, common, decontaminate, jaccard, langid, pii, simhash
 
 #: A document stays if one learned language makes up at least this share of it.
 LEAST_SHARE = 0.5
@@ -56,6 +56,11 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
+def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each class of five-word Jaccard similarity 0.8 or more; SimHash's three bits miss some of them."""
+    return jaccard.keep_one(docs)
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (little-endian unsigned 32-bit integers) with the digest of what they decode to."""
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -66,6 +71,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("near_duplicates", drop_near_duplicates),
     ("decontamination", drop_contaminated),
     ("personal_data", mask_personal_data),
+    ("similar_documents", drop_similar),
     ("bpe", encode),
 ]
 

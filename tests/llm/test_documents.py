@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from veilframe.llm import decontaminate, graph, langid, pii, simhash, superkmer
+from veilframe.llm import decontaminate, graph, jaccard, langid, pii, simhash, superkmer
 
 SPACE = r"[^\x20\x09-\x0D]+"
 
@@ -173,6 +173,65 @@ def test_groups(spark):
     assert simhash.group(df.limit(0)).count() == 0
 
 
+# --- near-duplicates by Jaccard similarity
+
+
+def brute_kept(rows, k=5):
+    sets = []
+    for _, t in rows:
+        w = re.findall(SPACE, re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+        sets.append({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set())
+    part = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                part = [part[j] if p == part[i] else p for p in part]
+    least = {}
+    for (d, _), p in zip(rows, part, strict=True):
+        least[p] = min(least.get(p, 10**18), 10**18 if d is None else d)
+    return sorted(None if v == 10**18 else v for v in least.values())
+
+
+def test_near_duplicates_are_those_of_jaccard(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = []
+    for i in range(30):
+        base = [f"w{rng.randint(0, 3000)}" for _ in range(rng.choice((12, 60, 150)))] + ["common"] * 8
+        for j in range(8):
+            words = list(base)
+            for _ in range(rng.randint(0, 4)):
+                words[rng.randrange(len(words))] = f"x{rng.randint(0, 10**6)}"
+            rows.append((1000 * j + i, " ".join(words) + " the same last line of all of these texts"))
+    rows += [(90_000, None), (90_001, " "), (90_002, "a B"), (90_003, "A b")]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(t, d, "x") for d, t in rows], "text string, doc_id long, uid string").repartition(4)
+    for frequent in (1, 10**6):
+        monkeypatch.setattr(jaccard, "SAMPLE", 1)
+        monkeypatch.setattr(jaccard, "FREQUENT", frequent)
+        out = jaccard.keep_one(df)
+        assert sorted(r.doc_id for r in out.collect()) == brute_kept(rows) and out.columns == df.columns
+    assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) != brute_kept(rows)
+    assert jaccard.keep_one(df.limit(0)).count() == 0
+
+
+def test_pipeline_leaves_no_similar_documents(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    stages = dict(pipeline.STAGES)
+    words = [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join([*words[:at], f"x{i}", *words[at + 1 :]])) for i, at in enumerate((10, 50, 90))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("near_duplicates", "similar_documents"):
+        if name in stages:
+            docs = stages[name](spark, docs, "")
+    assert [r.doc_id for r in docs.collect()] == brute_kept(rows) == [0]
+
+
+def test_rows_are_judged_not_ids(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    df = spark.createDataFrame([(4, a), (4, b), (2, b), (2, b), (None, b), (None, a + " end")], "doc_id long, text string")
+    assert rows_of(jaccard.keep_one(df)) == [(2, b), (4, a)]
+
+
 # --- decontamination
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
