@@ -226,6 +226,12 @@ def test_pipeline_leaves_no_similar_documents(spark):
     assert [r.doc_id for r in docs.collect()] == brute_kept(rows) == [0]
 
 
+def test_simhash_judges_rows_not_ids(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    df = spark.createDataFrame([(4, a), (4, b), (2, b), (None, "c")], "doc_id long, text string")
+    assert rows_of(simhash.keep_one(df)) == [(2, b), (4, a), (None, "c")]
+
+
 def test_rows_are_judged_not_ids(spark):
     a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
     df = spark.createDataFrame([(4, a), (4, b), (2, b), (2, b), (None, b), (None, a + " end")], "doc_id long, text string")

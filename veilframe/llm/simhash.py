@@ -237,7 +237,13 @@ def group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """The rows of ``df`` whose id is its near-duplicate class's smallest; rows with a null id stay."""
-    classes = group(df, id_col, text_col, shingle, distance)
-    dropped = classes.where(F.col(id_col).isNotNull() & (F.col(id_col) != F.col("component_id"))).select(id_col).distinct()
-    return df.join(dropped, id_col, "left_anti").select(df.columns)
+    """The rows of ``df`` that are their near-duplicate class's smallest by id.
+
+    Rows are judged by id and text, as an id may occur with texts of different classes.  Rows with a null id stay, and
+    so do repeated rows of a class's smallest id and text.
+    """
+    # a null id comes last, so that it is a class's smallest only if all are null
+    row = F.struct(df[id_col].isNull().alias("none"), df[id_col].alias("id"), F.xxhash64(df[text_col]).alias("h"))
+    classes = group(df.select(row.alias("id"), df[text_col].alias("t")), "id", "t", shingle, distance)
+    dropped = classes.where(~F.col("id.none") & (F.col("id") != F.col("component_id"))).select(F.col("id.id").alias("_gone"), F.col("id.h").alias("_gone_h")).distinct()
+    return df.join(dropped, (df[id_col] == dropped["_gone"]) & (F.xxhash64(df[text_col]) == dropped["_gone_h"]), "left_anti")
