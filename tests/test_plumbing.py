@@ -153,3 +153,13 @@ def test_registry(spark, sf_dir):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_documents_use_all_default_kinds(spark, tmp_path):
+    from veilframe.plans.queries import QUERIES
+
+    text = "Call +41 44 123 45 67, IBAN CH93 0076 2011 6238 5295 7."
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    row = QUERIES["anonymize_documents"](spark, str(tmp_path)).first()
+    assert "123 45 67" not in row.anonymized_text and "6238" not in row.anonymized_text and row.n_values == 2
+    assert QUERIES["roundtrip_documents"](spark, str(tmp_path)).first().restored == text

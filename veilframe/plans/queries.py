@@ -50,12 +50,9 @@ def longs(df: DataFrame) -> DataFrame:
     return df.select(*(F.col(c).cast("long").alias(c) if t == "int" else F.col(c) for c, t in df.dtypes))
 
 
-SMALL = Options(**{**{f: False for f in Options.__dataclass_fields__ if Options.__dataclass_fields__[f].type == "bool"}, "emails": True, "ips": True, "cards": True})
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with e-mail addresses, IP addresses and cards replaced, each numbered by itself."""
-    out = anonymize_rows(table(spark, sf_dir, "documents").select("doc_id", "text"), SMALL)
+    """Documents with personal data of all default kinds replaced, each numbered by itself."""
+    out = anonymize_rows(table(spark, sf_dir, "documents").select("doc_id", "text"), Options(language="en"))
     return settled(out).where(F.size("mapping") > 0).select("doc_id", "anonymized_text", F.size("mapping").cast("long").alias("n_values"))
 
 
@@ -297,7 +294,7 @@ def mapping_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("roundtrip_documents", "select doc_id, text as restored from documents")
 def roundtrip_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = anonymize_rows(table(spark, sf_dir, "documents").select("doc_id", "text"), SMALL)
+    out = anonymize_rows(table(spark, sf_dir, "documents").select("doc_id", "text"), Options(language="en"))
     return out.select("doc_id", restore.restore_text(F.col("anonymized_text"), restore.lookup_map(F.col("mapping"))).alias("restored"))
 
 
