@@ -124,3 +124,21 @@ def test_windows_are_tensors(spark):
     assert not rows[0].active and rows[-1].active
     tensors = media.as_tensors(pa.array([r.tensor for r in rows], pa.list_(pa.float32())))
     assert tensors.type.shape == [media.FRAMES, media.MELS] and len(tensors) == len(rows)
+
+
+def test_window_spans_are_segments_of_the_whole(spark):
+    rng = np.random.default_rng(2)
+    # loudness changes slowly, so that segments last over window and block borders
+    level = np.interp(np.arange(900_000), np.arange(0, 900_001, 9_000), rng.choice([0.5, 2, 6, 15, 60], 101))
+    samples = np.clip(128 + rng.standard_normal(900_000) * level, 0, 255).astype(np.uint8).tobytes()
+    rows = media.window_features(spark.createDataFrame([(1, media.to_wav(samples))], "id long, m binary"), "id", "m").orderBy("window_no").collect()
+    features = media.Features()
+    whole = np.concatenate(list(features.blocks(memoryview(samples))))
+    step, joined = media.HOP / features.rate, []
+    for a, b in ((round(s.start_s / step), round(s.end_s / step)) for r in rows for s in r.active):
+        if joined and joined[-1][1] == a:
+            a = joined.pop()[0]
+        joined.append((a, b))
+    expected = features.segments(media.frame_energy(whole))
+    assert len(whole) > media.BLOCK and expected and joined == expected
+    assert len(rows) == -(-len(whole) // media.FRAMES) and all(round((r.end_s - r.start_s) / step) == media.FRAMES for r in rows[:-1])

@@ -128,11 +128,11 @@ class Features:
             yield np.log10(power @ self.mel + 1e-10) * 10
             keep = y[n * HOP :]
 
-    def segments(self, energy: np.ndarray) -> list[tuple[int, int]]:
-        """Runs of frames that begin above ``UPPER`` and last while not below ``LOWER``."""
+    def segments(self, energy: np.ndarray, on: bool = False) -> list[tuple[int, int]]:
+        """Runs of frames that begin above ``UPPER`` and last while not below ``LOWER``; ``on`` if one lasts from before."""
         state = np.where(energy >= UPPER, 1, np.where(energy < LOWER, -1, 0))
         known = np.maximum.accumulate(np.where(state != 0, np.arange(len(state)), -1))
-        active = (known >= 0) & (state[np.maximum(known, 0)] == 1)
+        active = np.where(known >= 0, state[np.maximum(known, 0)] == 1, on)
         edges = np.flatnonzero(np.diff(np.concatenate(([False], active, [False])).astype(np.int8)))
         return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
@@ -160,6 +160,18 @@ def store_text_as_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     return map_arrow(df.select(df[id_col].alias("id"), df[text_col].alias("t")), store, f"id {df.schema[id_col].dataType.simpleString()}, n_bytes long, media binary")
 
 
+def windows(blocks: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
+    """The blocks' frames, ``FRAMES`` at a time; only the last window may be shorter."""
+    rest = np.zeros((0, MELS), np.float32)
+    for block in blocks:
+        rest = np.concatenate((rest, block))
+        whole = len(rest) // FRAMES * FRAMES
+        yield from (rest[at : at + FRAMES] for at in range(0, whole, FRAMES))
+        rest = rest[whole:]
+    if len(rest):
+        yield rest
+
+
 def window_features(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
     """A row for every ``FRAMES`` frames: the id, ``window_no``, ``start_s``, ``end_s``, ``tensor`` (``FRAMES * MELS`` floats by
     frame, the last window padded with the floor) and ``active`` (spans in seconds).  A null recording has no rows."""
@@ -172,25 +184,25 @@ def window_features(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
                     continue
                 rate, samples = from_wav(media.as_py())
                 features = Features(rate)
-                step, number = HOP / features.rate, 0
-                for block in features.blocks(samples):
-                    for at in range(0, len(block), FRAMES):
-                        part = block[at : at + FRAMES]
-                        first = number * FRAMES
-                        spans = [{"start_s": (first + a) * step, "end_s": (first + b) * step} for a, b in features.segments(frame_energy(part))]
-                        tensor = np.full((FRAMES, MELS), -100.0, np.float32)
-                        tensor[: len(part)] = part
-                        yield pa.RecordBatch.from_pydict(
-                            {
-                                "id": pa.array([id_.as_py()], batch.column(0).type),
-                                "window_no": pa.array([number], pa.int64()),
-                                "start_s": pa.array([first * step]),
-                                "end_s": pa.array([(first + len(part)) * step]),
-                                "tensor": pa.array([tensor.ravel()], pa.list_(pa.float32())),
-                                "active": pa.array([spans], pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))),
-                            }
-                        )
-                        number += 1
+                step, number, on = HOP / features.rate, 0, False
+                for part in windows(features.blocks(samples)):
+                    first = number * FRAMES
+                    found = features.segments(frame_energy(part), on)
+                    on = bool(found) and found[-1][1] == len(part)
+                    spans = [{"start_s": (first + a) * step, "end_s": (first + b) * step} for a, b in found]
+                    tensor = np.full((FRAMES, MELS), -100.0, np.float32)
+                    tensor[: len(part)] = part
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "id": pa.array([id_.as_py()], batch.column(0).type),
+                            "window_no": pa.array([number], pa.int64()),
+                            "start_s": pa.array([first * step]),
+                            "end_s": pa.array([(first + len(part)) * step]),
+                            "tensor": pa.array([tensor.ravel()], pa.list_(pa.float32())),
+                            "active": pa.array([spans], pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))),
+                        }
+                    )
+                    number += 1
 
     schema = f"id {kind}, window_no long, start_s double, end_s double, tensor array<float>, active array<struct<start_s:double,end_s:double>>"
     return map_arrow(df.select(df[id_col].alias("id"), df[media_col].alias("m")), extract, schema).withColumnRenamed("id", id_col)
