@@ -1,6 +1,7 @@
 """Token counts and BPE against the public libraries, edits against re-encoding."""
 
 import hashlib
+import json
 import random
 
 import numpy as np
@@ -11,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from veilframe.llm import bpe, count_transducer as ct
+from veilframe.llm import bpe, common, count_transducer as ct
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 SPEC = public_tokenizers.path("byte_bpe_50k.json")
@@ -90,3 +91,32 @@ def test_scan_equals_one_pass(classes, chunk):
     for row, c in zip(ct.compose_scan(maps), classes, strict=True):
         now = ct.TO[now, c]
         assert (row == now).all()
+
+
+def test_long_texts_are_counted_in_blocks(monkeypatch):
+    with open(SPEC, "rb") as f:
+        counter = ct.TokenCounter(f.read())
+    texts = [t or "" for t in sample_texts()][-12:] + ["x" * 900 + " y", "don't  \n" * 200, "a<|endoftext|>" * 90]
+    whole = [counter.counts([t])[0] for t in texts]
+    monkeypatch.setattr(ct, "BLOCK", 64)
+    assert [counter.counts([t])[0] for t in texts if len(t) < 100_000] == [n for t, n in zip(texts, whole, strict=True) if len(t) < 100_000]
+
+
+def test_unsupported_tokenizers_are_refused():
+    with open(SPEC, encoding="utf-8") as f:
+        spec = f.read()
+    assert '"add_prefix_space":false' in spec.replace(" ", "").replace("\n", "")
+    changed = json.loads(spec)
+    changed["pre_tokenizer"]["add_prefix_space"] = True
+    with pytest.raises(ValueError, match="prefix space"):
+        ct.TokenCounter(json.dumps(changed).encode())
+
+
+def test_memo_keeps_recent_entries():
+    calls = []
+    memo = common.Memo(lambda x: calls.append(x) or -x, 3)
+    for x in (1, 2, 3, 1, 4, 1, 5, 2):
+        assert memo[x] == -x
+    assert calls == [1, 2, 3, 4, 5]
+    for x in range(100):
+        assert memo[x] == -x and len(memo) <= 3

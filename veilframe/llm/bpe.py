@@ -16,16 +16,16 @@ from array import array
 from collections.abc import Iterator
 from itertools import islice
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import bounded, broadcast_file, map_arrow, resident
+from .common import Memo, broadcast_file, map_arrow, resident
 
-#: Entries kept in a worker's memo tables, and compiled states.
-PIECE_CACHE = 150_000
-PAIR_CACHE = 400_000
-STATE_LIMIT = 150_000
+#: Pieces that a worker's memo keeps (and as many again of those before), and pairs of tokens.
+PIECE_CACHE = 200_000
+PAIR_CACHE = 1_000_000
 #: Pieces of one text that are held at once.
 PIECES_AT_ONCE = 1 << 18
 NEVER = 1 << 40
@@ -57,12 +57,19 @@ class PrefixEncoder:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
+        self.sizes = {rank: len(token) for token, rank in ranks.items()}
         self.longest = max(map(len, ranks), default=0)
         self._right: dict[int, list[tuple[bytes, int]]] = {}
         self._left: dict[int, list[tuple[bytes, int]]] = {}
-        self._stable: dict[int, bool] = {}
-        self._ids: dict[str, bytes] = {}
-        self.automaton = PrefixAutomaton(self)
+        # finds all tokens in a piece, by their ends and the longest first; bytes are written as Latin-1 characters
+        self.finder = ahocorasick.Automaton()
+        for token, rank in ranks.items():
+            self.finder.add_word(token.decode("latin-1"), (len(token), rank))
+        self.finder.make_automaton()
+        #: by the right token: left token to whether the pair is stable
+        self._stable: dict[int, dict[int, bool]] = {rank: {} for rank in self.tokens}
+        self._pairs = 0
+        self.ids_of = Memo(lambda piece: pack(self.encode_piece(piece.encode())), PIECE_CACHE)
 
     def _spine(self, token: int, side: int, memo: dict) -> list[tuple[bytes, int]]:
         """The parts of ``token`` that touch its right (side 1) or left (side 0) end while it is
@@ -81,25 +88,29 @@ class PrefixEncoder:
 
     def stable(self, left: int, right: int) -> bool:
         """True if no merge ever joins bytes of ``left`` to bytes of ``right``."""
-        key = left << 32 | right
-        answer = self._stable.get(key)
+        answer = self._stable[right].get(left)
         if answer is None:
-            ranks, answer = self.ranks, True
-            for x, x_until in self._spine(left, 1, self._right):
-                x_from = ranks[x]
-                for y, y_until in self._spine(right, 0, self._left):
-                    # x and y are neighbours at some time, and their merge comes before either is consumed;
-                    # of equal ranks the leftmost merge goes first
-                    joined = ranks.get(x + y)
-                    if joined is not None and joined < x_until and joined <= y_until and ranks[y] < x_until and x_from < y_until:
-                        answer = False
-                        break
-                if not answer:
-                    break
-            bounded(self._stable, PAIR_CACHE)
-            self._stable[key] = answer
+            answer = self._judge(left, right)
+            if self._pairs >= PAIR_CACHE:
+                for lefts in self._stable.values():
+                    lefts.clear()
+                self._pairs = 0
+            self._pairs += 1
+            self._stable[right][left] = answer
         return answer
 
+    def _judge(self, left: int, right: int) -> bool:
+        ranks = self.ranks
+        for x, x_until in self._spine(left, 1, self._right):
+            x_from = ranks[x]
+            for y, y_until in self._spine(right, 0, self._left):
+                # x and y are neighbours at some time, and their merge comes before either is consumed;
+                # of equal ranks the leftmost merge goes first
+                joined = ranks.get(x + y)
+                if joined is not None and joined < x_until and joined <= y_until and ranks[y] < x_until and x_from < y_until:
+                    return False
+        return True
+
     def extend(self, data: bytes, last: list[int]) -> list[int]:
         """Append to ``last`` (last tokens of the prefixes known so far) up to the end of ``data``."""
         ranks, stable, longest = self.ranks, self.stable, self.longest
@@ -115,84 +126,37 @@ class PrefixEncoder:
 
     def walk_back(self, last: list[int]) -> list[int]:
         """The token ids that a table of last tokens stands for."""
-        ids, end = [], len(last)
+        ids, end, sizes = [], len(last), self.sizes
         while end:
-            ids.append(last[end - 1])
-            end -= len(self.tokens[ids[-1]])
-        return ids[::-1]
-
-    def encode_piece(self, piece: bytes) -> list[int]:
-        return self.walk_back(self.automaton.lasts(piece))
-
-    def packed_ids(self, piece: str) -> bytes:
-        """The piece's ids as little-endian unsigned 32-bit integers, from a bounded memo."""
-        found = self._ids.get(piece)
-        if found is None:
-            data = piece.encode()
-            found = pack(self.encode_piece(data))
-            bounded(self._ids, PIECE_CACHE)
-            self._ids[piece] = found
-        return found
-
-
-class PrefixAutomaton:
-    """The dynamic programme as a deterministic machine whose states are compiled when first reached.
-
-    What the future can depend on is the longest suffix read that still begins a token (the tail), and
-    for each place in the tail where a token may yet begin the last token before that place.  A
-    transition tells the last token of the prefix that it completes and the change in the token count.
-    """
-
-    def __init__(self, encoder: PrefixEncoder):
-        self.encoder = encoder
-        self.prefixes = {token[:i] for token in encoder.ranks for i in range(1, len(token) + 1)}
-        self.clear()
-
-    def clear(self) -> None:
-        start = (b"", ((-1, 0),))
-        self.number, self.states = {start: 0}, [start]
-        self.go: list[dict[int, tuple[int, int, int]]] = [{}]
-
-    def compile(self, state: int, byte: int) -> tuple[int, int, int]:
-        tail, places = self.states[state]
-        text, ranks, stable = tail + bytes((byte,)), self.encoder.ranks, self.encoder.stable
-        for i, place in enumerate(places):  # the token that ends here begins after i bytes of the tail
-            token = place and ranks.get(text[i:])
-            if token is not None and place and (place[0] < 0 or stable(place[0], token)):
-                break
-        else:
-            raise ValueError(f"the vocabulary lacks byte {byte}")
-        change, prefixes = place[1] + 1, self.prefixes
-        cut = next((k for k in range(len(text)) if text[k:] in prefixes), len(text))
-        kept = [p and (p[0], p[1] - change) if text[k:] in prefixes else None for k, p in enumerate(places[cut:], cut)]
-        new = (text[cut:], (*kept, (token, 0)))
-        target = self.number.get(new)
-        if target is None:
-            target = self.number[new] = len(self.states)
-            self.states.append(new)
-            self.go.append({})
-        found = self.go[state][byte] = (target, token, change)
-        return found
+            token = last[end - 1]
+            ids.append(token)
+            end -= sizes[token]
+        ids.reverse()
+        return ids
 
     def lasts(self, data: bytes) -> list[int]:
-        """The last token of every prefix."""
-        if len(self.states) > STATE_LIMIT:
-            self.clear()
-        state, go, out = 0, self.go, []
-        for byte in data:
-            state, token, _ = go[state].get(byte) or self.compile(state, byte)
-            out.append(token)
-        return out
-
-    def count(self, data: bytes) -> int:
-        """The sum of the transitions' changes: the number of tokens."""
-        if len(self.states) > STATE_LIMIT:
-            self.clear()
-        state, go, total = 0, self.go, 0
-        for byte in data:
-            state, _, change = go[state].get(byte) or self.compile(state, byte)
-            total += change
-        return total
+        """The last token of every prefix of a piece."""
+        last, known, judged, stable = [], 0, self._stable, self.stable
+        for at, (size, token) in self.finder.iter(data.decode("latin-1")):
+            if at < known:
+                continue
+            start = at - size
+            if start >= 0:
+                before = last[start]
+                good = judged[token].get(before)
+                if good is None:
+                    good = stable(before, token)
+                if not good:
+                    continue
+            last.append(token)
+            known += 1
+        if known < len(data):
+            raise ValueError(f"the vocabulary lacks a byte of {data[:20]!r}")
+        return last
+
+    def encode_piece(self, piece: bytes) -> list[int]:
+        whole = self.ranks.get(piece)
+        return self.walk_back(self.lasts(piece)) if whole is None else [whole]
 
 
 class EditableEncoding:
@@ -240,7 +204,7 @@ def encoder_of(data: bytes) -> PrefixEncoder:
 
 def packed_blocks(encoder: PrefixEncoder, pattern: regex.Pattern, text: str) -> Iterator[bytes]:
     """Packed ids of a whole text, a bounded number of pieces at a time."""
-    get = encoder.packed_ids
+    get = encoder.ids_of.__getitem__
     if len(text) < PIECES_AT_ONCE:
         yield b"".join(map(get, pattern.findall(text)))
         return

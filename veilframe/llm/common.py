@@ -91,6 +91,24 @@ def resident(kind: str, data: bytes, build: Callable[[bytes], object]) -> object
     return _RESIDENT[key]
 
 
+class Memo(dict):
+    """Remembers a function's results: the last ``limit`` new ones, and of the ``limit`` before those still asked for."""
+
+    def __init__(self, function: Callable, limit: int):
+        super().__init__()
+        self.function, self.limit, self.before = function, limit, {}
+
+    def __missing__(self, key: object) -> object:
+        found = self.before.get(key)
+        if found is None:
+            found = self.function(key)
+        if len(self) >= self.limit:
+            self.before = dict(self)
+            self.clear()
+        self[key] = found
+        return found
+
+
 def bounded(cache: dict, limit: int) -> None:
     """Empty a memo table that has reached ``limit`` entries."""
     if len(cache) > limit:

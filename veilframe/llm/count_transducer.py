@@ -6,8 +6,7 @@ Two deterministic machines, composed:
   mark piece starts.  Text is cut into equal chunks; each chunk's *state map* (end state for every
   start state) is computed independently, the maps are composed by a parallel prefix scan, and only
   then are the chunks' marks read off with their true start states.
-* ``CountTransducer``: reads one piece's bytes on the vocabulary's ``PrefixAutomaton``, each of whose
-  transitions carries the change in the number of emitted tokens.
+* ``CountTransducer``: reads one piece's bytes; each transition carries the change in the number of emitted tokens.
 
 A piece start resets the second machine, so counts add up over pieces and over chunks.
 """
@@ -23,7 +22,10 @@ import regex
 from pyspark.sql import DataFrame
 
 from .bpe import PIECE_CACHE, PrefixEncoder
-from .common import bounded, broadcast_file, map_arrow, resident
+from .common import Memo, broadcast_file, map_arrow, resident
+
+#: Compiled states of the counting machine; pieces that would need more are counted by the prefix table.
+STATE_LIMIT = 100_000
 
 #: Characters scanned at once, and characters of a chunk.
 BLOCK = 1 << 21
@@ -127,20 +129,59 @@ def piece_starts(classes: np.ndarray, start: int = AT, chunk: int = CHUNK) -> np
 
 
 class CountTransducer:
-    """Counts a piece's tokens by reading its bytes; a whole piece is memoised as one transition."""
+    """The prefix dynamic programme as a deterministic machine whose states are compiled when first reached.
+
+    What the future can depend on is the longest suffix read that still begins a token (the tail), and
+    for each place in the tail where a token may yet begin the last token before that place.  A
+    transition tells the change in the number of tokens of the prefix read.  Reading a whole piece is memoised as one
+    transition.
+    """
 
     def __init__(self, encoder: PrefixEncoder):
-        self.automaton = encoder.automaton
-        self.counts: dict[str, int] = {}
-
-    def count(self, piece: str) -> int:
-        found = self.counts.get(piece)
-        if found is None:
-            found = self.automaton.count(piece.encode())
-            bounded(self.counts, PIECE_CACHE)
-            self.counts[piece] = found
+        self.encoder = encoder
+        self.prefixes = {token[:i] for token in encoder.ranks for i in range(1, len(token) + 1)}
+        start = (b"", ((-1, 0),))
+        self.number, self.states = {start: 0}, [start]
+        self.go: list[dict[int, tuple[int, int]]] = [{}]
+        self.counts = Memo(lambda piece: self.count(piece.encode()), PIECE_CACHE)
+
+    def compile(self, state: int, byte: int) -> tuple[int, int] | None:
+        """The transition, or none where it would need one state too many."""
+        tail, places = self.states[state]
+        text, ranks, stable = tail + bytes((byte,)), self.encoder.ranks, self.encoder.stable
+        for i, place in enumerate(places):  # the token that ends here begins after i bytes of the tail
+            token = place and ranks.get(text[i:])
+            if token is not None and place and (place[0] < 0 or stable(place[0], token)):
+                break
+        else:
+            raise ValueError(f"the vocabulary lacks byte {byte}")
+        change, prefixes = place[1] + 1, self.prefixes
+        cut = next((k for k in range(len(text)) if text[k:] in prefixes), len(text))
+        kept = [p and (p[0], p[1] - change) if text[k:] in prefixes else None for k, p in enumerate(places[cut:], cut)]
+        new = (text[cut:], (*kept, (token, 0)))
+        target = self.number.get(new)
+        if target is None:
+            if len(self.states) >= STATE_LIMIT:
+                return None
+            target = self.number[new] = len(self.states)
+            self.states.append(new)
+            self.go.append({})
+        found = self.go[state][byte] = (target, change)
         return found
 
+    def count(self, data: bytes) -> int:
+        """The sum of the transitions' changes: the number of tokens."""
+        if data in self.encoder.ranks:
+            return 1
+        state, go, total = 0, self.go, 0
+        for byte in data:
+            step = go[state].get(byte) or self.compile(state, byte)
+            if step is None:
+                return len(self.encoder.encode_piece(data))
+            state = step[0]
+            total += step[1]
+        return total
+
 
 class TokenCounter:
     """Both machines and the added tokens of a ``tokenizers`` file with a byte-level BPE model."""
@@ -149,12 +190,18 @@ class TokenCounter:
         spec = json.loads(spec)
         if spec["model"]["type"] != "BPE" or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec.get("normalizer"):
             raise ValueError("a byte-level BPE tokenizer without normalizer is needed")
+        if spec["pre_tokenizer"].get("add_prefix_space") or not spec["pre_tokenizer"].get("use_regex", True):
+            raise ValueError("the byte-level split without a prefix space is needed")
+        if any(spec["model"].get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback")):
+            raise ValueError("plain merges of bytes are needed")
         plain = {c: b for b, c in byte_letters().items()}
         order = {bytes(plain[c] for c in a + b): i for i, (a, b) in enumerate(x.split(" ") if isinstance(x, str) else x for x in spec["model"]["merges"])}
         ranks = {bytes((b,)): b for b in range(256)}
         ranks.update((token, 256 + i) for token, i in order.items())
         self.machine = CountTransducer(PrefixEncoder(ranks))
         added = sorted((t["content"] for t in spec.get("added_tokens") or ()), key=len, reverse=True)
+        if any(t.get(k) for t in spec.get("added_tokens") or () for k in ("lstrip", "rstrip", "single_word")):
+            raise ValueError("added tokens that take in their surroundings are not supported")
         self.added = regex.compile("|".join(map(regex.escape, added))) if added else None
 
     def counts(self, texts: list[str]) -> list[int]:
@@ -163,25 +210,51 @@ class TokenCounter:
         parts: list[str] = []
         owner: list[int] = []
         for i, text in enumerate(texts):
-            pieces = self.added.split(text) if self.added else [text]
-            out[i] = len(pieces) - 1
-            parts += pieces
-            owner += [i] * len(pieces)
+            for k, part in enumerate(self.added.split(text) if self.added else [text]):
+                out[i] += k > 0
+                # a long part is counted piece by piece of BLOCK characters, except for its end
+                done, rest = self.long_part(part) if len(part) > BLOCK else (0, part)
+                out[i] += done
+                parts.append(rest)
+                owner.append(i)
         joined = "\0".join(parts) + "\0"
-        classes = char_classes()[np.frombuffer(joined.encode("utf-32-le"), np.uint32)]
+        classes = classes_of(joined)
         ends = np.cumsum([len(p) + 1 for p in parts]) - 1
         classes[ends] = SEP
         starts = np.flatnonzero(piece_starts(classes))
-        at = starts.tolist()
-        count = self.machine.count
-        memo = self.machine.counts.get
-        numbers = np.fromiter((memo(p) or count(p) for p in (joined[a:b] for a, b in zip(at, [*at[1:], len(joined)], strict=True))), np.int64, len(at))
+        numbers = self.numbers(joined, starts, len(joined))
         numbers[classes[starts] == SEP] = 0
         first = np.searchsorted(starts, np.concatenate(([0], ends[:-1] + 1)))
         for i, n in zip(owner, np.add.reduceat(numbers, first).tolist(), strict=True):
             out[i] += n
         return out
 
+    def numbers(self, text: str, starts: np.ndarray, end: int) -> np.ndarray:
+        at = starts.tolist()
+        pieces = (text[a:b] for a, b in zip(at, [*at[1:], end], strict=True))
+        return np.fromiter(map(self.machine.counts.__getitem__, pieces), np.int64, len(at))
+
+    def long_part(self, text: str) -> tuple[int, str]:
+        """The number of tokens in all but the end of a text, and that end.
+
+        A piece's start is a boundary, so a scan may begin there; the last two pieces before the end of a block may
+        yet change with what follows and open the next block.
+        """
+        total, at, size = 0, 0, BLOCK
+        while len(text) - at > size:
+            block = text[at : at + size]
+            starts = np.flatnonzero(piece_starts(np.append(classes_of(block), np.uint8(SEP))))[:-1]
+            if len(starts) < 4:
+                size *= 2  # a piece as long as a block
+                continue
+            total += int(self.numbers(block, starts[:-3], int(starts[-3])).sum())
+            at, size = at + int(starts[-3]), BLOCK
+        return total, text[at:]
+
+
+def classes_of(text: str) -> np.ndarray:
+    return char_classes()[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
+
 
 def byte_letters() -> dict[int, str]:
     """The printable letter that byte-level vocabularies write for each byte."""
