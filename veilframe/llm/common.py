@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import send_package
 
@@ -20,12 +21,14 @@ BROADCAST_LIMIT = 64 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the session's ``spark.checkpoint.dir``; where that is unset (single-machine tests) the context gets a
-    temporary folder of its own.
+    It is the session's ``spark.checkpoint.dir``; where that is unset and the master is local (tests), the context gets
+    a temporary folder of its own.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         context = spark.sparkContext
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = getattr(context, "_veilframe_shared", None)
         if folder is None:
             folder = context._veilframe_shared = "file://" + tempfile.mkdtemp(prefix="veilframe-")
@@ -65,6 +68,29 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Keys with more rows than this, and more than one in ``HOT_SHARE`` of all rows, are split by ``spread_join``.
+HOT_ROWS, HOT_SHARE = 1 << 17, 10_000
+
+
+def spread_join(big: DataFrame, small: DataFrame, key: str, by: str) -> DataFrame:
+    """Inner join on ``key``, of which ``small`` has one row each, such that a frequent key's rows are split by column ``by``.
+
+    ``big`` is counted, so it should be a table.  Fewer than ``HOT_SHARE`` keys can be hot, so their list is small
+    whatever the size of the tables.
+    """
+    total = big.count()
+    least = max(HOT_ROWS, total // HOT_SHARE)
+    if total <= least:  # then no key is hot
+        return big.join(small, key)
+    hot = big.groupBy(key).count().where(F.col("count") > least).select(key, F.ceil(F.col("count") / least).cast("int").alias("_parts")).toPandas()
+    if not len(hot):
+        return big.join(small, key)
+    parts = F.broadcast(big.sparkSession.createDataFrame(hot, big.select(key, F.lit(0).alias("_parts")).schema))
+    left = big.join(parts, key, "left").withColumn("_part", F.pmod(F.xxhash64(by), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    right = small.join(parts, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return left.join(right, [key, "_part"]).drop("_part")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

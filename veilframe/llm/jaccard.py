@@ -4,14 +4,15 @@ Two sets of n and m shingles with a similarity of at least 4/5 share one of the
 ``m - ceil(4 m / 5) + 1`` shingles in any common order (prefix filter), so candidates are complete.  The order puts
 frequent shingles last: which ones are taken for frequent comes from a sample and only changes the cost.
 
-Candidates are compared in two steps.  First each set with the smallest set of every key's group, which is linear in
-a group; then, within a key's group, the sets of different components of the first step.  So a large group of near
-copies is never compared pair by pair, and components are those of all similar pairs.
+Candidates are compared in two steps.  First those that a fingerprint index proposes (``signature`` and ``link``, if there
+are) and each set with the smallest set of every key's group, which is linear in a group; then, within a key's group,
+the sets of different components of the first step.  So a large group of near copies is never compared pair by pair,
+and components are those of all similar pairs, whatever the index found.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,14 +33,19 @@ MOST = 1 << 18
 PAIRS = 1 << 20
 
 
-def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
-    """Sorted hashes of the text's different shingles; a shorter text is one shingle."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Hashes of the text's shingles in order, repeats included; a shorter text is one shingle."""
     words = (text or "").encode().lower().split()
     if not words:
         return np.zeros(0, np.uint64)
     last = max(1, len(words) - shingle + 1)
     joined = [b" ".join(words)] if last == 1 else map(b" ".join, zip(*(words[i : last + i] for i in range(shingle)), strict=True))
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in joined), np.uint64, last))
+    return np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in joined), np.uint64, last)
+
+
+def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Sorted hashes of the text's different shingles."""
+    return np.unique(shingle_hashes(text, shingle))
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -123,12 +129,32 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pairs(rest)
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+def _proposed(marked: DataFrame, link: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Pairs ``(u, v)`` of sets with equal or linked signatures; one set stands for each signature."""
+    sets = marked.select("fp", "d").distinct()
+    first = materialize(sets.groupBy("fp").agg(F.min("d").alias("u")), "signatures")
+    equal = sets.join(first, "fp").where("d <> u").select("u", F.col("d").alias("v"))
+    links = link(first.select("fp")).withColumnsRenamed({"u": "a", "v": "b"})
+    pairs = links.join(first.select(F.col("fp").alias("a"), "u"), "a").join(first.select(F.col("fp").alias("b"), F.col("u").alias("v")), "b")
+    return equal.unionByName(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
+
+
+def keep_one(
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = SHINGLE,
+    signature: Callable[[np.ndarray], int] | None = None,
+    link: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """One row of each class of near-duplicates: the one of smallest id.
 
     A class is a component of the rows whose shingle sets have a Jaccard similarity of 4/5 or more.  Rows are judged, not
     ids: an id may occur with different texts, a null id comes last, and of repeated rows one stays.
-    Null and blank texts are one class.
+    Null and blank texts are one class.  Columns of any name may be there.  An empty table gives an empty table.
+
+    ``signature`` of a text's shingle hashes and ``link`` between the different signatures (column ``fp``, to pairs
+    ``(u, v)``) propose pairs that are compared first.
     """
     names = {c: f"k{i}" for i, c in enumerate(df.columns)}
     id_, text = names[id_col], names[text_col]
@@ -138,16 +164,20 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d, n, keys = [], [], []
+            d, n, keys, fps = [], [], [], []
             for t in batch.column(at):
-                hashes = shingle_set(t.as_py(), shingle)
+                hashes = shingle_hashes(t.as_py(), shingle)
+                if signature:
+                    fps.append(signature(hashes))
+                hashes = np.unique(hashes)
                 d.append(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
                 n.append(len(hashes))
                 keys.append(prefix(hashes, last.value).tobytes())
-            more = {"d": pa.array(np.array(d, np.uint64).view(np.int64)), "n": pa.array(n, pa.int64()), "keys": pa.array(keys, pa.binary())}
+            more = {"fp": pa.array(np.array(fps, np.uint64).view(np.int64)) if signature else pa.nulls(batch.num_rows, pa.int64())}
+            more |= {"d": pa.array(np.array(d, np.uint64).view(np.int64)), "n": pa.array(n, pa.int64()), "keys": pa.array(keys, pa.binary())}
             yield pa.RecordBatch.from_pydict({f"k{i}": c for i, c in enumerate(batch.columns)} | more)
 
-    schema = ", ".join(f"{c} {t}" for c, t in docs.dtypes) + ", d long, n long, keys binary"
+    schema = ", ".join(f"{c} {t}" for c, t in docs.dtypes) + ", fp long, d long, n long, keys binary"
     marked = materialize(map_arrow(docs, mark, schema).withColumn("uid", F.monotonically_increasing_id()), "shingles")
 
     texts = marked.select("d", F.col(text).alias("t"))
@@ -168,6 +198,8 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
 
     whole = shared.withColumn("e", F.struct("d", "n", "pos"))
     near = whole.where((F.col("d") != F.col("p.d")) & _possible("e", "p")).select(F.col("p.d").alias("u"), F.col("d").alias("v")).distinct()
+    if signature and link:
+        near = near.unionByName(_proposed(marked, link)).distinct()
     near = materialize(_verified(near, texts, shingle), "similar")
     found = components(near).select(F.col("node").alias("d"), F.col("component").alias("part"))
     parted = shared.drop("p").join(found, "d", "left").withColumn("part", F.coalesce("part", "d")).select("key", "d", "n", "pos", "part")

@@ -23,7 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize
+from . import jaccard
+from .common import map_arrow, materialize, spread_join
 from .graph import components
 
 SHINGLE = 3
@@ -31,13 +32,26 @@ SEED = 42
 DISTANCE = 3
 BUCKETS_PER_PARTITION = 16
 #: Groups of more fingerprints are not compared pair by pair.
-LARGE = 1 << 19
+LARGE = 1 << 17
 #: Pairs compared at once.
 PAIRS = 1 << 20
 #: Shingle hashes whose bits are counted at once.
 HASHES = 1 << 16
 
 
+def majority(count: np.ndarray, total: int) -> int:
+    return int(np.packbits(count * 2 > total, bitorder="little").view(np.uint64)[0])
+
+
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def signature(hashes: np.ndarray) -> int:
+    """The fingerprint of a text's shingle hashes."""
+    return majority(sum((bit_counts(hashes[i : i + HASHES]) for i in range(0, len(hashes), HASHES)), np.zeros(64, np.int64)), len(hashes))
+
+
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """Bit i is set if it is set in over half of the hashes of the text's shingles, repeats included."""
     words = (text or "").encode().lower().split()
@@ -49,10 +63,9 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     for start in range(0, last, HASHES):
         stop = min(start + HASHES, last)
         joined = [b" ".join(words)] if last == 1 else map(b" ".join, zip(*(words[start + i : stop + i] for i in range(shingle)), strict=True))
-        hashes = np.fromiter((digest(s, SEED) for s in joined), np.uint64, stop - start)
-        count += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        count += bit_counts(np.fromiter((digest(s, SEED) for s in joined), np.uint64, stop - start))
         total += stop - start
-    return int(np.packbits(count * 2 > total, bitorder="little").view(np.uint64)[0])
+    return majority(count, total)
 
 
 def fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE) -> DataFrame:
@@ -225,15 +238,12 @@ def group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle
     docs = materialize(fingerprints(df, id_col, text_col, shingle), "fingerprints")
     distinct = materialize(docs.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
     found = components(links_between(distinct, distance))
-    whole = distinct.join(found.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    # of few fingerprints in one component or many: minima are combined before they meet
+    whole = materialize(distinct.join(found.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp")), "classes")
     least = whole.groupBy("component").agg(F.min("least").alias("component_id"))
-    names = whole.select("fp", "component").join(least, "component").select("fp", "component_id")
-    # copies share a fingerprint: a hot one is split over the salts
-    salts = 8
-    salted = docs.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
-    names = names.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return salted.join(names, ["fp", "salt"], "left").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # a giant component, and the copies of one text, are split over many tasks
+    names = spread_join(whole.select("fp", "component"), least, "component", "fp").select("fp", "component_id")
+    named = spread_join(docs, names, "fp", "id")
+    return named.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
@@ -247,3 +257,13 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     classes = group(df.select(row.alias("id"), df[text_col].alias("t")), "id", "t", shingle, distance)
     dropped = classes.where(~F.col("id.none") & (F.col("id") != F.col("component_id"))).select(F.col("id.id").alias("_gone"), F.col("id.h").alias("_gone_h")).distinct()
     return df.join(dropped, (df[id_col] == dropped["_gone"]) & (F.xxhash64(df[text_col]) == dropped["_gone_h"]), "left_anti")
+
+
+def keep_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = jaccard.SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """One row, that of the smallest id, of each class of texts whose word shingles have a Jaccard similarity of 4/5 or more.
+
+    The fingerprint index proposes the pairs and exact similarity verifies them.  Similar texts whose fingerprints differ
+    in more than ``distance`` bits are found by the prefix filter of ``jaccard``, so that no class is split.
+    Null, repeated and odd rows are treated as ``jaccard.keep_one`` says.
+    """
+    return jaccard.keep_one(df, id_col, text_col, shingle, signature, lambda distinct: links_between(distinct, distance))
