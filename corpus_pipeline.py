@@ -1,7 +1,7 @@
-"""From raw documents to token ids: six stages, each a table that the next one reads.
+"""From raw documents to token ids: five stages, each a table that the next one reads.
 
 Every stage takes ``(spark, docs, sf_dir)`` and works on all its predecessor kept.  All but the last return the
-columns of ``documents``.
+columns of ``documents``, and further columns of any name.  An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import bpe, common, decontaminate, jaccard, langid, pii, simhash
+from veilframe.llm import bpe, common, decontaminate, langid, pii, simhash
 
 #: A document stays if one learned language makes up at least this share of it.
 LEAST_SHARE = 0.5
@@ -29,7 +29,10 @@ def named(rows: DataFrame, names: dict[str, str]) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters and those of which no learned language makes up half."""
+    """Drops documents without letters and those of which no learned language makes up half.
+
+    Null texts have no letters.  Null and repeated ids are judged row by row.
+    """
     model = langid.fit(docs.where(~langid.held_out(docs["doc_id"])))
     rows, names = numbered(docs)
     rest = tuple(c for c in rows.columns if c != names["doc_id"])
@@ -38,12 +41,16 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each SimHash class."""
-    return simhash.keep_one(docs)
+    """Keeps, of each class of documents with a five-word similarity of 0.8 or more, the one of smallest id.
+
+    SimHash's index proposes pairs, exact similarity judges them.  Rows are judged, not ids: an id may occur with different
+    texts, a null id comes last, of repeated rows one stays, and null and blank texts are one class.
+    """
+    return simhash.keep_similar(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which a benchmark window occurs."""
+    """Drops documents in which a benchmark window occurs; null texts, null and repeated ids stay."""
     rows, names = numbered(docs)
     rest = tuple(c for c in rows.columns if c != names["doc_id"])
     found = decontaminate.find_contamination(rows, common.table(spark, sf_dir, "benchmark"), names["doc_id"], names["text"], keep=rest)
@@ -51,18 +58,13 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data by its kind; ``n_chars`` follows the text."""
+    """Replaces personal data by its kind; ``n_chars`` follows the text.  A null text stays null."""
     masked = pii.mask(docs)
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
-def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of five-word Jaccard similarity 0.8 or more; SimHash's three bits miss some of them."""
-    return jaccard.keep_one(docs)
-
-
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids (little-endian unsigned 32-bit integers) with the digest of what they decode to."""
+    """Token ids (little-endian unsigned 32-bit integers) with the digest of what they decode to; a null text has none."""
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
@@ -71,7 +73,6 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("near_duplicates", drop_near_duplicates),
     ("decontamination", drop_contaminated),
     ("personal_data", mask_personal_data),
-    ("similar_documents", drop_similar),
     ("bpe", encode),
 ]
 
