@@ -1,6 +1,7 @@
 """Language ID, substring and SimHash de-duplication, decontamination, personal data and the pipeline."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -48,6 +49,59 @@ def test_texts_do_not_disturb_each_other():
     assert together == tuple(map(list, zip(*((n[0], s[0]) for n, s in (model.predict([t]) for t in texts)), strict=True)))
 
 
+def brute_mixture(logs, words, penalty=2.0):
+    """The method in plain loops: EM over all languages, then sets that grow while the gain beats the penalty."""
+
+    def em(share, rounds):
+        for _ in range(rounds):
+            total = [0.0] * len(share)
+            for w in words:
+                odds = [math.exp(x - max(w)) * p for x, p in zip(w, share, strict=True)]
+                for k, o in enumerate(odds):
+                    total[k] += o / sum(odds)
+            share = [t / len(words) for t in total]
+        return share, sum(math.log(sum(math.exp(x - max(w)) * p for x, p in zip(w, share, strict=True))) + max(w) for w in words)
+
+    n = len(words[0])
+    full, _ = em([1 / n] * n, 10)
+    order = sorted(range(n), key=lambda k: -full[k])
+    chosen, value = [float(k == order[0]) for k in range(n)], sum(w[order[0]] for w in words)
+    for size in range(2, n + 1):
+        guess = [full[k] + 1e-3 if k in order[:size] else 0.0 for k in range(n)]
+        share, likelihood = em([g / sum(guess) for g in guess], 5)
+        if likelihood - value <= penalty * 0.5 * math.log(len(words) + 1):
+            break
+        chosen, value = share, likelihood
+    return chosen
+
+
+def test_mixtures_equal_plain_loops(spark, sf_dir):
+    rows = [r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("lang", "text").collect() if r.text and r.lang]
+    counts = {}
+    for r in rows[:120]:
+        counts.setdefault(r.lang, np.zeros(langid.BINS, np.int64))
+        counts[r.lang] += np.bincount(langid.trigram_bins([r.text])[0], minlength=langid.BINS)
+    model = langid.Model.of(counts)
+    texts = [r.text[:600] for r in rows[100:130]] + [" ".join(rows[i].text[: 100 * (1 + i % 4)] for i in pick) for pick in ((0, 50, 90), (3, 60), (7, 70, 110, 20), (5, 66, 77))]
+    names, scores = model.predict(texts)
+    mixed = 0
+    for text, name, score in zip(texts, names, scores, strict=True):
+        bins, first, _ = langid.trigram_bins([text])
+        words = [model.logs[part].astype(float).sum(axis=0).tolist() for part in np.split(bins, first[1:])]
+        share = brute_mixture(model.logs, words)
+        assert name == model.languages[max(range(len(share)), key=share.__getitem__)] and abs(score - max(share)) < 1e-3
+        mixed += sum(s > 0 for s in share) > 1
+    assert mixed
+
+
+def test_many_languages_share_fewer_bins(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MODEL_CELLS", 5 * 4096)
+    rows = [(i, f"{'abcde'[i % 5]}{'xyzuv'[i % 5]}o " * 20, f"l{i % 5}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len(langid.fit(df).logs) == 4096
+    assert {(r.doc_id, r.lang_pred) for r in langid.identify(df).collect()} == {(i, lang) for i, _, lang in rows}
+
+
 # --- substring de-duplication
 
 
@@ -300,6 +354,22 @@ def test_decontamination(spark):
     assert {r.n_hit for r in decontaminate.find_contamination(df, bench.limit(0)).collect()} == {0}
 
 
+@pytest.mark.parametrize("nodes", [1, 150, 10**6])
+def test_benchmark_blocks_are_united(spark, nodes):
+    rng = random.Random(18)
+    items = [(i, " ".join(rng.choice("abc") for _ in range(rng.randint(0, 40)))) for i in range(8)] + [(8, None), (None, "q r")]
+    texts = [" ".join(rng.choice("abcq") for _ in range(rng.randint(0, 200))) for _ in range(30)] + [None, "", "q r s"]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert (len(list(decontaminate.item_blocks(bench, "item_id", "text", 10, nodes))) == 1) == (nodes > 1000)
+    if nodes == 1:  # a pass for every block: a few items are enough
+        items = [(i, t and " ".join(t.split()[:11])) for i, t in items[:2] + items[8:]]
+        bench = spark.createDataFrame(items, "item_id long, text string")
+    df = spark.createDataFrame([(i, t, b"x", "y") for i, t in enumerate(texts)], "doc_id long, text string, h binary, o string").repartition(2)
+    for r in decontaminate.find_contamination(df, bench, spans=True, keep=("h", "o"), nodes=nodes).collect():
+        assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == brute_contamination(texts[r.doc_id], items) and (bytes(r.h), r.o) == (b"x", "y")
+        assert sum(len(re.findall(WORD, texts[r.doc_id][s.start : s.end].lower())) for s in r.hit_spans) == r.n_hit
+
+
 # --- personal data
 
 

@@ -1,6 +1,7 @@
 """Language identification by multilingual mixture inference.
 
-A document is a mixture of languages.  Letter trigrams, hashed into ``BINS`` bins, give every word a likelihood in
+A document is a mixture of languages.  Letter trigrams, hashed into ``BINS`` bins (fewer with very many languages, so
+that the model stays below ``MODEL_CELLS``), give every word a likelihood in
 every learned language; expectation-maximisation estimates the proportions; the set of languages grows,
 in the order of those proportions, while the likelihood gains more than its penalty (half the logarithm of the number of words for
 each language, times ``PENALTY``).  The prediction is the largest proportion within the selected set.
@@ -17,9 +18,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_LIMIT, map_arrow, materialize, resident
+from .common import map_arrow, materialize, resident
 
 BINS = 1 << 16
+#: Numbers in a model: languages x bins.
+MODEL_CELLS = 1 << 23
 SMOOTH = 0.5
 PENALTY = 2.0
 ROUNDS = 10
@@ -65,14 +68,14 @@ class Model:
     def of(counts: dict[str, np.ndarray]) -> Model:
         names = tuple(sorted(counts))
         table = np.stack([counts[n] for n in names], axis=1) if names else np.zeros((BINS, 0))
-        return Model(names, np.log((table + SMOOTH) / (table.sum(axis=0) + SMOOTH * BINS)).astype(np.float32))
+        return Model(names, np.log((table + SMOOTH) / (table.sum(axis=0) + SMOOTH * len(table))).astype(np.float32))
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         names, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
         bins, first, owner = trigram_bins(texts)
         if not self.languages or not len(first):
             return names, scores
-        words = np.add.reduceat(self.logs[bins], first, axis=0).astype(np.float64)
+        words = np.add.reduceat(self.logs[bins & len(self.logs) - 1], first, axis=0).astype(np.float64)
         # one row for each text with letters
         docs, start = np.unique(owner, return_index=True)
         row = np.repeat(np.arange(len(docs)), np.diff(np.append(start, len(owner))))
@@ -146,28 +149,30 @@ def fit(df: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col:
     """
     rows = df.where(df[lang_col].isNotNull() & df[text_col].isNotNull()).select(df[lang_col].alias("lang"), df[id_col].alias("id"), df[text_col].alias("t"))
     rate = {r["lang"]: min(1.0, sample / r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if len(rate) * BINS * 4 > BROADCAST_LIMIT:
-        raise ValueError(f"{len(rate)} languages make a model larger than {BROADCAST_LIMIT} bytes")
     if not rate:
         return Model.of({})
-    limit = F.create_map(*(F.lit(x) for pair in rate.items() for x in pair))
+    n_bins = BINS
+    while n_bins > 1024 and n_bins * len(rate) > MODEL_CELLS:
+        n_bins //= 2
+    limits = df.sparkSession.createDataFrame(list(rate.items()), rows.select("lang", F.lit(0.0).alias("rate")).schema)
     place = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
-    taken = rows.where(place < limit[F.col("lang")]).select("lang", "t")
+    taken = rows.join(F.broadcast(limits), "lang").where(place < F.col("rate")).select("lang", "t")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, np.ndarray] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                table = found.setdefault(lang, np.zeros(BINS, np.int64))
-                table += np.bincount(trigram_bins([text])[0], minlength=BINS)
+                table = found.setdefault(lang, np.zeros(n_bins, np.int64))
+                table += np.bincount(trigram_bins([text])[0] & n_bins - 1, minlength=n_bins)
         for lang, table in found.items():
             bins = np.flatnonzero(table)
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(bins), pa.string()), "bin": pa.array(bins.astype(np.int32)), "n": pa.array(table[bins])})
 
     counts = materialize(map_arrow(taken, count, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")), "trigrams")
-    tables = {lang: np.zeros(BINS) for lang in rate}
-    for lang, bin_, n in counts.collect():  # at most languages x BINS rows
-        tables[lang][bin_] = n
+    tables = {lang: np.zeros(n_bins) for lang in rate}
+    found = counts.toPandas()  # at most languages x bins rows
+    for lang, rows in found.groupby("lang"):
+        tables[lang][rows["bin"]] = rows["n"]
     return Model.of(tables)
 
 

@@ -73,8 +73,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_personal_data": op10_personal_data,
 }
 
-#: The others need a tokenizer, a fitted model, XXH64, an automaton over all benchmark windows or match positions, which
-#: SQL has not; the tests hold them against brute force.
+#: The others need a tokenizer, a fitted model, XXH64 or match positions, which SQL has not; the tests hold them against
+#: brute force.
 ORACLE_SQL: dict[str, str] = {
     "op3_warc_records": """
         with p as (select page_id, coalesce(html, '') as h from pages),
@@ -101,4 +101,16 @@ ORACLE_SQL: dict[str, str] = {
         kept as (select word.doc_id, string_agg(word, ' ' order by word.j) as t, count(*) as n from word left join gone on word.doc_id = gone.doc_id and word.j = gone.j where gone.j is null group by 1)
         select w.doc_id, cast(len(ws) as bigint) as n_words, cast(len(ws) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(t, '')) as kept_sha256 from w left join kept on w.doc_id = kept.doc_id
     """,
+    "op9_decontamination": """
+        with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as ws from documents),
+        b as (select cast(item_id as varchar) as item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as ws from benchmark),
+        iw as (select item, least(10, len(ws)) as n, array_to_string(ws[i : i + 9], ' ') as k from b, lateral (select unnest(range(1, greatest(2, len(ws) - 8))) as i) where len(ws) > 0),
+        sizes as (select distinct n from iw),
+        dw as (select doc_id, n, i, array_to_string(ws[i : i + n - 1], ' ') as k from d, sizes, lateral (select unnest(range(1, len(ws) - n + 2)) as i)),
+        hit as (select doc_id, dw.n, i, item from dw join iw on dw.n = iw.n and dw.k = iw.k),
+        gone as (select doc_id, count(*) as n_hit from (select distinct doc_id, unnest(range(i, i + n)) as j from hit) group by 1),
+        owner as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, item from hit where item is not null) group by 1)
+        select d.doc_id, cast(len(ws) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+        from d left join gone on gone.doc_id = d.doc_id left join owner on owner.doc_id = d.doc_id
+    """,
 }
