@@ -268,6 +268,19 @@ def test_near_duplicates_are_those_of_jaccard(spark, monkeypatch):
     assert jaccard.keep_one(df.limit(0)).count() == 0
 
 
+def test_sketches_keep_all_similar_pairs():
+    rng = np.random.default_rng(4)
+    ruled_out = 0
+    for _ in range(400):
+        n, m = rng.integers(0, 400, 2)
+        a = np.unique(rng.integers(0, 2**64, n, np.uint64))
+        b = np.unique(np.concatenate((a[: max(0, len(a) - rng.integers(0, 60))], rng.integers(0, 2**64, m // rng.integers(1, 40), np.uint64))))
+        may = jaccard.may_be_similar(jaccard.sketch(a), jaccard.sketch(b), len(a) + len(b))
+        assert may or not jaccard.similar(a, b)
+        ruled_out += not may
+    assert ruled_out > 100
+
+
 def test_pipeline_leaves_no_similar_documents(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     words = [f"w{i}" for i in range(100)]

@@ -72,23 +72,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 HOT_ROWS, HOT_SHARE = 1 << 17, 10_000
 
 
-def spread_join(big: DataFrame, small: DataFrame, key: str, by: str) -> DataFrame:
-    """Inner join on ``key``, of which ``small`` has one row each, such that a frequent key's rows are split by column ``by``.
+def spread_join(big: DataFrame, small: DataFrame, key: str, by: str, how: str = "inner", counted: DataFrame | None = None) -> DataFrame:
+    """Join on ``key``, of which ``small`` has one row each, such that a frequent key's rows are split by column ``by``.
 
-    ``big`` is counted, so it should be a table.  Fewer than ``HOT_SHARE`` keys can be hot, so their list is small
-    whatever the size of the tables.
+    The rows of ``counted`` (``big``, if not given; a table) tell how often keys occur.  Fewer than ``HOT_SHARE`` keys can be
+    hot, so their list is small whatever the size of the tables.  ``how`` is inner or left.
     """
-    total = big.count()
+    counted = big if counted is None else counted
+    total = counted.count()
     least = max(HOT_ROWS, total // HOT_SHARE)
     if total <= least:  # then no key is hot
-        return big.join(small, key)
-    hot = big.groupBy(key).count().where(F.col("count") > least).select(key, F.ceil(F.col("count") / least).cast("int").alias("_parts")).toPandas()
+        return big.join(small, key, how)
+    hot = counted.groupBy(key).count().where(F.col("count") > least).select(key, F.ceil(F.col("count") / least).cast("int").alias("_parts")).toPandas()
     if not len(hot):
-        return big.join(small, key)
+        return big.join(small, key, how)
     parts = F.broadcast(big.sparkSession.createDataFrame(hot, big.select(key, F.lit(0).alias("_parts")).schema))
     left = big.join(parts, key, "left").withColumn("_part", F.pmod(F.xxhash64(by), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
     right = small.join(parts, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
-    return left.join(right, [key, "_part"]).drop("_part")
+    return left.join(right, [key, "_part"], how).drop("_part")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -4,10 +4,14 @@ Two sets of n and m shingles with a similarity of at least 4/5 share one of the
 ``m - ceil(4 m / 5) + 1`` shingles in any common order (prefix filter), so candidates are complete.  The order puts
 frequent shingles last: which ones are taken for frequent comes from a sample and only changes the cost.
 
-Candidates are compared in two steps.  First those that a fingerprint index proposes (``signature`` and ``link``, if there
-are) and each set with the smallest set of every key's group, which is linear in a group; then, within a key's group,
-the sets of different components of the first step.  So a large group of near copies is never compared pair by pair,
-and components are those of all similar pairs, whatever the index found.
+Candidates are compared in three steps: first those that a fingerprint index proposes (``signature`` and ``link``, if there
+are) and each set with one other, the smallest that shares a key; then each set with the smallest set of every key's
+group, which is linear in a group; then the sets of a key's group among each other; in the second and third step only
+sets that are not yet in one class.  So a large group of near copies is never compared pair by pair, and classes are
+those of all similar pairs, whatever the index found.
+
+Before texts meet, pairs are compared by parity sketches: every shingle flips one of a set's bits, so two sets differ in
+at least as many shingles as their sketches differ in bits.  This rules most candidates out and no similar pair.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize
+from .common import map_arrow, materialize, spread_join
 from .graph import components
 
 SHINGLE = 5
@@ -53,6 +57,23 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 9 * len(np.intersect1d(a, b, assume_unique=True)) >= 4 * (len(a) + len(b))
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """The parities of the set's hashes modulo a power of two, at least twice the set's size."""
+    bits = max(64, 1 << (2 * len(hashes) - 1).bit_length()) if len(hashes) else 64
+    # the shingles' own low bits choose the place
+    return np.packbits(np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def may_be_similar(a: bytes, b: bytes, sizes: int) -> bool:
+    """Whether two sets of ``sizes`` shingles together can have a similarity of 4/5 or more."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return 9 * int(np.bitwise_count(x ^ y).sum()) <= sizes
+
+
 def frequent(df: DataFrame, text_col: str, shingle: int) -> np.ndarray:
     """Sorted hashes of the sample's frequent shingles."""
 
@@ -80,12 +101,23 @@ def _possible(a: str, b: str) -> Column:
     return F.expr(f"5 * least({a}.n, {b}.n) >= 4 * greatest({a}.n, {b}.n) and 9 * least({a}.n - {a}.pos, {b}.n - {b}.pos) >= 4 * ({a}.n + {b}.n)")
 
 
-def _verified(pairs: DataFrame, all_texts: DataFrame, shingle: int) -> DataFrame:
-    """The pairs ``(u, v)`` of similar sets, by the texts."""
-    pairs = materialize(pairs, "candidate-pairs")
+def _verified(pairs: DataFrame, marked: DataFrame, text: str, shingle: int) -> DataFrame:
+    """The pairs ``(u, v)`` of similar sets: those that pass by their sketches, then by their texts.  A table."""
+    pairs = materialize(pairs.distinct(), "candidates")
+    sets = marked.select("d", "n", "sketch").dropDuplicates(["d"])
+    both = spread_join(pairs, sets.toDF("u", "nu", "su"), "u", "v").join(sets.toDF("v", "nv", "sv"), "v")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = (batch.column(2).to_numpy() + batch.column(3).to_numpy()).tolist()
+            good = [may_be_similar(a, b, n) for a, b, n in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), sizes, strict=True)]
+            kept = batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(kept.columns, ["u", "v"])
+
+    pairs = materialize(map_arrow(both.select("u", "v", "nu", "nv", "su", "sv"), compare, "u long, v long"), "sketched-pairs")
     nodes = pairs.select(F.col("u").alias("d")).unionByName(pairs.select(F.col("v").alias("d"))).distinct()
-    texts = materialize(all_texts.join(nodes, "d", "left_semi").dropDuplicates(["d"]), "candidate-texts")
-    both = pairs.join(texts.select(F.col("d").alias("v"), F.col("t").alias("tv")), "v").join(texts.select(F.col("d").alias("u"), F.col("t").alias("tu")), "u")
+    texts = materialize(marked.select("d", F.col(text).alias("t")).join(nodes, "d", "left_semi").dropDuplicates(["d"]), "candidate-texts")
+    both = spread_join(pairs.join(texts.toDF("v", "tv"), "v"), texts.toDF("u", "tu"), "u", "v", counted=pairs)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, known = np.zeros(0, np.uint64), None
@@ -98,7 +130,12 @@ def _verified(pairs: DataFrame, all_texts: DataFrame, shingle: int) -> DataFrame
             kept = batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
             yield pa.RecordBatch.from_arrays(kept.columns, ["u", "v"])
 
-    return map_arrow(both.select("u", "v", "tu", "tv"), check, "u long, v long")
+    return materialize(map_arrow(both.select("u", "v", "tu", "tv"), check, "u long, v long"), "similar")
+
+
+def _parts(links: DataFrame) -> DataFrame:
+    """``(d, part)``: the classes that links make so far."""
+    return components(links).select(F.col("node").alias("d"), F.col("component").alias("part"))
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +201,7 @@ def keep_one(
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d, n, keys, fps = [], [], [], []
+            d, n, keys, fps, sketches = [], [], [], [], []
             for t in batch.column(at):
                 hashes = shingle_hashes(t.as_py(), shingle)
                 if signature:
@@ -172,16 +209,15 @@ def keep_one(
                 hashes = np.unique(hashes)
                 d.append(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
                 n.append(len(hashes))
+                sketches.append(sketch(hashes))
                 keys.append(prefix(hashes, last.value).tobytes())
             more = {"fp": pa.array(np.array(fps, np.uint64).view(np.int64)) if signature else pa.nulls(batch.num_rows, pa.int64())}
-            more |= {"d": pa.array(np.array(d, np.uint64).view(np.int64)), "n": pa.array(n, pa.int64()), "keys": pa.array(keys, pa.binary())}
+            more |= {"d": pa.array(np.array(d, np.uint64).view(np.int64)), "n": pa.array(n, pa.int64()), "keys": pa.array(keys, pa.binary()), "sketch": pa.array(sketches, pa.binary())}
             yield pa.RecordBatch.from_pydict({f"k{i}": c for i, c in enumerate(batch.columns)} | more)
 
-    schema = ", ".join(f"{c} {t}" for c, t in docs.dtypes) + ", fp long, d long, n long, keys binary"
+    schema = ", ".join(f"{c} {t}" for c, t in docs.dtypes) + ", fp long, d long, n long, keys binary, sketch binary"
     marked = materialize(map_arrow(docs, mark, schema).withColumn("uid", F.monotonically_increasing_id()), "shingles")
 
-    texts = marked.select("d", F.col(text).alias("t"))
-
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.frombuffer(k, np.int64) for k in batch.column(2).to_pylist()]
@@ -196,16 +232,22 @@ def keep_one(
     seen = entries.withColumn("p", F.min(F.struct("d", "n", "pos")).over(group)).withColumn("size", F.count("*").over(group))
     shared = materialize(seen.where("size > 1").drop("size"), "shared-shingles")
 
-    whole = shared.withColumn("e", F.struct("d", "n", "pos"))
-    near = whole.where((F.col("d") != F.col("p.d")) & _possible("e", "p")).select(F.col("p.d").alias("u"), F.col("d").alias("v")).distinct()
+    least = F.col("p.d").alias("u"), F.col("d").alias("v")
+    fits = (F.col("d") != F.col("p.d")) & _possible("e", "p")
+    near = shared.withColumn("e", F.struct("d", "n", "pos")).where(fits).select(*least).groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
     if signature and link:
-        near = near.unionByName(_proposed(marked, link)).distinct()
-    near = materialize(_verified(near, texts, shingle), "similar")
-    found = components(near).select(F.col("node").alias("d"), F.col("component").alias("part"))
-    parted = shared.drop("p").join(found, "d", "left").withColumn("part", F.coalesce("part", "d")).select("key", "d", "n", "pos", "part")
+        near = near.unionByName(_proposed(marked, link))
+    links = _verified(near, marked, text, shingle)
+
+    found = _parts(links).withColumnsRenamed({"d": "m", "part": "first_part"})
+    parted = shared.join(_parts(links), "d", "left").withColumn("part", F.coalesce("part", "d"))
+    more = parted.withColumn("e", F.struct("d", "n", "pos")).where(fits).select(*least, "part").join(found, F.col("u") == F.col("m"), "left")
+    links = links.unionByName(_verified(more.where("part <> coalesce(first_part, u)").select("u", "v"), marked, text, shingle))
+
+    parted = shared.drop("p").join(_parts(links), "d", "left").withColumn("part", F.coalesce("part", "d")).select("key", "d", "n", "pos", "part")
     mixed = parted.withColumn("lo", F.min("part").over(group)).withColumn("hi", F.max("part").over(group)).where("lo <> hi").select(parted.columns)
-    rest = map_arrow(mixed.sortWithinPartitions("key"), _across, "u long, v long").distinct()
-    links = near.unionByName(_verified(rest, texts, shingle))
+    rest = map_arrow(mixed.sortWithinPartitions("key"), _across, "u long, v long")
+    links = links.unionByName(_verified(rest, marked, text, shingle))
 
     found = components(links).select(F.col("node").alias("d"), "component")
     first = F.min(F.struct(F.col(id_).isNull().alias("none"), F.col(id_).alias("id"), "d", "uid"))
