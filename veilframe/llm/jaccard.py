@@ -5,10 +5,10 @@ Two sets of n and m shingles with a similarity of at least 4/5 share one of the
 frequent shingles last: which ones are taken for frequent comes from a sample and only changes the cost.
 
 Candidates are compared in three steps: first those that a fingerprint index proposes (``signature`` and ``link``, if there
-are) and each set with one other, the smallest that shares a key; then each set with the smallest set of every key's
-group, which is linear in a group; then the sets of a key's group among each other; in the second and third step only
-sets that are not yet in one class.  So a large group of near copies is never compared pair by pair, and classes are
-those of all similar pairs, whatever the index found.
+are) and each set with one other, the smallest that shares a key; then the sets of a key's group with ``HUBS`` of them,
+which is linear in a group; then the sets of a key's group among each other; in the second and third step only
+sets that are not yet in one class.  So a large group of near copies is hardly ever compared pair by pair, and classes
+are those of all similar pairs, whatever the index found.
 
 Before texts meet, pairs are compared by parity sketches: every shingle flips one of a set's bits, so two sets differ in
 at least as many shingles as their sketches differ in bits.  This rules most candidates out and no similar pair.
@@ -34,7 +34,11 @@ SAMPLE, FREQUENT = 16, 4
 #: At most so many shingles are put last.
 MOST = 1 << 18
 #: Pairs compared at once.
-PAIRS = 1 << 20
+PAIRS = 1 << 18
+#: Sets of a key's group that all others are compared with first.
+HUBS = 8
+#: Bits of the short sketches that travel with a key's entries.
+SHORT = 1024
 
 
 def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -57,10 +61,9 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 9 * len(np.intersect1d(a, b, assume_unique=True)) >= 4 * (len(a) + len(b))
 
 
-def sketch(hashes: np.ndarray) -> bytes:
-    """The parities of the set's hashes modulo a power of two, at least twice the set's size."""
-    bits = max(64, 1 << (2 * len(hashes) - 1).bit_length()) if len(hashes) else 64
-    # the shingles' own low bits choose the place
+def sketch(hashes: np.ndarray, bits: int | None = None) -> bytes:
+    """The parities of the set's hashes modulo a power of two, if not given at least twice the set's size."""
+    bits = bits or max(64, 1 << max(0, 2 * len(hashes) - 1).bit_length())
     return np.packbits(np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
 
 
@@ -138,32 +141,41 @@ def _parts(links: DataFrame) -> DataFrame:
     return components(links).select(F.col("node").alias("d"), F.col("component").alias("part"))
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of possible sets of one key (rows come sorted by key) that are in different components."""
+def _across(hubs: int | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs of sets of one key (rows come sorted by key) that are in different classes and may be similar by size, place
+    and short sketch; with ``hubs`` only those with one of a group's first sets."""
 
-    def pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def pairs(rows: np.ndarray, sketches: np.ndarray) -> Iterator[pa.RecordBatch]:
         _, d, n, pos, part = rows
+        first = len(d) if hubs is None else min(hubs, len(d))
         step = max(1, PAIRS // len(d))
-        # each pair of components once: the smaller component's sets against the larger one's
-        for a in range(0, len(d), step):
-            left = slice(a, a + step)
-            fits = part[left, None] < part[None, :]
+        for a in range(0, first, step):
+            left = slice(a, min(a + step, first))
+            # each pair once: if both could stand left, the one of the smaller class does
+            fits = (part[left, None] < part[None, :]) | ((part[left, None] != part[None, :]) & (np.arange(len(d)) >= first))
             fits &= 5 * np.minimum(n[left, None], n[None, :]) >= 4 * np.maximum(n[left, None], n[None, :])
             fits &= 9 * np.minimum((n - pos)[left, None], (n - pos)[None, :]) >= 4 * (n[left, None] + n[None, :])
             i, j = np.nonzero(fits)
-            if len(i):
-                x, y = d[left][i], d[j]
+            i += a
+            near = 9 * np.bitwise_count(sketches[i] ^ sketches[j]).sum(axis=1, dtype=np.int64) <= n[i] + n[j]
+            if near.any():
+                x, y = d[i[near]], d[j[near]]
                 yield pa.RecordBatch.from_pydict({"u": pa.array(np.minimum(x, y)), "v": pa.array(np.maximum(x, y))})
 
-    rest = np.zeros((5, 0), np.int64)
-    for batch in batches:
-        rest = np.concatenate((rest, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])), axis=1)
-        edges = np.flatnonzero(np.concatenate(([True], rest[0, 1:] != rest[0, :-1]))) if rest.shape[1] else np.zeros(0, np.int64)
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            yield from pairs(rest[:, a:b])
-        rest = rest[:, edges[-1] :] if len(edges) else rest
-    if rest.shape[1]:
-        yield from pairs(rest)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest, held = np.zeros((5, 0), np.int64), np.zeros((0, SHORT // 64), np.uint64)
+        for batch in batches:
+            rest = np.concatenate((rest, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:5]])), axis=1)
+            held = np.concatenate((held, np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint64).reshape(-1, SHORT // 64)))
+            edges = np.flatnonzero(np.concatenate(([True], rest[0, 1:] != rest[0, :-1]))) if rest.shape[1] else np.zeros(0, np.int64)
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                yield from pairs(rest[:, a:b], held[a:b])
+            if len(edges):
+                rest, held = rest[:, edges[-1] :], held[edges[-1] :]
+        if rest.shape[1]:
+            yield from pairs(rest, held)
+
+    return run
 
 
 def _proposed(marked: DataFrame, link: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -201,7 +213,7 @@ def keep_one(
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d, n, keys, fps, sketches = [], [], [], [], []
+            d, n, keys, fps, sketches, short = [], [], [], [], [], []
             for t in batch.column(at):
                 hashes = shingle_hashes(t.as_py(), shingle)
                 if signature:
@@ -210,12 +222,13 @@ def keep_one(
                 d.append(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
                 n.append(len(hashes))
                 sketches.append(sketch(hashes))
+                short.append(sketch(hashes, SHORT))
                 keys.append(prefix(hashes, last.value).tobytes())
             more = {"fp": pa.array(np.array(fps, np.uint64).view(np.int64)) if signature else pa.nulls(batch.num_rows, pa.int64())}
-            more |= {"d": pa.array(np.array(d, np.uint64).view(np.int64)), "n": pa.array(n, pa.int64()), "keys": pa.array(keys, pa.binary()), "sketch": pa.array(sketches, pa.binary())}
+            more |= {"d": pa.array(np.array(d, np.uint64).view(np.int64)), "n": pa.array(n, pa.int64()), "keys": pa.array(keys, pa.binary()), "sketch": pa.array(sketches, pa.binary()), "short": pa.array(short, pa.binary())}
             yield pa.RecordBatch.from_pydict({f"k{i}": c for i, c in enumerate(batch.columns)} | more)
 
-    schema = ", ".join(f"{c} {t}" for c, t in docs.dtypes) + ", fp long, d long, n long, keys binary, sketch binary"
+    schema = ", ".join(f"{c} {t}" for c, t in docs.dtypes) + ", fp long, d long, n long, keys binary, sketch binary, short binary"
     marked = materialize(map_arrow(docs, mark, schema).withColumn("uid", F.monotonically_increasing_id()), "shingles")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,22 +245,19 @@ def keep_one(
     seen = entries.withColumn("p", F.min(F.struct("d", "n", "pos")).over(group)).withColumn("size", F.count("*").over(group))
     shared = materialize(seen.where("size > 1").drop("size"), "shared-shingles")
 
-    least = F.col("p.d").alias("u"), F.col("d").alias("v")
     fits = (F.col("d") != F.col("p.d")) & _possible("e", "p")
-    near = shared.withColumn("e", F.struct("d", "n", "pos")).where(fits).select(*least).groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
+    near = shared.withColumn("e", F.struct("d", "n", "pos")).where(fits).groupBy(F.col("d").alias("v")).agg(F.min("p.d").alias("u")).select("u", "v")
+    shared = shared.drop("p")
     if signature and link:
         near = near.unionByName(_proposed(marked, link))
     links = _verified(near, marked, text, shingle)
 
-    found = _parts(links).withColumnsRenamed({"d": "m", "part": "first_part"})
-    parted = shared.join(_parts(links), "d", "left").withColumn("part", F.coalesce("part", "d"))
-    more = parted.withColumn("e", F.struct("d", "n", "pos")).where(fits).select(*least, "part").join(found, F.col("u") == F.col("m"), "left")
-    links = links.unionByName(_verified(more.where("part <> coalesce(first_part, u)").select("u", "v"), marked, text, shingle))
-
-    parted = shared.drop("p").join(_parts(links), "d", "left").withColumn("part", F.coalesce("part", "d")).select("key", "d", "n", "pos", "part")
-    mixed = parted.withColumn("lo", F.min("part").over(group)).withColumn("hi", F.max("part").over(group)).where("lo <> hi").select(parted.columns)
-    rest = map_arrow(mixed.sortWithinPartitions("key"), _across, "u long, v long")
-    links = links.unionByName(_verified(rest, marked, text, shingle))
+    short = marked.select("d", "short").dropDuplicates(["d"])
+    for hubs in (HUBS, None):
+        parted = shared.join(_parts(links), "d", "left").withColumn("part", F.coalesce("part", "d"))
+        mixed = parted.withColumn("lo", F.min("part").over(group)).withColumn("hi", F.max("part").over(group)).where("lo <> hi")
+        rows = mixed.join(short, "d").select("key", "d", "n", "pos", "part", "short").repartition("key").sortWithinPartitions("key", "d")
+        links = links.unionByName(_verified(map_arrow(rows, _across(hubs), "u long, v long"), marked, text, shingle))
 
     found = components(links).select(F.col("node").alias("d"), "component")
     first = F.min(F.struct(F.col(id_).isNull().alias("none"), F.col(id_).alias("id"), "d", "uid"))
