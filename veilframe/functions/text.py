@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Lengths are summed in blocks, so that positions cost n * BLOCK and not n * n steps.
-BLOCK = 128
+SHIFT = 7
+BLOCK = 1 << SHIFT
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once; a plain column would be inlined wherever it is used, also in lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def normalize(value: Column) -> Column:
@@ -31,22 +39,20 @@ def quoted(term: Column) -> Column:
     return F.concat(F.lit("\\Q"), F.replace(term, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
 
 
-def with_prefix_sums(df: DataFrame, sizes: str, name: str) -> DataFrame:
-    """Adds ``name``: exclusive prefix sums of an array of ints, by way of block sums."""
+def prefix_sums(sizes: Column) -> Column:
+    """Exclusive prefix sums of an array of ints, by way of block sums."""
     zero, add = F.lit(0), lambda a, x: a + x
-    sums = F.transform(F.sequence(zero, F.floor((F.size(sizes) - 1) / BLOCK).cast("int")), lambda b: F.aggregate(F.slice(sizes, b * BLOCK + 1, F.lit(BLOCK)), zero, add))
-    df = df.withColumn("_sums", F.when(F.size(sizes) > 0, sums))
-    starts = F.transform("_sums", lambda _, b: F.aggregate(F.slice("_sums", F.lit(1), b), zero, add))
 
-    def all_before(starts: Column) -> Column:
-        def before(_: Column, i: Column) -> Column:
-            block = F.floor(i / BLOCK).cast("int")
-            return F.get(starts, block) + F.aggregate(F.slice(sizes, block * BLOCK + 1, i % BLOCK), zero, add)
+    def of(sizes: Column) -> Column:
+        blocks = F.sequence(zero, F.floor((F.size(sizes) - 1) / BLOCK).cast("int"))
+        sums = F.transform(blocks, lambda b: F.aggregate(F.slice(sizes, b * BLOCK + 1, F.lit(BLOCK)), zero, add))
+
+        def before(starts: Column) -> Column:
+            return F.transform(sizes, lambda _, i: F.get(starts, F.shiftright(i.cast("int"), SHIFT)) + F.aggregate(F.slice(sizes, i - i % BLOCK + 1, i % BLOCK), zero, add))
 
-        return F.transform(sizes, before)
+        return bound(sums, lambda sums: bound(F.transform(sums, lambda _, b: F.aggregate(F.slice(sums, F.lit(1), b), zero, add)), before))
 
-    # the outer transform binds the block starts, which a plain column would compute anew for every element
-    return df.withColumn(name, F.get(F.transform(F.array(starts), all_before), F.lit(0))).drop("_sums")
+    return F.when(F.size(sizes) > 0, bound(sizes, of))
 
 
 def exploded(df: DataFrame, array: str, name: str, *keep: str) -> DataFrame:
@@ -73,5 +79,4 @@ def occurrences(text: Column, needle: Column, flags: str = "") -> Column:
             lambda _, i: F.aggregate(F.slice(pieces, F.lit(1), i + 1), F.lit(0), lambda a, p: a + F.length(p)) + i * F.length(needle),
         )
 
-    # as above: binds the pieces, so that the text is split once
-    return F.get(F.transform(F.array(pieces), starts), F.lit(0))
+    return bound(pieces, starts)

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import exploded, normalize
+from ..functions.text import bound, exploded, normalize
 from ..options import Options
+from ..shared import materialize
 from .detectors import detect
 from .findings import with_findings
-from .numbering import build_mapping, row_mapping
+from .numbering import build_mapping, row_labels, row_mapping
 from .resolve import resolve_overlaps, without_allowed
 
 
@@ -23,32 +24,39 @@ def accepted_spans(texts: DataFrame, options: Options, findings: DataFrame | Non
 
 def splice(text: Column, spans: Column, labels: Column) -> Column:
     """The text with its spans replaced by labels (arrays of equal length, spans by start, not overlapping)."""
-    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<string>").alias("pieces"))
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["end"] + 1, s["span"]["start"] - acc["end"])
-        return F.struct((s["span"]["start"] + s["span"]["len"]).alias("end"), F.concat(acc["pieces"], F.array(F.concat(gap, s["label"]))).alias("pieces"))
+    def whole(spans: Column) -> Column:
+        def piece(s: Column, i: Column) -> Column:
+            before = F.get(spans, i - 1)
+            end = F.when(i == 0, F.lit(0)).otherwise(before["start"] + before["len"])
+            return F.concat(F.substring(text, end + 1, s["start"] - end), F.get(labels, i))
 
-    pairs = F.arrays_zip(spans.alias("span"), labels.alias("label"))
-    whole = F.aggregate(pairs, start, step, lambda acc: F.concat(F.array_join(acc["pieces"], ""), F.substring(text, acc["end"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+        last = F.get(spans, F.size(spans) - 1)
+        return F.concat(F.array_join(F.transform(spans, piece), ""), F.substring(text, last["start"] + last["len"] + 1, F.length(text)))
+
+    return F.when(F.size(spans) > 0, bound(spans, whole)).otherwise(text)
 
 
 def anonymize_rows(texts: DataFrame, options: Options | None = None, findings: DataFrame | None = None, text: str = "text") -> DataFrame:
     """Every row is its own scope.  Adds ``anonymized_text`` and ``mapping`` (array of placeholder, original, category).
 
-    Narrow.  A null text becomes empty.
+    Narrow.  A null text becomes empty.  A row's spans, mapping and text are one value, so that whatever columns are
+    selected, each is computed once.
     """
     options = options or Options()
     found = accepted_spans(texts.withColumn(text, F.coalesce(text, F.lit(""))), options, findings, text)
-    found = found.withColumn("mapping", row_mapping(F.col("spans"), options.language))
+    source = F.col(text)
+
+    def row(spans: Column) -> Column:
+        def named(mapping: Column) -> Column:
+            entries = F.transform(F.array_sort(F.transform(mapping, lambda m: F.struct(m["first"], m["placeholder"], m["original"], m["category"]))), lambda m: F.struct(m["placeholder"], m["original"], m["category"]))
+            new = bound(row_labels(spans, mapping), lambda labels: splice(source, spans, labels))
+            return F.struct(new.alias("anonymized_text"), entries.alias("mapping"))
 
-    def label_of(s: Column) -> Column:
-        return F.filter("mapping", lambda m: (m["category"] == s["category"]) & (m["norm"] == normalize(s["original"])))[0]["placeholder"]
+        return bound(row_mapping(spans, options.language), named)
 
-    found = found.withColumn("labels", F.transform("spans", label_of))
-    found = found.withColumn("anonymized_text", splice(F.col(text), F.col("spans"), F.col("labels")))
-    return found.withColumn("mapping", F.transform("mapping", lambda m: F.struct(m["placeholder"], m["original"], m["category"]))).drop("spans", "labels")
+    found = found.withColumn("_row", bound(F.col("spans"), row))
+    return found.withColumn("anonymized_text", F.col("_row.anonymized_text")).withColumn("mapping", F.col("_row.mapping")).drop("spans", "_row")
 
 
 def explode_spans(found: DataFrame) -> DataFrame:
@@ -60,11 +68,13 @@ def anonymize_scopes(texts: DataFrame, options: Options | None = None, findings:
 
     Returns ``(scope_id, ord, anonymized_text)`` and the mapping ``(scope_id, placeholder, original, category, pos)``
     of the values used in this pass.  ``(scope_id, ord)`` must be unique.  Null texts become empty.
+    Texts and their spans are a table in the shared folder, so detection runs once.
     """
     options = options or Options()
     found = accepted_spans(texts.select("scope_id", "ord", F.coalesce("text", F.lit("")).alias("text")), options, findings)
+    found = materialize(found.select("scope_id", "ord", "text", "spans"), "spans")
     spans = explode_spans(found)
-    mapping = build_mapping(spans, options.language, seed)
+    mapping = materialize(build_mapping(spans, options.language, seed), "mapping")
     named = spans.withColumn("norm", normalize(F.col("original"))).join(mapping.select("scope_id", "category", "norm", "placeholder"), ["scope_id", "category", "norm"])
     per_text = named.groupBy("scope_id", "ord").agg(F.sort_array(F.collect_list(F.struct("start", "len", "placeholder"))).alias("s"))
     joined = found.join(per_text, ["scope_id", "ord"], "left")

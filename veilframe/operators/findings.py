@@ -74,7 +74,11 @@ def pull_progress(line: Column) -> Column:
     line = F.trim(line)
     error, total, done = (F.get_json_object(line, f"$.{k}") for k in ("error", "total", "completed"))
     failed = F.get_json_object(line, "$").isNotNull() & line.startswith("{") & F.array_contains(F.coalesce(F.json_object_keys(line), F.array().cast("array<string>")), "error")
-    percent = F.when(total.cast("long") > 0, F.least(F.greatest(F.expr("0L"), F.call_function("div", done.cast("long") * 100, total.cast("long"))), F.lit(100)).cast("int"))
+    whole, part = total.try_cast("double"), done.try_cast("double")
+    usable = (whole > 0) & ~F.isnan(whole) & ~F.isnan(part)
+    # divided before it is multiplied only where the product would be no number
+    share = F.when(part < 1e300, part * 100 / whole).otherwise(part / whole * 100)
+    percent = F.when(usable & part.isNotNull(), F.floor(F.least(F.greatest(F.lit(0.0), share), F.lit(100.0))).cast("int"))
     status = F.coalesce(F.get_json_object(line, "$.status"), F.lit(""))
     good = F.struct(status.alias("status"), percent.alias("percent"), (F.lower(status) == "success").alias("is_success"), F.lit(False).alias("is_error"))
     bad = F.struct(F.coalesce(error, F.lit("error")).alias("status"), F.lit(None).cast("int").alias("percent"), F.lit(False).alias("is_success"), F.lit(True).alias("is_error"))

@@ -6,13 +6,13 @@ done by the DataFrame operators.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.json_tree import clean, dump, load
 from ..functions.restorer import Restorer
 from ..options import Options
 from ..session import send_package
@@ -36,11 +36,11 @@ def _block_slots(blocks: list, path: tuple) -> Iterator[tuple[tuple, str]]:
 
 
 def request_slots(body: str | None) -> list[tuple[tuple, str]]:
-    """The texts of a request in document order, with their paths: the system prompt, messages and the text blocks in them."""
-    try:
-        root = json.loads(body or "")
-    except ValueError:
-        return []
+    """The texts of a request in document order, with their paths: the system prompt, messages and the text blocks in them.
+
+    What is no JSON object, or nested too deeply to be read, has none.
+    """
+    root = load(body)
     if not isinstance(root, dict):
         return []
     out = []
@@ -54,25 +54,25 @@ def request_slots(body: str | None) -> list[tuple[tuple, str]]:
             out.append((path, value))
         elif isinstance(value, list):
             out += _block_slots(value, path)
-    return out
+    return [(path, clean(text)) for path, text in out]
 
 
 def fill_slots(body: str, texts: list[str]) -> str:
     """The request with its texts replaced, in the order of ``request_slots``."""
-    root = json.loads(body)
+    root = load(body)
     for (path, _), text in zip(request_slots(body), texts, strict=True):
         node = root
         for step in path[:-1]:
             node = node[step]
         node[path[-1]] = text
-    return json.dumps(root, ensure_ascii=False, separators=(",", ":"))
+    return dump(root)
 
 
 def restore_values(body: str, restorer: Restorer) -> str:
-    """A response with every string value restored, at any depth; keys stay.  What is not JSON is restored as text."""
-    try:
-        root = json.loads(body)
-    except ValueError:
+    """A response with every string value restored, at any depth; keys stay.  What is not JSON, or nested too deeply to be
+    read, is restored as text."""
+    root = load(body)
+    if root is None:
         return restorer(body)
 
     def walk(node: object) -> object:
@@ -82,7 +82,10 @@ def restore_values(body: str, restorer: Restorer) -> str:
             return [walk(x) for x in node]
         return {k: walk(v) for k, v in node.items()} if isinstance(node, dict) else node
 
-    return json.dumps(walk(root), ensure_ascii=False, separators=(",", ":"))
+    try:
+        return dump(walk(root))
+    except RecursionError:
+        return restorer(body)
 
 
 def extract_slots(requests: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 A value is identified by its category and normal form.  Values are numbered per scope and category in the order
 of their first appearance ``(ord, start)``.  Only distinct values are numbered.  The order is cut into ``SLICES`` ranges of
-``ord``, each numbered by itself from the count before it, so that a scope as large as the corpus is no single task's work.
+``ord`` with about as many values, each numbered by itself from the count before it, so that a scope as large as the corpus is no single task's work.
 """
 
 from __future__ import annotations
@@ -11,15 +11,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..categories import placeholder
-from ..functions.text import normalize
+from ..functions.text import bound, normalize
 
 SLICES = 256
 
 
 def seed_numbers(seed: DataFrame) -> DataFrame:
-    """The largest number per scope and category among existing placeholders, whatever their label."""
+    """The largest number per scope and category among existing placeholders, whatever their label.
+
+    A number that is no long is none that numbering could reach; it is left out.
+    """
     number = F.regexp_extract("placeholder", r"_(\d+)\]\s*$", 1)
-    return seed.where(number != "").groupBy("scope_id", "category").agg(F.max(number.cast("int")).alias("largest"))
+    return seed.where(number != "").groupBy("scope_id", "category").agg(F.max(number.try_cast("long")).alias("largest"))
 
 
 def first_appearances(spans: DataFrame) -> DataFrame:
@@ -31,9 +34,9 @@ def first_appearances(spans: DataFrame) -> DataFrame:
 
 def number_values(values: DataFrame, slices: int = SLICES) -> DataFrame:
     """Adds ``number``: 1, 2, ... per scope and category by ``(ord, start)``."""
-    reach = values.agg(F.min("ord").alias("low"), F.max("ord").alias("high")).first()
-    low, width = reach["low"] or 0, ((reach["high"] or 0) - (reach["low"] or 0)) // slices + 1
-    sliced = values.withColumn("slice", F.floor((F.col("ord") - low) / width))
+    cuts = values.agg(F.percentile_approx("ord", F.array(*(F.lit(i / slices) for i in range(1, slices))), 20 * slices).alias("c")).first()["c"] if slices > 1 else None
+    cut = F.array(*map(F.lit, sorted(set(cuts or ())))).cast(f"array<{values.schema['ord'].dataType.simpleString()}>")
+    sliced = values.withColumn("slice", F.size(F.filter(cut, lambda c: c < F.col("ord"))))
     counts = sliced.groupBy("scope_id", "category", "slice").count()
     before = F.coalesce(F.sum("count").over(Window.partitionBy("scope_id", "category").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select("scope_id", "category", "slice", before.alias("offset"))
@@ -60,16 +63,39 @@ def build_mapping(spans: DataFrame, language: str = "de", seed: DataFrame | None
     return new.unionByName(joined.where("placeholder is not null"))
 
 
+def value_key(span: Column) -> Column:
+    return F.struct(span["category"].alias("category"), normalize(span["original"]).alias("norm"))
+
+
 def row_mapping(spans: Column, language: str = "de") -> Column:
-    """The mapping of one row's accepted spans (its own scope), by first appearance, without a shuffle."""
-    keys = F.array_distinct(F.transform(spans, lambda s: F.struct(s["category"].alias("category"), normalize(s["original"]).alias("norm"))))
-    firsts = F.transform(keys, lambda k: F.struct(k["category"], k["norm"], F.filter(spans, lambda s: (s["category"] == k["category"]) & (normalize(s["original"]) == k["norm"]))[0]["original"].alias("original")))
+    """The mapping of one row's accepted spans (its own scope), without a shuffle: by category, then first appearance.
+
+    ``array<struct<placeholder, original, category, norm, first>>``; ``first`` is the place of the value's first span.
+    """
+
+    def of(keys: Column) -> Column:
+        def numbered(category: Column, places: Column) -> Column:
+            own = F.filter(places, lambda p: F.get(keys, p)["category"] == category)
+            return F.transform(own, lambda p, i: F.struct(placeholder(category, i + 1, language).alias("placeholder"), F.get(spans, p)["original"].alias("original"), category.alias("category"), F.get(keys, p)["norm"].alias("norm"), p.alias("first")))
+
+        categories = F.array_distinct(F.transform(keys, lambda k: k["category"]))
+        # the first place of every different key: keys with their places, sorted, where the key changes
+        placed = F.array_sort(F.transform(keys, lambda k, i: F.struct(k["category"].alias("category"), k["norm"].alias("norm"), i.alias("place"))))
+        firsts = bound(placed, lambda a: F.array_sort(F.transform(F.filter(a, lambda x, i: (i == 0) | ~_same_key(x, F.get(a, i - 1))), lambda x: x["place"])))
+        return bound(firsts, lambda places: F.flatten(F.transform(categories, lambda c: numbered(c, places))))
+
+    return bound(F.transform(spans, value_key), of)
+
+
+def _same_key(a: Column, b: Column) -> Column:
+    return (a["category"] == b["category"]) & (a["norm"] == b["norm"])
 
-    def entry(k: Column, i: Column) -> Column:
-        number = F.size(F.filter(F.slice(keys, F.lit(1), i + 1), lambda o: o["category"] == k["category"]))
-        return F.struct(placeholder(k["category"], number, language).alias("placeholder"), k["original"].alias("original"), k["category"].alias("category"), k["norm"].alias("norm"))
 
-    return F.transform(firsts, entry)
+def row_labels(spans: Column, mapping: Column) -> Column:
+    """The placeholder of every span of a row, by its mapping."""
+    keys = F.transform(mapping, lambda m: F.concat_ws("\u0001", m["category"], m["norm"]))
+    lookup = F.map_from_arrays(keys, F.transform(mapping, lambda m: m["placeholder"]))
+    return bound(lookup, lambda known: F.transform(spans, lambda s: F.try_element_at(known, F.concat_ws("\u0001", s["category"], normalize(s["original"])))))
 
 
 def merge_mappings(old: DataFrame, new: DataFrame) -> DataFrame:

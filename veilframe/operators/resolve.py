@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize
+from ..functions.text import bound, normalize
 from .detectors import CANDIDATES
 
 
@@ -24,12 +24,31 @@ def without_allowed_table(spans: DataFrame, allowed: DataFrame, value: str = "va
 
 
 def resolve_overlaps(candidates: Column) -> Column:
-    """Greedy selection by priority, then length, then start, then order of detection; returned by start."""
-    ranked = F.array_sort(F.transform(candidates, lambda c: F.struct(c["priority"], (-c["len"]).alias("neg"), c["start"], c["seq"], c["len"], c["original"], c["category"])))
+    """Greedy selection by priority, then length, then start, then order of detection; returned by start.
+
+    Candidates are cut into runs that overlap, one of which the next cannot reach, so only those of a run are compared.
+    """
+
+    def end(c: Column) -> Column:
+        return c["start"] + c["len"]
 
     def take(accepted: Column, c: Column) -> Column:
-        clash = F.exists(accepted, lambda a: (c["start"] < a["start"] + a["len"]) & (a["start"] < c["start"] + c["len"]))
+        clash = F.exists(accepted, lambda a: (c["start"] < end(a)) & (a["start"] < end(c)))
         plain = F.struct(c["start"], c["len"], c["original"], c["category"], c["priority"], c["seq"])
         return F.when(clash, accepted).otherwise(F.concat(accepted, F.array(plain)))
 
-    return F.array_sort(F.aggregate(ranked, F.array().cast(CANDIDATES), take))
+    def chosen(run: Column) -> Column:
+        ranked = F.array_sort(F.transform(run, lambda c: F.struct(c["priority"], (-c["len"]).alias("neg"), c["start"], c["seq"], c["len"], c["original"], c["category"])))
+        return F.when(F.size(run) == 1, run).otherwise(F.array_sort(F.aggregate(ranked, F.array().cast(CANDIDATES), take)))
+
+    def by_runs(ordered: Column) -> Column:
+        def reach(acc: Column, c: Column) -> Column:
+            cuts = F.when(c["start"] >= acc["end"], F.concat(acc["cuts"], F.array(acc["i"]))).otherwise(acc["cuts"])
+            return F.struct(F.greatest(acc["end"], end(c)).alias("end"), (acc["i"] + 1).alias("i"), cuts.alias("cuts"))
+
+        start = F.struct(F.lit(-1).alias("end"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("cuts"))
+        cuts = F.aggregate(ordered, start, reach, lambda acc: acc["cuts"])
+        runs = bound(cuts, lambda at: F.transform(at, lambda b, k: bound(F.slice(ordered, b + 1, F.coalesce(F.get(at, k + 1), F.size(ordered)) - b), chosen)))
+        return F.flatten(runs)
+
+    return bound(F.array_sort(candidates), by_runs)

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from ..categories import category_id
 
 ENTRIES = "array<struct<placeholder:string,original:string,category:string>>"
-#: Larger imports are refused, in bytes.
-IMPORT_LIMIT = 10 << 20
 
 
 def export_json(mapping: DataFrame) -> DataFrame:
@@ -18,17 +16,22 @@ def export_json(mapping: DataFrame) -> DataFrame:
     return rows.select("scope_id", F.to_json(F.transform("e", lambda e: F.struct(e["placeholder"], e["original"], e["category"]))).alias("body"))
 
 
-def entries(body: Column) -> Column:
-    """The usable entries of a mapping file; a malformed one has none, an unknown category is ``term``."""
-    found = F.when(F.octet_length(body) <= IMPORT_LIMIT, F.from_json(body, ENTRIES))
+def entries(body: Column, limit: int | None = None) -> Column:
+    """The usable entries of a mapping file; a malformed one has none, an unknown category is ``term``.
+
+    With a ``limit`` in bytes a larger file is an error; without one files of any size are read.
+    """
+    found = F.from_json(body, ENTRIES)
+    if limit is not None:
+        found = F.when(F.octet_length(body) > limit, F.raise_error(F.lit(f"a mapping file is larger than {limit} bytes"))).otherwise(found)
     usable = F.filter(found, lambda e: e["placeholder"].isNotNull() & (e["placeholder"] != "") & e["original"].isNotNull())
     known = F.transform(usable, lambda e: e.withField("category", F.coalesce(category_id(e["category"]), F.lit("term"))))
     return F.coalesce(known, F.array().cast(ENTRIES))
 
 
-def import_json(files: DataFrame) -> DataFrame:
+def import_json(files: DataFrame, limit: int | None = None) -> DataFrame:
     """``(scope_id, pos, placeholder, original, category)`` of ``files(scope_id, body)``."""
-    rows = files.select("scope_id", F.posexplode(entries(F.col("body"))).alias("pos", "e"))
+    rows = files.select("scope_id", F.posexplode(entries(F.col("body"), limit)).alias("pos", "e"))
     return rows.select("scope_id", "pos", "e.placeholder", "e.original", "e.category")
 
 
@@ -45,3 +48,9 @@ def save(mapping: DataFrame, path: str) -> None:
 
 def load(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a saved mapping; nothing happens where there is none."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

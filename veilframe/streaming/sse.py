@@ -12,8 +12,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..functions.json_tree import dump, load
 from ..functions.restorer import Restorer, json_inner
 from ..operators.restore import mappings_by_scope
+from ..options import Options
 from ..session import send_package
 
 #: Kinds of text in a delta, and the field that holds it.
@@ -62,10 +64,7 @@ class EventRestorer:
         at = next((i for i, line in enumerate(self.lines) if line.startswith("data:")), None)
         event, before = None, ""
         if at is not None:
-            try:
-                event = json.loads(self.lines[at][5:].removeprefix(" ").rstrip("\r"))
-            except ValueError:
-                event = None
+            event = load(self.lines[at][5:].removeprefix(" ").rstrip("\r"))
         lines = list(self.lines)
         if isinstance(event, dict):
             index = event.get("index")
@@ -78,7 +77,7 @@ class EventRestorer:
                 self._delta(event.get("delta"), index)
             elif kind == "content_block_stop":
                 before = "".join(self._flush(name, index) for name in FIELDS)
-            lines[at] = "data: " + json.dumps(event, ensure_ascii=False, separators=(",", ":"))
+            lines[at] = "data: " + dump(event)
         return before + "".join(f"{line}\n" for line in lines)
 
     def _delta(self, delta: object, index: int) -> None:
@@ -94,7 +93,7 @@ class EventRestorer:
         if not kept:
             return ""
         event = {"type": "content_block_delta", "index": index, "delta": {"type": name, FIELDS[name]: self.restore[name](kept)}}
-        return f"event: content_block_delta\ndata: {json.dumps(event, ensure_ascii=False, separators=(',', ':'))}\n\n"
+        return f"event: content_block_delta\ndata: {dump(event)}\n\n"
 
 
 def restore_batch(chunks: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -158,3 +157,17 @@ def latest_mapping(spark, path: str) -> tuple[int, DataFrame | None]:  # noqa: A
         return 0, None
     done = [int(s.getPath().getName().removeprefix("version=")) for s in files.listStatus(root) if files.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
     return (max(done), spark.read.parquet(f"{path}/version={max(done)}")) if done else (0, None)
+
+
+def continue_scopes(batch: DataFrame, path: str, options: Options | None = None) -> DataFrame:
+    """For ``foreachBatch``: replace the values of a micro-batch ``(scope_id, ord, text)`` and keep its numbers.
+
+    Values of earlier batches keep their placeholders, new ones are numbered on from the largest; the mapping's next version
+    is written before the texts ``(scope_id, ord, anonymized_text)`` are returned.  One writer per table.
+    """
+    from ..operators.anonymize import anonymize_scopes
+
+    version, old = latest_mapping(batch.sparkSession, path)
+    texts, mapping = anonymize_scopes(batch, options, seed=old)
+    upsert_mapping(mapping, path)
+    return texts
