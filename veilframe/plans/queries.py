@@ -12,15 +12,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..categories import LABELS
-from ..functions.text import exploded, json_inner, luhn, normalize, settled
+from ..functions.text import bound, exploded, json_inner, luhn, normalize, settled
 from ..operators import audit, findings, gateway, layout, numbering, restore
 from ..operators.anonymize import accepted_spans, anonymize_rows, anonymize_scopes, explode_spans
-from ..operators.detectors import REGISTRY, is_plate, is_town, trim_name, trim_reference, with_candidates
+from ..operators.detectors import REGISTRY, is_plate, is_town, term_candidates, trim_name, trim_reference, with_candidates
 from ..operators.resolve import resolve_overlaps, without_allowed_table
 from ..options import Options
+from ..shared import shared_path
 from ..sources import mapping_files, pdf_files, words
 from ..streaming.sse import restore_batch
 from . import cases
+from .variants import VARIANTS
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -86,6 +88,31 @@ def detect_any_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(exploded(found, "c", "c", "o_orderkey").select("o_orderkey", "c.start", "c.original"))
 
 
+def _sql_text(value: str | None) -> str:
+    return "null" if value is None else "'" + value.replace("'", "''") + "'"
+
+
+VARIANT_SQL = ", ".join(f"({i}, '{d}', {_sql_text(before)}, {_sql_text(value)})" for i, (d, before, value, _) in enumerate(VARIANTS))
+
+
+@query(
+    "detect_variants",
+    f"select o_orderkey, detector, cast(length(before) as bigint) as start, value as original from orders join (values {VARIANT_SQL}) v(i, detector, before, value) on o_orderkey % {len(VARIANTS)} = i where value is not null",
+)
+def detect_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every form of every kind of value in four languages, and what only looks like one."""
+    forms = spark.createDataFrame([(i, d, before + (value or "") + behind) for i, (d, before, value, behind) in enumerate(VARIANTS)], "i long, detector string, text string")
+    texts = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % len(VARIANTS)).alias("i")).join(F.broadcast(forms), "i")
+    names = sorted({d for d, *_ in VARIANTS})
+    for n, name in enumerate(names):
+        texts = with_candidates(texts, "text", REGISTRY[name], f"c{n}")
+    found = F.when(F.lit(False), F.col("c0"))
+    for n, name in enumerate(names):
+        found = found.when(F.col("detector") == name, F.col(f"c{n}"))
+    rows = exploded(texts.select("o_orderkey", "detector", found.alias("found")), "found", "c", "o_orderkey", "detector")
+    return longs(rows.select("o_orderkey", "detector", "c.start", "c.original"))
+
+
 @query(
     "detect_documents",
     r"""
@@ -98,10 +125,12 @@ def detect_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.groupBy("scope_id", "category").agg(F.count("*").alias("n"))
 
 
-@query("custom_terms", "select doc_id as scope_id, cast(len(regexp_extract_all(text, '(?i)thereou')) as bigint) as n from documents where regexp_matches(text, '(?i)thereou')")
+@query("custom_terms", "select doc_id as scope_id, cast(len(regexp_extract_all(text, '(?i)the |hen')) as bigint) as n from documents where regexp_matches(text, '(?i)the |hen')")
 def custom_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = explode_spans(accepted_spans(documents(spark, sf_dir), Options.only("custom", custom_terms=("thereou", "  "))))
-    return spans.groupBy("scope_id").agg(F.count("*").alias("n"))
+    """A thousand terms, of which two occur; they cannot overlap each other."""
+    terms = ("the ", "  ", "HEN", *(f"absent{i}" for i in range(1000)))
+    found = documents(spark, sf_dir).withColumn("spans", resolve_overlaps(F.coalesce(term_candidates(F.col("text"), tuple(t for t in terms if t.strip())), F.array().cast(findings.CANDIDATES))))
+    return explode_spans(found).groupBy("scope_id").agg(F.count("*").alias("n"))
 
 
 # --- predicates and trims
@@ -174,20 +203,22 @@ def overlap_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "overlap_pairs",
     """
-    with c as (select l_orderkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_quantity, l_suppkey) as seq, l_partkey % 60 as start, cast(l_quantity as bigint) % 12 + 1 as len, l_suppkey % 4 as priority from lineitem qualify seq <= 2)
+    with c as (select l_orderkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_quantity, l_suppkey) as seq, l_partkey % 60 as start, cast(l_quantity as bigint) % 12 + 1 as len, l_suppkey % 4 as priority from lineitem)
     select l_orderkey, seq, start, len from c
-    where not exists (select 1 from c b where b.l_orderkey = c.l_orderkey and b.start < c.start + c.len and c.start < b.start + b.len and (b.priority, -b.len, b.start, b.seq) < (c.priority, -c.len, c.start, c.seq))
+    where not exists (select 1 from c b where b.l_orderkey = c.l_orderkey and (b.seq - 1) // 2 = (c.seq - 1) // 2 and b.start < c.start + c.len and c.start < b.start + b.len and (b.priority, -b.len, b.start, b.seq) < (c.priority, -c.len, c.start, c.seq))
     """,
 )
 def overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of two spans one stays unless the other is better and overlaps it."""
+    """All lines, two at a time: a span stays unless the other is better and overlaps it."""
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity", "l_suppkey"))).alias("a"))
 
     def candidate(x: Column, i: Column) -> Column:
         start, length, priority = x["l_partkey"] % 60, x["l_quantity"].cast("int") % 12 + 1, x["l_suppkey"] % 4
         return F.struct(start.cast("int").alias("start"), length.alias("len"), F.lit("x").alias("original"), F.lit("term").alias("category"), priority.cast("int").alias("priority"), (i + 1).cast("int").alias("seq"))
 
-    pairs = lines.withColumn("r", resolve_overlaps(F.transform(F.slice("a", 1, 2), candidate)))
+    firsts = F.sequence(F.lit(1), F.size("a"), F.lit(2))
+    found = F.transform(lines["a"], candidate)
+    pairs = lines.select("l_orderkey", F.explode(bound(found, lambda c: F.transform(firsts, lambda i: resolve_overlaps(F.slice(c, i, F.lit(2)))))).alias("r"))
     return longs(exploded(pairs, "r", "s", "l_orderkey").select("l_orderkey", "s.seq", "s.start", "s.len"))
 
 
@@ -301,7 +332,19 @@ def roundtrip_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("roundtrip_scopes", f"select o_custkey as scope_id, o_orderkey as ord, {cases.text_sql()} as restored from orders")
 def roundtrip_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts, mapping = anonymize_scopes(cases.case_texts(spark, sf_dir))
-    return restore.restore_scopes(texts, mapping, "anonymized_text").select("scope_id", "ord", "restored")
+    return restore.restore_wide(texts, mapping, text="anonymized_text").select("scope_id", "ord", "restored")
+
+
+@query(
+    "restore_escaped",
+    "select o_custkey as scope_id, o_orderkey as ord, concat('{\"a\": \"', substring(cast(to_json(concat('\"', cast(o_custkey as string), '\\ ', chr(10))) as varchar), 2, length(cast(to_json(concat('\"', cast(o_custkey as string), '\\ ', chr(10))) as varchar)) - 2), '\"}') as restored from orders",
+)
+def restore_escaped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Originals inside JSON text: quotes, backslashes and line ends are escaped."""
+    texts = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("scope_id"), F.col("o_orderkey").alias("ord"), F.lit('{"a": "[name_1]"}').alias("text"))
+    original = F.concat(F.lit('"'), F.col("o_custkey").cast("string"), F.lit("\\ \n"))
+    mapping = table(spark, sf_dir, "orders").select("o_custkey").distinct().select(F.col("o_custkey").alias("scope_id"), F.lit("[NAME_1]").alias("placeholder"), original.alias("original"))
+    return restore.restore_scopes(texts, mapping, escape_json=True).select("scope_id", "ord", "restored")
 
 
 @query("roundtrip_conversations", "select conv_id as scope_id, turn as ord, coalesce(text, '') as restored from conversations")
@@ -325,13 +368,16 @@ def restore_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- findings
 
 
-@query("findings_located", "select doc_id as scope_id, cast(len(regexp_extract_all(text, case when contains(text, 'The ') then 'The\\b' else '(?i)the\\b' end)) as bigint) as n from documents where false union all select doc_id, cast((length(text) - length(replace(text, 'onre', ''))) / 4 as bigint) from documents where contains(text, 'onre')")
+@query(
+    "findings_located",
+    "select doc_id as scope_id, cast(case when contains(text, 'onre') then (length(text) - length(replace(text, 'onre', ''))) / 4 else len(regexp_extract_all(text, '(?i)onre')) end as bigint) as n from documents where regexp_matches(text, '(?i)onre')",
+)
 def findings_located(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A finding where it stands, or, where it stands nowhere as it is, in any case."""
     texts = documents(spark, sf_dir)
     found = texts.select("scope_id", F.lit(0).alias("seq"), F.lit(" onre ").alias("text"), F.lit("org").alias("category")).unionByName(texts.select("scope_id", F.lit(1).alias("seq"), F.lit("[x]").alias("text"), F.lit("org").alias("category")))
     located = findings.with_findings(texts.withColumn("candidates", F.array().cast(findings.CANDIDATES)), found, Options())
-    exact = located.where(F.contains("text", F.lit("onre")))
-    return exact.select("scope_id", F.size("candidates").cast("long").alias("n"))
+    return located.select("scope_id", F.size("candidates").cast("long").alias("n")).where("n > 0")
 
 
 @query(
@@ -417,6 +463,28 @@ def mapping_export_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(mapping_files.import_json(mapping_files.export_json(rows)))
 
 
+@query(
+    "mapping_replaced",
+    "select o_custkey as scope_id, concat('[NEW_', cast(o_custkey as string), ']') as placeholder from (select distinct o_custkey from orders) where o_custkey % 2 = 0 union all select o_custkey, concat('[OLD_', cast(o_orderkey as string), ']') from orders where o_custkey % 2 <> 0",
+)
+def mapping_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Imports replace their scopes' mappings; empty and broken files change nothing."""
+    old = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("scope_id"), F.concat(F.lit("[OLD_"), F.col("o_orderkey").cast("string"), F.lit("]")).alias("placeholder"), F.lit("x").alias("original"), F.lit("name").alias("category"))
+    body = F.when(F.col("scope_id") % 2 == 0, F.concat(F.lit('[{"placeholder":"[NEW_'), F.col("scope_id").cast("string"), F.lit(']","original":"y","category":"name"}]'))).when(F.col("scope_id") % 3 == 0, "[]").otherwise("{broken")
+    return mapping_files.replace_imported(old, old.select("scope_id").distinct().withColumn("body", body)).select("scope_id", "placeholder")
+
+
+@query("mapping_store", "select o_orderkey as scope_id, concat('[X_', cast(o_orderkey as string), ']') as placeholder from orders")
+def mapping_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saved, deleted, saved again and loaded."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("scope_id"), F.concat(F.lit("[X_"), F.col("o_orderkey").cast("string"), F.lit("]")).alias("placeholder"))
+    path = shared_path(spark, "mapping-store")
+    mapping_files.save(rows.where("scope_id % 2 = 0"), path)
+    mapping_files.delete(spark, path)
+    mapping_files.save(rows, path)
+    return mapping_files.load(spark, path)
+
+
 # --- JSON requests and responses, streams
 
 
@@ -471,6 +539,24 @@ def sse_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("stream_id", F.array_join(F.transform(data, lambda d: F.coalesce(F.get_json_object(d, "$.delta.text"), F.lit(""))), "").alias("text"))
 
 
+@query("sse_json_fragments", "select o_orderkey as stream_id, concat('{\"a\": \"Max \\\"', cast(o_orderkey as string), '\\\"\"}') as fragments from orders")
+def sse_json_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fragments of JSON input: the original is escaped, also where a placeholder is cut in two."""
+    event = F.lit('data: {"type":"content_block_delta","index":1,"delta":{"type":"input_json_delta","partial_json":"%s"}}\n\n')
+    orders = table(spark, sf_dir, "orders")
+    pieces = F.array(*(F.replace(event, F.lit("%s"), F.lit(t)) for t in ('{\\"a\\": \\"[NA', 'ME_1]\\"}')), F.lit('data: {"type":"content_block_stop","index":1}\n\n'))
+    chunks = orders.select(F.col("o_orderkey").alias("stream_id"), F.posexplode(pieces).alias("seq", "chunk"))
+    mapping = orders.select(F.col("o_orderkey").alias("scope_id"), F.lit("[NAME_1]").alias("placeholder"), F.concat(F.lit('Max "'), F.col("o_orderkey").cast("string"), F.lit('"')).alias("original"))
+    out = restore_batch(chunks, mapping)
+    data = F.regexp_extract_all("text", F.lit(r"data: ([^\n]*)"), F.lit(1))
+    return out.select("stream_id", F.array_join(F.transform(data, lambda d: F.coalesce(F.get_json_object(d, "$.delta.partial_json"), F.lit(""))), "").alias("fragments"))
+
+
+@query("request_prompts", "select conv_id as request_id, concat('Mail a@b.ch', chr(10), chr(10), string_agg(coalesce(text, ''), concat(chr(10), chr(10)) order by turn)) as prompt from conversations group by 1")
+def request_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gateway.prompts(gateway.extract_slots(_requests(spark, sf_dir)))
+
+
 # --- layout
 
 #: Words of the pages: a document's first words on a grid of eight a line.
@@ -488,6 +574,14 @@ def ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(layout.with_lines(_page_words(spark, sf_dir)).select("page_id", "word_idx", "text", "line_no"))
 
 
+@query(
+    "page_texts",
+    f"""with l as (select page_id, word_idx // 8 as line_no, string_agg(text, ' ' order by word_idx) as t from ({WORD_ROWS_SQL}) group by 1, 2) select page_id, string_agg(t, chr(10) order by line_no) as text from l group by 1""",
+)
+def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.page_texts(layout.line_texts(layout.with_lines(_page_words(spark, sf_dir))))
+
+
 @query(
     "redaction_boxes",
     f"""
@@ -536,8 +630,11 @@ def pdf_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.pdf_words(items)
 
 
-@query("pdf_files", "select o_custkey as doc_id, count(*) as n_pages, '%PDF-1.4' as head from orders group by 1")
+@query("pdf_files", "select o_custkey as doc_id, count(*) as n_pages, '%PDF-1.4' as head, true as offsets_fit, count(*) as n_images from orders group by 1")
 def pdf_files_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("page_no"), F.encode(F.lit("jpeg"), "utf-8").alias("jpeg"), F.lit(10).alias("width"), F.lit(20).alias("height"))
     pdf = F.decode(F.col("pdf"), "iso-8859-1")
-    return pdf_files.write_pdfs(pages).select("doc_id", F.regexp_extract(pdf, r"/Count (\d+)", 1).cast("long").alias("n_pages"), F.substring(pdf, 1, 8).alias("head"))
+    # every entry of the table of offsets points at the object of its number
+    offsets = F.regexp_extract_all(pdf, F.lit(r"(\d{10}) 00000 n"), F.lit(1))
+    fits = F.forall(F.transform(offsets, lambda o, i: F.substring(pdf, o.cast("int") + 1, F.length((i + 1).cast("string")) + 6) == F.concat((i + 1).cast("string"), F.lit(" 0 obj"))), lambda x: x)
+    return pdf_files.write_pdfs(pages).select("doc_id", F.regexp_extract(pdf, r"/Count (\d+)", 1).cast("long").alias("n_pages"), F.substring(pdf, 1, 8).alias("head"), fits.alias("offsets_fit"), (F.size(F.split(pdf, "/Subtype ?/Image", -1)) - 1).cast("long").alias("n_images"))
