@@ -132,12 +132,24 @@ def test_substring_dedup(spark):
     assert superkmer.remove_repeats(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["string", "int"])
+def test_repeats_with_other_ids(spark, kind):
+    base = " ".join(f"w{i}" for i in range(30))
+    ids = ["b", "a", "ab", None] if kind == "string" else [2, 1, 3, None]
+    rows = [(i, f"{base} own{n}") for n, i in enumerate(ids)]
+    out = superkmer.remove_repeats(spark.createDataFrame(rows, f"doc_id {kind}, text string"), keep_text=True)
+    assert out.schema["doc_id"].dataType.simpleString() == kind
+    got = {r.doc_id: (r.n_removed, r.kept_text) for r in out.collect()}
+    least = min(i for i in ids if i is not None)
+    assert got == {i: (0, t) if i == least else (30, t.split()[-1]) for i, t in rows}
+
+
 def test_hot_minimisers_change_nothing(spark, monkeypatch):
     rng = random.Random(6)
     rows = [(i, " ".join(rng.choice("abcdef") if rng.random() < 0.2 else "hot" for _ in range(50))) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     monkeypatch.setattr(superkmer, "SAMPLE", 1)
-    assert superkmer.hot_minimisers(df, "doc_id", "text", 13, 2)
+    assert superkmer.hot_minimisers(df, "doc_id", "text", 13, 2, 128)
     assert rows_of(superkmer.remove_repeats(df)) == brute_repeats(rows)
 
 

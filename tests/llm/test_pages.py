@@ -1,5 +1,6 @@
 """WARC records, URL filters and media columns."""
 
+import datetime
 import gzip
 import hashlib
 import random
@@ -31,6 +32,30 @@ def test_warc_report(spark):
     assert warc.archive_report(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["string", "smallint", "date"])
+def test_warc_ids_are_kept(spark, kind):
+    ids = {"string": [" b", "a\n1 ", "%0A", "é", None], "smallint": [3, -2, None], "date": [datetime.date(2020, 1, 2), None]}[kind]
+    df = spark.createDataFrame([(i, f"http://x/ {n} ", "same " * 300) for n, i in enumerate(ids)], f"page_id {kind}, url string, html string")
+    out = warc.archive_report(df)
+    assert out.schema["page_id"].dataType == df.schema["page_id"].dataType == out.schema["refers_to"].dataType
+    rows = {r.page_id: r for r in out.collect()}
+    best = max(i for i in ids if i is not None)
+    assert set(rows) == set(ids) and {r.refers_to for i, r in rows.items() if i != best} == {best} and rows[best].record_type == "response"
+
+
+def test_written_chunks_carry_running_digests(spark):
+    df = spark.createDataFrame([(5, "u", BIG), (6, "u", None)], "page_id long, url string, html string").coalesce(1)
+    rows = sorted(warc.payload_chunks(df, "page_id", "url", "html", 1000).collect(), key=lambda r: (r.page_id, r.chunk_no))
+    so_far, n = hashlib.sha1(), 0
+    for r in rows[:-1]:
+        part = zlib.decompress(r.data)
+        so_far.update(part)
+        n += len(part)
+        assert (r.bytes_so_far, r.sha1_so_far) == (n, so_far.hexdigest()) and len(part) <= 1000
+    assert n == len(BIG.encode()) == rows[0].payload_bytes and rows[-2].sha1_so_far == rows[0].digest
+    assert (rows[-1].page_id, rows[-1].bytes_so_far, rows[-1].sha1_so_far) == (6, 0, hashlib.sha1().hexdigest())
+
+
 def test_warc_chunks(spark, tmp_path):
     df = spark.createDataFrame(PAGES[:2], "page_id long, url string, html string").coalesce(1)
     manifest = warc.write_archives(df, f"file://{tmp_path}/w", chunk=50_000)

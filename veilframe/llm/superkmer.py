@@ -31,9 +31,10 @@ from .common import bounded, map_arrow, materialize
 WINDOW = 13
 MER = 2
 BUCKETS_PER_PARTITION = 32
-#: Documents sampled to find hot minimisers (one in SAMPLE), and the share that makes one hot (one in HOT).
-SAMPLE, HOT = 32, 1000
-#: Bytes of packed strings that a task gathers before it sends bundles, and that a bucket compares at once.
+#: Documents sampled to find hot minimisers (one in SAMPLE); one is hot with more than one in HOT of all super-k-mers, or
+#: more than CROWD times the mean of a bucket.
+SAMPLE, HOT, CROWD = 32, 1000, 4
+#: Bytes of packed strings that a task gathers before it sends bundles.
 GATHER = 48 << 20
 #: Words whose hashes a worker keeps.
 WORD_CACHE = 500_000
@@ -222,22 +223,23 @@ def _sample_counts(df: DataFrame, window: int, mer: int) -> DataFrame:
     return map_arrow(df, count, "m long, n long").groupBy("m").agg(F.sum("n").alias("n"))
 
 
-def hot_minimisers(df: DataFrame, id_col: str, text_col: str, window: int, mer: int) -> frozenset[int]:
-    """Minimisers of more than one in ``HOT`` super-k-mers of every ``SAMPLE``-th document: fewer than ``HOT``.
+def hot_minimisers(df: DataFrame, id_col: str, text_col: str, window: int, mer: int, buckets: int) -> frozenset[int]:
+    """Frequent minimisers of every ``SAMPLE``-th document: fewer than ``HOT``, or than a ``CROWD``-th of the buckets.
 
-    They only change which way windows travel, never a result.
+    A bucket without them holds a few times the mean at most, however large the corpus.  They only change which way windows
+    travel, never a result.
     """
     sample = df.where(F.pmod(F.xxhash64(id_col), F.lit(SAMPLE)) == 0).select(df[text_col].alias("t"))
     counts = materialize(_sample_counts(sample, window, mer), "minimisers")
     total = counts.agg(F.sum("n")).first()[0] or 0
-    return frozenset(r[0] & (1 << 64) - 1 for r in counts.where(F.col("n") > max(8, total // HOT)).select("m").collect())
+    return frozenset(r[0] & (1 << 64) - 1 for r in counts.where(F.col("n") > max(8, min(total // HOT, CROWD * total // buckets))).select("m").collect())
 
 
 def repeated_windows(df: DataFrame, id_col: str, text_col: str, window: int = WINDOW, mer: int = MER) -> DataFrame:
     """``(doc, tag, first, number)``: runs of windows, by document and tag of its text, that also start in a document of smaller id."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = parts * BUCKETS_PER_PARTITION
-    hot = hot_minimisers(df, id_col, text_col, window, mer)
+    hot = hot_minimisers(df, id_col, text_col, window, mer, buckets)
 
     def bundle(found: Bundles) -> pa.RecordBatch:
         rows = list(found.batches())
@@ -302,8 +304,15 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Null, empty and shorter texts have no window and stay whole.  A null id compares as the largest, rows of equal id
     are not repeats of one another.  Further columns are ignored, so their names cannot clash.  An empty table
-    gives an empty table.
+    gives an empty table.  Ids of other than integer types are compared in Spark's order, by their ranks.
     """
+    kind = df.schema[id_col].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        ids = df.select(df[id_col].alias("id")).where("id is not null").distinct()
+        ranks = materialize(ids.repartitionByRange("id").sortWithinPartitions("id").select("id", F.monotonically_increasing_id().alias("rank")), "ranks")
+        ranked = df.select(df[id_col].alias("id"), df[text_col].alias("t")).join(ranks, "id", "left").select("rank", "t")
+        out = remove_repeats(ranked, "rank", "t", window, mer, keep_text)
+        return out.join(ranks, "rank", "left").select(F.col("id").alias(id_col), *out.columns[1:])
     found = repeated_windows(df, id_col, text_col, window, mer)
     per_row = found.groupBy("doc", "tag").agg(F.collect_list(F.struct("first", "number")).alias("runs"))
 
@@ -335,4 +344,4 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = map_arrow(df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("t")), whole, "id long, doc long, tag long, data binary")
     joined = texts.join(per_row, ["doc", "tag"], "left").select("id", "data", "runs")
     out = map_arrow(joined, cut, "id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text)
-    return out.withColumnRenamed("id", id_col)
+    return out.select(F.col("id").cast(kind).alias(id_col), *out.columns[1:])

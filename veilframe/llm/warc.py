@@ -1,8 +1,8 @@
 """WARC archives as chunked record tables.
 
-A payload is never held as one value beside its source row: it travels as rows (record identifier, chunk number, chunk,
-SHA-1 and length so far), is written to an archive chunk by chunk and is read back the same way.  The last chunk row of a
-record carries the digest of the whole payload.
+A payload is never copied as a whole: chunks are views of the source batch's memory.  It travels as rows (record identifier,
+chunk number, compressed chunk, SHA-1 and length so far), is written to an archive chunk by chunk and is read back the
+same way.  The last chunk row of a record carries the digest of the whole payload.
 
 Archives are written by Python tasks through ``pyarrow.fs`` to a folder that driver and executors share (any file
 system that pyarrow knows by URI).  A task writes to a name of its own and then renames, so a lost or
@@ -15,6 +15,7 @@ import base64
 import hashlib
 import uuid
 import zlib
+from urllib.parse import quote, unquote
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,13 +25,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, shared_path
+from .common import map_arrow, materialize, shared_path, spread_join
 
 #: Bytes of a payload chunk, and bytes that are read from an archive at once.
 CHUNK = 64 << 10
 #: Smaller payloads are always stored in full.
 LEAST_REVISIT = 1000
-SALTS = 8
 #: What ends a record.
 END = b"\r\n\r\n"
 #: Longest block of header lines.
@@ -39,6 +39,16 @@ MAX_HEADER = 1 << 20
 CHUNK_SCHEMA = "record_id string, page_id {kind}, url string, record_type string, refers_to {kind}, chunk_no long, data binary, bytes_so_far long, sha1_so_far string, payload_bytes long, payload_digest string, last boolean"
 
 
+def id_kind(kind: str) -> str:
+    """Ids travel as longs or as strings."""
+    return "bigint" if kind in ("tinyint", "smallint", "int", "bigint") else "string"
+
+
+def payload_view(value: pa.Scalar) -> memoryview:
+    """A text's UTF-8 bytes where they are; nothing is copied."""
+    return memoryview(value.as_buffer()) if value.is_valid else memoryview(b"")
+
+
 def identifier(page_id: object, digest: str) -> str:
     return hashlib.md5(f"{'' if page_id is None else page_id}:{digest}".encode()).hexdigest()
 
@@ -47,44 +57,50 @@ def roles(digests: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     """``(record_id, record_type, refers_to)`` for the distinct records of ``digests(page_id, digest, size)``.
 
     Of records with equal payloads of at least ``least`` bytes the one with the largest id is the response.  Groups
-    of copies are combined before they meet and split over salts when they are looked up.  Records without id
+    of copies are combined before they meet, and a large group is split when it is looked up.  Records without id
     are never referred to.
     """
     rows = digests.select("page_id", "digest", "size").distinct()
     groups = rows.where(F.col("size") >= least).groupBy("digest", "size").agg(F.max("page_id").alias("largest"), F.count("*").alias("n")).where("n > 1").drop("n")
-    groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    found = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS))).join(groups, ["digest", "size", "salt"], "left")
+    found = spread_join(rows, groups.drop("size"), "digest", "page_id", "left", digests)
     refers = F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("largest")), F.col("largest"))
     key = F.md5(F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.lit("")), "digest"))
     return found.select(key.alias("record_id"), F.when(refers.isNotNull(), "revisit").otherwise("response").alias("record_type"), refers.alias("refers_to"))
 
 
 def payload_chunks(pages: DataFrame, id_col: str, url_col: str, payload_col: str, chunk: int = CHUNK) -> DataFrame:
-    """Compressed chunk rows of every payload (a null payload is one empty chunk)."""
+    """Compressed chunk rows of every payload, each with the length and SHA-1 so far (a null payload is one empty chunk)."""
+    names = ("record_id", "row_id", "page_id", "url", "chunk_no", "data", "bytes_so_far", "sha1_so_far", "payload_bytes", "digest")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("record_id", "row_id", "page_id", "url", "chunk_no", "data", "payload_bytes", "digest")
         source_row = TaskContext.get().partitionId() << 40
         for batch in batches:
             rows: list[list] = [[] for _ in names]
             held = 0
             for page, url, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                payload = memoryview((text.as_py() or "").encode())
-                digest = hashlib.sha1(payload).hexdigest()
+                payload = payload_view(text)
+                starts = range(0, max(1, len(payload)), chunk)
+                # the record's identifier needs the whole digest, so the chunks are read once before they are cut
+                whole, running = hashlib.sha1(), hashlib.sha1()
+                for at in starts:
+                    whole.update(payload[at : at + chunk])
+                digest = whole.hexdigest()
                 record, source_row = identifier(page, digest), source_row + 1
-                for number, at in enumerate(range(0, max(1, len(payload)), chunk)):
-                    data = zlib.compress(payload[at : at + chunk], 1)
+                for number, at in enumerate(starts):
+                    part = payload[at : at + chunk]
+                    running.update(part)
+                    data = zlib.compress(part, 1)
                     held += len(data)
-                    for column, value in zip(rows, (record, source_row, page, url, number, data, len(payload), digest), strict=True):
+                    for column, value in zip(rows, (record, source_row, page, url, number, data, at + len(part), running.hexdigest(), len(payload), digest), strict=True):
                         column.append(value)
                     if held > 8 << 20:
                         yield batch_of(rows, names, batch.column(0).type)
                         rows, held = [[] for _ in names], 0
             yield batch_of(rows, names, batch.column(0).type)
 
-    kind = pages.schema[id_col].dataType.simpleString()
-    source = pages.select(pages[id_col].alias("p"), pages[url_col].alias("u"), pages[payload_col].alias("t"))
-    return map_arrow(source, cut, f"record_id string, row_id long, page_id {kind}, url string, chunk_no long, data binary, payload_bytes long, digest string")
+    kind = id_kind(pages.schema[id_col].dataType.simpleString())
+    source = pages.select(pages[id_col].cast(kind).alias("p"), pages[url_col].alias("u"), pages[payload_col].alias("t"))
+    return map_arrow(source, cut, f"record_id string, row_id long, page_id {kind}, url string, chunk_no long, data binary, bytes_so_far long, sha1_so_far string, payload_bytes long, digest string")
 
 
 def batch_of(rows: list[list], names: tuple[str, ...], page_type: pa.DataType) -> pa.RecordBatch:
@@ -104,10 +120,10 @@ def record_head(row: dict, date: str) -> bytes:
     if row["url"] is not None:
         lines.append(f"WARC-Target-URI: {_one_line(row['url'])}")
     if row["page_id"] is not None:
-        lines.append(f"X-Page-Id: {_one_line(row['page_id'])}")
+        lines.append(f"X-Page-Id: {quote(str(row['page_id']), safe='')}")
     lines.append(f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(row['digest'])).decode()}")
     if revisit:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:uuid:{uuid.UUID(identifier(row['refers_to'], row['digest']))}>", f"X-Refers-To-Page-Id: {_one_line(row['refers_to'])}"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:uuid:{uuid.UUID(identifier(row['refers_to'], row['digest']))}>", f"X-Refers-To-Page-Id: {quote(str(row['refers_to']), safe='')}"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(http) + (0 if revisit else row['payload_bytes'])}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + http
 
@@ -116,12 +132,14 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     """Write a WARC record per row of ``pages``; returns the manifest ``(path, n_records, n_bytes)``, a written table.
 
     A null payload is empty, a null url or id is left out of the record's headers.  Rows that are equal in id and payload
-    are one record each, of the same type.
+    are one record each, of the same type.  Ids are longs (any integer type) or strings (any other), which are written
+    percent-encoded; of a url's characters those that no header line can hold are.
     """
     payload = F.coalesce(pages[payload_col], F.lit(""))
-    digests = materialize(pages.select(pages[id_col].alias("page_id"), F.sha1(payload.cast("binary")).alias("digest"), F.octet_length(payload).cast("long").alias("size")), "digests")
+    kind = id_kind(pages.schema[id_col].dataType.simpleString())
+    digests = materialize(pages.select(pages[id_col].cast(kind).alias("page_id"), F.sha1(payload.cast("binary")).alias("digest"), F.octet_length(payload).cast("long").alias("size")), "digests")
     rows = payload_chunks(pages, id_col, url_col, payload_col, chunk).join(roles(digests, least), "record_id").where("record_type = 'response' or chunk_no = 0")
-    columns = ("record_id", "row_id", "page_id", "url", "chunk_no", "data", "payload_bytes", "digest", "record_type", "refers_to")
+    columns = ("record_id", "row_id", "page_id", "url", "chunk_no", "data", "bytes_so_far", "sha1_so_far", "payload_bytes", "digest", "record_type", "refers_to")
     rows = rows.select(*columns).sortWithinPartitions("record_id", "row_id", "chunk_no")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +148,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
         store.create_dir(root, recursive=True)
         final = f"{root}/part-{task.partitionId():05d}.warc.gz"
         own = f"{root}/.{task.partitionId():05d}-{task.taskAttemptId()}.tmp"
-        n, now, squeeze = 0, None, None
+        n, now, squeeze, number = 0, None, None, 0
         with store.open_output_stream(own, compression=None) as out:
             for row in rows_of(batches):
                 if now != (row["record_id"], row["row_id"]):
@@ -138,6 +156,10 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
                         out.write(squeeze.compress(END) + squeeze.flush())
                     now, squeeze, n = (row["record_id"], row["row_id"]), zlib.compressobj(6, wbits=31), n + 1
                     out.write(squeeze.compress(record_head(row, date)))
+                    number = 0
+                if row["chunk_no"] != number or (row["bytes_so_far"] == row["payload_bytes"]) != (row["sha1_so_far"] == row["digest"]):
+                    raise ValueError(f"chunk {number} of record {row['record_id']} is missing or damaged")
+                number += 1
                 if row["record_type"] == "response":
                     out.write(squeeze.compress(zlib.decompress(row["data"])))
             if squeeze:
@@ -201,7 +223,7 @@ def read_records(source: Iterator[bytes], chunk: int = CHUNK) -> Iterator[tuple[
         return lines
 
     def fields(lines: list[bytes]) -> dict[str, str]:
-        return {k.strip().lower(): v.strip() for k, _, v in (line.decode().partition(":") for line in lines[1:])}
+        return {k.strip().lower(): v.removeprefix(" ") for k, _, v in (line.decode().partition(":") for line in lines[1:])}
 
     while (lines := head_lines()) is not None:
         if not lines[0].startswith(b"WARC/"):
@@ -216,7 +238,8 @@ def read_records(source: Iterator[bytes], chunk: int = CHUNK) -> Iterator[tuple[
             buffer += more
             http_size, http = _http_head(buffer)
         buffer, left = buffer[http_size:], left - http_size
-        head = Head(warc["warc-record-id"][10:-1].replace("-", ""), warc.get("x-page-id"), warc.get("warc-target-uri"), warc["warc-type"], warc.get("x-refers-to-page-id"), base64.b32decode(warc["warc-payload-digest"][5:]).hex(), int(fields(http)["content-length"]))
+        own, other = (v if v is None else unquote(v) for v in (warc.get("x-page-id"), warc.get("x-refers-to-page-id")))
+        head = Head(warc["warc-record-id"][10:-1].replace("-", ""), own, warc.get("warc-target-uri"), warc["warc-type"], other, base64.b32decode(warc["warc-payload-digest"][5:]).hex(), int(fields(http)["content-length"]))
         sha, n, number = hashlib.sha1(), 0, 0
         while True:
             while len(buffer) < min(left, chunk):
@@ -249,7 +272,7 @@ def read_chunks(manifest: DataFrame, folder: str, kind: str = "bigint", with_dat
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = fs.FileSystem.from_uri(folder)
         names = ("record_id", "page_id", "url", "record_type", "refers_to", "chunk_no", "data", "bytes_so_far", "sha1_so_far", "payload_bytes", "payload_digest", "last")
-        page_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
+        page_type = pa.int64() if kind == "bigint" else pa.string()
 
         def id_of(value: str | None) -> object:
             return value if value is None or pa.types.is_string(page_type) else int(value)
@@ -281,9 +304,12 @@ def archive_report(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
 
     One row per page: the id column, ``payload_bytes``, ``payload_digest`` (lower-case hexadecimal SHA-1), both of
     the full payload, ``record_type`` and ``refers_to``.
+
+    Null payloads are empty.  Rows without id are never referred to; repeated rows are records of their own, of the same
+    type.  Further columns are ignored, so their names cannot clash.  An empty table gives an empty table.
     """
     folder = shared_path(pages.sparkSession, "warc")
     manifest = write_archives(pages, folder, id_col, url_col, payload_col)
     kind = pages.schema[id_col].dataType.simpleString()
-    rows = read_chunks(manifest, folder, kind, with_data=False).where("last")
-    return rows.select(F.col("page_id").alias(id_col), "payload_bytes", "payload_digest", "record_type", "refers_to")
+    rows = read_chunks(manifest, folder, id_kind(kind), with_data=False).where("last")
+    return rows.select(F.col("page_id").cast(kind).alias(id_col), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
