@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,6 +134,60 @@ def test_blocks_equal_one_piece(monkeypatch):
     assert len(parts) > 5 and np.allclose(np.concatenate(parts)[: len(whole)], whole, atol=1e-3) and sum(map(len, parts)) == len(whole)
 
 
+def test_features_equal_plain_sums():
+    """Resampling, spectrum, bands and segments against their definitions."""
+    rng = np.random.default_rng(7)
+    samples = np.clip(128 + rng.standard_normal(3000) * np.repeat([2, 60, 10, 1, 50], 600), 0, 255).astype(np.uint8)
+    features = media.Features()
+    x = samples.astype(float) / 128 - 1
+    taps = media.polyphase_filters()[:, ::-1].T.ravel()
+    up = np.zeros(len(x) * media.UP)
+    up[:: media.UP] = x
+    low = [sum(taps[k] * up[n * media.DOWN - k] for k in range(len(taps)) if n * media.DOWN >= k) for n in range(len(x) * media.UP // media.DOWN)]
+    n = -(-(len(low) - media.FRAME + media.HOP) // media.HOP)
+    low = np.concatenate((low, np.zeros(n * media.HOP + media.FRAME - len(low))))
+    wave = np.exp(-2j * np.pi * np.outer(np.arange(media.FRAME // 2 + 1), np.arange(media.FRAME)) / media.FRAME)
+    power = np.stack([np.abs(wave @ (low[i * media.HOP :][: media.FRAME] * np.hanning(media.FRAME))) ** 2 / media.FRAME for i in range(n)])
+    edges = 700 * (10 ** (np.linspace(0, 2595 * np.log10(1 + 4000 / 700), media.MELS + 2) / 2595) - 1)
+    bands = np.zeros((n, media.MELS))
+    for b in range(media.MELS):
+        for k in range(media.FRAME // 2 + 1):
+            hz = k * 8000 / media.FRAME
+            rise, fall = (hz - edges[b]) / (edges[b + 1] - edges[b]), (edges[b + 2] - hz) / (edges[b + 2] - edges[b + 1])
+            bands[:, b] += power[:, k] * max(0, min(rise, fall))
+    got = np.concatenate(list(features.blocks(memoryview(samples.tobytes()))))
+    assert np.allclose(got, 10 * np.log10(bands + 1e-10), atol=0.02)
+    energy, on, runs = media.frame_energy(got), False, []
+    for i, e in enumerate(energy):
+        was, on = on, e >= media.UPPER or (on and e >= media.LOWER)
+        if on and not was:
+            runs.append([i, i])
+        if on:
+            runs[-1][1] = i + 1
+    assert features.segments(energy) == list(map(tuple, runs)) and len(runs) > 1
+
+
+def test_stored_tensors_and_features(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    level = np.repeat(rng.choice([1, 8, 60], 40), 1000)
+    samples = np.clip(128 + rng.standard_normal(len(level)) * level, 0, 255).astype(np.uint8).tobytes()
+    stored = spark.createDataFrame([(4, 1, 2, media.to_wav(samples)), (5, 1, 2, media.to_wav(bytes(64)))], "uid long, id long, n_bytes long, media binary").coalesce(1)
+    recordings = media.store_features(stored, f"file://{tmp_path}/t")
+    table = pq.read_table(str(tmp_path / "t" / recordings.first().file))
+    assert table.schema.field("tensor").type == media.TENSOR and table.column("window_no").to_pylist()[-1] == 0
+    features = media.Features()
+    whole = np.concatenate(list(features.blocks(memoryview(samples))))
+    tensors = np.concatenate([c.to_numpy_ndarray() for c in table.column("tensor").chunks])[:-1].reshape(-1, media.MELS)
+    assert np.abs(tensors[: len(whole)] - np.maximum(whole, media.FLOOR)).max() <= 0.5 / media.STEPS + 1e-4 and (tensors[len(whole) :] == media.FLOOR).all()
+    segments = features.segments(media.frame_energy(whole))
+    means = tensors[: len(whole)].astype(float).reshape(len(whole), 8, -1).mean(axis=(0, 2))
+    found = dict(map(tuple, media.summaries(recordings, f"file://{tmp_path}/t").collect()))
+    parts = dict(p.split("=") for p in found[4].split(";"))
+    assert int(parts["frames"]) == len(whole) and int(parts["segments"]) == len(segments) > 1
+    assert abs(float(parts["active"]) - sum(b - a for a, b in segments) / len(whole)) < 6e-4
+    assert np.allclose([float(x) for x in parts["mel"].split(",")], means, atol=0.06)
+
+
 def test_resampling_keeps_a_tone():
     n = np.arange(6000)
     out = media.resample(np.sin(2 * np.pi * 440 * n / 12000).astype(np.float32), media.polyphase_filters())

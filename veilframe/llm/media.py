@@ -4,8 +4,8 @@ A waveform is resampled by a polyphase filter (``UP`` output samples for every `
 overlapping frames, turned into log-mel energies and segmented by energy with hysteresis: a segment begins above
 the upper threshold and lasts until the energy falls below the lower one.
 
-Frames are gathered into tensors of ``FRAMES`` x ``MELS`` (fixed-shape Arrow tensors, see ``as_tensors``) with
-their time spans.  A recording is processed in blocks of fixed length from its start, so equal recordings have equal
+Frames are gathered into tensors of ``FRAMES`` x ``MELS`` with their time spans, in steps of 1/8 dB, and stored as
+fixed-shape Arrow tensors in Parquet files (``store_features``).  A recording is processed in blocks of fixed length from its start, so equal recordings have equal
 features whatever else is in the batch, and memory does not grow with a recording.
 """
 
@@ -15,13 +15,17 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize
+from .common import map_arrow, materialize, shared_path
 
 #: Samples a second of the stored form, and the resampling ratio: 12 kHz to 8 kHz.
 RATE, UP, DOWN = 12_000, 2, 3
@@ -33,6 +37,10 @@ BLOCK = 4096
 #: Energy (dB of full scale) that begins a segment, and that ends it.
 UPPER, LOWER = -18.0, -24.0
 UNIT = 64
+#: Steps of a decibel in stored tensors, and what frames that are not there hold.
+STEPS, FLOOR = 8, -100.0
+#: Windows written at once.
+WRITTEN = 512
 HEADER = struct.Struct("<4sI4s4sIHHIIHH4sI")
 
 
@@ -136,17 +144,7 @@ class Features:
         edges = np.flatnonzero(np.diff(np.concatenate(([False], active, [False])).astype(np.int8)))
         return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
-    def summary(self, samples: memoryview) -> str:
-        """Frames, mean energy of eight band groups (dB), number of segments and their share of frames."""
-        total, n, energy = np.zeros(MELS), 0, []
-        for block in self.blocks(samples):
-            total += block.sum(axis=0, dtype=np.float64)
-            n += len(block)
-            energy.append(frame_energy(block))
-        segments = self.segments(np.concatenate(energy))
-        bands = (total / n).reshape(8, -1).mean(axis=1)
-        active = sum(b - a for a, b in segments)
-        return f"frames={n};mel={','.join(f'{v:.1f}' for v in bands)};segments={len(segments)};active={active / n:.3f}"
+
 
 
 def store_text_as_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,6 +170,36 @@ def windows(blocks: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
         yield rest
 
 
+@dataclass(frozen=True)
+class Window:
+    number: int
+    start_s: float
+    end_s: float
+    frames: int
+    tensor: np.ndarray
+    #: spans of segments in seconds; ``continues`` if the first began in the window before
+    active: list[dict[str, float]]
+    continues: bool
+
+
+def windows_of(features: Features, samples: memoryview) -> Iterator[Window]:
+    """A recording's windows; hysteresis goes on over their borders."""
+    step, on = HOP / features.rate, False
+    for number, part in enumerate(windows(features.blocks(samples))):
+        first, n = number * FRAMES, len(part)
+        found = features.segments(frame_energy(part), on)
+        continues = on and bool(found) and found[0][0] == 0
+        on = bool(found) and found[-1][1] == n
+        tensor = np.full((FRAMES, MELS), FLOOR, np.float32)
+        tensor[:n] = np.maximum(np.round(part * STEPS) / STEPS, FLOOR)
+        yield Window(number, first * step, (first + n) * step, n, tensor, [{"start_s": (first + a) * step, "end_s": (first + b) * step} for a, b in found], continues)
+
+
+SPANS = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))
+TENSOR = pa.fixed_shape_tensor(pa.float32(), [FRAMES, MELS])
+STORED = pa.schema([("uid", pa.int64()), ("window_no", pa.int64()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("frames", pa.int32()), ("tensor", TENSOR), ("active", SPANS), ("continues", pa.bool_())])
+
+
 def window_features(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
     """A row for every ``FRAMES`` frames: the id, ``window_no``, ``start_s``, ``end_s``, ``tensor`` (``FRAMES * MELS`` floats by
     frame, the last window padded with the floor) and ``active`` (spans in seconds).  A null recording has no rows."""
@@ -183,63 +211,130 @@ def window_features(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
                 if not media.is_valid:
                     continue
                 rate, samples = from_wav(media.as_py())
-                features = Features(rate)
-                step, number, on = HOP / features.rate, 0, False
-                for part in windows(features.blocks(samples)):
-                    first = number * FRAMES
-                    found = features.segments(frame_energy(part), on)
-                    on = bool(found) and found[-1][1] == len(part)
-                    spans = [{"start_s": (first + a) * step, "end_s": (first + b) * step} for a, b in found]
-                    tensor = np.full((FRAMES, MELS), -100.0, np.float32)
-                    tensor[: len(part)] = part
-                    yield pa.RecordBatch.from_pydict(
-                        {
-                            "id": pa.array([id_.as_py()], batch.column(0).type),
-                            "window_no": pa.array([number], pa.int64()),
-                            "start_s": pa.array([first * step]),
-                            "end_s": pa.array([(first + len(part)) * step]),
-                            "tensor": pa.array([tensor.ravel()], pa.list_(pa.float32())),
-                            "active": pa.array([spans], pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))),
-                        }
-                    )
-                    number += 1
+                for w in windows_of(Features(rate), samples):
+                    columns = {"window_no": pa.array([w.number], pa.int64()), "start_s": pa.array([w.start_s]), "end_s": pa.array([w.end_s])}
+                    columns |= {"tensor": pa.array([w.tensor.ravel()], pa.list_(pa.float32())), "active": pa.array([w.active], SPANS)}
+                    yield pa.RecordBatch.from_pydict({"id": pa.array([id_.as_py()], batch.column(0).type)} | columns)
 
     schema = f"id {kind}, window_no long, start_s double, end_s double, tensor array<float>, active array<struct<start_s:double,end_s:double>>"
     return map_arrow(df.select(df[id_col].alias("id"), df[media_col].alias("m")), extract, schema).withColumnRenamed("id", id_col)
 
 
-def as_tensors(column: pa.Array) -> pa.Array:
-    """The ``tensor`` column as Arrow fixed-shape tensors."""
-    flat = pa.FixedSizeListArray.from_arrays(column.flatten(), FRAMES * MELS)
-    return pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float32(), [FRAMES, MELS]), flat)
+class TensorFile:
+    """A task's Parquet file of windows, written a bounded number at a time under a name of its own."""
 
+    def __init__(self, folder: str):
+        self.store, root = fs.FileSystem.from_uri(folder)
+        self.store.create_dir(root, recursive=True)
+        task = TaskContext.get()
+        self.name = f"part-{task.partitionId():05d}-{task.taskAttemptId()}.parquet"
+        self.path, self.rows, self.writer = f"{root}/{self.name}", [], None
 
-def text_media_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Store every whole text as a recording, read the stored bytes back and describe them.
+    def add(self, uid: int, window: Window) -> None:
+        self.rows.append((uid, window))
+        if len(self.rows) >= WRITTEN:
+            self.flush()
+
+    def flush(self) -> None:
+        if self.rows:
+            self.writer = self.writer or pq.ParquetWriter(self.path, STORED, compression="zstd", filesystem=self.store)
+            found = [w for _, w in self.rows]
+            columns = [pa.array([uid for uid, _ in self.rows], pa.int64())]
+            columns += [pa.array([getattr(w, name) for w in found], STORED.field(column).type) for name, column in (("number", "window_no"), ("start_s", "start_s"), ("end_s", "end_s"), ("frames", "frames"))]
+            columns += [pa.FixedShapeTensorArray.from_numpy_ndarray(np.stack([w.tensor for w in found])), pa.array([w.active for w in found], SPANS), pa.array([w.continues for w in found], pa.bool_())]
+            self.writer.write_table(pa.Table.from_arrays(columns, schema=STORED), row_group_size=WRITTEN * 32)
+            self.rows = []
+
+    def close(self) -> None:
+        self.flush()
+        if self.writer:
+            self.writer.close()
 
-    One row per input row: the id column, ``n_bytes``, ``payload_bytes``, ``payload_sha256``, ``tail_crc32`` (of the last 64
-    samples), ``media_bytes``, ``media_sha256``, ``feature``.  The media column is a table in the shared folder.
 
-    Null and empty texts are recordings of 64 zeros.  Null or repeated ids pass through; further columns are ignored.
+def store_features(stored: DataFrame, folder: str) -> DataFrame:
+    """Read the recordings of ``stored(uid, id, n_bytes, media)`` back and write their tensors and spans to ``folder``.
+
+    Returns a table with a row per recording: ``uid``, ``id``, ``n_bytes``, sizes and digests of what was read, and the name of
+    the file that holds its windows.  Only files that it names are of use: others are of attempts that were lost.
     """
-    stored = materialize(store_text_as_media(df, id_col, text_col), "media")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features()
+        file, known = TensorFile(folder), {}
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
-            for value in batch.column(2):
-                media = value.as_py()
-                _, samples = from_wav(media)
+            out: dict[str, list] = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "file")}
+            for uid, value in zip(batch.column(0).to_pylist(), batch.column(3), strict=True):
+                media = memoryview(value.as_buffer())
+                rate, samples = from_wav(media)
                 out["payload_bytes"].append(len(samples))
                 out["payload_sha256"].append(hashlib.sha256(samples).hexdigest())
                 out["tail_crc32"].append(zlib.crc32(samples[-UNIT:]))
                 out["media_bytes"].append(len(media))
                 out["media_sha256"].append(hashlib.sha256(media).hexdigest())
-                out["feature"].append(features.summary(samples))
-            kinds = {k: pa.string() if k in ("payload_sha256", "media_sha256", "feature") else pa.int64() for k in out}
-            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "n_bytes": batch.column(1)} | {k: pa.array(v, kinds[k]) for k, v in out.items()})
+                out["file"].append(file.name)
+                if rate not in known:
+                    known[rate] = Features(rate)
+                for window in windows_of(known[rate], samples):
+                    file.add(uid, window)
+            kinds = {k: pa.int64() if k in ("payload_bytes", "tail_crc32", "media_bytes") else pa.string() for k in out}
+            yield pa.RecordBatch.from_pydict(dict(zip(("uid", "id", "n_bytes"), batch.columns[:3], strict=True)) | {k: pa.array(v, kinds[k]) for k, v in out.items()})
+        file.close()
+
+    kind = stored.schema["id"].dataType.simpleString()
+    schema = f"uid long, id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, file string"
+    return materialize(map_arrow(stored.select("uid", "id", "n_bytes", "media"), describe, schema), "recordings")
+
+
+def summaries(recordings: DataFrame, folder: str, rate: int = RATE) -> DataFrame:
+    """``(uid, feature)`` from the stored tensors and spans: frames, mean energy of eight band groups (dB), number of segments
+    and their share of frames.  All sums are of integers, so equal recordings have equal features."""
+    spark, step = recordings.sparkSession, HOP / (rate * UP // DOWN)
+    files = [f"{folder}/{r.file}" for r in recordings.select("file").distinct().collect()]  # one for each task that wrote
+    schema = "uid long, frames int, tensor array<float>, active array<struct<start_s:double,end_s:double>>, continues boolean"
+    windows = spark.read.schema(schema).parquet(*files) if files else spark.createDataFrame([], schema)
+    bands = [f"b{i}" for i in range(8)]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            frames = batch.column(1).to_numpy().astype(np.int64)
+            tensors = batch.column(2).flatten().to_numpy().reshape(n, FRAMES, MELS)
+            there = np.arange(FRAMES)[None, :] < frames[:, None]
+            sums = (np.round(tensors * STEPS).astype(np.int64) * there[:, :, None]).sum(axis=1).reshape(n, 8, MELS // 8).sum(axis=2)
+            spans = batch.column(3).to_pylist()
+            segments = np.array([len(s) for s in spans], np.int64) - batch.column(4).to_numpy(zero_copy_only=False)
+            active = np.array([sum(round((x["end_s"] - x["start_s"]) / step) for x in s) for s in spans], np.int64)
+            uid = batch.column(0).to_numpy()
+            first = np.flatnonzero(np.concatenate(([True], uid[1:] != uid[:-1])))
+            both = np.add.reduceat(np.concatenate((frames[:, None], segments[:, None], active[:, None], sums), axis=1), first, axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(uid[first]), *(pa.array(c) for c in both.T.copy())], ["uid", "n", "segments", "active", *bands])
+
+    parts = map_arrow(windows.select("uid", "frames", "tensor", "active", "continues"), add, ", ".join(f"{c} long" for c in ("uid", "n", "segments", "active", *bands)))
+    whole = parts.groupBy("uid").agg(*(F.sum(c).alias(c) for c in ("n", "segments", "active", *bands)))
+    means = [F.col(b) / (F.col("n") * (STEPS * MELS // 8)) for b in bands]
+    shape = "frames=%d;mel=" + ",".join(["%.1f"] * 8) + ";segments=%d;active=%.3f"
+    return whole.select("uid", F.format_string(shape, "n", *means, "segments", F.col("active") / F.col("n")).alias("feature"))
 
-    kind = df.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return map_arrow(stored.select("id", "n_bytes", F.col("media")), describe, schema).withColumnRenamed("id", id_col)
+
+def as_tensors(column: pa.Array) -> pa.Array:
+    """The ``tensor`` column as Arrow fixed-shape tensors."""
+    flat = pa.FixedSizeListArray.from_arrays(column.flatten(), FRAMES * MELS)
+    return pa.ExtensionArray.from_storage(TENSOR, flat)
+
+
+def text_media_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Store every whole text as a recording, read the stored bytes back and describe them.
+
+    One row per input row: the id column, ``n_bytes``, ``payload_bytes``, ``payload_sha256``, ``tail_crc32`` (of the last 64
+    samples), ``media_bytes``, ``media_sha256``, ``feature``.  Media, and the tensors that features are read from, are tables
+    in the shared folder.
+
+    Null and empty texts are recordings of 64 zeros.  Null or repeated ids pass through; further columns are ignored, so
+    their names cannot clash.  An empty table gives an empty table.
+    """
+    folder = shared_path(df.sparkSession, "tensors")
+    stored = materialize(store_text_as_media(df, id_col, text_col).withColumn("uid", F.monotonically_increasing_id()), "media")
+    recordings = store_features(stored, folder)
+    joined = recordings.join(summaries(recordings, folder), "uid")
+    return joined.select(F.col("id").alias(id_col), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
