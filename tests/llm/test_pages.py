@@ -102,6 +102,18 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(df.limit(0)).count() == 0
 
 
+def test_rules_of_many_shapes(spark):
+    """Some hundred lengths of paths and numbers of labels: the plan does not grow with them."""
+    rng = random.Random(12)
+    rules = [url_filter.Rule(rng.choice(["allow", "block"]), ".".join(rng.choice("ab") for _ in range(n % 7 + 1)), "/" + "x" * (n // 2)) for n in range(400)]
+    rules = tuple(sorted({r.key: r for r in reversed(rules)}.values(), key=lambda r: r.key))
+    urls = ["http://" + ".".join(rng.choice("ab") for _ in range(rng.randint(1, 9))) + "/" + "x" * rng.randint(0, 210) + rng.choice(["", "/y", "?x"]) for _ in range(200)] + [None]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    for r in url_filter.filter_urls(df, rules).collect():
+        assert (r.host, r.path, r.rule, r.verdict) == brute_verdict(urls[r.page_id], rules), urls[r.page_id]
+    assert {r.verdict for r in url_filter.filter_urls(df, ()).collect()} == {"allow"}
+
+
 def test_cascade_is_exact(spark):
     universe = spark.range(4000).select(F.concat(F.lit("k"), F.col("id")).alias("key"))
     listed = universe.where("cast(substring(key, 2) as int) % 7 = 0")

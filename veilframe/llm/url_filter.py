@@ -13,6 +13,7 @@ subquery.  Level 1 has ``BITS_PER_KEY`` bits a listed key; the later levels shri
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,12 +65,15 @@ def candidate_keys(host: Column, path: Column, rules: tuple[Rule, ...]) -> Colum
 
     Only the shapes (labels of the host, characters of the path) that occur among the rules are made.
     """
-    shapes = sorted({(r.host.count(".") + 1, len(r.path)) for r in rules}, reverse=True)
-    labels = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
-    keys = [F.when((labels >= n) & (F.length(path) >= k), F.concat(F.substring_index(host, ".", -n), F.substring(path, 1, k))) for n, k in shapes]
-    if not keys:
+    shapes = sorted({(r.host.count(".") + 1, len(r.path)) for r in rules})
+    if not shapes:
         return F.array().cast("array<string>")
-    return F.sort_array(F.transform(F.array_compact(F.array(*keys)), lambda k: F.struct(-F.length(k), k.alias("key")))).getField("key")
+    # one literal, so that the plan does not grow with the shapes
+    listed = F.from_json(F.lit(json.dumps([{"n": n, "k": k} for n, k in shapes])), "array<struct<n:int,k:int>>")
+    labels = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+    fitting = F.filter(listed, lambda s: (labels >= s["n"]) & (F.length(path) >= s["k"]))
+    keys = F.transform(fitting, lambda s: F.concat(F.call_function("substring_index", host, F.lit("."), -s["n"]), F.substring(path, F.lit(1), s["k"])))
+    return F.transform(F.array_sort(F.transform(keys, lambda k: F.struct((-F.length(k)).alias("longest"), k.alias("key")))), lambda x: x["key"])
 
 
 def _places(key: Column, bits: int, level: int) -> list[Column]:
@@ -91,8 +95,8 @@ class Level:
     bits: int
     table: DataFrame
 
-    def admits(self, key: Column) -> Column:
-        words = self.table.scalar()
+    def admits(self, key: Column, words: Column | None = None) -> Column:
+        words = self.table.scalar() if words is None else words
         tests = [F.call_function("shiftright", F.get(words, F.shiftright(p, 6).cast("int")), (p % 64).cast("int")).bitwiseAND(F.lit(1)) == 1 for p in _places(key, self.bits, self.number)]
         out = tests[0]
         for test in tests[1:]:
@@ -104,11 +108,15 @@ class Level:
 class Cascade:
     levels: tuple[Level, ...]
 
-    def contains(self, key: Column) -> Column:
+    def words(self) -> Column:
+        """The bits of all levels, an array of longs for each."""
+        return F.array(*(level.table.scalar() for level in self.levels)) if self.levels else F.array().cast("array<array<long>>")
+
+    def contains(self, key: Column, words: Column | None = None) -> Column:
         """True for the universe's listed keys."""
         out = F.lit(len(self.levels) % 2 == 1)
         for level in reversed(self.levels):
-            out = F.when(level.admits(key), out).otherwise(F.lit(level.number % 2 == 0))
+            out = F.when(level.admits(key, None if words is None else F.get(words, F.lit(level.number - 1))), out).otherwise(F.lit(level.number % 2 == 0))
         return out
 
 
@@ -140,7 +148,7 @@ def filter_urls(df: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "p
 
     A null url or one without ``://`` has an empty host and path and fits no rule.  Null and repeated ids pass
     through; further columns are ignored, so their names cannot clash.  A rule listed twice counts once;
-    of rules with one key and different verdicts the first listed counts.
+    of rules with one key and different verdicts the first listed counts, of rules of equal length the one that sorts first.
     """
     spark = df.sparkSession
     first: dict[str, Rule] = {}
@@ -156,18 +164,17 @@ def filter_urls(df: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "p
         listed = spark.createDataFrame([(r.key,) for r in rules if r.verdict == verdict], "key string")
         cascades[verdict] = build_cascade(spark, listed, universe)
 
-    def verdict_of(key: Column) -> Column:
-        out = F.lit(None).cast("string")
-        for verdict, cascade in cascades.items():
-            out = F.when(cascade.contains(key), F.lit(verdict)).otherwise(out)
-        return out
+    def judged(bits: Column) -> Column:
+        def verdict_of(key: Column) -> Column:
+            out = F.lit(None).cast("string")
+            for i, cascade in enumerate(cascades.values()):
+                out = F.when(cascade.contains(key, F.get(bits, F.lit(i))), F.lit(list(cascades)[i])).otherwise(out)
+            return out
+
+        verdicts = F.transform("keys", lambda k: F.struct(k.alias("rule"), verdict_of(k).alias("verdict")))
+        return F.get(F.filter(verdicts, lambda v: v["verdict"].isNotNull()), F.lit(0))
 
-    shapes = len({(r.host.count(".") + 1, len(r.path)) for r in rules})
-    named = urls.select("id", "host", "path", *(F.get("keys", F.lit(i)).alias(f"key{i}") for i in range(shapes)))
-    for i in range(shapes):
-        named = named.withColumn(f"verdict{i}", F.when(F.col(f"key{i}").isNotNull(), verdict_of(F.col(f"key{i}"))))
-    rule, verdict = F.lit(None).cast("string"), F.lit(default)
-    for i in reversed(range(shapes)):
-        rule = F.when(F.col(f"verdict{i}").isNotNull(), F.col(f"key{i}")).otherwise(rule)
-        verdict = F.coalesce(F.col(f"verdict{i}"), verdict)
-    return named.select(F.col("id").alias(id_col), "host", "path", rule.alias("rule"), verdict.alias("verdict"))
+    every = F.array(*(c.words() for c in cascades.values())) if cascades else F.array().cast("array<array<array<long>>>")
+    # a column of its own, as no subquery may stand in a function over arrays
+    named = urls.withColumn("bits", every).select("id", "host", "path", F.get(F.transform(F.array("bits"), judged), F.lit(0)).alias("best"))
+    return named.select(F.col("id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
