@@ -433,6 +433,8 @@ def test_added_kinds_scores_and_masks(spark):
     assert masked[1].text == "Konto [IBAN] und GB82 WEST 1234 5698 7654 33, call [LOCAL_PHONE]" and masked[1].found == 3
     assert masked[2].text is None and masked[3].text == "card [CARD] / [CARD]" and masked[None].text == "[PHONE]"
     assert pii.report(df.limit(0)).count() == 0
+    odd = df.withColumn("__none", F.lit(True)).withColumn("t", F.lit(1)).withColumn("k0", F.lit("x"))
+    assert [(r["__none"], r.t, r.k0) for r in pii.mask(odd).collect()] == [(True, 1, "x")] * 4 and pii.mask(odd).columns == odd.columns
 
 
 # --- pipeline

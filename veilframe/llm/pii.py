@@ -189,7 +189,8 @@ def mask(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds: t
     names and order; a null text stays null.
     """
     keep = tuple(c for c in df.columns if c != text_col)
-    found = find_spans(df.withColumn("__none", df[text_col].isNull()), id_col, text_col, kinds, (*keep, "__none"))
+    none = "none_" + "_".join(df.columns)  # longer than any column's name
+    found = find_spans(df.withColumn(none, df[text_col].isNull()), id_col, text_col, kinds, (*keep, none))
     spans = F.filter("found", lambda s: s["score"] >= least_score)
     start = F.struct(F.lit(0).alias("end"), F.array().cast("array<string>").alias("pieces"))
 
