@@ -2,72 +2,27 @@
 
 from __future__ import annotations
 
-import atexit
 import hashlib
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import send_package
+from ..shared import materialize, shared_path
+
+__all__ = ["BROADCAST_LIMIT", "Memo", "broadcast_file", "map_arrow", "materialize", "resident", "shared_path", "spread_join", "table"]
 
 #: Largest file or table that may be sent to every executor, in bytes.
 BROADCAST_LIMIT = 64 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is the session's ``spark.checkpoint.dir``; where that is unset and the master is local (tests), the context gets
-    a temporary folder of its own.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        context = spark.sparkContext
-        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = getattr(context, "_veilframe_shared", None)
-        if folder is None:
-            folder = context._veilframe_shared = "file://" + tempfile.mkdtemp(prefix="veilframe-")
-            atexit.register(shutil.rmtree, folder.removeprefix("file://"), ignore_errors=True)
-    return folder.rstrip("/")
-
-
-def _forget(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session has ended: its shared folder is no longer ours to clean
-        pass
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the driver ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_forget, spark, path)
-    return path
-
-
 def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` with this package on the executors."""
     send_package(df.sparkSession)
     return df.mapInArrow(function, schema)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
-
-    This cuts lineage in a way that survives lost executors.
-    """
-    path = shared_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 #: Keys with more rows than this, and more than one in ``HOT_SHARE`` of all rows, are split by ``spread_join``.
 HOT_ROWS, HOT_SHARE = 1 << 17, 10_000
 
@@ -134,9 +89,3 @@ class Memo(dict):
             self.clear()
         self[key] = found
         return found
-
-
-def bounded(cache: dict, limit: int) -> None:
-    """Empty a memo table that has reached ``limit`` entries."""
-    if len(cache) > limit:
-        cache.clear()

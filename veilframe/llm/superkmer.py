@@ -22,11 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, map_arrow, materialize
+from .common import Memo, map_arrow, materialize
 
 WINDOW = 13
 MER = 2
@@ -36,32 +37,34 @@ BUCKETS_PER_PARTITION = 32
 SAMPLE, HOT, CROWD = 32, 1000, 4
 #: Bytes of packed strings that a task gathers before it sends bundles.
 GATHER = 48 << 20
-#: Words whose hashes a worker keeps.
-WORD_CACHE = 500_000
+#: Words whose hashes a worker keeps, and as many again of those before.
+WORD_CACHE = 250_000
 #: A null id compares as the largest.
 LAST_ID = (1 << 63) - 1
 MIX = np.uint64(0x9E3779B97F4A7C15)
 FOLD = np.uint64(0xD6E8FEB86659FD93)
 
 
-def squeeze(data: bytes) -> bytes:
-    return zstandard.compress(data, 3)
+_CODECS: list[tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]] = []
 
 
-def unsqueeze(data: bytes) -> bytes:
-    return zstandard.decompress(data)
+def codecs() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    """A worker's compressor and decompressor; a new one for each small text would cost more than its work."""
+    if not _CODECS:
+        _CODECS.append((zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()))
+    return _CODECS[0]
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, kept while there is room."""
+def squeeze(data: bytes) -> bytes:
+    return codecs()[0].compress(data)
 
-    def __missing__(self, word: bytes) -> int:
-        bounded(self, WORD_CACHE)
-        value = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return value
+
+def unsqueeze(data: bytes) -> bytes:
+    return codecs()[1].decompress(data)
 
 
-_HASHES = WordHashes()
+#: 64-bit hashes of words.
+_HASHES = Memo(xxhash.xxh64_intdigest, WORD_CACHE)
 
 
 def mix(values: np.ndarray) -> np.ndarray:
@@ -260,7 +263,7 @@ def repeated_windows(df: DataFrame, id_col: str, text_col: str, window: int = WI
                         continue
                     for i in range(a, b):  # windows of a hot minimiser travel alone, by their own hash
                         packed = b" ".join(words[i : i + window])
-                        found.add(packed, int.from_bytes(hashlib.blake2b(packed, digest_size=8).digest(), "little"), place, tag, i, 1)
+                        found.add(packed, xxhash.xxh64_intdigest(packed), place, tag, i, 1)
                 if found.size > GATHER:
                     yield bundle(found)
         yield bundle(found)
