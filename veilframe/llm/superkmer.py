@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, map_arrow, materialize
+from .common import map_arrow, materialize
 
 WINDOW = 13
 MER = 2
@@ -37,8 +37,6 @@ BUCKETS_PER_PARTITION = 32
 SAMPLE, HOT, CROWD = 32, 1000, 4
 #: Bytes of packed strings that a task gathers before it sends bundles.
 GATHER = 48 << 20
-#: Words whose hashes a worker keeps, and as many again of those before.
-WORD_CACHE = 250_000
 #: A null id compares as the largest.
 LAST_ID = (1 << 63) - 1
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -63,10 +61,6 @@ def unsqueeze(data: bytes) -> bytes:
     return codecs()[1].decompress(data)
 
 
-#: 64-bit hashes of words.
-_HASHES = Memo(xxhash.xxh64_intdigest, WORD_CACHE)
-
-
 def mix(values: np.ndarray) -> np.ndarray:
     values = (values ^ (values >> np.uint64(32))) * FOLD
     return values ^ (values >> np.uint64(29))
@@ -77,7 +71,7 @@ def super_kmers(words: list[bytes], window: int = WINDOW, mer: int = MER) -> tup
     n = len(words) - window + 1
     if n < 1:
         return np.zeros(1, np.int64), np.zeros(0, np.uint64)
-    hashes = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     mers = len(words) - mer + 1
     mixed = np.zeros(mers, np.uint64)
     for i in range(mer):
