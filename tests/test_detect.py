@@ -119,3 +119,31 @@ def test_lists():
     assert parse_lines(" a \n\n b") == ("a", "b")
     assert parse_allowed("A\na\nb") == ("A", "b")
     assert allow(("A",), " a ") == ("A",) and disallow(("A", "b"), "a") == ("b",)
+
+
+def test_many_values_in_one_text(spark):
+    """Two thousand values, numbered and replaced as a plain loop does it, whichever columns are selected."""
+    values = [f"user{i % 700}@example.org" if i % 3 else f"10.0.{i % 11}.{i % 50}" for i in range(2000)]
+    text, numbers, counts, want = " und ".join(values), {}, {}, []
+    for v in values:
+        kind = "EMAIL" if "@" in v else "IP"
+        if v not in numbers:
+            counts[kind] = counts.get(kind, 0) + 1
+            numbers[v] = f"[{kind}_{counts[kind]}]"
+        want.append(numbers[v])
+    df = anonymize_rows(spark.createDataFrame([(1, text)], "id long, text string"), Options.only("emails", "ips"))
+    assert df.select("anonymized_text").first()[0] == " und ".join(want)
+    row = df.first()
+    assert row.anonymized_text == " und ".join(want) and [(m.placeholder, m.original) for m in row.mapping] == [(p, v) for v, p in numbers.items()]
+
+
+def test_many_terms_in_any_case(spark):
+    terms = tuple(f"term{i}" for i in range(300)) + ("Straße", "a.b", "x\\Ey", "\u212a9")
+    df = anonymize_rows(spark.createDataFrame([(1, "TERM7 sTRASSE STRAßE A.B axb X\\eY k9 term299!"), (2, None)], "id long, text string"), Options.only("custom", custom_terms=terms, language="en"))
+    got = {r.id: r.anonymized_text for r in df.collect()}
+    assert got == {1: "[TERM_1] sTRASSE [TERM_2] [TERM_3] axb [TERM_4] [TERM_5] [TERM_6]!", 2: ""}
+
+
+def test_marks_in_texts_stay(spark):
+    text = "\ufdd0a@b.ch\ufdd1 \ufdd0"
+    assert anonymize_rows(spark.createDataFrame([(1, text)], "id long, text string"), Options.only("emails")).first().anonymized_text == "\ufdd0[EMAIL_1]\ufdd1 \ufdd0"

@@ -2,13 +2,15 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from veilframe.categories import LABELS, parse_language
 from veilframe.functions.restorer import Restorer
-from veilframe.operators import audit, findings, gateway, layout, restore
+from veilframe.operators import audit, findings, gateway, layout, numbering, restore
 from veilframe.options import Options, pick_model
 from veilframe.sources import mapping_files, pdf_files, words
+from veilframe.streaming import sse
 from veilframe.streaming.sse import EventRestorer, latest_mapping, restore_stream, upsert_mapping
 
 
@@ -163,3 +165,43 @@ def test_documents_use_all_default_kinds(spark, tmp_path):
     row = QUERIES["anonymize_documents"](spark, str(tmp_path)).first()
     assert "123 45 67" not in row.anonymized_text and "6238" not in row.anonymized_text and row.n_values == 2
     assert QUERIES["roundtrip_documents"](spark, str(tmp_path)).first().restored == text
+
+
+def test_rows_that_no_parser_likes(spark):
+    """Deep nesting, halves of surrogate pairs and numbers that are none leave the job running."""
+    deep = "[" * 100_000 + "]" * 100_000
+    half = '{"system": "a@b.ch \\ud800", "messages": [], "x": "\\udfff", "n": 1e400}'
+    requests = spark.createDataFrame([(1, deep), (2, half), (3, '{"system": "a@b.ch", "n": NaN}')], "request_id long, body string")
+    bodies, mapping = gateway.anonymize_requests(requests, Options())
+    got = {r.request_id: r.body for r in bodies.collect()}
+    assert got[1] == deep and got[3].endswith("NaN}")
+    assert json.loads(got[2])["system"].startswith("[EMAIL_1] ") and json.loads(got[2])["x"] == "\udfff" and "Infinity" not in got[2]
+    names = spark.createDataFrame([(i, "[EMAIL_1]", "a@b.ch", 0) for i in (1, 2, 3)], "scope_id long, placeholder string, original string, pos int")
+    back = {r.request_id: r.body for r in gateway.restore_responses(bodies, names).collect()}
+    assert back[1] == deep and json.loads(back[2])["system"].startswith("a@b.ch")
+    machine = EventRestorer([])
+    assert machine.push("data: " + deep + "\n\n") + machine.complete() == "data: " + deep + "\n\n"
+
+
+def test_odd_progress_and_seeds(spark):
+    lines = ['{"total": "x", "completed": 1}', '{"total": 1, "completed": 1e17}', '{"total": 3, "completed": 1}', '{"total": "NaN", "completed": 1}', '{"total": 7, "completed": -5}']
+    df = spark.createDataFrame(list(enumerate(lines)), "i int, line string")
+    assert [r.p for r in df.orderBy("i").select(findings.pull_progress(F.col("line")).percent.alias("p")).collect()] == [None, 100, 33, None, 0]
+    seed = spark.createDataFrame([(1, "name", "[NAME_99999999999999999999]"), (1, "name", "[NAME_99999999999]"), (1, "name", "[X]")], "scope_id long, category string, placeholder string")
+    assert [r.largest for r in numbering.seed_numbers(seed).collect()] == [99_999_999_999]
+
+
+def test_import_limit(spark):
+    body = json.dumps([{"placeholder": "[X_1]", "original": "o" * 100, "category": "name"}])
+    files = spark.createDataFrame([(1, body)], "scope_id long, body string")
+    assert mapping_files.import_json(files).count() == 1
+    with pytest.raises(Exception, match="larger than 50 bytes"):
+        mapping_files.import_json(files, 50).collect()
+
+
+def test_numbers_go_on_over_batches(spark, tmp_path):
+    path, options = f"file://{tmp_path}/m", Options.only("emails")
+    batches = [[(1, 0, "a@b.ch c@d.ch")], [(1, 1, "e@f.ch c@d.ch"), (2, 0, "x@y.ch")], [(1, 2, "a@b.ch g@h.ch")]]
+    out = [sse.continue_scopes(spark.createDataFrame(b, "scope_id long, ord long, text string"), path, options).collect() for b in batches]
+    assert {r.anonymized_text for rows in out for r in rows} == {"[EMAIL_1] [EMAIL_2]", "[EMAIL_3] [EMAIL_2]", "[EMAIL_1]", "[EMAIL_1] [EMAIL_4]"}
+    assert latest_mapping(spark, path)[1].count() == 5
