@@ -271,9 +271,12 @@ def test_near_duplicates_are_those_of_jaccard(spark, monkeypatch):
     rows += [(90_000, None), (90_001, " "), (90_002, "a B"), (90_003, "A b")]
     rng.shuffle(rows)
     df = spark.createDataFrame([(t, d, "x") for d, t in rows], "text string, doc_id long, uid string").repartition(4)
-    for frequent in (1, 10**6):
+    # also with every group cut into parts of about three sets, and hubs of each that find next to nothing
+    for frequent, part, hubs in ((1, 1 << 16, 8), (10**6, 1 << 16, 8), (1, 3, 8), (1, 3, 1)):
         monkeypatch.setattr(jaccard, "SAMPLE", 1)
         monkeypatch.setattr(jaccard, "FREQUENT", frequent)
+        monkeypatch.setattr(jaccard, "PART", part)
+        monkeypatch.setattr(jaccard, "HUBS", hubs)
         out = jaccard.keep_one(df)
         assert sorted(r.doc_id for r in out.collect()) == brute_kept(rows) and out.columns == df.columns
     assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) != brute_kept(rows)

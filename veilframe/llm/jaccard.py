@@ -10,6 +10,9 @@ which is linear in a group; then the sets of a key's group among each other; in
 sets that are not yet in one class.  So a large group of near copies is hardly ever compared pair by pair, and classes
 are those of all similar pairs, whatever the index found.
 
+Groups of shingles that the sample shows to be very frequent are cut into parts, which are read by a task each; their parts
+are compared in pairs of parts.  No task holds more than two parts.
+
 Before texts meet, pairs are compared by parity sketches: every shingle flips one of a set's bits, so two sets differ in
 at least as many shingles as their sketches differ in bits.  This rules most candidates out and no similar pair.
 """
@@ -37,6 +40,8 @@ MOST = 1 << 18
 PAIRS = 1 << 18
 #: Sets of a key's group that all others are compared with first.
 HUBS = 8
+#: A key's group of more sets than this is cut into parts of about this size.
+PART = 1 << 16
 #: Bits of the short sketches that travel with a key's entries.
 SHORT = 1024
 
@@ -77,8 +82,8 @@ def may_be_similar(a: bytes, b: bytes, sizes: int) -> bool:
     return 9 * int(np.bitwise_count(x ^ y).sum()) <= sizes
 
 
-def frequent(df: DataFrame, text_col: str, shingle: int) -> np.ndarray:
-    """Sorted hashes of the sample's frequent shingles."""
+def frequent(df: DataFrame, text_col: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sample's frequent shingles: their sorted hashes, and into how many parts each one's group is cut."""
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,8 +92,18 @@ def frequent(df: DataFrame, text_col: str, shingle: int) -> np.ndarray:
 
     sample = df.where(F.pmod(F.xxhash64(text_col), F.lit(SAMPLE)) == 0).select(text_col)
     counts = map_arrow(sample, listed, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
-    most = counts.orderBy(F.desc("n"), "h").limit(MOST).select("h").toArrow()
-    return np.sort(most.column(0).to_numpy().astype(np.int64).view(np.uint64))
+    most = counts.orderBy(F.desc("n"), "h").limit(MOST).toArrow()
+    hashes, n = most.column(0).to_numpy().astype(np.int64).view(np.uint64), most.column(1).to_numpy().astype(np.int64)
+    order = np.argsort(hashes)
+    return hashes[order], np.maximum(1, -(-n[order] * SAMPLE // PART))
+
+
+def parts_of(hashes: np.ndarray, last: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """Into how many parts the groups of shingles are cut."""
+    if not len(last):
+        return np.ones(len(hashes), np.int64)
+    at = np.minimum(np.searchsorted(last, hashes), len(last) - 1)
+    return np.where(last[at] == hashes, parts[at], 1)
 
 
 def prefix(hashes: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -142,11 +157,11 @@ def _parts(links: DataFrame) -> DataFrame:
 
 
 def _across(hubs: int | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Pairs of sets of one key (rows come sorted by key) that are in different classes and may be similar by size, place
-    and short sketch; with ``hubs`` only those with one of a group's first sets."""
+    """Pairs of sets of one group (rows come sorted by key and lot, which name it) that are in different classes and may be
+    similar by size, place and short sketch; with ``hubs`` only those with one of a group's first sets."""
 
     def pairs(rows: np.ndarray, sketches: np.ndarray) -> Iterator[pa.RecordBatch]:
-        _, d, n, pos, part = rows
+        _, _, d, n, pos, part = rows
         first = len(d) if hubs is None else min(hubs, len(d))
         step = max(1, PAIRS // len(d))
         for a in range(0, first, step):
@@ -163,11 +178,11 @@ def _across(hubs: int | None = None) -> Callable[[Iterator[pa.RecordBatch]], Ite
                 yield pa.RecordBatch.from_pydict({"u": pa.array(np.minimum(x, y)), "v": pa.array(np.maximum(x, y))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest, held = np.zeros((5, 0), np.int64), np.zeros((0, SHORT // 64), np.uint64)
+        rest, held = np.zeros((6, 0), np.int64), np.zeros((0, SHORT // 64), np.uint64)
         for batch in batches:
-            rest = np.concatenate((rest, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:5]])), axis=1)
-            held = np.concatenate((held, np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint64).reshape(-1, SHORT // 64)))
-            edges = np.flatnonzero(np.concatenate(([True], rest[0, 1:] != rest[0, :-1]))) if rest.shape[1] else np.zeros(0, np.int64)
+            rest = np.concatenate((rest, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:6]])), axis=1)
+            held = np.concatenate((held, np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint64).reshape(-1, SHORT // 64)))
+            edges = np.flatnonzero(np.concatenate(([True], (rest[:2, 1:] != rest[:2, :-1]).any(axis=0)))) if rest.shape[1] else np.zeros(0, np.int64)
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 yield from pairs(rest[:, a:b], held[a:b])
             if len(edges):
@@ -178,6 +193,17 @@ def _across(hubs: int | None = None) -> Callable[[Iterator[pa.RecordBatch]], Ite
     return run
 
 
+def _pairs_of_parts(parted: DataFrame) -> DataFrame:
+    """The rows of each large group that has several classes, once for every pair of two of its parts; the pair is their ``lot``."""
+    parted = materialize(parted, "parts")
+    # as many keys as the sample may name, see MOST
+    several = parted.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
+    other = F.explode(F.sequence(F.lit(0), F.col("lots") - 1))
+    both = parted.join(F.broadcast(several), "key").withColumn("other", other).where("other <> lot")
+    pair = F.greatest("lot", "other") * F.col("lots") + F.least("lot", "other")
+    return both.select("key", pair.alias("lot"), "d", "n", "pos", "part")
+
+
 def _proposed(marked: DataFrame, link: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Pairs ``(u, v)`` of sets with equal or linked signatures; one set stands for each signature."""
     sets = marked.select("fp", "d").distinct()
@@ -223,7 +249,7 @@ def keep_one(
                 n.append(len(hashes))
                 sketches.append(sketch(hashes))
                 short.append(sketch(hashes, SHORT))
-                keys.append(prefix(hashes, last.value).tobytes())
+                keys.append(prefix(hashes, last.value[0]).tobytes())
             more = {"fp": pa.array(np.array(fps, np.uint64).view(np.int64)) if signature else pa.nulls(batch.num_rows, pa.int64())}
             more |= {"d": pa.array(np.array(d, np.uint64).view(np.int64)), "n": pa.array(n, pa.int64()), "keys": pa.array(keys, pa.binary()), "sketch": pa.array(sketches, pa.binary()), "short": pa.array(short, pa.binary())}
             yield pa.RecordBatch.from_pydict({f"k{i}": c for i, c in enumerate(batch.columns)} | more)
@@ -238,12 +264,15 @@ def keep_one(
                 sizes = [len(s) for s in sets[a : a + 1000]]
                 d, n = (np.repeat(batch.column(i).to_numpy()[a : a + 1000], sizes) for i in (0, 1))
                 pos = np.concatenate([np.arange(s, dtype=np.int64) for s in sizes])
-                yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate(sets[a : a + 1000])), "d": pa.array(d), "n": pa.array(n), "pos": pa.array(pos)})
+                key = np.concatenate(sets[a : a + 1000])
+                lots = parts_of(key.view(np.uint64), *last.value)
+                lot = (d.view(np.uint64) % lots.view(np.uint64)).view(np.int64)
+                yield pa.RecordBatch.from_pydict({"key": pa.array(key), "d": pa.array(d), "n": pa.array(n), "pos": pa.array(pos), "lot": pa.array(lot), "lots": pa.array(lots)})
 
-    entries = map_arrow(marked.select("d", "n", "keys").dropDuplicates(["d"]), spread, "key long, d long, n long, pos long")
-    group = Window.partitionBy("key")
+    entries = map_arrow(marked.select("d", "n", "keys").dropDuplicates(["d"]), spread, "key long, d long, n long, pos long, lot long, lots long")
+    group = Window.partitionBy("key", "lot")
     seen = entries.withColumn("p", F.min(F.struct("d", "n", "pos")).over(group)).withColumn("size", F.count("*").over(group))
-    shared = materialize(seen.where("size > 1").drop("size"), "shared-shingles")
+    shared = materialize(seen.where("size > 1 or lots > 1").drop("size"), "shared-shingles")
 
     fits = (F.col("d") != F.col("p.d")) & _possible("e", "p")
     near = shared.withColumn("e", F.struct("d", "n", "pos")).where(fits).groupBy(F.col("d").alias("v")).agg(F.min("p.d").alias("u")).select("u", "v")
@@ -255,8 +284,13 @@ def keep_one(
     short = marked.select("d", "short").dropDuplicates(["d"])
     for hubs in (HUBS, None):
         parted = shared.join(_parts(links), "d", "left").withColumn("part", F.coalesce("part", "d"))
-        mixed = parted.withColumn("lo", F.min("part").over(group)).withColumn("hi", F.max("part").over(group)).where("lo <> hi")
-        rows = mixed.join(short, "d").select("key", "d", "n", "pos", "part", "short").repartition("key").sortWithinPartitions("key", "d")
+        # within hubs' reach, and for whole groups, a group is a key's part; the rest meets in pairs of parts
+        inner = parted if hubs else parted.where("lots = 1")
+        mixed = inner.withColumn("lo", F.min("part").over(group)).withColumn("hi", F.max("part").over(group)).where("lo <> hi")
+        mixed = mixed.select("key", "lot", "d", "n", "pos", "part")
+        if not hubs and (last.value[1] > 1).any():
+            mixed = mixed.unionByName(_pairs_of_parts(parted.where("lots > 1")))
+        rows = mixed.join(short, "d").select("key", "lot", "d", "n", "pos", "part", "short").repartition("key", "lot").sortWithinPartitions("key", "lot", "d")
         links = links.unionByName(_verified(map_arrow(rows, _across(hubs), "u long, v long"), marked, text, shingle))
 
     found = components(links).select(F.col("node").alias("d"), "component")
