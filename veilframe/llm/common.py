@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import send_package
 from ..shared import materialize, shared_path
 
-__all__ = ["BROADCAST_LIMIT", "Memo", "broadcast_file", "map_arrow", "materialize", "resident", "shared_path", "spread_join", "table"]
+__all__ = ["BROADCAST_LIMIT", "Memo", "broadcast_file", "map_arrow", "materialize", "resident", "shared_path", "slices", "spread_join", "table"]
 
 #: Largest file or table that may be sent to every executor, in bytes.
 BROADCAST_LIMIT = 64 << 20
@@ -23,6 +24,13 @@ def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, for functions that hold much more than their input."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 #: Keys with more rows than this, and more than one in ``HOT_SHARE`` of all rows, are split by ``spread_join``.
 HOT_ROWS, HOT_SHARE = 1 << 17, 10_000
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, spread_join
+from .common import map_arrow, materialize, slices, spread_join
 from .graph import components
 
 SHINGLE = 5
@@ -238,7 +238,7 @@ def keep_one(
     at = docs.columns.index(text)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             d, n, keys, fps, sketches, short = [], [], [], [], [], []
             for t in batch.column(at):
                 hashes = shingle_hashes(t.as_py(), shingle)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, resident
+from .common import map_arrow, materialize, resident, slices
 
 BINS = 1 << 16
 #: Numbers in a model: languages x bins.
@@ -185,23 +185,26 @@ def predict_languages(df: DataFrame, model: Model, id_col: str = "doc_id", text_
     Equal proportions go to the language that sorts first.
     """
     sent = df.sparkSession.sparkContext.broadcast(pickle.dumps((model.languages, model.logs)))
+    # the text travels once, whether it is kept or not
+    rest = [c for c in keep if c != text_col]
+    places = [2 + rest.index(c) if c != text_col else 1 for c in keep]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = model_of(sent.value)
-        for batch in batches:
+        for batch in slices(batches):
             names, scores = [], []
             for block in blocks([t or "" for t in batch.column(1).to_pylist()]):
                 a, b = known.predict(block)
                 names += a
                 scores += b
-            columns = {"id": batch.column(0)} | {f"k{i}": batch.column(2 + i) for i in range(len(keep))}
+            columns = {"id": batch.column(0)} | {f"k{i}": batch.column(at) for i, at in enumerate(places)}
             yield pa.RecordBatch.from_pydict(columns | {"lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64())})
 
     def kind(c: str) -> str:
         return df.schema[c].dataType.simpleString()
 
     schema = ", ".join([f"id {kind(id_col)}", *(f"k{i} {kind(c)}" for i, c in enumerate(keep)), "lang_pred string, score double"])
-    out = map_arrow(df.select(df[id_col].alias("id"), df[text_col].alias("t"), *(df[c].alias(f"k{i}") for i, c in enumerate(keep))), predict, schema)
+    out = map_arrow(df.select(df[id_col].alias("id"), df[text_col].alias("t"), *(df[c].alias(f"k{i}") for i, c in enumerate(rest))), predict, schema)
     return out.withColumnsRenamed({"id": id_col} | {f"k{i}": c for i, c in enumerate(keep)})
 
 
