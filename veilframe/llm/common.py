@@ -5,14 +5,16 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import send_package
 from ..shared import materialize, shared_path
 
-__all__ = ["BROADCAST_LIMIT", "Memo", "broadcast_file", "map_arrow", "materialize", "resident", "shared_path", "slices", "spread_join", "table"]
+__all__ = ["BROADCAST_LIMIT", "Memo", "broadcast_file", "byte_slices", "map_arrow", "materialize", "resident", "shared_path", "slices", "spread_join", "table"]
 
 #: Largest file or table that may be sent to every executor, in bytes.
 BROADCAST_LIMIT = 64 << 20
@@ -31,6 +33,18 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.R
             yield batch.slice(start, rows)
 
 
+def byte_slices(batches: Iterator[pa.RecordBatch], column: int = 1, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``limit`` bytes in a column of strings or binaries; a larger value stands alone."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            before = int(ends[start - 1]) if start else 0
+            end = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
+            yield batch.slice(start, end - start)
+            start = end
+
+
 #: Keys with more rows than this, and more than one in ``HOT_SHARE`` of all rows, are split by ``spread_join``.
 HOT_ROWS, HOT_SHARE = 1 << 17, 10_000
 

@@ -11,6 +11,7 @@ from .bpe import encode_documents
 from .common import table
 from .count_transducer import count_tokens
 from .decontaminate import find_contamination
+from .fill_middle import fill_in_middle
 from .langid import identify
 from .media import text_media_report
 from .pii import report
@@ -60,6 +61,10 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"))
 
 
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle(table(spark, sf_dir, "documents"), keep_output=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_language_id": op2_language_id,
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_decontamination": op9_decontamination,
     "op10_personal_data": op10_personal_data,
+    "op12_fill_middle": op12_fill_middle,
 }
 
 #: The others need a tokenizer, a fitted model, XXH64 or match positions, which SQL has not; the tests hold them against
@@ -113,4 +119,14 @@ ORACLE_SQL: dict[str, str] = {
         select d.doc_id, cast(len(ws) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
         from d left join gone on gone.doc_id = d.doc_id left join owner on owner.doc_id = d.doc_id
     """,
+    "op12_fill_middle": """
+        with d as (select doc_id, coalesce(text, '') as t, sha256('42:' || cast(doc_id as varchar)) as h from documents),
+        w as (select *, list_transform(regexp_extract_all(t, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+'), lambda x: length(x)) as sizes, list_transform([1, 9, 17, 25], lambda i: cast('0x' || substring(h, i, 8) as bigint)) as r from d),
+        c as (select *, len(sizes) as n, least(r[1] % (len(sizes) + 1), r[2] % (len(sizes) + 1)) as a, greatest(r[1] % (len(sizes) + 1), r[2] % (len(sizes) + 1)) as b from w),
+        f as (select *, cast(coalesce(list_sum(sizes[1 : a]), 0) as bigint) as p, cast(coalesce(list_sum(sizes[a + 1 : b]), 0) as bigint) as m,
+          case when t = '' or regexp_matches(t, '<[PSM]>') or r[3] % 100 >= 50 then 'plain' when r[4] % 100 < 80 then 'spm' else 'psm' end as form from c),
+        o as (select *, case form when 'plain' then t when 'spm' then '<S>' || substring(t, p + m + 1) || '<P>' || substring(t, 1, p) || '<M>' || substring(t, p + 1, m)
+          else '<P>' || substring(t, 1, p) || '<S>' || substring(t, p + m + 1) || '<M>' || substring(t, p + 1, m) end as out from f)
+        select doc_id, cast(n as bigint) as n, form, case when form <> 'plain' then p end as prefix_chars, case when form <> 'plain' then m end as middle_chars, sha256(out) as output_sha256, sha256(t) as restored_sha256 from o
+    """,
 }
