@@ -14,6 +14,7 @@ from .decontaminate import find_contamination
 from .fill_middle import fill_in_middle
 from .langid import identify
 from .media import text_media_report
+from .packing import pack_documents
 from .pii import report
 from .simhash import group
 from .superkmer import remove_repeats
@@ -65,6 +66,10 @@ def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle(table(spark, sf_dir, "documents"), keep_output=False)
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep_ids=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_language_id": op2_language_id,
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_personal_data": op10_personal_data,
     "op12_fill_middle": op12_fill_middle,
+    "op13_packing": op13_packing,
 }
 
 #: The others need a tokenizer, a fitted model, XXH64 or match positions, which SQL has not; the tests hold them against
