@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .alignment import align_tokenizers
 from .bpe import encode_documents
 from .common import table
 from .count_transducer import count_tokens
@@ -62,6 +63,10 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle(table(spark, sf_dir, "documents"), keep_output=False)
 
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_decontamination": op9_decontamination,
     "op10_personal_data": op10_personal_data,
+    "op11_alignment": op11_alignment,
     "op12_fill_middle": op12_fill_middle,
     "op13_packing": op13_packing,
 }
