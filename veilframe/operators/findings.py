@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from ..categories import model_category
 from ..functions.text import occurrences
 from ..options import CATEGORY_SWITCH, Options
-from .detectors import CANDIDATES
+from .detectors import CANDIDATES, PLACE_BITS
 
 #: The priority of findings: after all patterns.
 PRIORITY = 13
+#: Where their ``seq`` begins: behind all detectors.
+FIRST = 1 << 16 << PLACE_BITS
 ENTITIES = "struct<entities:array<struct<text:string,category:string>>>"
 
 
@@ -45,7 +47,7 @@ def locate(text: Column, findings: Column) -> Column:
     def places(f: Column, k: Column) -> Column:
         exact = occurrences(text, f["text"])
         starts = F.when(F.size(exact) > 0, exact).otherwise(occurrences(text, f["text"], "(?iU)"))
-        return F.transform(starts, lambda s, i: F.struct(s.cast("int").alias("start"), F.length(f["text"]).alias("len"), F.substring(text, s + 1, F.length(f["text"])).alias("original"), f["category"].alias("category"), F.lit(PRIORITY).alias("priority"), (F.lit(1 << 26) + k * 4096 + i).cast("int").alias("seq")))
+        return F.transform(starts, lambda s, i: F.struct(s.cast("int").alias("start"), F.length(f["text"]).alias("len"), F.substring(text, s + 1, F.length(f["text"])).alias("original"), f["category"].alias("category"), F.lit(PRIORITY).alias("priority"), (F.lit(FIRST) + k.cast("long") * (1 << PLACE_BITS) + i).alias("seq")))
 
     return F.flatten(F.transform(findings, places)).cast(CANDIDATES)
 

@@ -1,18 +1,16 @@
 """JSON requests and responses of chat interfaces: texts out, placeholders in, originals back.
 
-JSON of any depth has no built-in walk, so these are Arrow-batched pandas functions; what happens to the texts is
-done by the DataFrame operators.
+JSON of any depth has no built-in walk that keeps spelling, so these are Arrow-batched pandas functions; what happens to the
+texts is done by the DataFrame operators.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.json_tree import clean, dump, load
+from ..functions.json_tree import JsonText, Node, clean, read
 from ..functions.restorer import Restorer
 from ..options import Options
 from ..session import send_package
@@ -20,72 +18,64 @@ from .anonymize import anonymize_scopes
 from .restore import mappings_by_scope
 
 
-def _block_slots(blocks: list, path: tuple) -> Iterator[tuple[tuple, str]]:
-    for i, block in enumerate(blocks):
-        if not isinstance(block, dict):
-            continue
-        kind, here = block.get("type"), (*path, i)
-        if kind == "text" and isinstance(block.get("text"), str):
-            yield (*here, "text"), block["text"]
-        elif kind == "tool_result":
-            content = block.get("content")
-            if isinstance(content, str):
-                yield (*here, "content"), content
-            elif isinstance(content, list):
-                yield from _block_slots(content, (*here, "content"))
+#: The path of a body that is no JSON and therefore one text.
+WHOLE = "*"
+
+
+def _block_slots(tree: JsonText, blocks: Node, path: str) -> list[tuple[str, Node]]:
+    """Text blocks, and what is in tool results, at any depth; of repeated members each counts."""
+    out, todo = [], [(path, blocks)]
+    while todo:
+        path, node = todo.pop()
+        if node.kind == '"':
+            out.append((path, node))
+        elif node.kind == "[":
+            inner = []
+            for i, block in enumerate(node.items):
+                kinds = {tree.string(t) for t in tree.members(block, "type") if t.kind == '"'}
+                if "text" in kinds:
+                    inner += [(f"{path}/{i}/text", t) for t in tree.members(block, "text") if t.kind == '"']
+                if "tool_result" in kinds:
+                    inner += [(f"{path}/{i}/content", c) for c in tree.members(block, "content")]
+            todo += reversed(inner)
+    return out
+
 
+def _slots(tree: JsonText) -> list[tuple[str, Node]]:
+    parts = [("system", node) for node in tree.members(tree.root, "system")]
+    for messages in tree.members(tree.root, "messages"):
+        for i, message in enumerate(messages.items if messages.kind == "[" else ()):
+            parts += [(f"messages/{i}/content", node) for node in tree.members(message, "content")]
+    return [slot for path, node in parts for slot in _block_slots(tree, node, path)]
 
-def request_slots(body: str | None) -> list[tuple[tuple, str]]:
-    """The texts of a request in document order, with their paths: the system prompt, messages and the text blocks in them.
 
-    What is no JSON object, or nested too deeply to be read, has none.
+def request_slots(body: str | None) -> list[tuple[str, str]]:
+    """The texts of a request with their paths: the system prompt, messages and the text blocks in them.
+
+    JSON of any depth and with numbers of any size is read.  A body that is no JSON is one text, so that nothing passes
+    unseen; JSON that is no object has no texts.
     """
-    root = load(body)
-    if not isinstance(root, dict):
-        return []
-    out = []
-    parts = [(("system",), root.get("system"))]
-    messages = root.get("messages")
-    for i, message in enumerate(messages if isinstance(messages, list) else []):
-        if isinstance(message, dict):
-            parts.append((("messages", i, "content"), message.get("content")))
-    for path, value in parts:
-        if isinstance(value, str):
-            out.append((path, value))
-        elif isinstance(value, list):
-            out += _block_slots(value, path)
-    return [(path, clean(text)) for path, text in out]
+    tree = read(body)
+    if tree is None:
+        return [(WHOLE, body)] if body else []
+    return [(path, clean(tree.string(node))) for path, node in _slots(tree)]
 
 
 def fill_slots(body: str, texts: list[str]) -> str:
-    """The request with its texts replaced, in the order of ``request_slots``."""
-    root = load(body)
-    for (path, _), text in zip(request_slots(body), texts, strict=True):
-        node = root
-        for step in path[:-1]:
-            node = node[step]
-        node[path[-1]] = text
-    return dump(root)
+    """The request with its texts replaced, in the order of ``request_slots``; all else stays byte for byte."""
+    tree = read(body)
+    if tree is None:
+        return texts[0]
+    return tree.spliced([(node, text) for (_, node), text in zip(_slots(tree), texts, strict=True)])
 
 
 def restore_values(body: str, restorer: Restorer) -> str:
-    """A response with every string value restored, at any depth; keys stay.  What is not JSON, or nested too deeply to be
-    read, is restored as text."""
-    root = load(body)
-    if root is None:
-        return restorer(body)
-
-    def walk(node: object) -> object:
-        if isinstance(node, str):
-            return restorer(node)
-        if isinstance(node, list):
-            return [walk(x) for x in node]
-        return {k: walk(v) for k, v in node.items()} if isinstance(node, dict) else node
-
-    try:
-        return dump(walk(root))
-    except RecursionError:
+    """A response with every string value restored, at any depth; keys, numbers and spelling stay.  What is no JSON is
+    restored as text."""
+    tree = read(body)
+    if tree is None:
         return restorer(body)
+    return tree.spliced([(node, restorer(tree.string(node))) for node in tree.strings()])
 
 
 def extract_slots(requests: DataFrame) -> DataFrame:
@@ -95,7 +85,7 @@ def extract_slots(requests: DataFrame) -> DataFrame:
 
     @F.pandas_udf("array<struct<json_path:string,text:string>>")
     def slots(bodies: pd.Series) -> pd.Series:
-        return bodies.map(lambda b: [{"json_path": "/".join(map(str, p)), "text": t} for p, t in request_slots(b)])
+        return bodies.map(lambda b: [{"json_path": p, "text": t} for p, t in request_slots(b)])
 
     rows = requests.select("request_id", F.posexplode_outer(slots("body")).alias("slot_ord", "s")).where("s is not null")
     return rows.select("request_id", "slot_ord", "s.json_path", "s.text")
@@ -110,7 +100,8 @@ def prompts(slots: DataFrame) -> DataFrame:
 def anonymize_requests(requests: DataFrame, options: Options | None = None, findings: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """``(request_id, body)`` with placeholders, and the mapping with one scope per request.
 
-    Requests without texts, and what is not a JSON object, stay unchanged; so does everything but the texts.
+    Everything but the texts stays byte for byte: numbers, order and repetition of keys, spelling.  What is no JSON is masked as one
+    text and never passed on unread.
     """
 
     @F.pandas_udf("string")

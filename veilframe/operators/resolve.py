@@ -51,4 +51,4 @@ def resolve_overlaps(candidates: Column) -> Column:
         runs = bound(cuts, lambda at: F.transform(at, lambda b, k: bound(F.slice(ordered, b + 1, F.coalesce(F.get(at, k + 1), F.size(ordered)) - b), chosen)))
         return F.flatten(runs)
 
-    return bound(F.array_sort(candidates), by_runs)
+    return bound(F.array_sort(candidates.cast(CANDIDATES)), by_runs)

@@ -488,6 +488,11 @@ def mapping_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- JSON requests and responses, streams
 
 
+#: What surrounds the texts: numbers that no machine type holds, a repeated key, an image.
+REQUEST_HEAD = '{"stream":true,"top_p":1.10,"seed":12345678901234567890.123456789,"k":1e400,"k":2,"system":'
+REQUEST_TAIL = ',{"role":"user","content":[{"type":"image","source":{"data":"a@b.ch"}}]}]}'
+
+
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A request per conversation: a system prompt, the turns as strings or blocks, and an image block."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
@@ -495,7 +500,7 @@ def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = F.when(F.col("turn") % 2 == 0, F.to_json(F.struct(F.col("text").alias("t"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col("text").alias("t")))) - 6)).otherwise(blocks)
     message = F.concat(F.lit('{"role":"'), F.coalesce("role", F.lit("")), F.lit('","content":'), content, F.lit("}"))
     per = turns.withColumn("m", message).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "m"))).alias("ms"))
-    body = F.concat(F.lit('{"stream":true,"system":"Mail a@b.ch","messages":['), F.array_join(F.transform("ms", lambda m: m["m"]), ","), F.lit(',{"role":"user","content":[{"type":"image","source":{"data":"a@b.ch"}}]}]}'))
+    body = F.concat(F.lit(REQUEST_HEAD + '"Mail a@b.ch","messages":['), F.array_join(F.transform("ms", lambda m: m["m"]), ","), F.lit(REQUEST_TAIL))
     return per.select(F.col("conv_id").alias("request_id"), body.alias("body"))
 
 
@@ -507,11 +512,25 @@ def json_request_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(gateway.extract_slots(_requests(spark, sf_dir)).select("request_id", "slot_ord", "text"))
 
 
-@query("json_request_rewrite", "select distinct conv_id as request_id, 'Mail [EMAIL_1]' as system, 'a@b.ch' as image, true as stream from conversations")
+MAIL_SQL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+
+
+@query(
+    "json_request_rewrite",
+    f"""
+    with p as (select conv_id, turn, role, regexp_extract_all(coalesce(text, ''), '{MAIL_SQL}') as found, regexp_split_to_array(coalesce(text, ''), '{MAIL_SQL}') as gaps from conversations),
+    u as (select conv_id, turn, unnest(found) as m, unnest(range(1, len(found) + 1)) as i from p),
+    f as (select conv_id, m, min((turn, i)) as first from u where m <> 'a@b.ch' group by 1, 2),
+    n as (select conv_id, m, 1 + row_number() over (partition by conv_id order by first) as n from f union all select distinct conv_id, 'a@b.ch', 1 from p),
+    d as (select conv_id, map(list(m), list(n)) as numbers from n group by 1),
+    x as (select p.*, to_json(array_to_string(list_transform(range(1, len(gaps) + 1), lambda i: gaps[i] || coalesce('[EMAIL_' || cast(numbers[found[i]] as varchar) || ']', '')), '')) as new from p join d on p.conv_id = d.conv_id),
+    j as (select conv_id, string_agg('{{"role":"' || coalesce(role, '') || '","content":' || case when turn % 2 = 0 then cast(new as varchar) else '[{{"type":"text","text":' || cast(new as varchar) || '}}]' end || '}}', ',' order by turn) as messages from x group by 1)
+    select conv_id as request_id, '{REQUEST_HEAD}"Mail [EMAIL_1]","messages":[' || messages || '{REQUEST_TAIL}' as body from j
+    """,
+)
 def json_request_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bodies, _ = gateway.anonymize_requests(_requests(spark, sf_dir), Options.only("emails"))
-    image = F.regexp_extract("body", '"type":"image","source":\\{"data":"([^"]*)"', 1)
-    return bodies.select("request_id", F.get_json_object("body", "$.system").alias("system"), image.alias("image"), (F.get_json_object("body", "$.stream") == "true").alias("stream"))
+    """Whole bodies: every text with its placeholders, and all else byte for byte."""
+    return gateway.anonymize_requests(_requests(spark, sf_dir), Options.only("emails"))[0]
 
 
 @query("json_roundtrip", "select conv_id as request_id, turn, coalesce(text, '') as text from conversations")

@@ -7,18 +7,20 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from ..functions.json_tree import dump, load
+from ..functions.json_tree import JsonText, Node, dump, read
 from ..functions.restorer import Restorer, json_inner
 from ..operators.restore import mappings_by_scope
 from ..options import Options
 from ..session import send_package
 
-#: Kinds of text in a delta, and the field that holds it.
+#: Block numbers; and kinds of text in a delta, with the field that holds it.
+INTEGER = re.compile("-?(?:0|[1-9][0-9]{0,17})")
 FIELDS = {"text_delta": "text", "input_json_delta": "partial_json"}
 
 
@@ -62,37 +64,47 @@ class EventRestorer:
 
     def _event(self) -> str:
         at = next((i for i, line in enumerate(self.lines) if line.startswith("data:")), None)
-        event, before = None, ""
-        if at is not None:
-            event = load(self.lines[at][5:].removeprefix(" ").rstrip("\r"))
-        lines = list(self.lines)
-        if isinstance(event, dict):
-            index = event.get("index")
-            index = index if isinstance(index, int) and not isinstance(index, bool) else 0
-            kind = event.get("type")
+        before, lines = "", list(self.lines)
+        tree = read(lines[at][5:]) if at is not None else None
+        if tree is not None and tree.root.kind == "{":
+            index = self._index(tree)
+            kind = self._text(tree, tree.root, "type")
             if kind == "content_block_start":
                 for name in FIELDS:
                     self.pending.pop(f"{name}:{index}", None)
             elif kind == "content_block_delta":
-                self._delta(event.get("delta"), index)
+                lines[at] = "data:" + self._delta(tree, index)
             elif kind == "content_block_stop":
                 before = "".join(self._flush(name, index) for name in FIELDS)
-            lines[at] = "data: " + dump(event)
         return before + "".join(f"{line}\n" for line in lines)
 
-    def _delta(self, delta: object, index: int) -> None:
-        name = delta.get("type") if isinstance(delta, dict) else None
-        if name in FIELDS:
-            text = delta.get(FIELDS[name])
-            shown, kept = split_open_bracket(self.pending.get(f"{name}:{index}", "") + (text if isinstance(text, str) else ""))
-            self.pending[f"{name}:{index}"] = kept
-            delta[FIELDS[name]] = self.restore[name](shown)
-
-    def _flush(self, name: str, index: int) -> str:
+    @staticmethod
+    def _text(tree: JsonText, node: Node, name: str) -> str | None:
+        found = tree.members(node, name)
+        return tree.string(found[-1]) if found and found[-1].kind == '"' else None
+
+    @staticmethod
+    def _index(tree: JsonText) -> str:
+        """A block's number as it is written; 0 where there is none."""
+        found = tree.members(tree.root, "index")
+        written = tree.text[found[-1].start : found[-1].end] if found else ""
+        return written if INTEGER.fullmatch(written) else "0"
+
+    def _delta(self, tree: JsonText, index: str) -> str:
+        for delta in tree.members(tree.root, "delta")[-1:]:
+            name = self._text(tree, delta, "type")
+            if name in FIELDS:
+                places = [n for n in tree.members(delta, FIELDS[name])[-1:] if n.kind == '"']
+                shown, kept = split_open_bracket(self.pending.get(f"{name}:{index}", "") + "".join(map(tree.string, places)))
+                self.pending[f"{name}:{index}"] = kept
+                return tree.spliced([(n, self.restore[name](shown)) for n in places])
+        return tree.text
+
+    def _flush(self, name: str, index: str) -> str:
         kept = self.pending.pop(f"{name}:{index}", "")
         if not kept:
             return ""
-        event = {"type": "content_block_delta", "index": index, "delta": {"type": name, FIELDS[name]: self.restore[name](kept)}}
+        event = {"type": "content_block_delta", "index": int(index), "delta": {"type": name, FIELDS[name]: self.restore[name](kept)}}
         return f"event: content_block_delta\ndata: {dump(event)}\n\n"
 
 
