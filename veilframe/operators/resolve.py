@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import bound, normalize
+from ..shared import materialize
 from .detectors import CANDIDATES
 
 
@@ -52,3 +53,61 @@ def resolve_overlaps(candidates: Column) -> Column:
         return F.flatten(runs)
 
     return bound(F.array_sort(candidates.cast(CANDIDATES)), by_runs)
+
+
+def _nodes(start: Column, end: Column, height: int) -> Column:
+    """The binary intervals that make up ``[start, end)``: at most two of every size ``2 ** level`` up to ``height``."""
+
+    def node(level: int, i: Column) -> Column:
+        return F.struct(F.lit(level).alias("level"), i.alias("i"))
+
+    def ends(level: int) -> tuple[Column, Column]:
+        return -F.floor(-start / (1 << level)).cast("long"), F.floor(end / (1 << level)).cast("long")
+
+    sides = []
+    for level in range(height):
+        low, high = ends(level)
+        sides += [F.when((low < high) & (low % 2 == 1), node(level, low)), F.when((low < high) & (high % 2 == 1), node(level, high - 1))]
+    low, high = ends(height)
+    # of the largest size any number may stand side by side
+    top = F.when(low < high, F.transform(F.sequence(low, high - 1), lambda i: node(height, i)))
+    none = F.array().cast("array<struct<level:int,i:bigint>>")
+    return F.concat(F.filter(F.array(*sides), lambda n: n.isNotNull()) if sides else none, F.coalesce(top, none))
+
+
+def resolve_spans(spans: DataFrame, keys: tuple[str, ...] = ("scope_id", "ord"), rank: tuple[str, ...] = ("priority", "-len", "start", "seq")) -> DataFrame:
+    """The greedy selection over a table of spans ``(*keys, start, len, ...)``; texts may have any number of spans.
+
+    The same rule as ``resolve_overlaps``: spans are taken by ``rank`` (SQL expressions, smaller first; equal ones in any
+    order) unless they overlap one that was taken.  It works in rounds: a span that is the best of all undecided spans
+    that overlap it is taken, what overlaps a span taken is dropped.  No pairs of spans are made: each span falls into
+    binary intervals, an interval knows the best span that covers it and the best within it, and spans overlap where one's
+    interval is the other's or lies in it.  So a round is two aggregations and two equality joins, whatever lies on top of one
+    another; the number of rounds is that of the longest chain in which each span waits for the next.  Spans without length
+    are dropped, null keys are a text of their own, repeated rows are taken once.
+    """
+    columns = spans.columns
+    order = F.struct(*(F.expr(r).alias(f"r{i}") for i, r in enumerate(rank)), F.col("_id").alias("id"))
+    text = F.struct(*keys)
+    left = spans.where("len > 0").withColumn("_id", F.monotonically_increasing_id())
+    left = materialize(left.select("*", order.alias("_rank"), text.alias("_text")), "undecided")
+    height = max(0, int(left.agg(F.max("len")).first()[0] or 1).bit_length() - 1)
+    taken: list[DataFrame] = []
+    while not left.isEmpty():
+        nodes = left.select("_text", "_id", "_rank", F.explode(_nodes(F.col("start").cast("long"), (F.col("start") + F.col("len")).cast("long"), height)).alias("n"))
+        # an interval and all that it lies in
+        up = nodes.select("_text", "_id", "_rank", "n.level", "n.i", F.explode(F.sequence(F.col("n.level"), F.lit(height))).alias("above"))
+        up = up.select("_text", "_id", "_rank", F.col("above").alias("level"), F.expr("shiftright(i, above - level)").alias("i"), (F.col("above") == F.col("level")).alias("own"))
+        place = ["_text", "level", "i"]
+        best = up.groupBy(place).agg(F.min(F.when(F.col("own"), F.col("_rank"))).alias("covers"), F.min("_rank").alias("within"))
+        beaten = (F.col("covers") < F.col("_rank")) | (F.col("own") & (F.col("within") < F.col("_rank")))
+        won = up.join(best, place).groupBy("_id").agg(F.bool_or(F.coalesce(beaten, F.lit(False))).alias("lost")).where("not lost").select("_id")
+        won = materialize(won, "taken")
+        taken.append(left.join(won, "_id").select(columns))
+        marks = up.join(won, "_id").groupBy(place).agg(F.bool_or("own").alias("covered"))
+        hit = up.join(marks, place).where("covered or own").select("_id").distinct()
+        left = materialize(left.join(hit, "_id", "left_anti"), "undecided")
+    out = spans.limit(0)
+    for part in taken:
+        out = out.unionByName(part)
+    return out

@@ -16,7 +16,7 @@ from ..functions.text import bound, exploded, json_inner, luhn, normalize, settl
 from ..operators import audit, findings, gateway, layout, numbering, restore
 from ..operators.anonymize import accepted_spans, anonymize_rows, anonymize_scopes, explode_spans
 from ..operators.detectors import REGISTRY, is_plate, is_town, term_candidates, trim_name, trim_reference, with_candidates
-from ..operators.resolve import resolve_overlaps, without_allowed_table
+from ..operators.resolve import resolve_overlaps, resolve_spans, without_allowed_table
 from ..options import Options
 from ..shared import shared_path
 from ..sources import mapping_files, pdf_files, words
@@ -190,12 +190,30 @@ def json_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
 SPAN_ROWS = "select l_orderkey, l_linenumber, cast(l_partkey % 60 as int) as start, cast(l_quantity as int) % 12 + 1 as len, cast(l_suppkey % 4 as int) as priority from lineitem"
 
 
-@query("overlap_resolution")
+@query(
+    "overlap_resolution",
+    f"""
+    with recursive c as (select l_orderkey, l_linenumber, start, len, priority, row_number() over (partition by l_orderkey order by priority, -len, start, l_linenumber) as k
+      from (select l_orderkey, cast(l_linenumber as bigint) as l_linenumber, cast(start as bigint) as start, cast(len as bigint) as len, cast(priority as bigint) as priority from ({SPAN_ROWS}))),
+    g as (select l_orderkey, 0 as k, cast([] as struct(line bigint, a bigint, b bigint)[]) as taken from (select distinct l_orderkey from c)
+      union all select g.l_orderkey, g.k + 1, case when len(list_filter(taken, lambda t: t.a < start + len and start < t.b)) > 0 then taken
+        else list_append(taken, struct_pack(line := c.k, a := start, b := start + len)) end from g join c on c.l_orderkey = g.l_orderkey and c.k = g.k + 1),
+    f as (select l_orderkey, max_by(taken, k) as taken from g group by 1)
+    select c.l_orderkey, l_linenumber, start, len, priority from c join f on c.l_orderkey = f.l_orderkey where list_contains(list_transform(taken, lambda t: t.line), c.k)
+    """,
+)
 def overlap_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy chains cannot be written as SQL: held against brute force in the tests."""
+    """Greedy chains, in rounds over the table of all spans."""
+    rows = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "cast(l_linenumber as long) as l_linenumber", "cast(l_partkey % 60 as int) as start", "cast(l_quantity as int) % 12 + 1 as len", "cast(l_suppkey % 4 as int) as priority")
+    return longs(resolve_spans(rows, ("l_orderkey",), ("priority", "-len", "start", "l_linenumber")))
+
+
+@query("overlap_resolution_rows", SQL["overlap_resolution"])
+def overlap_resolution_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same within rows that hold a text's candidates."""
     rows = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "cast(l_partkey % 60 as int) as start", "cast(l_quantity as int) % 12 + 1 as len", "cast(l_suppkey % 4 as int) as priority")
     arrays = rows.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "start", "len", "priority"))).alias("a"))
-    cands = arrays.select("l_orderkey", F.transform("a", lambda x: F.struct(x["start"], x["len"], F.lit("x").alias("original"), F.lit("term").alias("category"), x["priority"], x["l_linenumber"].cast("int").alias("seq"))).alias("c"))
+    cands = arrays.select("l_orderkey", F.transform("a", lambda x: F.struct(x["start"], x["len"], F.lit("x").alias("original"), F.lit("term").alias("category"), x["priority"], x["l_linenumber"].cast("long").alias("seq"))).alias("c"))
     kept = exploded(cands.withColumn("r", resolve_overlaps(F.col("c"))), "r", "s", "l_orderkey")
     return longs(kept.select("l_orderkey", F.col("s.seq").alias("l_linenumber"), "s.start", "s.len", "s.priority"))
 
