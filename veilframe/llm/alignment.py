@@ -21,10 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_file, byte_slices, map_arrow, materialize, resident
-from .unit_tokens import UNITS, ByteLevel
+from .unit_tokens import ByteLevel
 from .units import SEGMENT, segments, split_units
 
 STRIPES = 128
+#: Units that a worker remembers.
+UNITS = 250_000
 #: Text of one block of documents, in bytes, and its largest number of documents.
 BLOCK, DOCS = 8 << 20, 4096
 #: Pairs that a map task counts before it hands them on, and entries of a row of counts.

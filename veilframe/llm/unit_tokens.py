@@ -4,17 +4,17 @@ from __future__ import annotations
 
 import json
 
-import numpy as np
 import tiktoken
 from public_tokenizers import PATTERN
 from tokenizers import Tokenizer
 
+from .bpe import pack
 from .common import Memo, resident
 from .count_transducer import byte_letters
 from .units import segments, split_units
 
 #: Units that a worker remembers (and as many of those before).
-UNITS = 250_000
+UNITS = 400_000
 #: Below this, what counts as a letter or digit has been settled for long, so that both libraries split alike.
 SETTLED = "ɐ"
 
@@ -47,9 +47,15 @@ class ByteLevel:
         self.fast = tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks={t: i for i, t in self.tokens.items()}, special_tokens={}) if ranked else None
 
     def encode(self, text: str) -> list[int]:
-        if self.fast is not None and text and max(text) < SETTLED and not any(a in text for a in self.added):
-            return self.fast.encode_ordinary(text)
-        return self.library.encode(text, add_special_tokens=False).ids
+        if self.fast is None or not (text.isascii() or max(text) < SETTLED) or self.holds_added(text):
+            return self.library.encode(text, add_special_tokens=False).ids
+        return self.fast.encode_ordinary(text)
+
+    def holds_added(self, text: str) -> bool:
+        for added in self.added:
+            if added in text:
+                return True
+        return False
 
 
 class UnitIds:
@@ -60,7 +66,7 @@ class UnitIds:
         self.later = Memo(lambda unit: self.packed(" " + unit), UNITS)
 
     def packed(self, text: str) -> bytes:
-        return np.array(self.model.encode(text), "<u4").tobytes()
+        return pack(self.model.encode(text))
 
     def text_ids(self, text: str) -> bytes:
         """The ids of a whole text, little-endian unsigned 32-bit integers."""
