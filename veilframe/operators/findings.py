@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from ..categories import model_category
 from ..functions.text import occurrences
 from ..options import CATEGORY_SWITCH, Options
+from ..shared import materialize
 from .detectors import CANDIDATES, PLACE_BITS
+from .literals import terms_by_text
 
 #: The priority of findings: after all patterns.
 PRIORITY = 13
@@ -53,12 +55,19 @@ def locate(text: Column, findings: Column) -> Column:
 
 
 def with_findings(found: DataFrame, findings: DataFrame, options: Options, text: str = "text") -> DataFrame:
-    """Adds located findings of the row's scope to its candidates."""
-    per_scope = findings.groupBy("scope_id").agg(F.sort_array(F.collect_list(F.struct("seq", "text", "category"))).alias("_findings"))
-    joined = found.join(per_scope, "scope_id", "left")
-    wanted = valid_findings(F.transform("_findings", lambda f: F.struct(f["text"], f["category"])), options)
+    """Adds located findings of the row's scope to its candidates.
+
+    A row only looks for those of its scope's findings that can stand in it (``literals.terms_by_text``), so scopes may have
+    any number of texts and findings.
+    """
+    wanted = valid_findings(F.array(F.struct("text", "category")), options)
+    usable = findings.select("scope_id", "seq", F.explode(wanted).alias("f")).select("scope_id", "seq", "f.text", "f.category")
+    row = materialize(found.withColumn("_row", F.monotonically_increasing_id()), "candidates")
+    near = terms_by_text(row, usable, ("_row",), "scope_id", text)
+    joined = row.join(near, "_row", "left")
     none = F.array().cast(CANDIDATES)
-    return joined.withColumn("candidates", F.concat("candidates", F.coalesce(locate(F.col(text), wanted), none))).drop("_findings")
+    terms = F.transform("found", lambda f: F.struct(f["text"].alias("text"), f["category"].alias("category")))
+    return joined.withColumn("candidates", F.concat("candidates", F.coalesce(locate(F.col(text), terms), none))).drop("found", "_row")
 
 
 def ask_model(texts: DataFrame, detector: Callable[[list[str]], list[str]], text: str = "text") -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..categories import LABELS
 from ..functions.text import bound, exploded, json_inner, luhn, normalize, settled
-from ..operators import audit, findings, gateway, layout, numbering, restore
+from ..operators import audit, findings, gateway, layout, literals, numbering, restore
 from ..operators.anonymize import accepted_spans, anonymize_rows, anonymize_scopes, explode_spans
 from ..operators.detectors import REGISTRY, is_plate, is_town, term_candidates, trim_name, trim_reference, with_candidates
 from ..operators.resolve import resolve_overlaps, resolve_spans, without_allowed_table
@@ -133,6 +133,25 @@ def custom_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explode_spans(found).groupBy("scope_id").agg(F.count("*").alias("n"))
 
 
+@query(
+    "custom_terms_table",
+    """
+    with w as (select distinct lower(w) as w from (select unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z]{10,}')) as w from conversations)),
+    d as (select doc_id, lower(text) as t from documents)
+    select doc_id as scope_id, cast(sum((length(t) - length(replace(t, w, ''))) // length(w)) as bigint) as n from d join w on contains(t, w) group by 1
+    """,
+)
+def custom_terms_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many terms as there are order lines, which occur nowhere, and the long words of all conversations, which may."""
+    found = table(spark, sf_dir, "conversations").select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]{10,}"), F.lit(0))).alias("text"))
+    words_found = found.select(F.lower("text").alias("text")).distinct()
+    absent = table(spark, sf_dir, "lineitem").select(F.concat_ws("", F.lit("absent"), "l_orderkey", F.lit("line"), "l_linenumber", F.lit("part"), "l_partkey").alias("text"))
+    terms = words_found.unionByName(absent).withColumn("seq", F.lit(0))
+    texts = documents(spark, sf_dir)
+    rows = settled(literals.table_candidates(texts, terms).select("scope_id", F.size("term_candidates").cast("long").alias("n")))
+    return rows.where("n > 0")
+
+
 # --- predicates and trims
 
 CARD_SQL = "case when o_orderkey % 2 = 0 then '4111 1111 1111 1111' else concat('4', lpad(cast(o_orderkey as string), 15, '0')) end"
