@@ -10,6 +10,7 @@ from ..options import Options
 from ..shared import materialize
 from .detectors import detect
 from .findings import with_findings
+from .literals import table_candidates
 from .numbering import build_mapping, row_labels, row_mapping
 from .resolve import resolve_overlaps, without_allowed
 
@@ -63,15 +64,19 @@ def explode_spans(found: DataFrame) -> DataFrame:
     return exploded(found, "spans", "s", "scope_id", "ord").select("scope_id", "ord", "s.start", "s.len", "s.original", "s.category")
 
 
-def anonymize_scopes(texts: DataFrame, options: Options | None = None, findings: DataFrame | None = None, seed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def anonymize_scopes(texts: DataFrame, options: Options | None = None, findings: DataFrame | None = None, seed: DataFrame | None = None, terms: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Texts ``(scope_id, ord, text)`` that share one mapping per scope.
 
     Returns ``(scope_id, ord, anonymized_text)`` and the mapping ``(scope_id, placeholder, original, category, pos)``
     of the values used in this pass.  ``(scope_id, ord)`` must be unique.  Null texts become empty.
-    Texts and their spans are a table in the shared folder, so detection runs once.
+    Texts and their spans are a table in the shared folder, so detection runs once.  ``terms(seq, text)`` are custom
+    terms of any number, beside those of the options.
     """
     options = options or Options()
-    found = accepted_spans(texts.select("scope_id", "ord", F.coalesce("text", F.lit("")).alias("text")), options, findings)
+    texts = texts.select("scope_id", "ord", F.coalesce("text", F.lit("")).alias("text"))
+    if terms is not None and options.custom:
+        texts = table_candidates(texts, terms)
+    found = accepted_spans(texts, options, findings)
     found = materialize(found.select("scope_id", "ord", "text", "spans"), "spans")
     spans = explode_spans(found)
     mapping = materialize(build_mapping(spans, options.language, seed), "mapping")

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import exploded, occurrences
 from ..options import Options
+from ..shared import materialize
 from .anonymize import anonymize_scopes
+from .literals import terms_by_text
 
 #: Words overlap by more than this share of the smaller height if they stand in one line.
 LINE_OVERLAP = 0.4
@@ -39,32 +41,62 @@ def page_texts(lines: DataFrame, text: str = "text") -> DataFrame:
     return joined.select("page_id", F.array_join(F.transform("l", lambda x: x["t"]), "\n").alias("text"))
 
 
+#: Characters of a bin of ``first_ranges``.
+BIN = 64
+
+
+def first_ranges(pieces: DataFrame, ranges: DataFrame, key: tuple[str, ...], order: str = "seq") -> DataFrame:
+    """``pieces(*key, start, end, ...)`` with ``hit``: the first range ``(*key, start, end, order, ...)`` by ``order`` that overlaps them.
+
+    Both sides fall into bins of ``BIN`` characters, and meet where they share one; what meets twice counts once.  Pieces
+    without a range, null keys and pieces without length have none.  ``order`` must be unique within a key; texts of any
+    length, and tables of any size.
+    """
+
+    def binned(df: DataFrame) -> DataFrame:
+        last = F.greatest(F.col("start"), F.col("end") - 1)
+        return df.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("start") / BIN), F.floor(last / BIN))))
+
+    row = F.struct(*(ranges[c] for c in ranges.columns if c not in key))
+    numbered = materialize(pieces.withColumn("_piece", F.monotonically_increasing_id()), "pieces")
+    near = binned(numbered.select(*key, "_piece", "start", "end")).join(binned(ranges.select(*key, "start", "end", row.alias("_range"))).withColumnsRenamed({"start": "_from", "end": "_to"}), [*key, "_bin"])
+    hits = near.where("start < _to and _from < end").groupBy("_piece").agg(F.min_by("_range", f"_range.{order}").alias("hit"))
+    return numbered.join(hits, "_piece", "left").drop("_piece")
+
+
+def original_ranges(lines: DataFrame, mapping: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """``(*key, seq, start, end, category, placeholder)``: where originals of a scope's ``mapping`` stand in its ``lines(*key,
+    scope_id, text)``; ``seq`` orders by ``pos`` of the mapping, then place.  A line only looks for what it can hold."""
+    terms = mapping.where("original <> ''").select("scope_id", "pos", F.col("original").alias("text"), "category", "placeholder")
+    found = terms_by_text(lines, terms, key, "scope_id")
+    joined = lines.select(*key, "text").join(found, list(key))
+
+    def places(m: Column) -> Column:
+        starts = occurrences(F.col("text"), m["text"])
+        return F.transform(starts, lambda s: F.struct(F.struct(m["pos"].alias("pos"), m["placeholder"].alias("name"), s.alias("at")).alias("seq"), s.alias("start"), (s + F.length(m["text"])).alias("end"), m["category"].alias("category"), m["placeholder"].alias("placeholder")))
+
+    return exploded(joined.withColumn("r", F.flatten(F.transform("found", places))), "r", "r", *key).select(*key, "r.*")
+
+
 def plan_redaction(words: DataFrame, options: Options | None = None, findings: DataFrame | None = None, seed: DataFrame | None = None, scope: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Boxes ``(page_id, x0, y0, x1, y1, category, placeholder)``, lines with their anonymised texts, and the mapping.
 
     Each line is searched by itself; the mapping's scope is the page, or what ``scope`` says (a document).  Every occurrence of
-    an original in a line gets a box, words that belong to one occurrence share it.
+    an original in a line gets a box, words that belong to one occurrence share it; where originals overlap, the one that was
+    numbered first counts.  Lines are ordered by page and line without any scope in one task.
     """
     scope = F.col("page_id") if scope is None else scope
-    lines = line_texts(with_lines(words)).withColumn("scope_id", scope)
-    order = F.dense_rank().over(Window.partitionBy("scope_id").orderBy("page_id", "line_no"))
-    lines = lines.withColumn("ord", order.cast("long"))
+    lines = line_texts(with_lines(words)).withColumn("scope_id", scope).withColumn("ord", F.struct("page_id", "line_no"))
+    lines = materialize(lines, "lines")
     texts, mapping = anonymize_scopes(lines.select("scope_id", "ord", "text"), options, findings, seed)
     done = lines.join(texts, ["scope_id", "ord"])
-    entries = mapping.groupBy("scope_id").agg(F.sort_array(F.collect_list(F.struct("pos", "original", "category", "placeholder"))).alias("m"))
-    hits = lines.join(entries, "scope_id")
-
-    def ranges_of(m: Column) -> Column:
-        return F.transform(occurrences(F.col("text"), m["original"]), lambda s: F.struct(s.alias("start"), (s + F.length(m["original"])).alias("end"), m["category"].alias("category"), m["placeholder"].alias("placeholder")))
-
-    hits = hits.withColumn("ranges", F.flatten(F.transform(F.filter("m", lambda m: F.contains(F.col("text"), m["original"]) & (m["original"] != "")), ranges_of)))
-    rows = exploded(hits, "words", "w", "page_id", "line_no", "ranges")
-    overlapping = F.filter(F.transform("ranges", lambda r, i: F.struct(i.alias("i"), r.alias("r"))), lambda x: (F.col("w.start") < x["r"]["end"]) & (x["r"]["start"] < F.col("w.end")))
-    first = F.get(overlapping, F.lit(0))
-    rows = rows.withColumn("hit", F.when(F.col("w.x0").isNotNull(), first))
-    w = Window.partitionBy("page_id", "line_no").orderBy("w.word_idx")
-    rows = rows.withColumn("island", F.sum(F.when(F.col("hit.i").eqNullSafe(F.lag("hit.i").over(w)), 0).otherwise(1)).over(w)).where("hit is not null")
-    boxes = rows.groupBy("page_id", "line_no", "island").agg(F.min("w.x0").alias("x0"), F.min("w.y0").alias("y0"), F.max("w.x1").alias("x1"), F.max("w.y1").alias("y1"), F.first("hit.r.category").alias("category"), F.first("hit.r.placeholder").alias("placeholder"))
+    key = ("page_id", "line_no")
+    ranges = materialize(original_ranges(lines, mapping, key), "ranges")
+    pieces = lines.join(ranges.select(*key).distinct(), list(key), "left_semi").select(*key, F.explode("words").alias("w")).select(*key, "w.*").where("x0 is not null")
+    rows = first_ranges(pieces, ranges, key)
+    w = Window.partitionBy(*key).orderBy("word_idx")
+    rows = rows.withColumn("island", F.sum(F.when(F.col("hit.seq").eqNullSafe(F.lag("hit.seq").over(w)), 0).otherwise(1)).over(w)).where("hit is not null")
+    boxes = rows.groupBy(*key, "island").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.first("hit.category").alias("category"), F.first("hit.placeholder").alias("placeholder"))
     return boxes.drop("island"), done.select("page_id", "line_no", "text", "anonymized_text"), mapping
 
 

@@ -47,6 +47,8 @@ def terms_by_text(texts: DataFrame, terms: DataFrame, ids: tuple[str, ...] = ("s
 
     needed = materialize(wanted.select(*by, "_no", F.explode(groups(F.col("_folded"), F.col("_size"))).alias("_group")), "term-groups")
     key = [*by, "_group"]
+    if scope:  # texts of scopes without terms are not taken apart
+        texts = texts.join(wanted.select(scope).distinct(), scope, "left_semi")
     held = texts.where(F.col(text).isNotNull()).select(*ids, *[c for c in by if c not in ids], F.explode(bound(folded(F.col(text)), lambda t: groups(t))).alias("_group"))
     held = held.join(needed.select(*key).distinct(), key, "left_semi")
     often = held.groupBy(key).agg(F.count("*").alias("_texts"))

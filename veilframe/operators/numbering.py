@@ -1,8 +1,8 @@
 """Placeholders for values: the same value has the same placeholder everywhere in its scope.
 
 A value is identified by its category and normal form.  Values are numbered per scope and category in the order
-of their first appearance ``(ord, start)``.  Only distinct values are numbered.  The order is cut into ``SLICES`` ranges of
-``ord`` with about as many values, each numbered by itself from the count before it, so that a scope as large as the corpus is no single task's work.
+of their first appearance ``(ord, start)``.  Only distinct values are numbered.  The order is cut into ranges
+with about as many values, each numbered by itself from the count before it.
 """
 
 from __future__ import annotations
@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 
 from ..categories import placeholder
 from ..functions.text import bound, normalize
-
-SLICES = 256
+from ..shared import materialize
 
 
 def seed_numbers(seed: DataFrame) -> DataFrame:
@@ -32,29 +31,38 @@ def first_appearances(spans: DataFrame) -> DataFrame:
     return first.select("scope_id", "category", "norm", "f.ord", "f.start", "f.original")
 
 
-def number_values(values: DataFrame, slices: int = SLICES) -> DataFrame:
-    """Adds ``number``: 1, 2, ... per scope and category by ``(ord, start)``."""
-    cuts = values.agg(F.percentile_approx("ord", F.array(*(F.lit(i / slices) for i in range(1, slices))), 20 * slices).alias("c")).first()["c"] if slices > 1 else None
-    cut = F.array(*map(F.lit, sorted(set(cuts or ())))).cast(f"array<{values.schema['ord'].dataType.simpleString()}>")
-    sliced = values.withColumn("slice", F.size(F.filter(cut, lambda c: c < F.col("ord"))))
-    counts = sliced.groupBy("scope_id", "category", "slice").count()
+def number_values(values: DataFrame, slices: int | None = None) -> DataFrame:
+    """Adds ``number``: 1, 2, ... per scope and category by ``(ord, start)``; ``ord`` may be of any type that has an order.
+
+    Rows are dealt to ranges of about equal size by that order (``slices``, or as many as shuffles have partitions), and written; each range is numbered by itself from the counts of
+    those before it.  So neither a scope as large as the corpus nor one huge text is a single task's work.
+    """
+    order = ["scope_id", "category", "ord", "start"]
+    ranged = values.repartitionByRange(*order) if slices is None else values.repartitionByRange(slices, *order)
+    dealt = materialize(ranged.withColumn("slice", F.spark_partition_id()), "values")
+    counts = dealt.groupBy("scope_id", "category", "slice").count()
     before = F.coalesce(F.sum("count").over(Window.partitionBy("scope_id", "category").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select("scope_id", "category", "slice", before.alias("offset"))
     place = F.row_number().over(Window.partitionBy("scope_id", "category", "slice").orderBy("ord", "start"))
-    return sliced.withColumn("place", place).join(offsets, ["scope_id", "category", "slice"]).withColumn("number", (F.col("place") + F.col("offset")).cast("int")).drop("slice", "place", "offset")
+    return dealt.withColumn("place", place).join(offsets, ["scope_id", "category", "slice"]).withColumn("number", (F.col("place") + F.col("offset")).cast("int")).drop("slice", "place", "offset")
 
 
 def build_mapping(spans: DataFrame, language: str = "de", seed: DataFrame | None = None) -> DataFrame:
     """``(scope_id, category, norm, placeholder, original, ord, start)`` for all values of ``spans(scope_id, ord, start, original, category)``.
 
     With a seed (an earlier mapping) a known value keeps its placeholder, shown with this pass's spelling, and new
-    values are numbered on from the largest number; of repeated seed values the last (by ``pos``, if there is one) counts.
+    values are numbered on from the largest number; of repeated seed values the last by ``pos`` counts.  A seed without
+    ``pos`` must not repeat a value with another placeholder: rows of a table have no order, so this fails.
     """
     values = first_appearances(spans)
     if seed is None:
         return number_values(values).withColumn("placeholder", placeholder(F.col("category"), F.col("number"), language)).drop("number")
     seed = seed.withColumn("norm", normalize(F.col("original")))
-    latest = F.max_by("placeholder", "pos") if "pos" in seed.columns else F.max("placeholder")
+    if "pos" in seed.columns:
+        latest = F.max_by("placeholder", "pos")
+    else:
+        several = F.min("placeholder") != F.max("placeholder")
+        latest = F.when(several, F.raise_error(F.lit("a seed repeats a value with another placeholder; give it a column pos"))).otherwise(F.max("placeholder"))
     known = seed.groupBy("scope_id", "category", "norm").agg(latest.alias("placeholder"))
     joined = values.join(known, ["scope_id", "category", "norm"], "left")
     new = number_values(joined.where("placeholder is null").drop("placeholder")).join(seed_numbers(seed), ["scope_id", "category"], "left")

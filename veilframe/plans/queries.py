@@ -652,6 +652,22 @@ def redaction_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes.select("page_id", "x0", "y0", "x1", "y1", "category", "placeholder")
 
 
+@query(
+    "first_ranges",
+    """
+    with p as (select l_suppkey as line, l_orderkey, l_linenumber, l_partkey % 1000 as a, l_partkey % 1000 + cast(l_quantity as bigint) as b from lineitem),
+    r as (select o_custkey % 100 + 1 as line, o_orderkey as seq, o_orderkey % 1000 as a, o_orderkey % 1000 + o_orderkey % 37 + 1 as b from orders)
+    select p.line, l_orderkey, l_linenumber, min(seq) as seq from p left join r on p.line = r.line and p.a < r.b and r.a < p.b group by p.line, l_orderkey, l_linenumber, p.a, p.b
+    """,
+)
+def first_ranges_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order line as an interval, and the first of the orders' intervals that overlaps it."""
+    pieces = table(spark, sf_dir, "lineitem").selectExpr("cast(l_suppkey as long) as line", "l_orderkey", "cast(l_linenumber as long) as l_linenumber", "cast(l_partkey % 1000 as int) as start", "cast(l_partkey % 1000 + cast(l_quantity as int) as int) as end")
+    ranges = table(spark, sf_dir, "orders").selectExpr("o_custkey % 100 + 1 as line", "o_orderkey as seq", "cast(o_orderkey % 1000 as int) as start", "cast(o_orderkey % 1000 + o_orderkey % 37 + 1 as int) as end")
+    found = layout.first_ranges(pieces, ranges, ("line",)).select("line", "l_orderkey", "l_linenumber", "start", "end", F.col("hit.seq").alias("seq"))
+    return found.groupBy("line", "l_orderkey", "l_linenumber", "start", "end").agg(F.min("seq").alias("seq")).drop("start", "end")
+
+
 @query(
     "placeholder_boxes",
     """
