@@ -11,7 +11,7 @@ from veilframe.operators import audit, findings, gateway, layout, numbering, res
 from veilframe.options import Options, pick_model
 from veilframe.sources import mapping_files, pdf_files, words
 from veilframe.streaming import sse
-from veilframe.streaming.sse import EventRestorer, latest_mapping, restore_stream, upsert_mapping
+from veilframe.streaming.sse import EventRestorer, latest_mapping, upsert_mapping
 
 
 def test_languages_and_models():
@@ -62,31 +62,13 @@ def test_stream_machine():
         machine, out = EventRestorer(entries), ""
         for i in range(0, len(stream), size):
             out += machine.push(stream[i : i + size])
-            machine = EventRestorer(entries, machine.state())
+            machine = EventRestorer(entries, machine.carry, machine.lines, machine.pending)
         out += machine.complete()
         assert texts(out) == 'Hi Max "M"! [op'
         assert json.loads(texts(out, "partial_json")) == {"a": 'Max "M"'}
         assert out.endswith("data: [DONE]\r\n\r\n: note\n\n")
 
 
-def test_stream_query(spark, tmp_path):
-    pieces = [("s", 0, "Hi", False), ("s", 1, "", False)]
-    first, second = delta("Hi [NA"), delta("ME_1]!") + 'data: {"type":"content_block_stop","index":0}\n\n'
-    schema = "stream_id string, seq long, chunk string, last boolean"
-    spark.createDataFrame([("s", 0, first, False)], schema).coalesce(1).write.parquet(f"{tmp_path}/in/a")
-    mapping = spark.createDataFrame([("s", "[NAME_1]", "Max")], "scope_id string, placeholder string, original string")
-    source = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
-    query = restore_stream(source, mapping).writeStream.format("memory").queryName("restored").option("checkpointLocation", f"{tmp_path}/state").start()
-    try:
-        query.processAllAvailable()
-        spark.createDataFrame([("s", 1, second, True)], schema).coalesce(1).write.parquet(f"{tmp_path}/in/b")
-        query.processAllAvailable()
-    finally:
-        query.stop()
-    rows = {r.seq: texts(r.text) for r in spark.table("restored").collect()}
-    assert rows == {0: "Hi ", 1: "Max!"} and pieces
-
-
 def test_mapping_versions(spark, tmp_path):
     schema = "scope_id string, placeholder string, original string, category string, pos long"
     upsert_mapping(spark.createDataFrame([("s", "[A_1]", "x", "term", 0)], schema), str(tmp_path / "m"))

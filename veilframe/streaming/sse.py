@@ -1,17 +1,18 @@
 """Server-sent events with placeholders, restored while they arrive.
 
-``EventRestorer`` is the state machine of one stream; its state is plain text, so it can live in a state store.
-``restore_stream`` runs it in Structured Streaming, ``restore_batch`` over finished streams.
+``EventRestorer`` is the state machine of one stream; what it holds is a line, an event's lines and a text for each block and
+kind.  ``restore_stream`` keeps these in Structured Streaming's state, ``restore_batch`` runs over finished streams.
 """
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from ..functions.json_tree import JsonText, Node, dump, read
 from ..functions.restorer import Restorer, json_inner
@@ -33,15 +34,9 @@ def split_open_bracket(text: str) -> tuple[str, str]:
 class EventRestorer:
     """Re-assembles lines and events over chunk boundaries and holds back unfinished placeholders, for each block and kind."""
 
-    def __init__(self, entries: list[tuple[str, str]], state: str | None = None):
+    def __init__(self, entries: list[tuple[str, str]], carry: str = "", lines: tuple[str, ...] = (), pending: dict[str, str] | None = None):
         self.restore = {"text_delta": Restorer(entries), "input_json_delta": Restorer(entries, json_inner)}
-        known = json.loads(state) if state else {}
-        self.carry: str = known.get("carry", "")
-        self.lines: list[str] = known.get("lines", [])
-        self.pending: dict[str, str] = known.get("pending", {})
-
-    def state(self) -> str:
-        return json.dumps({"carry": self.carry, "lines": self.lines, "pending": self.pending})
+        self.carry, self.lines, self.pending = carry, list(lines), dict(pending or {})
 
     def push(self, chunk: str | None) -> str:
         *lines, self.carry = (self.carry + (chunk or "")).split("\n")
@@ -109,44 +104,123 @@ class EventRestorer:
 
 
 def restore_batch(chunks: DataFrame, mapping: DataFrame) -> DataFrame:
-    """``(stream_id, text)``: finished streams ``(stream_id, seq, chunk)`` with originals (``mapping.scope_id`` is the stream)."""
+    """``(stream_id, text)``: finished streams ``(stream_id, seq, chunk)`` with originals (``mapping.scope_id`` is the stream).
+
+    A stream's chunks and its mapping meet in one task; the mapping is not repeated for every chunk.
+    """
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq")
-        entries = rows["entries"].iloc[0]
-        machine = EventRestorer([(e["placeholder"], e["original"]) for e in entries] if entries is not None else [])
-        text = "".join(map(machine.push, rows["chunk"])) + machine.complete()
+    def run(key: tuple, rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):  # a mapping without a stream
+            return rows[["stream_id"]].assign(text=rows["chunk"])
+        entries = known["entries"].iloc[0] if len(known) else ()
+        machine = EventRestorer([(e["placeholder"], e["original"]) for e in entries])
+        text = "".join(map(machine.push, rows.sort_values("seq")["chunk"])) + machine.complete()
         return pd.DataFrame({"stream_id": [key[0]], "text": [text]})
 
     send_package(chunks.sparkSession)
-    joined = chunks.join(mappings_by_scope(mapping).withColumnRenamed("scope_id", "stream_id"), "stream_id", "left")
     kind = chunks.schema["stream_id"].dataType.simpleString()
-    return joined.groupBy("stream_id").applyInPandas(run, f"stream_id {kind}, text string")
-
-
-def restore_stream(chunks: DataFrame, mapping: DataFrame) -> DataFrame:
-    """A streaming ``(stream_id, seq, chunk, last)`` to ``(stream_id, seq, text)``, with the machine's state per stream.
-
-    A row with ``last`` ends its stream and forgets the state.  ``mapping`` is static.
+    known = mappings_by_scope(mapping).withColumnRenamed("scope_id", "stream_id")
+    return chunks.groupBy("stream_id").cogroup(known.groupBy("stream_id")).applyInPandas(run, f"stream_id {kind}, text string")
+
+
+#: Milliseconds without a chunk after which a stream is ended, and for which an ended stream's late chunks are dropped.
+TIMEOUT = 60_000
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class StreamProcessor(StatefulProcessor):
+    """One stream's state: the next chunk's number and what is unfinished, early chunks, texts held back, the mapping, and
+    for a while that it has ended."""
+
+    def __init__(self, timeout: int):
+        self.timeout = timeout
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.line = handle.getValueState("line", "next bigint, carry string, lines array<string>")
+        self.early = handle.getMapState("early", "seq bigint", "chunk string, last boolean")
+        self.held = handle.getMapState("held", "block string", "text string")
+        self.known = handle.getValueState("known", "entries array<struct<placeholder:string,original:string>>")
+        self.ended = handle.getValueState("ended", "seq bigint", self.timeout)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:  # noqa: N802, N803
+        rows = list(rows)
+        if self.ended.exists():
+            return
+        for row in rows:
+            if row["entries"]:
+                self.known.update((row["entries"],))
+            self.early.updateValue((row["seq"],), (row["chunk"], row["last"]))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.timeout)
+        yield from self.go_on(key, False)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: object) -> Iterator[Row]:  # noqa: N802, N803
+        yield from self.go_on(key, True)
+
+    def go_on(self, key: tuple, end: bool) -> Iterator[Row]:
+        """Chunks in their order, as far as there are no gaps; at the end over gaps too."""
+        after, carry, lines = self.line.get() if self.line.exists() else (0, "", [])
+        entries = self.known.get()[0] if self.known.exists() else []
+        held = {k[0]: v[0] for k, v in self.held.iterator()} if self.held.exists() else {}
+        machine = EventRestorer([(e["placeholder"], e["original"]) for e in entries], carry, lines, held)
+        over = False
+        # what is early is only listed where the end is; else it is looked up number by number
+        gaps = iter(sorted(k[0] for k in self.early.keys())) if end and self.early.exists() else None
+        while not over:
+            seq = next(gaps, None) if gaps else after
+            if seq is None or not self.early.containsKey((seq,)):
+                break
+            chunk, last = self.early.getValue((seq,))
+            self.early.removeKey((seq,))
+            after, over = seq + 1, bool(last)
+            yield Row(stream_id=key[0], seq=seq, text=machine.push(chunk) + (machine.complete() if over else ""))
+        if end and not over:
+            rest = machine.complete()
+            if rest:
+                yield Row(stream_id=key[0], seq=after, text=rest)
+        if end or over:
+            self.forget(after)
+            return
+        self.line.update((after, machine.carry, machine.lines))
+        for block in held.keys() - machine.pending.keys():
+            self.held.removeKey((block,))
+        for block, text in machine.pending.items():
+            if held.get(block) != text:
+                self.held.updateValue((block,), (text,))
+
+    def forget(self, after: int) -> None:
+        for state in (self.line, self.early, self.held, self.known):
+            state.clear()
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.ended.update((after,))
+
+    def close(self) -> None:
+        pass
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    """State with maps, timers and times to live needs Spark's store on RocksDB; it is the session's setting."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+
+
+def restore_stream(chunks: DataFrame, mapping: DataFrame, timeout: int = TIMEOUT) -> DataFrame:
+    """A streaming ``(stream_id, seq, chunk, last)`` to ``(stream_id, seq, text)``.
+
+    Chunks are numbered from 0; those that come early wait in the state for the ones before them, repeated numbers count once.
+    A row with ``last`` ends its stream, and so does a time of ``timeout`` milliseconds without a chunk: then what waits is
+    shown, over gaps too, and the state goes.  Chunks that come after the end are dropped for as long again.
+    ``mapping`` is static; it travels with a stream's first chunk only.
     """
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:  # noqa: ANN001
-        rows = pd.concat(list(batches)).sort_values("seq")
-        entries = rows["entries"].iloc[0]
-        machine = EventRestorer([(e["placeholder"], e["original"]) for e in entries] if entries is not None else [], state.get[0] if state.exists else None)
-        out = []
-        for seq, chunk, last in zip(rows["seq"], rows["chunk"], rows["last"], strict=True):
-            out.append((key[0], seq, machine.push(chunk) + (machine.complete() if last else "")))
-        if bool(rows["last"].any()):
-            state.remove()
-        else:
-            state.update((machine.state(),))
-        yield pd.DataFrame(out, columns=["stream_id", "seq", "text"])
-
     send_package(chunks.sparkSession)
-    joined = chunks.join(mappings_by_scope(mapping).withColumnRenamed("scope_id", "stream_id"), "stream_id", "left")
+    use_rocksdb(chunks.sparkSession)
     kind = chunks.schema["stream_id"].dataType.simpleString()
-    return joined.groupBy("stream_id").applyInPandasWithState(run, f"stream_id {kind}, seq long, text string", "machine string", "append", "NoTimeout")
+    known = mappings_by_scope(mapping).withColumnRenamed("scope_id", "_first")
+    first = chunks.select("stream_id", F.col("seq").cast("long").alias("seq"), "chunk", "last", F.when(F.col("seq") == 0, F.col("stream_id")).alias("_first"))
+    joined = first.join(known, "_first", "left").drop("_first")
+    return joined.groupBy("stream_id").transformWithState(StreamProcessor(timeout), f"stream_id {kind}, seq long, text string", "append", "ProcessingTime")
 
 
 def upsert_mapping(batch: DataFrame, path: str) -> None:
