@@ -186,4 +186,4 @@ def test_numbers_go_on_over_batches(spark, tmp_path):
     batches = [[(1, 0, "a@b.ch c@d.ch")], [(1, 1, "e@f.ch c@d.ch"), (2, 0, "x@y.ch")], [(1, 2, "a@b.ch g@h.ch")]]
     out = [sse.continue_scopes(spark.createDataFrame(b, "scope_id long, ord long, text string"), path, options).collect() for b in batches]
     assert {r.anonymized_text for rows in out for r in rows} == {"[EMAIL_1] [EMAIL_2]", "[EMAIL_3] [EMAIL_2]", "[EMAIL_1]", "[EMAIL_1] [EMAIL_4]"}
-    assert latest_mapping(spark, path)[1].count() == 5
+    assert mapping_files.load_scopes(spark, path).count() == 5

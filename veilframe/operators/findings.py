@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..categories import model_category
 from ..functions.text import occurrences
 from ..options import CATEGORY_SWITCH, Options
-from ..shared import materialize
+from ..shared import exists, materialize
 from .detectors import CANDIDATES, PLACE_BITS
 from .literals import terms_by_text
 
@@ -80,6 +80,34 @@ def ask_model(texts: DataFrame, detector: Callable[[list[str]], list[str]], text
     return texts.mapInPandas(ask, f"{texts.schema.simpleString()[:-1]},answer:string>")
 
 
+def ask_known(texts: DataFrame, detector: Callable[[list[str]], list[str]], path: str, model: str, text: str = "text", batch: int = 32) -> DataFrame:
+    """Adds ``answer`` as ``ask_model`` does, but asks each different text only once, in all runs with one ``path`` and ``model``.
+
+    Answers are kept in a table by model and the text's SHA-256.  The texts that it lacks are asked ``batch`` at a time and
+    appended before any answer is used, so a run that fails later asks nothing twice.  Null texts count as empty.
+    """
+    spark = texts.sparkSession
+    hashed = texts.withColumn("_hash", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    fresh = hashed.groupBy("_hash").agg(F.first(F.coalesce(F.col(text), F.lit(""))).alias("_text"))
+
+    def known() -> DataFrame:
+        rows = spark.read.schema("_hash string, answer string, model string").parquet(path).where(F.col("model") == model)
+        return rows.groupBy("_hash").agg(F.min("answer").alias("answer"))
+
+    if exists(spark, path):
+        fresh = fresh.join(known().select("_hash"), "_hash", "left_anti")
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for at in range(0, len(rows), batch):
+                part = rows.iloc[at : at + batch]
+                yield pd.DataFrame({"_hash": part["_hash"], "answer": detector(part["_text"].tolist())})
+
+    answered = fresh.mapInPandas(ask, "_hash string, answer string").withColumn("model", F.lit(model))
+    answered.write.mode("append").partitionBy("model").parquet(path)
+    return hashed.join(known(), "_hash", "left").drop("_hash")
+
+
 def pull_progress(line: Column) -> Column:
     """A line of download progress as ``(status, percent, is_success, is_error)``; null for lines that are no object."""
     line = F.trim(line)

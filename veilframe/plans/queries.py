@@ -20,6 +20,7 @@ from ..operators.resolve import resolve_overlaps, resolve_spans, without_allowed
 from ..options import Options
 from ..shared import shared_path
 from ..sources import mapping_files, pdf_files, words
+from ..streaming import scopes
 from ..streaming.sse import restore_batch
 from . import cases
 from .variants import VARIANTS
@@ -522,6 +523,45 @@ def mapping_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapping_files.load(spark, path)
 
 
+@query(
+    "mapping_store_scopes",
+    "select o_custkey as scope_id, concat(case when o_custkey % 100 = 1 then '[NEW_' else '[OLD_' end, cast(o_orderkey as string), ']') as placeholder from orders where o_custkey % 100 <> 2",
+)
+def mapping_store_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store of all customers' mappings, of which one in a hundred is replaced and one in a hundred removed."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("scope_id"), F.concat(F.lit("[OLD_"), F.col("o_orderkey").cast("string"), F.lit("]")).alias("placeholder"))
+    path = shared_path(spark, "mapping-scopes")
+    mapping_files.replace_scopes(spark, path, rows)
+    new = rows.where("scope_id % 100 = 1").withColumn("placeholder", F.replace("placeholder", F.lit("OLD"), F.lit("NEW")))
+    mapping_files.replace_scopes(spark, path, new, rows.where("scope_id % 100 = 2").select("scope_id").distinct())
+    return mapping_files.load_scopes(spark, path)
+
+
+@query("findings_known", "select conv_id, turn, cast(length(coalesce(text, '')) as string) as answer from conversations")
+def findings_known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers that a run before has left, and those of the texts that are new."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    path = shared_path(spark, "answers")
+
+    def lengths(texts: list[str]) -> list[str]:
+        return [str(len(t)) for t in texts]
+
+    findings.ask_known(rows.where("turn % 2 = 0"), lengths, path, "lengths")
+    return findings.ask_known(rows, lengths, path, "lengths").drop("text")
+
+
+@query("mapping_stream", SQL["mapping_scopes"])
+def mapping_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mapping of all texts, numbered by a stream that reads them as a table's files."""
+    folder = shared_path(spark, "mapping-stream")
+    texts = cases.case_texts(spark, sf_dir)
+    texts.write.parquet(f"{folder}/texts")
+    source = spark.readStream.schema(texts.schema).parquet(f"{folder}/texts")
+    out = scopes.anonymize_stream(source, Options.only("emails", "ips")).writeStream.format("parquet").option("checkpointLocation", f"{folder}/state")
+    out.trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("scope_id", F.explode("entries").alias("e")).select("scope_id", "e.*")
+
+
 # --- JSON requests and responses, streams
 
 

@@ -248,12 +248,17 @@ def latest_mapping(spark, path: str) -> tuple[int, DataFrame | None]:  # noqa: A
 def continue_scopes(batch: DataFrame, path: str, options: Options | None = None) -> DataFrame:
     """For ``foreachBatch``: replace the values of a micro-batch ``(scope_id, ord, text)`` and keep its numbers.
 
-    Values of earlier batches keep their placeholders, new ones are numbered on from the largest; the mapping's next version
-    is written before the texts ``(scope_id, ord, anonymized_text)`` are returned.  One writer per table.
+    Values of earlier batches keep their placeholders, new ones are numbered on from the largest.  The mapping is a store of
+    ``mapping_files.replace_scopes``: only the parts of the batch's scopes are read and written, before the texts
+    ``(scope_id, ord, anonymized_text)`` are returned.  A batch that is run again changes nothing.  See ``scopes.anonymize_stream`` for
+    numbers in the stream's own state.
     """
     from ..operators.anonymize import anonymize_scopes
+    from ..operators.numbering import merge_mappings
+    from ..sources.mapping_files import load_scopes, replace_scopes
 
-    version, old = latest_mapping(batch.sparkSession, path)
+    spark = batch.sparkSession
+    old = load_scopes(spark, path, batch)
     texts, mapping = anonymize_scopes(batch, options, seed=old)
-    upsert_mapping(mapping, path)
+    replace_scopes(spark, path, mapping if old is None else merge_mappings(old, mapping))
     return texts
