@@ -12,7 +12,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from veilframe.llm import media, url_filter, warc
+from veilframe.llm import common, media, url_filter, warc
 
 BIG = "é" * 200_000
 PAGES = [(1, "http://a/", BIG), (7, "http://b/\r\nX: y", BIG), (3, None, BIG), (4, "u", "x" * 999), (5, "u", "x" * 999), (6, "u", None), (None, "u", BIG), (8, "u", ""), (7, "http://b/", BIG), (9, "u", "WARC/1.1\r\n\r\n\r\n\r\n"), (10, "u", "y" * 1000), (11, "u", "y" * 1000)]
@@ -234,3 +234,28 @@ def test_window_spans_are_segments_of_the_whole(spark):
     expected = features.segments(media.frame_energy(whole))
     assert len(whole) > media.BLOCK and expected and joined == expected
     assert len(rows) == -(-len(whole) // media.FRAMES) and all(round((r.end_s - r.start_s) / step) == media.FRAMES for r in rows[:-1])
+
+
+def test_long_urls_and_rows_of_one_record(spark, tmp_path, monkeypatch):
+    """A header is as long as its url; rows of one id and payload are split, and each is read back."""
+    url = "https://example.org/" + "x" * (3 << 20)
+    rows = [(1, url, "p" * 2000), (2, None, "p" * 2000), (3, "https://a.b/", url)] + [(None, "https://c.d/", "q" * 1500)] * 40 + [(7, "https://e.f/", "r" * 1200)] * 30
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    monkeypatch.setattr(common, "HOT_SHARE", 10)
+    folder = f"file://{tmp_path}/warc"
+    manifest = warc.write_archives(pages, folder)
+    read = warc.read_chunks(manifest, folder).where("last").collect()
+    assert len(read) == len(rows) and {r.url for r in read if r.page_id == 1} == {url}
+    assert {(r.page_id, r.record_type, r.refers_to) for r in read} == {(1, "revisit", 2), (2, "response", None), (3, "response", None), (None, "response", None), (7, "response", None)}
+    with pytest.raises(ValueError, match="within its header"):
+        list(warc.read_records(iter([gzip.compress(b"WARC/1.1\r\nWARC-Type: response")])))
+
+
+def test_lists_of_any_size(spark):
+    urls = [(i, f"https://h{i % 50}.example.{'net' if i % 2 else 'org'}/p{i % 7}/x") for i in range(300)] + [(None, None), (5, "no url")]
+    df = spark.createDataFrame(urls, "page_id long, url string")
+    rules = tuple(url_filter.Rule.parse("block" if k % 3 else "allow", f"h{k}.example.net/p{k % 7}") for k in range(0, 60, 2)) + (url_filter.Rule.parse("block", "net/"),)
+    want = sorted(map(str, url_filter.filter_urls(df, rules).collect()))
+    assert sorted(map(str, url_filter.filter_urls(df, rules, limit=64).collect())) == want
+    assert url_filter.level_bits(10, 10**12) >= 6 * 10 * (10**11) ** (1 / 6) and url_filter.level_bits(1, 0) == 1024

@@ -7,6 +7,7 @@ import random
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -120,3 +121,23 @@ def test_memo_keeps_recent_entries():
     assert calls == [1, 2, 3, 4, 5]
     for x in range(100):
         assert memo[x] == -x and len(memo) <= 3
+
+
+def test_few_states_count_alike(monkeypatch, library):
+    """A machine that forgets its states again and again counts what one that keeps them does."""
+    with open(SPEC, "rb") as f:
+        counter = ct.TokenCounter(f.read())
+    monkeypatch.setattr(ct, "STATE_LIMIT", 3)
+    rng = random.Random(8)
+    for text in ["don't", "internationalisation", "x" * 300, *("".join(rng.choice("abcdefgh'é日") for _ in range(rng.randint(1, 40))) for _ in range(100))]:
+        assert sum(counter.machine.count(p.encode()) for p in regex.findall(public_tokenizers.PATTERN, text)) == len(library.encode_ordinary(text))
+        assert len(counter.machine.states) <= 3
+
+
+def test_merges_must_reach_every_token():
+    spec = json.loads(open(SPEC, encoding="utf-8").read())
+    letters = ct.byte_letters()
+    spec["model"]["vocab"] = {letters[b]: b for b in range(256)}
+    spec["model"]["merges"] = ["b c", "a b", "ab c"]
+    with pytest.raises(ValueError, match="every token"):
+        ct.TokenCounter(json.dumps(spec).encode())

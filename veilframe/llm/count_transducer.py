@@ -21,10 +21,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .bpe import PIECE_CACHE, PrefixEncoder
+from .bpe import PIECE_CACHE, PrefixEncoder, merge
 from .common import Memo, broadcast_file, map_arrow, resident
 
-#: Compiled states of the counting machine; pieces that would need more are counted by the prefix table.
+#: Compiled states that the counting machine keeps; when it has so many, it forgets them and compiles anew what it meets.
 STATE_LIMIT = 100_000
 
 #: Characters scanned at once, and characters of a chunk.
@@ -140,13 +140,27 @@ class CountTransducer:
     def __init__(self, encoder: PrefixEncoder):
         self.encoder = encoder
         self.prefixes = {token[:i] for token in encoder.ranks for i in range(1, len(token) + 1)}
-        start = (b"", ((-1, 0),))
-        self.number, self.states = {start: 0}, [start]
-        self.go: list[dict[int, tuple[int, int]]] = [{}]
         self.counts = Memo(lambda piece: self.count(piece.encode()), PIECE_CACHE)
+        self.forget((b"", ((-1, 0),)))
+
+    def forget(self, state: tuple) -> None:
+        """Only one state is known."""
+        self.number, self.states = {state: 0}, [state]
+        self.go: list[dict[int, tuple[int, int]]] = [{}]
+
+    def numbered(self, state: tuple) -> int:
+        number = self.number.get(state)
+        if number is None:
+            if len(self.states) >= STATE_LIMIT:
+                self.forget(state)
+                return 0
+            number = self.number[state] = len(self.states)
+            self.states.append(state)
+            self.go.append({})
+        return number
 
-    def compile(self, state: int, byte: int) -> tuple[int, int] | None:
-        """The transition, or none where it would need one state too many."""
+    def compile(self, state: int, byte: int) -> tuple[tuple, int]:
+        """The state that a byte leads to, and the change of the number of tokens."""
         tail, places = self.states[state]
         text, ranks, stable = tail + bytes((byte,)), self.encoder.ranks, self.encoder.stable
         for i, place in enumerate(places):  # the token that ends here begins after i bytes of the tail
@@ -158,26 +172,20 @@ class CountTransducer:
         change, prefixes = place[1] + 1, self.prefixes
         cut = next((k for k in range(len(text)) if text[k:] in prefixes), len(text))
         kept = [p and (p[0], p[1] - change) if text[k:] in prefixes else None for k, p in enumerate(places[cut:], cut)]
-        new = (text[cut:], (*kept, (token, 0)))
-        target = self.number.get(new)
-        if target is None:
-            if len(self.states) >= STATE_LIMIT:
-                return None
-            target = self.number[new] = len(self.states)
-            self.states.append(new)
-            self.go.append({})
-        found = self.go[state][byte] = (target, change)
-        return found
+        return (text[cut:], (*kept, (token, 0))), change
 
     def count(self, data: bytes) -> int:
         """The sum of the transitions' changes: the number of tokens."""
-        if data in self.encoder.ranks:
-            return 1
-        state, go, total = 0, self.go, 0
+        state, total = self.numbered((b"", ((-1, 0),))), 0
         for byte in data:
-            step = go[state].get(byte) or self.compile(state, byte)
+            step = self.go[state].get(byte)
             if step is None:
-                return len(self.encoder.encode_piece(data))
+                target, change = self.compile(state, byte)
+                known, before = self.states, state
+                number = self.numbered(target)
+                step = (number, change)
+                if known is self.states:  # else the state before has been forgotten
+                    self.go[before][byte] = step
             state = step[0]
             total += step[1]
         return total
@@ -195,9 +203,13 @@ class TokenCounter:
         if any(spec["model"].get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback")):
             raise ValueError("plain merges of bytes are needed")
         plain = {c: b for b, c in byte_letters().items()}
-        order = {bytes(plain[c] for c in a + b): i for i, (a, b) in enumerate(x.split(" ") if isinstance(x, str) else x for x in spec["model"]["merges"])}
+        pairs = [tuple(bytes(map(plain.__getitem__, side)) for side in (x.split(" ") if isinstance(x, str) else x)) for x in spec["model"]["merges"]]
         ranks = {bytes((b,)): b for b in range(256)}
-        ranks.update((token, 256 + i) for token, i in order.items())
+        ranks.update((a + b, 256 + i) for i, (a, b) in enumerate(pairs))
+        # ranks say which bytes are joined, merges which pairs: they agree if each token is made of its merge's pair
+        for i, (a, b) in enumerate(pairs):
+            if merge(ranks, a + b, 256 + i) != [a, b]:
+                raise ValueError("merges that lead to every token are needed")
         self.machine = CountTransducer(PrefixEncoder(ranks))
         added = sorted((t["content"] for t in spec.get("added_tokens") or ()), key=len, reverse=True)
         if any(t.get(k) for t in spec.get("added_tokens") or () for k in ("lstrip", "rstrip", "single_word")):

@@ -8,7 +8,9 @@ key of the universe is listed if the first level that rejects it has an even num
 of an odd number of levels.  So membership is exact, with no join when urls are judged.
 
 Each verdict has its own cascade.  A level's bits reach the expressions as one array of longs by a scalar
-subquery.  Level 1 has ``BITS_PER_KEY`` bits a listed key; the later levels shrink, as their false positives do.
+subquery.  A level is made so large that it admits no more wrong keys than it holds right ones: its bits grow with the list, and
+only with the sixth root of the universe.  A list whose levels would be larger than ``BROADCAST_LIMIT`` is not sent to anyone: keys are
+looked up in it by a join.
 """
 
 from __future__ import annotations
@@ -120,17 +122,23 @@ class Cascade:
         return out
 
 
-def build_cascade(spark: SparkSession, listed: DataFrame, universe: DataFrame, bits_per_key: int = BITS_PER_KEY) -> Cascade:
+def level_bits(inside: int, outside: int, bits_per_key: int = BITS_PER_KEY) -> int:
+    """Bits of a level with so many keys, such that of ``outside`` others no more are expected to be admitted; a power of two."""
+    wanted = max(inside * bits_per_key, HASHES * inside * (max(1, outside) / inside) ** (1 / HASHES))
+    return max(1024, 1 << (int(wanted) - 1).bit_length())
+
+
+def build_cascade(spark: SparkSession, listed: DataFrame, universe: DataFrame, bits_per_key: int | None = None, limit: int = BROADCAST_LIMIT) -> Cascade | None:
     """``listed`` and ``universe``: distinct strings in a column ``key``.
 
-    The levels' keys are tables in the shared folder; only the bits, at most ``BROADCAST_LIMIT`` bytes a
-    level, are sent to executors.
+    The levels' keys are tables in the shared folder; only the bits, at most ``limit`` bytes a level, are sent to
+    executors.  None where a level would need more.  ``bits_per_key`` fixes the levels' sizes, which else follow ``level_bits``.
     """
     inside, outside, levels = listed, universe.join(listed, "key", "left_anti"), []
     while (n := inside.count()) and len(levels) < MAX_LEVELS:
-        bits = max(1024, 1 << (n * bits_per_key - 1).bit_length())
-        if bits // 8 > BROADCAST_LIMIT:
-            raise ValueError(f"a level of {bits} bits is too large; split the list by host")
+        bits = level_bits(n, outside.count() if bits_per_key is None else 0, bits_per_key or BITS_PER_KEY)
+        if bits // 8 > limit:
+            return None
         level = Level(len(levels) + 1, bits, materialize(_words(inside, bits, len(levels) + 1), "bloom"))
         levels.append(level)
         admitted = materialize(outside.where(level.admits(F.col("key"))), "bloom-keys")
@@ -140,11 +148,20 @@ def build_cascade(spark: SparkSession, listed: DataFrame, universe: DataFrame, b
     return Cascade(tuple(levels))
 
 
-def filter_urls(df: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
+def judged_by_join(urls: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """``(id, host, path, best)`` for lists of any size: urls' keys meet the list in a join; the longest that is listed counts."""
+    listed = urls.sparkSession.createDataFrame([(r.key, r.verdict) for r in rules], "rule string, verdict string")
+    rows = materialize(urls.withColumn("row", F.monotonically_increasing_id()), "urls")
+    keys = rows.select("row", F.posexplode("keys").alias("place", "rule"))
+    best = keys.join(listed, "rule").groupBy("row").agg(F.min_by(F.struct("rule", "verdict"), "place").alias("best"))
+    return rows.join(best, "row", "left").select("id", "host", "path", "best")
+
+
+def filter_urls(df: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page_id", url_col: str = "url", default: str = "allow", limit: int = BROADCAST_LIMIT) -> DataFrame:
     """Judge every url by the longest rule that fits its host (or a parent domain) and path.
 
     One row per input row: the id column, ``host``, ``path``, ``rule`` (null if none fits) and ``verdict``
-    (the rule's, else ``default``).  Urls are judged without join or shuffle.
+    (the rule's, else ``default``).  Urls are judged without join or shuffle, but for lists that need more than ``limit`` bytes a level.
 
     A null url or one without ``://`` has an empty host and path and fits no rule.  Null and repeated ids pass
     through; further columns are ignored, so their names cannot clash.  A rule listed twice counts once;
@@ -162,7 +179,7 @@ def filter_urls(df: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "p
     cascades = {}
     for verdict in sorted({r.verdict for r in rules}):
         listed = spark.createDataFrame([(r.key,) for r in rules if r.verdict == verdict], "key string")
-        cascades[verdict] = build_cascade(spark, listed, universe)
+        cascades[verdict] = build_cascade(spark, listed, universe, limit=limit)
 
     def judged(bits: Column) -> Column:
         def verdict_of(key: Column) -> Column:
@@ -174,6 +191,10 @@ def filter_urls(df: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "p
         verdicts = F.transform("keys", lambda k: F.struct(k.alias("rule"), verdict_of(k).alias("verdict")))
         return F.get(F.filter(verdicts, lambda v: v["verdict"].isNotNull()), F.lit(0))
 
+    if any(c is None for c in cascades.values()):
+        named = judged_by_join(urls, rules)
+        return named.select(F.col("id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+
     every = F.array(*(c.words() for c in cascades.values())) if cascades else F.array().cast("array<array<array<long>>>")
     # a column of its own, as no subquery may stand in a function over arrays
     named = urls.withColumn("bits", every).select("id", "host", "path", F.get(F.transform(F.array("bits"), judged), F.lit(0)).alias("best"))

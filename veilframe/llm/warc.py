@@ -22,7 +22,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow, materialize, shared_path, spread_join
@@ -33,8 +33,6 @@ CHUNK = 64 << 10
 LEAST_REVISIT = 1000
 #: What ends a record.
 END = b"\r\n\r\n"
-#: Longest block of header lines.
-MAX_HEADER = 1 << 20
 
 CHUNK_SCHEMA = "record_id string, page_id {kind}, url string, record_type string, refers_to {kind}, chunk_no long, data binary, bytes_so_far long, sha1_so_far string, payload_bytes long, payload_digest string, last boolean"
 
@@ -53,6 +51,11 @@ def identifier(page_id: object, digest: str) -> str:
     return hashlib.md5(f"{'' if page_id is None else page_id}:{digest}".encode()).hexdigest()
 
 
+def record_key() -> Column:
+    """``identifier`` as an expression over ``page_id`` and ``digest``."""
+    return F.md5(F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.lit("")), "digest"))
+
+
 def roles(digests: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     """``(record_id, record_type, refers_to)`` for the distinct records of ``digests(page_id, digest, size)``.
 
@@ -64,8 +67,7 @@ def roles(digests: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     groups = rows.where(F.col("size") >= least).groupBy("digest", "size").agg(F.max("page_id").alias("largest"), F.count("*").alias("n")).where("n > 1").drop("n")
     found = spread_join(rows, groups.drop("size"), "digest", "page_id", "left", digests)
     refers = F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("largest")), F.col("largest"))
-    key = F.md5(F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.lit("")), "digest"))
-    return found.select(key.alias("record_id"), F.when(refers.isNotNull(), "revisit").otherwise("response").alias("record_type"), refers.alias("refers_to"))
+    return found.select(record_key().alias("record_id"), F.when(refers.isNotNull(), "revisit").otherwise("response").alias("record_type"), refers.alias("refers_to"))
 
 
 def payload_chunks(pages: DataFrame, id_col: str, url_col: str, payload_col: str, chunk: int = CHUNK) -> DataFrame:
@@ -138,7 +140,9 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     payload = F.coalesce(pages[payload_col], F.lit(""))
     kind = id_kind(pages.schema[id_col].dataType.simpleString())
     digests = materialize(pages.select(pages[id_col].cast(kind).alias("page_id"), F.sha1(payload.cast("binary")).alias("digest"), F.octet_length(payload).cast("long").alias("size")), "digests")
-    rows = payload_chunks(pages, id_col, url_col, payload_col, chunk).join(roles(digests, least), "record_id").where("record_type = 'response' or chunk_no = 0")
+    # rows of one id and payload are split by row, so however many there are, they are not one task's work
+    records = digests.select(record_key().alias("record_id"))
+    rows = spread_join(payload_chunks(pages, id_col, url_col, payload_col, chunk), roles(digests, least), "record_id", "row_id", counted=records).where("record_type = 'response' or chunk_no = 0")
     columns = ("record_id", "row_id", "page_id", "url", "chunk_no", "data", "bytes_so_far", "sha1_so_far", "payload_bytes", "digest", "record_type", "refers_to")
     rows = rows.select(*columns).sortWithinPartitions("record_id", "row_id", "chunk_no")
 
@@ -210,17 +214,19 @@ def read_records(source: Iterator[bytes], chunk: int = CHUNK) -> Iterator[tuple[
     stream = plain()
 
     def head_lines() -> list[bytes] | None:
+        """The lines up to the first empty one; they are as long as their url."""
         nonlocal buffer
-        buffer = buffer.lstrip(b"\r\n")
-        while (end := buffer.find(b"\r\n\r\n")) < 0:
+        found, seen = bytearray(buffer.lstrip(b"\r\n")), 0
+        while (end := found.find(b"\r\n\r\n", max(0, seen - 3))) < 0:
+            seen = len(found)
             more = next(stream, None)
-            if more is None or len(buffer) > MAX_HEADER:
-                if buffer.strip():
+            if more is None:
+                if found.strip():
                     raise ValueError("a record ends within its header")
                 return None
-            buffer = (buffer + more).lstrip(b"\r\n") if not buffer.strip() else buffer + more
-        lines, buffer = buffer[:end].split(b"\r\n"), buffer[end + 4 :]
-        return lines
+            found += more if found else more.lstrip(b"\r\n")
+        buffer = bytes(found[end + 4 :])
+        return bytes(found[:end]).split(b"\r\n")
 
     def fields(lines: list[bytes]) -> dict[str, str]:
         return {k.strip().lower(): v.removeprefix(" ") for k, _, v in (line.decode().partition(":") for line in lines[1:])}
