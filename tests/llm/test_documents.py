@@ -465,3 +465,14 @@ def test_pipeline(spark, sf_dir):
             assert not gone and all(not re.search(KINDS[0][1], t or "") for t in kept.values())
         texts, docs = kept, pipeline.common.materialize(out, name)
     assert pipeline.STAGES[-1][1](spark, docs, sf_dir).count() == len(texts)
+
+
+def test_decontamination_of_odd_tables(spark):
+    """Null and repeated ids, repeated rows, short items, an empty table: every row is judged by itself."""
+    words = [f"w{i}" for i in range(30)]
+    items = spark.createDataFrame([(None, " ".join(words[:10])), (2, " ".join(words[5:25])), (2, " ".join(words[20:30])), (3, "Two WORDS"), (4, None), (5, " .,; ")], "item_id long, text string")
+    texts = [(None, " ".join(words[:12])), (None, " ".join(words[:12])), (1, " ".join(words)), (1, " ".join(words)), (1, "x two words, w1 w2"), (2, None), (3, ""), (4, "two xx words"), (5, ("a " * 50_000) + " ".join(words[5:15]) + " b" * 50_000)]
+    rows = decontaminate.find_contamination(spark.createDataFrame(texts, "doc_id long, text string"), items).collect()
+    got = sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.contaminated) for r in rows)
+    assert got == sorted([("None", 12, 10, 0, True)] * 2 + [("1", 30, 30, 1, True)] * 2 + [("1", 5, 2, 1, True), ("2", 0, 0, 0, False), ("3", 0, 0, 0, False), ("4", 3, 0, 0, False), ("5", 100_010, 10, 1, True)])
+    assert decontaminate.find_contamination(spark.createDataFrame([], "doc_id long, text string"), items).count() == 0

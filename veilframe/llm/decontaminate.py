@@ -13,8 +13,9 @@ from __future__ import annotations
 
 import hashlib
 import pickle
+import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import ahocorasick
 import numpy as np
@@ -65,17 +66,21 @@ class Scanner:
                     self.owners[at] += own
         if self.sizes:
             self.automaton.make_automaton()
+            #: stretches of the benchmark's words that are long enough for its shortest window
+            self.stretch = re.compile(f"[^\0]{{{min(self.sizes)},}}")
 
     def scan(self, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
         """Which words are hit, and the items with occurring windows."""
         items: set[str] = set()
         change = np.zeros(len(words) + 1, np.int64)
         if self.sizes and words:
-            number, sizes, owners = self.numbers.get, self.sizes, self.owners
-            for last, pattern in self.automaton.iter("".join([number(w, "\0") for w in words])):
-                change[last + 1 - sizes[pattern]] += 1
-                change[last + 1] -= 1
-                items.update(owners[pattern])
+            sizes, owners = self.sizes, self.owners
+            for stretch in self.stretch.finditer("".join(map(self.numbers.get, words, repeat("\0")))):
+                for last, pattern in self.automaton.iter(stretch[0]):
+                    end = stretch.start() + last + 1
+                    change[end - sizes[pattern]] += 1
+                    change[end] -= 1
+                    items.update(owners[pattern])
         return np.cumsum(change[:-1]) > 0, items
 
 
