@@ -692,6 +692,31 @@ def redaction_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes.select("page_id", "x0", "y0", "x1", "y1", "category", "placeholder")
 
 
+@query(
+    "document_redaction",
+    """
+    with w as (select o_custkey as doc_id, o_orderkey as page_no, concat('m', cast(o_orderkey % 4 as string), '@x.org') as m, cast(case when o_orderkey % 3 = 0 then 500 else 100 end as double) as x0 from orders),
+    n as (select doc_id, m, 7 + row_number() over (partition by doc_id order by min(page_no)) as n from w where m <> 'm0@x.org' group by doc_id, m union all select distinct doc_id, 'm0@x.org', 7 from w)
+    select w.doc_id, page_no, x0, cast(0 as double) as y0, x0 + 90 as x1, cast(12 as double) as y1, concat('[EMAIL_', cast(n as string), ']') as placeholder from w join n on w.doc_id = n.doc_id and w.m = n.m
+    """,
+)
+def document_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of many pages: words of the text layer, recognised ones where a page has none; one mapping per document, which goes on from an
+    earlier one."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
+
+    def page_words(rows: DataFrame, x: float) -> DataFrame:
+        page = F.struct(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("page_no")).alias("page_id")
+        mail = F.concat(F.lit("m"), (F.col("o_orderkey") % 4).cast("string"), F.lit("@x.org"))
+        two = F.array(F.struct(F.lit(0).alias("i"), F.lit("Mail").alias("t"), F.lit(0.0).alias("x")), F.struct(F.lit(1).alias("i"), mail.alias("t"), F.lit(x).alias("x")))
+        return rows.select(page, F.explode(two).alias("w")).select("page_id", F.col("w.i").alias("word_idx"), F.col("w.t").alias("text"), F.col("w.x").alias("x0"), F.lit(0.0).alias("y0"), (F.col("w.x") + 90).alias("x1"), F.lit(12.0).alias("y1"))
+
+    pages = words.with_fallback(page_words(orders.where("o_orderkey % 3 <> 0"), 100.0), page_words(orders, 500.0))
+    seed = orders.select(F.col("o_custkey").alias("scope_id")).distinct().select("scope_id", F.lit("[EMAIL_7]").alias("placeholder"), F.lit("m0@x.org").alias("original"), F.lit("email").alias("category"))
+    boxes, _, _ = layout.plan_redaction(pages, Options.only("emails"), seed=seed, scope=F.col("page_id.doc_id"))
+    return boxes.select("page_id.doc_id", "page_id.page_no", "x0", "y0", "x1", "y1", "placeholder")
+
+
 @query(
     "first_ranges",
     """
