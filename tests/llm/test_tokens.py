@@ -124,7 +124,7 @@ def test_memo_keeps_recent_entries():
 
 
 def test_few_states_count_alike(monkeypatch, library):
-    """A machine that forgets its states again and again counts what one that keeps them does."""
+    """A machine that may have few states counts what one with many does."""
     with open(SPEC, "rb") as f:
         counter = ct.TokenCounter(f.read())
     monkeypatch.setattr(ct, "STATE_LIMIT", 3)

@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame
 from .bpe import PIECE_CACHE, PrefixEncoder, merge
 from .common import Memo, broadcast_file, map_arrow, resident
 
-#: Compiled states that the counting machine keeps; when it has so many, it forgets them and compiles anew what it meets.
+#: Compiled states of the counting machine.  A piece that would need one more is counted by the table of last tokens, from which the
+#: states are compiled: the counts are equal, and compiling states that are met once costs more than they save.
 STATE_LIMIT = 100_000
 
 #: Characters scanned at once, and characters of a chunk.
@@ -140,27 +141,13 @@ class CountTransducer:
     def __init__(self, encoder: PrefixEncoder):
         self.encoder = encoder
         self.prefixes = {token[:i] for token in encoder.ranks for i in range(1, len(token) + 1)}
-        self.counts = Memo(lambda piece: self.count(piece.encode()), PIECE_CACHE)
-        self.forget((b"", ((-1, 0),)))
-
-    def forget(self, state: tuple) -> None:
-        """Only one state is known."""
-        self.number, self.states = {state: 0}, [state]
+        start = (b"", ((-1, 0),))
+        self.number, self.states = {start: 0}, [start]
         self.go: list[dict[int, tuple[int, int]]] = [{}]
+        self.counts = Memo(lambda piece: self.count(piece.encode()), PIECE_CACHE)
 
-    def numbered(self, state: tuple) -> int:
-        number = self.number.get(state)
-        if number is None:
-            if len(self.states) >= STATE_LIMIT:
-                self.forget(state)
-                return 0
-            number = self.number[state] = len(self.states)
-            self.states.append(state)
-            self.go.append({})
-        return number
-
-    def compile(self, state: int, byte: int) -> tuple[tuple, int]:
-        """The state that a byte leads to, and the change of the number of tokens."""
+    def compile(self, state: int, byte: int) -> tuple[int, int] | None:
+        """The transition, or none where it would need one state too many."""
         tail, places = self.states[state]
         text, ranks, stable = tail + bytes((byte,)), self.encoder.ranks, self.encoder.stable
         for i, place in enumerate(places):  # the token that ends here begins after i bytes of the tail
@@ -172,20 +159,26 @@ class CountTransducer:
         change, prefixes = place[1] + 1, self.prefixes
         cut = next((k for k in range(len(text)) if text[k:] in prefixes), len(text))
         kept = [p and (p[0], p[1] - change) if text[k:] in prefixes else None for k, p in enumerate(places[cut:], cut)]
-        return (text[cut:], (*kept, (token, 0))), change
+        new = (text[cut:], (*kept, (token, 0)))
+        target = self.number.get(new)
+        if target is None:
+            if len(self.states) >= STATE_LIMIT:
+                return None
+            target = self.number[new] = len(self.states)
+            self.states.append(new)
+            self.go.append({})
+        found = self.go[state][byte] = (target, change)
+        return found
 
     def count(self, data: bytes) -> int:
-        """The sum of the transitions' changes: the number of tokens."""
-        state, total = self.numbered((b"", ((-1, 0),))), 0
+        """The sum of the transitions' changes: the number of tokens.  A token's bytes are one, as its merges lead to it."""
+        if data in self.encoder.ranks:
+            return 1
+        state, go, total = 0, self.go, 0
         for byte in data:
-            step = self.go[state].get(byte)
+            step = go[state].get(byte) or self.compile(state, byte)
             if step is None:
-                target, change = self.compile(state, byte)
-                known, before = self.states, state
-                number = self.numbered(target)
-                step = (number, change)
-                if known is self.states:  # else the state before has been forgotten
-                    self.go[before][byte] = step
+                return len(self.encoder.encode_piece(data))
             state = step[0]
             total += step[1]
         return total
