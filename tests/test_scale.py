@@ -1,6 +1,7 @@
 """Work is dealt to all cores, and large tables take no more than they need."""
 
 from veilframe.plans import cases
+from veilframe.streaming.sse import restore_batch
 
 
 def test_texts_of_one_file_are_many_tasks_work(spark, sf_dir):
@@ -8,3 +9,18 @@ def test_texts_of_one_file_are_many_tasks_work(spark, sf_dir):
     assert spark.read.parquet(f"{sf_dir}/orders.parquet").rdd.getNumPartitions() == 1
     assert texts.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
     assert texts.count() == spark.read.parquet(f"{sf_dir}/orders.parquet").count()
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_streams_meet_python_in_batches(spark):
+    rows = [(s, i, c) for s in (None, 1, 2) for i, c in ((1, 'data: {"type":"content_block_delta","delta":{"type":"text_delta","te'), (2, 'xt":"a [N_1]"}}\n\n'), (3, None), (0, ":\n\n"))]
+    chunks = spark.createDataFrame(rows, "stream_id long, seq long, chunk string")
+    mapping = spark.createDataFrame([(None, "[N_1]", "none"), (1, "[N_1]", "one"), (9, "[N_1]", "nine")], "scope_id long, placeholder string, original string")
+    out = restore_batch(chunks, mapping)
+    assert "CoGroup" not in plan(out)
+    got = {r.stream_id: r.text for r in out.collect()}
+    shown = ':\n\ndata: {{"type":"content_block_delta","delta":{{"type":"text_delta","text":"a {}"}}}}\n\n'
+    assert got == {None: shown.format("none"), 1: shown.format("one"), 2: shown.format("[N_1]")}

@@ -18,7 +18,7 @@ from ..operators.anonymize import accepted_spans, anonymize_rows, anonymize_scop
 from ..operators.detectors import REGISTRY, is_plate, is_town, term_candidates, trim_name, trim_reference, with_candidates
 from ..operators.resolve import resolve_overlaps, resolve_spans, without_allowed_table
 from ..options import Options
-from ..shared import shared_path
+from ..shared import shared_path, spread
 from ..sources import mapping_files, pdf_files, words
 from ..streaming import scopes
 from ..streaming.sse import restore_batch
@@ -627,7 +627,7 @@ def sse_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = ["Hi [NA", "ME_1]", "! [open "]
     stream = F.concat(*(F.replace(event, F.lit("%s"), F.lit(t)) for t in texts), F.lit('data: {"type":"content_block_stop","index":0}\n\n'))
     pieces = F.regexp_extract_all(stream, F.lit("(?s).{1,7}"), F.lit(0))
-    orders = table(spark, sf_dir, "orders")
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
     chunks = orders.select(F.col("o_orderkey").alias("stream_id"), F.posexplode(pieces).alias("seq", "chunk"))
     mapping = orders.select(F.col("o_orderkey").alias("scope_id"), F.lit("[NAME_1]").alias("placeholder"), F.concat(F.lit('Max "'), key, F.lit('"')).alias("original"))
     out = restore_batch(chunks, mapping)
@@ -639,7 +639,7 @@ def sse_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sse_json_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fragments of JSON input: the original is escaped, also where a placeholder is cut in two."""
     event = F.lit('data: {"type":"content_block_delta","index":1,"delta":{"type":"input_json_delta","partial_json":"%s"}}\n\n')
-    orders = table(spark, sf_dir, "orders")
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
     pieces = F.array(*(F.replace(event, F.lit("%s"), F.lit(t)) for t in ('{\\"a\\": \\"[NA', 'ME_1]\\"}')), F.lit('data: {"type":"content_block_stop","index":1}\n\n'))
     chunks = orders.select(F.col("o_orderkey").alias("stream_id"), F.posexplode(pieces).alias("seq", "chunk"))
     mapping = orders.select(F.col("o_orderkey").alias("scope_id"), F.lit("[NAME_1]").alias("placeholder"), F.concat(F.lit('Max "'), F.col("o_orderkey").cast("string"), F.lit('"')).alias("original"))

@@ -7,7 +7,7 @@ kind.  ``restore_stream`` keeps these in Structured Streaming's state, ``restore
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -106,21 +106,26 @@ class EventRestorer:
 def restore_batch(chunks: DataFrame, mapping: DataFrame) -> DataFrame:
     """``(stream_id, text)``: finished streams ``(stream_id, seq, chunk)`` with originals (``mapping.scope_id`` is the stream).
 
-    A stream's chunks and its mapping meet in one task; the mapping is not repeated for every chunk.
+    A finished stream is one text, as lines do not depend on where chunks end; it meets its mapping in one row, and rows come to
+    Python in Arrow batches, not stream by stream.
     """
 
-    def run(key: tuple, rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows):  # a mapping without a stream
-            return rows[["stream_id"]].assign(text=rows["chunk"])
-        entries = known["entries"].iloc[0] if len(known) else ()
-        machine = EventRestorer([(e["placeholder"], e["original"]) for e in entries])
-        text = "".join(map(machine.push, rows.sort_values("seq")["chunk"])) + machine.complete()
-        return pd.DataFrame({"stream_id": [key[0]], "text": [text]})
+    @F.pandas_udf("string")
+    def restored(streams: pd.Series, known: pd.Series) -> pd.Series:
+        def one(stream: str, entries: Iterable[dict] | None) -> str:
+            machine = EventRestorer([(e["placeholder"], e["original"]) for e in (() if entries is None else entries)])
+            return machine.push(stream) + machine.complete()
+
+        return pd.Series([one(s, e) for s, e in zip(streams, known, strict=True)], dtype="object")
 
     send_package(chunks.sparkSession)
-    kind = chunks.schema["stream_id"].dataType.simpleString()
-    known = mappings_by_scope(mapping).withColumnRenamed("scope_id", "stream_id")
-    return chunks.groupBy("stream_id").cogroup(known.groupBy("stream_id")).applyInPandas(run, f"stream_id {kind}, text string")
+    # chunks without a number come last
+    place = F.struct(F.col("seq").isNull().alias("none"), F.col("seq"), F.coalesce("chunk", F.lit("")).alias("chunk"))
+    streams = chunks.groupBy("stream_id").agg(F.sort_array(F.collect_list(place)).alias("c"))
+    whole = streams.select("stream_id", F.array_join(F.transform("c", lambda c: c["chunk"]), "").alias("stream"))
+    known = mappings_by_scope(mapping).withColumnRenamed("scope_id", "_stream")
+    joined = whole.join(known, whole["stream_id"].eqNullSafe(known["_stream"]), "left")
+    return joined.select("stream_id", restored("stream", "entries").alias("text"))
 
 
 #: Milliseconds without a chunk after which a stream is ended, and for which an ended stream's late chunks are dropped.
