@@ -1,6 +1,9 @@
 """Work is dealt to all cores, and large tables take no more than they need."""
 
+from pyspark.sql import Row
+
 from veilframe.plans import cases
+from veilframe.streaming.scopes import ScopeNumbers
 from veilframe.streaming.sse import restore_batch
 
 
@@ -24,3 +27,36 @@ def test_streams_meet_python_in_batches(spark):
     got = {r.stream_id: r.text for r in out.collect()}
     shown = ':\n\ndata: {{"type":"content_block_delta","delta":{{"type":"text_delta","text":"a {}"}}}}\n\n'
     assert got == {None: shown.format("none"), 1: shown.format("one"), 2: shown.format("[N_1]")}
+
+
+class Counted:
+    """A state of a stream that counts the messages to it."""
+
+    def __init__(self):
+        self.kept, self.messages = {}, 0
+
+    def __getattr__(self, name):
+        def call(key=None, value=None):
+            self.messages += 1
+            if name == "updateValue":
+                self.kept[key] = value
+            return {"exists": bool(self.kept), "containsKey": key in self.kept, "getValue": self.kept.get(key)}.get(name)
+
+        return call
+
+
+def test_numbers_of_a_scope_take_few_messages():
+    processor = ScopeNumbers({"email": "EMAIL"})
+    processor.numbers, processor.last = Counted(), Counted()
+
+    def texts(first, *values):
+        spans = [Row(start=0, len=1, original=v, category="email", norm=v) for v in values]
+        return [Row(ord=first + i, text="x", spans=[s]) for i, s in enumerate(spans)]
+
+    def run(rows):
+        return [r.anonymized_text for r in processor.handleInputRows((1,), iter(rows), None)]
+
+    assert run(texts(0, "a", "b", "a", "c", "b")) == ["[EMAIL_1]", "[EMAIL_2]", "[EMAIL_1]", "[EMAIL_3]", "[EMAIL_2]"]
+    assert processor.numbers.messages + processor.last.messages == 5  # one look, three values, one last number
+    assert run(texts(5, "c", "d", "c")) == ["[EMAIL_3]", "[EMAIL_4]", "[EMAIL_3]"]
+    assert processor.last.kept == {("email",): (4,)}

@@ -29,25 +29,39 @@ class ScopeNumbers(StatefulProcessor):
         self.numbers = handle.getMapState("numbers", "category string, norm string", "number bigint")
         self.last = handle.getMapState("last", "category string", "number bigint")
 
-    def number(self, category: str, norm: str) -> tuple[int, bool]:
-        if self.numbers.containsKey((category, norm)):
-            return self.numbers.getValue((category, norm))[0], False
-        number = (self.last.getValue((category,))[0] if self.last.containsKey((category,)) else 0) + 1
-        self.numbers.updateValue((category, norm), (number,))
-        self.last.updateValue((category,), (number,))
-        return number, True
-
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:  # noqa: N802, N803
+        # every look at the state is a message: a new scope has none to read, and a value or a category is read and written once
+        known, last, old = {}, {}, self.last.exists()
+        before = {}
+
+        def number(value: tuple[str, str]) -> tuple[int, bool]:
+            if value in known:
+                return known[value], False
+            found = self.numbers.getValue(value) if old else None
+            if found is not None:
+                known[value] = found[0]
+                return found[0], False
+            category = value[0]
+            if category not in last:
+                found = self.last.getValue((category,)) if old else None
+                last[category] = before[category] = found[0] if found is not None else 0
+            known[value] = last[category] = last[category] + 1
+            self.numbers.updateValue(value, (known[value],))
+            return known[value], True
+
         for row in sorted(rows, key=lambda r: r["ord"]):
             parts, at, entries = [], 0, []
             for span in row["spans"]:
-                number, new = self.number(span["category"], span["norm"])
-                name = f"[{self.labels[span['category']]}_{number}]"
+                count, new = number((span["category"], span["norm"]))
+                name = f"[{self.labels[span['category']]}_{count}]"
                 parts += (row["text"][at : span["start"]], name)
                 at = span["start"] + span["len"]
                 if new:
                     entries.append(Row(placeholder=name, original=span["original"], category=span["category"]))
             yield Row(scope_id=key[0], ord=row["ord"], anonymized_text="".join((*parts, row["text"][at:])), entries=entries)
+        for category, count in last.items():
+            if count != before[category]:
+                self.last.updateValue((category,), (count,))
 
     def close(self) -> None:
         pass
