@@ -3,6 +3,7 @@
 from pyspark.sql import Row
 
 from veilframe.plans import cases
+from veilframe.sources import pdf_files
 from veilframe.streaming.scopes import ScopeNumbers
 from veilframe.streaming.sse import restore_batch
 
@@ -60,3 +61,10 @@ def test_numbers_of_a_scope_take_few_messages():
     assert processor.numbers.messages + processor.last.messages == 5  # one look, three values, one last number
     assert run(texts(5, "c", "d", "c")) == ["[EMAIL_3]", "[EMAIL_4]", "[EMAIL_3]"]
     assert processor.last.kept == {("email",): (4,)}
+
+
+def test_pages_meet_python_in_batches(spark):
+    pages = spark.createDataFrame([(1, 1, b"bb", 3, 4), (1, 0, b"a", 1, 2), (None, 0, b"c", 5, 6)], "doc_id long, page_no int, jpeg binary, width int, height int")
+    out = pdf_files.write_pdfs(pages)
+    assert "FlatMapGroups" not in plan(out)
+    assert {r.doc_id: bytes(r.pdf) for r in out.collect()} == {1: pdf_files.images_to_pdf([(b"a", 1, 2), (b"bb", 3, 4)]), None: pdf_files.images_to_pdf([(b"c", 5, 6)])}
