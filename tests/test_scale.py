@@ -1,8 +1,11 @@
 """Work is dealt to all cores, and large tables take no more than they need."""
 
+import random
+
 from pyspark.sql import Row
 
 from veilframe.plans import cases
+from veilframe.operators import resolve
 from veilframe.sources import pdf_files
 from veilframe.streaming.scopes import ScopeNumbers
 from veilframe.streaming.sse import restore_batch
@@ -68,3 +71,20 @@ def test_pages_meet_python_in_batches(spark):
     out = pdf_files.write_pdfs(pages)
     assert "FlatMapGroups" not in plan(out)
     assert {r.doc_id: bytes(r.pdf) for r in out.collect()} == {1: pdf_files.images_to_pdf([(b"a", 1, 2), (b"bb", 3, 4)]), None: pdf_files.images_to_pdf([(b"c", 5, 6)])}
+
+
+def test_spans_of_small_texts_take_no_rounds(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(t, rng.randint(0, 90), rng.randint(0, 12), rng.randint(0, 3), i) for t in (None, 1, 2, 3) for i in range(30 if t == 3 else 12)]
+    spans = spark.createDataFrame(rows, "t long, start int, len int, priority int, seq int")
+
+    def kept(few):
+        written.clear()
+        return sorted(map(repr, resolve.resolve_spans(spans, ("t",), few=few).collect()))
+
+    written, write = [], resolve.materialize
+    monkeypatch.setattr(resolve, "materialize", lambda df, name: written.append(name) or write(df, name))
+    rounds = kept(0)
+    assert "taken" in written and rounds
+    assert kept(256) == rounds and "taken" not in written
+    assert kept(15) == rounds and "taken" in written

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import bound, normalize
+from ..functions.text import bound, exploded, normalize
 from ..shared import materialize
 from .detectors import CANDIDATES
 
@@ -75,11 +75,43 @@ def _nodes(start: Column, end: Column, height: int) -> Column:
     return F.concat(F.filter(F.array(*sides), lambda n: n.isNotNull()) if sides else none, F.coalesce(top, none))
 
 
-def resolve_spans(spans: DataFrame, keys: tuple[str, ...] = ("scope_id", "ord"), rank: tuple[str, ...] = ("priority", "-len", "start", "seq")) -> DataFrame:
+#: Spans of a text that are decided in one row.
+FEW = 256
+
+
+def _resolve_few(spans: DataFrame, columns: list[str]) -> DataFrame:
+    """The greedy selection by ``_rank`` for texts (``_text``) whose spans are one array, cut into runs that overlap."""
+    span = F.struct("start", (F.col("start") + F.col("len")).alias("end"), "_rank", F.struct(*columns).alias("row"))
+
+    def run(every: Column) -> Column:
+        def take(acc: Column, c: Column) -> Column:
+            clash = F.exists(acc, lambda a: (c["start"] < a["end"]) & (a["start"] < c["end"]))
+            return F.when(clash, acc).otherwise(F.concat(acc, F.array(F.struct(c["start"], c["end"], c["row"]))))
+
+        ranked = F.sort_array(F.transform(every, lambda c: F.struct(c["_rank"], c["start"], c["end"], c["row"])))
+        none = F.transform(F.slice(every, F.lit(1), F.lit(0)), lambda c: F.struct(c["start"], c["end"], c["row"]))
+        return F.when(F.size(every) == 1, F.transform(every, lambda c: c["row"])).otherwise(F.transform(F.aggregate(ranked, none, take), lambda c: c["row"]))
+
+    def runs(ordered: Column) -> Column:
+        def reach(acc: Column, c: Column) -> Column:
+            cuts = F.when(acc["end"].isNull() | (c["start"] >= acc["end"]), F.concat(acc["cuts"], F.array(acc["i"]))).otherwise(acc["cuts"])
+            return F.struct(F.greatest(acc["end"], c["end"].cast("long")).alias("end"), (acc["i"] + 1).alias("i"), cuts.alias("cuts"))
+
+        start = F.struct(F.lit(None).cast("long").alias("end"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("cuts"))
+        cuts = F.aggregate(ordered, start, reach, lambda acc: acc["cuts"])
+        return F.flatten(bound(cuts, lambda at: F.transform(at, lambda b, k: bound(F.slice(ordered, b + 1, F.coalesce(F.get(at, k + 1), F.size(ordered)) - b), run))))
+
+    texts = spans.groupBy("_text").agg(F.collect_list(span).alias("spans"))
+    sorted_spans = F.array_sort("spans", lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(0))
+    return exploded(texts.select(bound(sorted_spans, runs).alias("kept")), "kept", "s").select("s.*")
+
+
+def resolve_spans(spans: DataFrame, keys: tuple[str, ...] = ("scope_id", "ord"), rank: tuple[str, ...] = ("priority", "-len", "start", "seq"), few: int = FEW) -> DataFrame:
     """The greedy selection over a table of spans ``(*keys, start, len, ...)``; texts may have any number of spans.
 
     The same rule as ``resolve_overlaps``: spans are taken by ``rank`` (SQL expressions, smaller first; equal ones in any
-    order) unless they overlap one that was taken.  It works in rounds: a span that is the best of all undecided spans
+    order) unless they overlap one that was taken.  Texts of up to ``few`` spans are decided in one row each, larger ones in
+    rounds: a span that is the best of all undecided spans
     that overlap it is taken, what overlaps a span taken is dropped.  No pairs of spans are made: each span falls into
     binary intervals, an interval knows the best span that covers it and the best within it, and spans overlap where one's
     interval is the other's or lies in it.  So a round is two aggregations and two equality joins, whatever lies on top of one
@@ -91,6 +123,11 @@ def resolve_spans(spans: DataFrame, keys: tuple[str, ...] = ("scope_id", "ord"),
     text = F.struct(*keys)
     left = spans.where("len > 0").withColumn("_id", F.monotonically_increasing_id())
     left = materialize(left.select("*", order.alias("_rank"), text.alias("_text")), "undecided")
+    many = materialize(left.groupBy("_text").count().where(F.col("count") > few).select("_text"), "many")
+    if many.isEmpty():
+        return _resolve_few(left, columns)
+    decided = _resolve_few(left.join(many, "_text", "left_anti"), columns)
+    left = left.join(many, "_text", "left_semi")
     height = max(0, int(left.agg(F.max("len")).first()[0] or 1).bit_length() - 1)
     taken: list[DataFrame] = []
     while not left.isEmpty():
@@ -107,7 +144,7 @@ def resolve_spans(spans: DataFrame, keys: tuple[str, ...] = ("scope_id", "ord"),
         marks = up.join(won, "_id").groupBy(place).agg(F.bool_or("own").alias("covered"))
         hit = up.join(marks, place).where("covered or own").select("_id").distinct()
         left = materialize(left.join(hit, "_id", "left_anti"), "undecided")
-    out = spans.limit(0)
+    out = decided
     for part in taken:
         out = out.unionByName(part)
     return out
