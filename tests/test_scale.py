@@ -5,7 +5,7 @@ import random
 from pyspark.sql import Row
 
 from veilframe.plans import cases
-from veilframe.operators import resolve
+from veilframe.operators import literals, resolve
 from veilframe.sources import pdf_files
 from veilframe.streaming.scopes import ScopeNumbers
 from veilframe.streaming.sse import restore_batch
@@ -88,3 +88,13 @@ def test_spans_of_small_texts_take_no_rounds(spark, monkeypatch):
     assert "taken" in written and rounds
     assert kept(256) == rounds and "taken" not in written
     assert kept(15) == rounds and "taken" in written
+
+
+def test_terms_that_stand_nowhere_are_not_taken_apart(spark, monkeypatch):
+    texts = spark.createDataFrame([(1, 0, "the strasse"), (2, 0, "ox")], "scope_id long, ord long, text string")
+    terms = spark.range(500).selectExpr("concat('absent', id) as text").unionByName(spark.createDataFrame([("Stra",), ("OX",)], "text string"))
+    written, write = {}, literals.materialize
+    monkeypatch.setattr(literals, "materialize", lambda df, name: written.setdefault(name, write(df, name)))
+    found = {r.scope_id: [t.text for t in r.found] for r in literals.terms_by_text(texts, terms).collect()}
+    assert found == {1: ["Stra"], 2: ["OX"]}
+    assert "term-groups" not in written and written["anchors"].count() < 50

@@ -1,8 +1,8 @@
 """Many literals at once: which terms of a table can stand in which texts, found by an equality join.
 
-Every term has an anchor, the one of its groups of three characters that the fewest texts hold.  Only texts that hold the anchor
-meet the term; a term with a group that no text holds meets none.  No pattern of all terms is made, and neither
-terms nor texts are collected.
+Every term has an anchor, the one of its groups of three characters that the fewest texts hold, as counted in ``BUCKETS`` by the groups'
+hashes.  Only texts that hold the anchor meet the term; a term with a group whose bucket is empty meets none, and goes before anything is
+shuffled.  No pattern of all terms is made, and neither terms nor texts are collected.
 """
 
 from __future__ import annotations
@@ -23,6 +23,26 @@ def _groups(text: Column, size: int) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
 
 
+#: Groups are counted in so many buckets, which is all of them that the driver and plans hold.
+BUCKETS = 1 << 16
+
+
+def _bucket(group: Column) -> Column:
+    return F.pmod(F.xxhash64(group), F.lit(BUCKETS)).cast("int")
+
+
+def _levels(counts: DataFrame) -> bytes:
+    """For every bucket the bits of its count; 0 where nothing has fallen into it."""
+    levels = bytearray(BUCKETS)
+    for row in counts.collect():
+        levels[row["bucket"]] = row["count"].bit_length()
+    return bytes(levels)
+
+
+def _level(levels: bytes, group: Column) -> Column:
+    return F.substring(F.lit(levels), _bucket(group) + 1, F.lit(1))
+
+
 def terms_by_text(texts: DataFrame, terms: DataFrame, ids: tuple[str, ...] = ("scope_id", "ord"), scope: str | None = None, text: str = "text", term: str = "text") -> DataFrame:
     """``(*ids, found)``: for each text that may hold terms, those terms as an array of rows of ``terms``, sorted.
 
@@ -33,7 +53,7 @@ def terms_by_text(texts: DataFrame, terms: DataFrame, ids: tuple[str, ...] = ("s
     by = [scope] if scope else []
     shape = F.struct(*terms.columns)
     wanted = terms.where(F.length(term) > 0).select(*by, shape.alias("_term"), folded(F.col(term)).alias("_folded")).withColumn("_size", F.least(F.length("_folded"), F.lit(GROUP)))
-    wanted = materialize(wanted.withColumn("_no", F.monotonically_increasing_id()), "terms")
+    wanted = materialize(wanted, "terms")
     sizes = sorted(r["_size"] for r in wanted.select("_size").distinct().collect())
     if not sizes:
         return texts.select(*ids, F.array().cast(f"array<{terms.schema.simpleString()}>").alias("found")).where("false")
@@ -45,17 +65,18 @@ def terms_by_text(texts: DataFrame, terms: DataFrame, ids: tuple[str, ...] = ("s
         none = F.array().cast("array<string>")
         return F.concat(*(sized(of, s) if size is None else F.when(size == s, sized(of, s)).otherwise(none) for s in sizes))
 
-    needed = materialize(wanted.select(*by, "_no", F.explode(groups(F.col("_folded"), F.col("_size"))).alias("_group")), "term-groups")
-    key = [*by, "_group"]
     if scope:  # texts of scopes without terms are not taken apart
         texts = texts.join(wanted.select(scope).distinct(), scope, "left_semi")
-    held = texts.where(F.col(text).isNotNull()).select(*ids, *[c for c in by if c not in ids], F.explode(bound(folded(F.col(text)), lambda t: groups(t))).alias("_group"))
-    held = held.join(needed.select(*key).distinct(), key, "left_semi")
-    often = held.groupBy(key).agg(F.count("*").alias("_texts"))
-    rated = needed.join(often, key, "left").groupBy("_no").agg(F.bool_or(F.col("_texts").isNull()).alias("_absent"), F.min(F.struct("_texts", "_group")).alias("_best"))
-    anchors = wanted.join(rated.where("not _absent"), "_no").select(*by, F.col("_best._group").alias("_group"), "_term")
-    anchors = materialize(anchors, "anchors")
-    pairs = held.join(anchors, key)
+    texts = texts.where(F.col(text).isNotNull())
+    held = texts.select(F.explode(bound(folded(F.col(text)), lambda t: groups(t))).alias("_group"))
+    often = _levels(held.groupBy(_bucket(F.col("_group")).alias("bucket")).count())
+    rated = F.transform(groups(F.col("_folded"), F.col("_size")), lambda g: F.struct(_level(often, g).alias("level"), g.alias("group")))
+    best = wanted.select(*by, "_term", F.array_min(rated).alias("_best")).where(F.col("_best.level") != F.lit(b"\0"))
+    anchors = materialize(best.select(*by, F.col("_best.group").alias("_group"), "_term"), "anchors")
+    # only groups that may be an anchor leave their text
+    wanted_groups = _levels(anchors.groupBy(_bucket(F.col("_group")).alias("bucket")).count())
+    kept = bound(folded(F.col(text)), lambda t: F.filter(groups(t), lambda g: _level(wanted_groups, g) != F.lit(b"\0")))
+    pairs = texts.select(*ids, *[c for c in by if c not in ids], F.explode(kept).alias("_group")).join(anchors, [*by, "_group"])
     return pairs.groupBy(*ids).agg(F.sort_array(F.collect_list("_term")).alias("found"))
 
 

@@ -46,7 +46,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as texts, each its own scope."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("scope_id"), F.lit(0).cast("long").alias("ord"), F.col("text"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select(F.col("doc_id").alias("scope_id"), F.lit(0).cast("long").alias("ord"), F.col("text"))
 
 
 def longs(df: DataFrame) -> DataFrame:
