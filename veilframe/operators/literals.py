@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import bound, occurrences
-from ..shared import materialize
+from ..shared import materialize, spread
 from .detectors import CANDIDATES, folded
 
 #: Characters of a group; shorter terms are a group of their own.
@@ -53,7 +53,7 @@ def terms_by_text(texts: DataFrame, terms: DataFrame, ids: tuple[str, ...] = ("s
     by = [scope] if scope else []
     shape = F.struct(*terms.columns)
     wanted = terms.where(F.length(term) > 0).select(*by, shape.alias("_term"), folded(F.col(term)).alias("_folded")).withColumn("_size", F.least(F.length("_folded"), F.lit(GROUP)))
-    wanted = materialize(wanted, "terms")
+    wanted = materialize(spread(wanted), "terms")
     sizes = sorted(r["_size"] for r in wanted.select("_size").distinct().collect())
     if not sizes:
         return texts.select(*ids, F.array().cast(f"array<{terms.schema.simpleString()}>").alias("found")).where("false")
@@ -95,6 +95,8 @@ def table_candidates(texts: DataFrame, terms: DataFrame, ids: tuple[str, ...] =
         length = F.length(term["text"])
         return F.transform(starts, lambda s: F.struct(s.cast("int").alias("start"), length.alias("len"), F.substring(F.col(text), s + 1, length).alias("original"), F.lit("term").alias("category"), F.lit(0).alias("priority"), F.lit(0).cast("long").alias("seq")))
 
-    every = F.flatten(F.transform("found", places))
+    # most of what shares an anchor does not stand in the text: no pattern is made for it
+    standing = bound(folded(F.col(text)), lambda whole: F.filter("found", lambda t: F.contains(whole, folded(t["text"]))))
+    every = F.flatten(F.transform(standing, places))
     numbered = F.transform(every, lambda c, i: c.withField("seq", i.cast("long"))).cast(CANDIDATES)
     return joined.select(*(texts[c] for c in texts.columns), F.coalesce(numbered, F.array().cast(CANDIDATES)).alias("term_candidates"))
