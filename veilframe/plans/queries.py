@@ -18,7 +18,7 @@ from ..operators.anonymize import accepted_spans, anonymize_rows, anonymize_scop
 from ..operators.detectors import REGISTRY, is_plate, is_town, term_candidates, trim_name, trim_reference, with_candidates
 from ..operators.resolve import resolve_overlaps, resolve_spans, without_allowed_table
 from ..options import Options
-from ..shared import shared_path, spread
+from ..shared import materialize, shared_path, spread
 from ..sources import mapping_files, pdf_files, words
 from ..streaming import scopes
 from ..streaming.sse import restore_batch
@@ -339,7 +339,7 @@ def mapping_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def seeded_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = cases.case_texts(spark, sf_dir)
-    spans = explode_spans(accepted_spans(texts, Options.only("ips")))
+    spans = materialize(explode_spans(accepted_spans(texts, Options.only("ips"))), "spans")
     first = numbering.first_appearances(spans).where("ord % 2 = 0")
     seed = first.select("scope_id", "category", "original", F.concat(F.lit("[ADRESSE_"), (F.col("ord") % 9 + 1).cast("string"), F.lit("]")).alias("placeholder"))
     return numbering.build_mapping(spans, "de", seed).select("scope_id", "original", "placeholder")
