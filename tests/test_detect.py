@@ -147,3 +147,18 @@ def test_many_terms_in_any_case(spark):
 def test_marks_in_texts_stay(spark):
     text = "\ufdd0a@b.ch\ufdd1 \ufdd0"
     assert anonymize_rows(spark.createDataFrame([(1, text)], "id long, text string"), Options.only("emails")).first().anonymized_text == "\ufdd0[EMAIL_1]\ufdd1 \ufdd0"
+
+
+def test_addresses_are_read_once_and_touching_ones_found(spark):
+    texts = ["a@b.ch5@c.de", "x%a@b.ch.d@e.org", "@a@b.ch", "ä.a@b.ch", "a@b a@b.c a.b@c.de-f@g.hi", "\ufdd0a@b.ch\ufdd1c@d.ch", "a" * 5000 + " b@c.de"]
+    assert REGISTRY["email"].entry
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, text string")
+    want = {i: [(m.start(), m.group()) for m in re.finditer(REGISTRY["email"].pattern, t)] for i, t in enumerate(texts)}
+    assert {r.i: [(c.start, c.original) for c in r.c or []] for r in with_candidates(df, "text", REGISTRY["email"], "c").collect()} == want
+
+
+def test_single_values_take_no_sums_of_positions(spark):
+    """One value a text: its place is the length of what stands before it; kept, trimmed and numbered as any other."""
+    df = spark.createDataFrame([(0, "Kunde: Max Am"), (1, "Kunde: Tel"), (2, "\ufdd0 Kunde: Max Am"), (3, "Kunde: Max Am, Kunde: Eva")], "i long, text string")
+    found = with_candidates(df, "text", REGISTRY["keyword_name"], "c", 7)
+    assert {r.i: [(c.start, c.len, c.original, c.seq) for c in r.c] for r in found.collect()} == {0: [(7, 3, "Max", 7)], 1: [], 2: [(9, 3, "Max", 7)], 3: [(7, 3, "Max", 7), (22, 3, "Eva", 8)]}
