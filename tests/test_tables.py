@@ -76,6 +76,18 @@ def test_first_ranges_equal_loops(spark):
         assert got[no] == min((s for k, s, c, d in ranges if line is not None and k == line and a < d and c < b), default=None)
 
 
+def test_ranges_that_share_bins_make_no_pairs(spark, monkeypatch):
+    """Pieces of all lengths, ranges by the hundred on the same characters: one row of a window meets a piece, nothing is written."""
+    rng = random.Random(3)
+    pieces = [(i, a := rng.choice([0, 40, 63, 64, 65, rng.randint(0, 400)]), a + rng.choice([0, 1, 24, 63, 64, 65, 66, 128, 129, 300])) for i in range(120)]
+    ranges = [(i, (f"p{rng.randint(10, 99)}", i), a := rng.randint(0, 420), a + rng.choice([0, 1, 2, 30, 64, 200])) for i in range(300)]
+    monkeypatch.setattr(layout, "materialize", lambda df, name: pytest.fail("written"))
+    found = layout.first_ranges(spark.createDataFrame([(1, *p) for p in pieces], "line int, no int, start int, end int"), spark.createDataFrame([(1, *r) for r in ranges], "line int, name int, seq struct<page:string,line:int>, start int, end int"), ("line",))
+    got = {r.no: tuple(r.hit.seq) if r.hit else None for r in found.collect()}
+    assert got == {i: min((s for _, s, c, d in ranges if a < b and c < d and a < d and c < b), default=None) for i, a, b in pieces}
+    assert all(r.hit.name == r.hit.seq.line for r in found.collect() if r.hit)
+
+
 def test_numbers_of_any_order(spark):
     rng = random.Random(7)
     rows = [(s, "name", f"v{i}", (f"p{rng.randint(10, 99)}", rng.randint(0, 9)), i, f"v{i}") for s in (1, 2) for i in range(300)]

@@ -41,27 +41,62 @@ def page_texts(lines: DataFrame, text: str = "text") -> DataFrame:
     return joined.select("page_id", F.array_join(F.transform("l", lambda x: x["t"]), "\n").alias("text"))
 
 
-#: Characters of a bin of ``first_ranges``.
+#: Bits of a mask in ``first_ranges``, so many characters are a bin.
 BIN = 64
 
 
+def _masks(start: Column, end: Column) -> tuple[Column, Column]:
+    """The places from ``start`` to ``end`` of two bins (0 to 127) as bits of two longs."""
+
+    def bits(a: Column, b: Column) -> Column:
+        a, b = F.greatest(a, F.lit(0)).cast("int"), F.least(b, F.lit(BIN)).cast("int")
+        return F.when(a >= b, F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), BIN - (b - a)), a))
+
+    return bits(start, end), bits(start - BIN, end - BIN)
+
+
 def first_ranges(pieces: DataFrame, ranges: DataFrame, key: tuple[str, ...], order: str = "seq") -> DataFrame:
     """``pieces(*key, start, end, ...)`` with ``hit``: the first range ``(*key, start, end, order, ...)`` by ``order`` that overlaps them.
 
-    Both sides fall into bins of ``BIN`` characters, and meet where they share one; what meets twice counts once.  Pieces
-    without a range, null keys and pieces without length have none.  ``order`` must be unique within a key; texts of any
+    Of equal ranges only the first stays.  Ranges are cut to windows of two bins of ``BIN`` characters, one window at every bin, and of a window's ranges only those
+    stay that are the first at some of its places: at most ``2 * BIN``.  A piece of up to ``BIN`` characters lies within the window at its
+    first bin, so it meets one row and is moved once; longer ones meet every other window that they reach, and their parts are put
+    together again.  So no pairs of pieces and ranges are made, however many share a bin.
+
+    Pieces without a range, null keys, and pieces and ranges without length have none.  ``order`` must be unique within a key; texts of any
     length, and tables of any size.
     """
-
-    def binned(df: DataFrame) -> DataFrame:
-        last = F.greatest(F.col("start"), F.col("end") - 1)
-        return df.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("start") / BIN), F.floor(last / BIN))))
-
-    row = F.struct(*(ranges[c] for c in ranges.columns if c not in key))
-    numbered = materialize(pieces.withColumn("_piece", F.monotonically_increasing_id()), "pieces")
-    near = binned(numbered.select(*key, "_piece", "start", "end")).join(binned(ranges.select(*key, "start", "end", row.alias("_range"))).withColumnsRenamed({"start": "_from", "end": "_to"}), [*key, "_bin"])
-    hits = near.where("start < _to and _from < end").groupBy("_piece").agg(F.min_by("_range", f"_range.{order}").alias("hit"))
-    return numbered.join(hits, "_piece", "left").drop("_piece")
+    others = [c for c in ranges.columns if c not in (*key, "start", "end", order)]
+    distinct = ranges.where("start < end").groupBy(*key, "start", "end").agg(F.min(order).alias(order), *(F.min_by(c, order).alias(c) for c in others))
+    row = F.struct(*(c for c in ranges.columns if c not in key))
+    first, last = F.floor(F.col("start") / BIN), F.floor((F.col("end") - 1) / BIN)
+    cut = distinct.select(*key, row.alias("_range"), F.col(order).alias("_order"), "start", "end", F.explode(F.sequence(first - 1, last)).alias("_bin"))
+    low, high = _masks(F.col("start") - F.col("_bin") * BIN, F.col("end") - F.col("_bin") * BIN)
+    cut = cut.select(*key, "_bin", F.struct("_order", low.alias("low"), high.alias("high"), F.col("_range").alias("range")).alias("_r"))
+    # of ranges with the same part in a window the first stays, before any are put together
+    cut = cut.groupBy(*key, "_bin", "_r.low", "_r.high").agg(F.min_by("_r", "_r._order").alias("_r"))
+
+    def seen(acc: Column, r: Column) -> Column:
+        new = (r["low"].bitwiseAND(F.bitwise_not(acc["low"])) != 0) | (r["high"].bitwiseAND(F.bitwise_not(acc["high"])) != 0)
+        return F.when(new, F.struct(acc["low"].bitwiseOR(r["low"]).alias("low"), acc["high"].bitwiseOR(r["high"]).alias("high"), F.concat(acc["kept"], F.array(r)).alias("kept"))).otherwise(acc)
+
+    zero = F.lit(0).cast("long")
+    every = F.sort_array(F.collect_list("_r"))
+    windows = cut.groupBy(*key, "_bin").agg(every.alias("_every"))
+    kept = F.aggregate("_every", F.struct(zero.alias("low"), zero.alias("high"), F.slice("_every", F.lit(1), F.lit(0)).alias("kept")), seen, lambda acc: acc["kept"])
+    windows = windows.select(*key, "_bin", kept.alias("_kept"))
+
+    def hit(rows: DataFrame) -> DataFrame:
+        at = F.get(F.filter("_kept", lambda r: (F.col("start") < r["range"]["end"]) & (r["range"]["start"] < F.col("end"))), F.lit(0))
+        met = rows.join(windows, [*key, "_bin"], "left").withColumn("hit", at["range"])
+        return met.drop("_kept", "_bin")
+
+    long = F.coalesce(F.col("end") - F.col("start") > BIN, F.lit(False))
+    # a piece without length is in no window
+    short = hit(pieces.where(~long).withColumn("_bin", F.when(F.col("start") < F.col("end"), first))).select(*pieces.columns, "hit")
+    parts = hit(pieces.where(long).withColumn("_piece", F.monotonically_increasing_id()).withColumn("_bin", F.explode(F.sequence(first, last, F.lit(2).cast("long")))))
+    joined = parts.groupBy("_piece").agg(F.first(F.struct(*pieces.columns)).alias("_row"), F.min_by("hit", f"hit.{order}").alias("hit"))
+    return short.unionByName(joined.select(*(F.col("_row")[c].alias(c) for c in pieces.columns), "hit"))
 
 
 def original_ranges(lines: DataFrame, mapping: DataFrame, key: tuple[str, ...]) -> DataFrame:
