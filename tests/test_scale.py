@@ -2,10 +2,11 @@
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import Row
 
 from veilframe.plans import cases
-from veilframe.operators import literals, resolve
+from veilframe.operators import gateway, literals, resolve
 from veilframe.sources import pdf_files
 from veilframe.streaming.scopes import ScopeNumbers
 from veilframe.streaming.sse import restore_batch
@@ -33,6 +34,18 @@ def test_streams_meet_python_in_batches(spark):
     assert got == {None: shown.format("none"), 1: shown.format("one"), 2: shown.format("[N_1]")}
 
 
+def test_bodies_become_objects_in_slices(spark, monkeypatch):
+    """A worker holds the texts of a slice as objects, not those of a whole Arrow batch."""
+    batch = pa.RecordBatch.from_pylist([{"request_id": i, "body": "x" * 1000} for i in range(5000)] + [{"request_id": -1, "body": "y" * (3 << 20)}])
+    parts = list(gateway._sliced(iter([batch, batch.slice(0, 0)])))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch])) and max(p.num_rows for p in parts) < 1000
+    requests = spark.createDataFrame([(1, '{"system":"a","messages":[{"content":"b"}]}'), (None, "no json"), (3, None), (4, "{}")], "request_id long, body string")
+    slots = gateway.extract_slots(requests)
+    assert "MapInArrow" in plan(slots) and "ArrowEvalPython" not in plan(slots)
+    assert sorted(map(tuple, slots.where("request_id = 1").collect())) == [(1, 0, "system", "a"), (1, 1, "messages/0/content", "b")]
+    assert [tuple(r) for r in slots.where("request_id is null or request_id > 1").collect()] == [(None, 0, "*", "no json")]
+
+
 class Counted:
     """A state of a stream that counts the messages to it."""
 

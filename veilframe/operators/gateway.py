@@ -1,14 +1,17 @@
 """JSON requests and responses of chat interfaces: texts out, placeholders in, originals back.
 
-JSON of any depth has no built-in walk that keeps spelling, so these are Arrow-batched pandas functions; what happens to the
+JSON of any depth has no built-in walk that keeps spelling, so these are Python functions over slices of Arrow batches; what happens to the
 texts is done by the DataFrame operators.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..functions.json_tree import JsonText, Node, clean, read
 from ..functions.restorer import Restorer
@@ -78,17 +81,43 @@ def restore_values(body: str, restorer: Restorer) -> str:
     return tree.spliced([(node, restorer(tree.string(node))) for node in tree.strings()])
 
 
+#: Bytes of a batch that are Python objects at once, so that a worker's memory is that of one Arrow batch and not many times it.
+SLICE = 1 << 20
+
+
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of about ``SLICE`` bytes at a time, one at least."""
+    for batch in batches:
+        n = max(1, batch.num_rows * SLICE // max(batch.nbytes, 1))
+        for at in range(0, batch.num_rows, n):
+            yield batch.slice(at, n)
+
+
 def extract_slots(requests: DataFrame) -> DataFrame:
     """``(request_id, slot_ord, json_path, text)`` of ``requests(request_id, body)``."""
 
     send_package(requests.sparkSession)
 
-    @F.pandas_udf("array<struct<json_path:string,text:string>>")
-    def slots(bodies: pd.Series) -> pd.Series:
-        return bodies.map(lambda b: [{"json_path": p, "text": t} for p, t in request_slots(b)])
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _sliced(batches):
+            found = [(i, k, p, t) for i, b in enumerate(rows.column(1).to_pylist()) for k, (p, t) in enumerate(request_slots(b))]
+            at, places, paths, texts = zip(*found) if found else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(at, pa.int64())), pa.array(places, pa.int32()), pa.array(paths, pa.string()), pa.array(texts, pa.string())], ["request_id", "slot_ord", "json_path", "text"])
 
-    rows = requests.select("request_id", F.posexplode_outer(slots("body")).alias("slot_ord", "s")).where("s is not null")
-    return rows.select("request_id", "slot_ord", "s.json_path", "s.text")
+    rows = requests.select("request_id", "body")
+    key = StructType([StructField("request_id", rows.schema["request_id"].dataType)])
+    return rows.mapInArrow(slots, key.add("slot_ord", "integer").add("json_path", "string").add("text", "string"))
+
+
+def _bodies(rows: DataFrame, use: Callable[[str | None, list], str | None]) -> DataFrame:
+    """``(request_id, body)`` of rows ``(request_id, body, with)``: ``use`` is called with each body and its list, unless that is null or empty."""
+
+    def changed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _sliced(batches):
+            new = [use(b, x) if x else b for b, x in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(new, pa.string())], ["request_id", "body"])
+
+    return rows.mapInArrow(changed, StructType([StructField("request_id", rows.schema["request_id"].dataType)]).add("body", "string"))
 
 
 def prompts(slots: DataFrame) -> DataFrame:
@@ -104,15 +133,11 @@ def anonymize_requests(requests: DataFrame, options: Options | None = None, find
     text and never passed on unread.
     """
 
-    @F.pandas_udf("string")
-    def fill(bodies: pd.Series, texts: pd.Series) -> pd.Series:
-        return pd.Series([b if t is None or not len(t) else fill_slots(b, list(t)) for b, t in zip(bodies, texts, strict=True)])
-
     slots = extract_slots(requests).select(F.col("request_id").alias("scope_id"), F.col("slot_ord").alias("ord"), "text")
     texts, mapping = anonymize_scopes(slots, options, findings)
     per_request = texts.groupBy(F.col("scope_id").alias("request_id")).agg(F.sort_array(F.collect_list(F.struct("ord", "anonymized_text"))).alias("t"))
     joined = requests.join(per_request, "request_id", "left")
-    return joined.select("request_id", fill("body", F.transform("t", lambda t: t["anonymized_text"])).alias("body")), mapping
+    return _bodies(joined.select("request_id", "body", F.transform("t", lambda t: t["anonymized_text"]).alias("with")), fill_slots), mapping
 
 
 def restore_responses(responses: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -120,9 +145,8 @@ def restore_responses(responses: DataFrame, mapping: DataFrame) -> DataFrame:
 
     send_package(responses.sparkSession)
 
-    @F.pandas_udf("string")
-    def restore(bodies: pd.Series, entries: pd.Series) -> pd.Series:
-        return pd.Series([b if b is None or e is None or not len(e) else restore_values(b, Restorer((x["placeholder"], x["original"]) for x in e)) for b, e in zip(bodies, entries, strict=True)])
+    def restore(body: str | None, entries: list[dict]) -> str | None:
+        return body if body is None else restore_values(body, Restorer((x["placeholder"], x["original"]) for x in entries))
 
     joined = responses.join(mappings_by_scope(mapping).withColumnRenamed("scope_id", "request_id"), "request_id", "left")
-    return joined.select("request_id", restore("body", "entries").alias("body"))
+    return _bodies(joined.select("request_id", "body", "entries"), restore)
