@@ -88,6 +88,15 @@ def test_ranges_that_share_bins_make_no_pairs(spark, monkeypatch):
     assert all(r.hit.name == r.hit.seq.line for r in found.collect() if r.hit)
 
 
+def test_pages_are_put_together_once(spark):
+    rng = random.Random(4)
+    words = [(p, i, rng.choice(["a", "", "b c"]), 0.0, float(y), 9.0, y + 12.0) for p in (1, 2) for i, y in enumerate(sorted(rng.randint(0, 5) * 20 for _ in range(30)))]
+    lined = layout.with_lines(spark.createDataFrame(words, "page_id int, word_idx int, text string, x0 double, y0 double, x1 double, y1 double"))
+    got = layout.word_texts(lined)
+    assert got._jdf.queryExecution().executedPlan().toString().count("collect_list") < layout.page_texts(layout.line_texts(lined))._jdf.queryExecution().executedPlan().toString().count("collect_list")
+    assert sorted(got.collect()) == sorted(layout.page_texts(layout.line_texts(lined)).collect())
+
+
 def test_numbers_of_any_order(spark):
     rng = random.Random(7)
     rows = [(s, "name", f"v{i}", (f"p{rng.randint(10, 99)}", rng.randint(0, 9)), i, f"v{i}") for s in (1, 2) for i in range(300)]

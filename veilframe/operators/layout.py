@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import exploded, occurrences
+from ..functions.text import bound, exploded, occurrences
 from ..options import Options
 from ..shared import materialize
 from .anonymize import anonymize_scopes
@@ -41,6 +41,17 @@ def page_texts(lines: DataFrame, text: str = "text") -> DataFrame:
     return joined.select("page_id", F.array_join(F.transform("l", lambda x: x["t"]), "\n").alias("text"))
 
 
+def word_texts(lined: DataFrame) -> DataFrame:
+    """``page_texts`` of ``line_texts``, straight from words with ``line_no``: each page is put together once, without its words' places.
+    Words without text are left out."""
+    pages = lined.where("text is not null").groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("line_no", "word_idx", "text"))).alias("w"))
+
+    def joined(w: Column) -> Column:
+        return F.array_join(F.transform(w, lambda x, i: F.concat(F.when(i == 0, "").when(F.get(w, i - 1)["line_no"] == x["line_no"], " ").otherwise("\n"), x["text"])), "")
+
+    return pages.select("page_id", bound(F.col("w"), joined).alias("text"))
+
+
 #: Bits of a mask in ``first_ranges``, so many characters are a bin.
 BIN = 64
 

@@ -675,7 +675,7 @@ def ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""with l as (select page_id, word_idx // 8 as line_no, string_agg(text, ' ' order by word_idx) as t from ({WORD_ROWS_SQL}) group by 1, 2) select page_id, string_agg(t, chr(10) order by line_no) as text from l group by 1""",
 )
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.page_texts(layout.line_texts(layout.with_lines(_page_words(spark, sf_dir))))
+    return layout.word_texts(layout.with_lines(_page_words(spark, sf_dir)))
 
 
 @query(
