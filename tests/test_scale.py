@@ -7,6 +7,9 @@ from pyspark.sql import Row
 
 from veilframe.plans import cases
 from veilframe.operators import gateway, literals, resolve
+from veilframe.operators.anonymize import anonymize_scopes
+from veilframe.operators.restore import restore_wide
+from veilframe.options import Options
 from veilframe.sources import pdf_files
 from veilframe.streaming.scopes import ScopeNumbers
 from veilframe.streaming.sse import restore_batch
@@ -111,3 +114,24 @@ def test_terms_that_stand_nowhere_are_not_taken_apart(spark, monkeypatch):
     found = {r.scope_id: [t.text for t in r.found] for r in literals.terms_by_text(texts, terms).collect()}
     assert found == {1: ["Stra"], 2: ["OX"]}
     assert "term-groups" not in written and written["anchors"].count() < 50
+
+
+def test_small_scopes_are_a_row_each(spark):
+    """Scopes of few spans are numbered, replaced and restored without joins of spans; larger ones as tables, with the same result."""
+    rows = [(s, i, t) for s, n in ((1, 2), (2, 9), (3, 1), (None, 2)) for i, t in ((n - j, f"von b{j % 3}@x.org an a@y.org , B{j}@x.org , 10.0.0.{j % 2}" if j % 4 != 3 else "nichts") for j in range(n))] + [(4, 0, None), (5, 0, "leer")]
+    texts = spark.createDataFrame(rows, "scope_id long, ord long, text string")
+    options = Options.only("emails", "ips")
+    few, mapping = anonymize_scopes(texts.where("scope_id is not null"), options)
+    assert "Join" not in plan(few) and "Join" not in plan(mapping)
+    want, want_mapping = anonymize_scopes(texts, options, few=0)
+    for n in (0, 5, 7, 4096):
+        out, mapping = anonymize_scopes(texts, options, few=n)
+        assert sorted(out.collect(), key=str) == sorted(want.collect(), key=str) and out.count() == len(rows)
+        assert sorted(mapping.collect(), key=str) == sorted(want_mapping.collect(), key=str)
+        for k in (0, 3, 1024):
+            back = restore_wide(out, mapping, text="anonymized_text", few=k).where("scope_id is not null").collect()
+            assert sorted((r.scope_id, r.ord, r.restored) for r in back) == sorted((s, i, t or "") for s, i, t in rows if s is not None)
+    assert "Join" in plan(want)
+    pairs = spark.createDataFrame([(1, "[A_1]", "late", 2), (1, " a_1 ", "first", 1), (1, "[]", "none", 0), (1, "[B_1]", None, 3)], "scope_id long, placeholder string, original string, pos long")
+    said = spark.createDataFrame([(1, 0, "x [a_1] [B_1] [C_1]"), (2, 0, "[A_1]")], "scope_id long, ord long, text string")
+    assert restore_wide(said, pairs).collect() and all(sorted(r.restored for r in restore_wide(said, pairs, few=k).collect()) == ["[A_1]", "x first [B_1] [C_1]"] for k in (0, 9))
