@@ -7,7 +7,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from veilframe.plans import cases
-from veilframe.operators import gateway, literals, resolve
+from veilframe.operators import gateway, layout, literals, numbering, resolve
 from veilframe.operators.anonymize import anonymize_scopes
 from veilframe.operators.detectors import REGISTRY
 from veilframe.operators.restore import restore_wide
@@ -150,3 +150,59 @@ def test_words_are_looked_for_where_their_letters_are(spark):
         assert d.entry.startswith("(?=[") and d.entry not in plain
         rows = texts.select("text", F.regexp_replace("text", d.regex, marks).alias("a"), F.regexp_replace("text", plain, marks).alias("b")).collect()
         assert all(r.a == r.b for r in rows) and any(r.a != r.text for r in rows)
+
+
+def test_small_scopes_go_on_from_a_mapping_in_a_row(spark, monkeypatch):
+    """Scopes with an earlier mapping are a row each too: known values keep their placeholders, others are numbered on; large ones give the same."""
+    rows = [(s, i, f"von b{i % 3}@x.org an  b{i}@x.org , 10.0.0.{i % 2}" if i % 4 else "nichts") for s, n in ((1, 3), (2, 9), (3, 2), (None, 2)) for i in range(n)]
+    texts = spark.createDataFrame(rows, "scope_id long, ord long, text string")
+    old = [(1, "[EMAIL_7]", "b1@x.org", "email", 1), (1, "[EMAIL_9]", "b1@x.org", "email", 2), (1, "[IP_x]", "10.0.0.1", "ip", 1), (2, "[EMAIL_3]", None, "email", 1), (2, "[EMAIL_4]", "b2@x.org", None, 1), (2, None, "b5@x.org", "email", 1), (8, "[EMAIL_5]", "z@x.org", "email", 1), (None, "[EMAIL_1]", "b1@x.org", "email", 1)]
+    seed = spark.createDataFrame(old, "scope_id long, placeholder string, original string, category string, pos long")
+    options = Options.only("emails", "ips")
+    want, want_mapping = anonymize_scopes(texts, options, seed=seed, few=0)
+    written, write = [], numbering.materialize
+    monkeypatch.setattr(numbering, "materialize", lambda df, name: written.append(name) or write(df, name))
+    # null scopes are joined; without them nothing is numbered as a table
+    here, known = texts.where("scope_id is not null"), seed.where("scope_id is not null")
+    got, got_mapping = anonymize_scopes(here, options, seed=known)
+    assert not written and {r.placeholder for r in got_mapping.where("original in ('b1@x.org', '10.0.0.1') and scope_id = 1").collect()} == {"[EMAIL_9]", "[IP_x]"}
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.where("scope_id is not null").collect()))
+    assert sorted(map(str, got_mapping.collect())) == sorted(map(str, want_mapping.where("scope_id is not null").collect()))
+    mixed, mixed_mapping = anonymize_scopes(texts, options, seed=seed, few=5)
+    assert written and sorted(map(str, mixed.collect())) == sorted(map(str, want.collect())) and sorted(map(str, mixed_mapping.collect())) == sorted(map(str, want_mapping.collect()))
+
+
+def test_boxes_of_small_scopes_meet_no_tables(spark, monkeypatch):
+    """Lines, mapping and boxes of small scopes are rows, those of large ones tables; both as a plain search finds them."""
+    rng = random.Random(7)
+    said = ["a@x.org", "b@x.org,a@x.org", "(ba@x.org)", "", "10.0.0.1", "Mail", None, "b@x.org"]
+    words = []
+    for p in range(8):
+        y = 0.0
+        for i in range(rng.randint(1, 14) if p else 300):
+            y += rng.choice([0, 0, 3, 20])
+            words.append((p % 3, p, i, rng.choice(said), *((None,) * 4 if rng.random() < 0.15 else (10.0 * i, y, 10.0 * i + 9, y + 12))))
+    table = spark.createDataFrame(words, "doc int, page int, word_idx int, text string, x0 double, y0 double, x1 double, y1 double")
+    table = table.select(F.struct("doc", "page").alias("page_id"), "word_idx", "text", "x0", "y0", "x1", "y1")
+    seed = spark.createDataFrame([(0, "[EMAIL_7]", "a@x.org", "email")], "scope_id int, placeholder string, original string, category string")
+    written, write = [], layout.materialize
+    monkeypatch.setattr(layout, "materialize", lambda df, name: written.append(name) or write(df, name))
+
+    def plan_of(few):
+        boxes, lines, mapping = layout.plan_redaction(table, Options.only("emails", "ips"), seed=seed, scope=F.col("page_id.doc"), few=few)
+        return sorted(map(str, boxes.collect())), sorted(map(str, lines.collect())), sorted(map(str, mapping.collect())), boxes
+
+    *want, tables = plan_of(0)
+    assert "ranges" in written
+    written.clear()
+    *got, _ = plan_of(4096)
+    assert "ranges" not in written and got == want and len(want[0]) > 20
+    assert plan_of(60)[:3] == tuple(want)
+    lined = layout.line_texts(layout.with_lines(table)).collect()
+    assert sorted((str(r.page_id), r.line_no, r.text) for r in lined) == sorted((str(r.page_id), r.line_no, r.text) for r in layout.page_lines(table).collect())
+    # every word with a box and an original in it is under a box of its line
+    names = [r.original for r in layout.plan_redaction(table, Options.only("emails", "ips"), seed=seed, scope=F.col("page_id.doc"))[2].where("scope_id = 0").collect()]
+    under = [(r.page_id.page, r.x0, r.x1, r.y0, r.y1) for r in tables.where("page_id.doc = 0").collect()]
+    for d, p, i, t, x0, y0, x1, y1 in words:
+        if d == 0 and t and x0 is not None and any(n in t for n in names):
+            assert any(q == p and a <= x0 and x1 <= b and c <= y0 and y1 <= e for q, a, b, c, e in under)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from ..shared import materialize
 from .detectors import detect
 from .findings import with_findings
 from .literals import table_candidates
-from .numbering import build_mapping, row_labels, row_mapping, scope_mapping
+from .numbering import build_mapping, row_labels, row_mapping, scope_mapping, seed_rows
 from .resolve import resolve_overlaps, without_allowed
 
 
@@ -68,31 +70,42 @@ def explode_spans(found: DataFrame) -> DataFrame:
 FEW, FEW_CHARACTERS = 4096, 1 << 20
 
 
-def _anonymize_few(found: DataFrame, language: str) -> tuple[DataFrame, DataFrame]:
-    """``anonymize_scopes`` for scopes whose texts and spans are one row each: one shuffle, no joins."""
-    lean = F.transform("spans", lambda s: F.struct(s["start"], s["len"], s["original"], s["category"]))
-    scopes = found.groupBy("scope_id").agg(F.sort_array(F.collect_list(F.struct("ord", "text", lean.alias("spans")))).alias("texts"))
+def scope_rows(found: DataFrame, language: str, seed: DataFrame | None = None, more: tuple[str, ...] = (), use: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """``(scope_id, texts, mapping)``: scopes whose texts and spans ``found(scope_id, ord, text, spans, *more)`` are one row each, anonymised without joins of spans.
 
-    def row(texts: Column) -> Column:
-        def named(every: Column) -> Column:
-            mapping = bound(F.transform(every, lambda x: x["s"]), lambda spans: scope_mapping(spans, language))
-            return bound(mapping, lambda m: F.struct(done(m["labels"]).alias("texts"), F.transform(m["values"], lambda v: mapped(v, every)).alias("mapping")))
+    ``use(texts, mapping)`` makes one more array of them, ``used``; with it, texts are shown beside what they become.
+    """
+    lean = F.transform("spans", lambda s: F.struct(s["start"], s["len"], s["original"], s["category"]))
+    scopes = found.groupBy("scope_id").agg(F.sort_array(F.collect_list(F.struct("ord", "text", lean.alias("spans"), *more))).alias("texts"))
+    known = largest = None
+    if seed is not None:
+        scopes = scopes.join(seed_rows(seed), "scope_id", "left")
+        known, largest = F.col("known"), F.col("largest")
 
-        def mapped(v: Column, every: Column) -> Column:
-            first = F.get(every, v["first"])
-            return F.struct(v["placeholder"], v["original"], v["category"], F.struct(first["ord"].alias("ord"), first["s"]["start"].alias("start")).alias("pos"))
+    def mapped(v: Column) -> Column:
+        first = F.get("every", v["first"])
+        return F.struct(v["placeholder"], v["original"], v["category"], F.struct(first["ord"].alias("ord"), first["s"]["start"].alias("start")).alias("pos"))
 
-        def done(labels: Column) -> Column:
-            def one(x: Column, begin: Column) -> Column:
-                own = F.slice(labels, begin + 1, F.size(x["spans"]))
-                return F.struct(x["ord"].alias("ord"), bound(own, lambda own: splice(x["text"], x["spans"], own)).alias("anonymized_text"))
+    def done(x: Column, i: Column) -> Column:
+        own = F.slice("labels", F.get("begins", i) + 1, F.size(x["spans"]))
+        text = [] if use is None else [x["text"].alias("text")]
+        return F.struct(x["ord"].alias("ord"), *text, bound(own, lambda own: splice(x["text"], x["spans"], own)).alias("anonymized_text"))
 
-            return bound(prefix_sums(F.transform(texts, lambda x: F.size(x["spans"]))), lambda at: F.transform(texts, lambda x, i: one(x, F.get(at, i))))
+    # a projection a step: a lambda's result is copied by each lambda around it, a column's is not
+    steps = scopes.withColumn("every", F.flatten(F.transform("texts", lambda x: F.transform(x["spans"], lambda s: F.struct(x["ord"].alias("ord"), s.alias("s"))))))
+    steps = steps.withColumn("spans", F.col("every.s"))
+    steps = steps.withColumn("m", scope_mapping(F.col("spans"), language, known, largest))
+    steps = steps.select("scope_id", "texts", F.transform("m.values", mapped).alias("mapping"), F.col("m.labels").alias("labels"), prefix_sums(F.transform("texts", lambda x: F.size(x["spans"]))).alias("begins"))
+    used = [] if use is None else [use(F.col("texts"), F.col("mapping")).alias("used")]
+    steps = steps.select("scope_id", F.transform("texts", done).alias("done"), "mapping", *used)
+    return materialize(steps.withColumnRenamed("done", "texts"), "scopes")
 
-        return bound(F.flatten(F.transform(texts, lambda x: F.transform(x["spans"], lambda s: F.struct(x["ord"].alias("ord"), s.alias("s"))))), named)
 
-    rows = materialize(scopes.select("scope_id", bound(F.col("texts"), row).alias("r")).select("scope_id", "r.*"), "scopes")
-    return rows.select("scope_id", F.inline("texts")), rows.select("scope_id", F.inline("mapping"))
+def _anonymize_few(found: DataFrame, language: str, seed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``anonymize_scopes`` for small scopes; texts without spans stay as they are and where they are."""
+    rows = scope_rows(found.where("n_spans > 0"), language, seed)
+    texts = found.where("n_spans = 0").select("scope_id", "ord", F.col("text").alias("anonymized_text"))
+    return texts.unionByName(rows.select("scope_id", F.inline("texts"))), rows.select("scope_id", F.inline("mapping"))
 
 
 def _anonymize_many(found: DataFrame, language: str, seed: DataFrame | None) -> tuple[DataFrame, DataFrame]:
@@ -113,23 +126,43 @@ def anonymize_scopes(texts: DataFrame, options: Options | None = None, findings:
     of the values used in this pass.  ``(scope_id, ord)`` must be unique.  Null texts become empty.
     Texts and their spans are a table in the shared folder, so detection runs once.  ``terms(seq, text)`` are custom
     terms of any number, beside those of the options.  Scopes of up to ``few`` texts and spans and ``FEW_CHARACTERS`` characters
-    are a row each; larger ones, and all where there is a seed, are numbered as tables.
+    are a row each, also where they go on from an earlier mapping; larger ones are numbered as tables.
     """
     options = options or Options()
     texts = texts.select("scope_id", "ord", F.coalesce("text", F.lit("")).alias("text"))
     if terms is not None and options.custom:
         texts = table_candidates(texts, terms)
     found = accepted_spans(texts, options, findings)
-    sized = found.select("scope_id", "ord", "text", "spans", F.greatest(F.size("spans"), F.lit(1)).alias("n_spans"), F.length("text").alias("n_chars"))
-    found = materialize(sized, "spans")
+    found = materialize(found.select("scope_id", "ord", "text", "spans", F.size("spans").alias("n_spans"), F.length("text").alias("n_chars")), "spans")
+    return anonymize_found(found, options.language, seed, few)
+
+
+def large_scopes(sizes: DataFrame, seed: DataFrame | None, few: int) -> DataFrame:
+    """The ``scope_id`` of ``sizes`` and of earlier mappings of more than ``few`` values; null, if there is any, is among them."""
     if seed is not None:
-        return _anonymize_many(found, options.language, seed)
-    sizes = found.groupBy("scope_id").agg(F.sum("n_spans").alias("n_spans"), F.sum("n_chars").alias("n_chars"))
+        sizes = sizes.select("scope_id").unionByName(seed.groupBy("scope_id").count().where((F.col("count") > few) | F.col("scope_id").isNull()).select("scope_id"))
+    return materialize(sizes.select("scope_id").distinct(), "many")
+
+
+def without_scopes(df: DataFrame, many: DataFrame) -> DataFrame:
+    return df.where("scope_id is not null").join(many, "scope_id", "left_anti")
+
+
+def of_scopes(df: DataFrame, many: DataFrame) -> DataFrame:
+    return df.join(many, df["scope_id"].eqNullSafe(many["scope_id"]), "left_semi")
+
+
+def anonymize_found(found: DataFrame, language: str, seed: DataFrame | None = None, few: int = FEW) -> tuple[DataFrame, DataFrame]:
+    """``anonymize_scopes`` of a table of texts whose spans ``(scope_id, ord, text, spans, n_spans, n_chars)`` are known."""
+    sizes = found.where("n_spans > 0").groupBy("scope_id").agg(F.sum("n_spans").alias("n_spans"), F.sum("n_chars").alias("n_chars"))
     # a scope that is null is one of those that are joined
-    many = materialize(sizes.where((F.col("n_spans") > few) | (F.col("n_chars") > FEW_CHARACTERS) | F.col("scope_id").isNull()).select("scope_id"), "many")
+    many = large_scopes(sizes.where((F.col("n_spans") > few) | (F.col("n_chars") > FEW_CHARACTERS) | F.col("scope_id").isNull()), seed, few)
     if many.isEmpty():
-        return _anonymize_few(found, options.language)
-    small, large = found.join(many, "scope_id", "left_anti").where("scope_id is not null"), found.join(many, found["scope_id"].eqNullSafe(many["scope_id"]), "left_semi")
-    parts = zip(_anonymize_few(small, options.language), _anonymize_many(large, options.language, None))
+        return _anonymize_few(found, language, seed)
+    early, late = (None, None) if seed is None else (without_scopes(seed, many), of_scopes(seed, many))
+    small, large = without_scopes(found, many), of_scopes(found, many)
+    # texts of no scope that have no spans
+    rest = found.where("scope_id is null") if many.where("scope_id is null").isEmpty() else found.where("false")
+    parts = zip(_anonymize_few(small.unionByName(rest), language, early), _anonymize_many(large, language, late))
     texts, mapping = (a.unionByName(b) for a, b in parts)
     return texts, mapping

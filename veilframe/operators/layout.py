@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import bound, exploded, occurrences
+from ..functions.text import BLOCK, bound, exploded, occurrences, prefix_sums
 from ..options import Options
 from ..shared import materialize
-from .anonymize import anonymize_scopes
+from .anonymize import FEW, FEW_CHARACTERS, accepted_spans, anonymize_found, large_scopes, of_scopes, scope_rows, without_scopes
 from .literals import terms_by_text
 
 #: Words overlap by more than this share of the smaller height if they stand in one line.
@@ -17,14 +17,17 @@ LINE_OVERLAP = 0.4
 LEAST_FONT, LARGEST_FONT, FONT_SHARE, MARGIN = 9, 72, 0.78, 2
 
 
+def _same_line(up: Column, down: Column, y0: Column, y1: Column) -> Column:
+    overlap = F.least(down, y1) - F.greatest(up, y0)
+    smaller = F.greatest(F.lit(1.0), F.least(down - up, y1 - y0))
+    return F.coalesce(overlap / smaller > LINE_OVERLAP, F.lit(True))
+
+
 def with_lines(words: DataFrame) -> DataFrame:
     """Adds ``line_no`` to words ``(page_id, word_idx, text, x0, y0, x1, y1)``: a word joins the line of the word before it if
     the two overlap enough vertically, or if either has no box."""
     w = Window.partitionBy("page_id").orderBy("word_idx")
-    up, down = F.lag("y0").over(w), F.lag("y1").over(w)
-    overlap = F.least(down, F.col("y1")) - F.greatest(up, F.col("y0"))
-    smaller = F.greatest(F.lit(1.0), F.least(down - up, F.col("y1") - F.col("y0")))
-    same = F.coalesce(overlap / smaller > LINE_OVERLAP, F.lit(True))
+    same = _same_line(F.lag("y0").over(w), F.lag("y1").over(w), F.col("y0"), F.col("y1"))
     return words.withColumn("_new", F.when(F.lag("word_idx").over(w).isNotNull() & ~same, 1).otherwise(0)).withColumn("line_no", F.sum("_new").over(w).cast("int")).drop("_new")
 
 
@@ -36,6 +39,42 @@ def line_texts(lined: DataFrame) -> DataFrame:
     return rows.select("page_id", "line_no", F.array_join(F.transform("w", lambda x: x["text"]), " ").alias("text"), placed.alias("words"))
 
 
+#: A box's coordinates.
+BOX = ("x0", "y0", "x1", "y1")
+
+
+def page_lines(words: DataFrame) -> DataFrame:
+    """``(page_id, line_no, text, lens, x0, y0, x1, y1)``: the lines and texts of ``line_texts(with_lines(words))``, with the lengths and boxes of a
+    line's words as arrays.  A page is one row, cut into its lines in one pass; words without text stand in none (their length is null)."""
+    pages = words.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("word_idx", "text", *BOX))).alias("w"))
+
+    def begins(w: Column) -> Column:
+        def new(x: Column, i: Column) -> Column:
+            before = F.get(w, i - 1)
+            return F.when((i == 0) | ~_same_line(before["y0"], before["y1"], x["y0"], x["y1"]), i.cast("int"))
+
+        return F.filter(F.transform(w, new), lambda i: i.isNotNull())
+
+    # a projection a step: a lambda's result is copied by each lambda around it, a column's is not
+    cut = pages.withColumn("b", begins(F.col("w")))
+    own = F.transform("b", lambda s, k: F.struct(k.cast("int").alias("line_no"), F.slice("w", s + 1, F.coalesce(F.get("b", k + 1), F.size("w")) - s).alias("own")))
+    text = F.col("own.text")
+    return cut.select("page_id", F.inline(own)).select("page_id", "line_no", F.array_join(text, " ").alias("text"), F.transform(text, F.length).alias("lens"), *(F.col(f"own.{c}").alias(c) for c in BOX))
+
+
+def _starts(lens: Column) -> Column:
+    """Where a line's words start in its text."""
+    sizes = F.transform(lens, lambda n: F.coalesce(n + 1, F.lit(0)))
+    short = bound(sizes, lambda sizes: F.transform(sizes, lambda _, i: F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda a, x: a + x)))
+    return F.when(F.size(lens) <= BLOCK, short).otherwise(prefix_sums(sizes))
+
+
+def _placed() -> Column:
+    """The words of a line ``(lens, starts, x0, ...)`` that have a text and a box, with their places."""
+    every = F.transform("lens", lambda n, i: F.struct(i.cast("int").alias("word_idx"), F.get("starts", i).alias("start"), (F.get("starts", i) + n).alias("end"), *(F.get(c, i).alias(c) for c in BOX)))
+    return F.filter(every, lambda w: w["end"].isNotNull() & w["x0"].isNotNull())
+
+
 def page_texts(lines: DataFrame, text: str = "text") -> DataFrame:
     joined = lines.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("line_no", F.col(text).alias("t")))).alias("l"))
     return joined.select("page_id", F.array_join(F.transform("l", lambda x: x["t"]), "\n").alias("text"))
@@ -124,26 +163,99 @@ def original_ranges(lines: DataFrame, mapping: DataFrame, key: tuple[str, ...])
     return exploded(joined.withColumn("r", F.flatten(F.transform("found", places))), "r", "r", *key).select(*key, "r.*")
 
 
-def plan_redaction(words: DataFrame, options: Options | None = None, findings: DataFrame | None = None, seed: DataFrame | None = None, scope: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Boxes ``(page_id, x0, y0, x1, y1, category, placeholder)``, lines with their anonymised texts, and the mapping.
+#: Words of a line, and spans times characters of a scope, that are met with each other in one row.
+FEW_WORDS, FEW_STEPS = 1024, 1 << 28
 
-    Each line is searched by itself; the mapping's scope is the page, or what ``scope`` says (a document).  Every occurrence of
-    an original in a line gets a box, words that belong to one occurrence share it; where originals overlap, the one that was
-    numbered first counts.  Lines are ordered by page and line without any scope in one task.
-    """
-    scope = F.col("page_id") if scope is None else scope
-    lines = line_texts(with_lines(words)).withColumn("scope_id", scope).withColumn("ord", F.struct("page_id", "line_no"))
-    lines = materialize(lines, "lines")
-    texts, mapping = anonymize_scopes(lines.select("scope_id", "ord", "text"), options, findings, seed)
-    done = lines.join(texts, ["scope_id", "ord"])
+
+def _held_ranges(lines: Column, mapping: Column) -> Column:
+    """Those of one scope's ``lines`` (``array<struct<ord, text, lens, x0, ...>>``) in which originals of its mapping stand, with ``ranges`` in the order of
+    numbering, then place; none of these is large."""
+
+    def starts(text: Column, original: Column) -> Column:
+        # most stand in a line once
+        once = F.call_function("locate", original, text, F.call_function("locate", original, text) + F.length(original)) == 0
+        return F.when(once, F.array(F.call_function("locate", original, text) - 1)).otherwise(occurrences(text, original))
+
+    def ranges(text: Column, terms: Column) -> Column:
+        def places(m: Column) -> Column:
+            return F.transform(starts(text, m["original"]), lambda s: F.struct(s.alias("start"), (s + F.length(m["original"])).alias("end"), m["category"].alias("category"), m["placeholder"].alias("placeholder")))
+
+        return F.flatten(F.transform(F.filter(terms, lambda m: F.contains(text, m["original"])), places))
+
+    def held(terms: Column) -> Column:
+        every = F.transform(lines, lambda x: F.struct(x["ord"]["page_id"].alias("page_id"), *(x[c].alias(c) for c in ("lens", *BOX)), ranges(x["text"], terms).alias("ranges")))
+        return F.filter(every, lambda x: F.size(x["ranges"]) > 0)
+
+    terms = F.array_sort(F.transform(F.filter(mapping, lambda m: m["original"] != ""), lambda m: F.struct(m["pos"], m["placeholder"], m["original"], m["category"])))
+    return bound(terms, held)
+
+
+def _row_boxes(lines: DataFrame) -> DataFrame:
+    """The boxes of lines ``(page_id, lens, x0, y0, x1, y1, ranges)``, each by itself: a word belongs to the first of the ranges that overlap it."""
+
+    def first(w: Column) -> Column:
+        return F.array_min(F.transform("ranges", lambda r, k: F.when((w["start"] < w["end"]) & (r["start"] < w["end"]) & (w["start"] < r["end"]), k.cast("int"))))
+
+    placed = lines.withColumn("starts", _starts(F.col("lens"))).select("page_id", "ranges", _placed().alias("w"))
+    hits = placed.select("page_id", "ranges", F.transform("w", lambda w: F.struct(first(w).alias("k"), *(w[c].alias(c) for c in BOX))).alias("hits"))
+    heads = F.filter(F.transform("hits", lambda h, i: F.when((i == 0) | ~h["k"].eqNullSafe(F.get("hits", i - 1)["k"]), i.cast("int"))), lambda i: i.isNotNull())
+    cut = hits.withColumn("b", heads)
+    own = F.transform("b", lambda s, j: F.struct(F.slice("hits", s + 1, F.coalesce(F.get("b", j + 1), F.size("hits")) - s).alias("own")))
+    islands = cut.select("page_id", "ranges", F.inline(own)).select("page_id", F.get("ranges", F.get("own", F.lit(0))["k"]).alias("r"), "own")
+    edges = (F.array_min("own.x0").alias("x0"), F.array_min("own.y0").alias("y0"), F.array_max("own.x1").alias("x1"), F.array_max("own.y1").alias("y1"))
+    return islands.where("r is not null").select("page_id", *edges, "r.category", "r.placeholder")
+
+
+def _table_boxes(lines: DataFrame, mapping: DataFrame) -> DataFrame:
+    """The boxes of lines and mappings of any size, which meet as tables."""
     key = ("page_id", "line_no")
     ranges = materialize(original_ranges(lines, mapping, key), "ranges")
-    pieces = lines.join(ranges.select(*key).distinct(), list(key), "left_semi").select(*key, F.explode("words").alias("w")).select(*key, "w.*").where("x0 is not null")
+    met = lines.join(ranges.select(*key).distinct(), list(key), "left_semi")
+    pieces = met.withColumn("starts", _starts(F.col("lens"))).select(*key, F.explode(_placed()).alias("w")).select(*key, "w.*")
     rows = first_ranges(pieces, ranges, key)
     w = Window.partitionBy(*key).orderBy("word_idx")
     rows = rows.withColumn("island", F.sum(F.when(F.col("hit.seq").eqNullSafe(F.lag("hit.seq").over(w)), 0).otherwise(1)).over(w)).where("hit is not null")
     boxes = rows.groupBy(*key, "island").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.first("hit.category").alias("category"), F.first("hit.placeholder").alias("placeholder"))
-    return boxes.drop("island"), done.select("page_id", "line_no", "text", "anonymized_text"), mapping
+    return boxes.select("page_id", *BOX, "category", "placeholder")
+
+
+def plan_redaction(words: DataFrame, options: Options | None = None, findings: DataFrame | None = None, seed: DataFrame | None = None, scope: Column | None = None, few: int = FEW) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Boxes ``(page_id, x0, y0, x1, y1, category, placeholder)``, lines with their anonymised texts, and the mapping.
+
+    Each line is searched by itself; the mapping's scope is the page, or what ``scope`` says (a document).  Every occurrence of
+    an original in a line gets a box, words that belong to one occurrence share it; where originals overlap, the one that was
+    numbered first counts.  Lines are ordered by page and line without any scope in one task.
+
+    Lines and their spans are written once.  Scopes without spans are done then; others of up to ``few`` lines and spans, and as the limits above say, are
+    numbered, replaced and boxed in a row each, and larger ones as tables.
+    """
+    options = options or Options()
+    scope = F.col("page_id") if scope is None else scope
+    lines = page_lines(words).withColumn("scope_id", scope).withColumn("ord", F.struct("page_id", "line_no"))
+    found = accepted_spans(lines, options, findings)
+    lean = F.transform("spans", lambda s: F.struct(s["start"], s["len"], s["original"], s["category"]))
+    found = materialize(found.select("scope_id", "ord", "page_id", "line_no", "text", "lens", *BOX, lean.alias("spans"), F.size("spans").alias("n_spans"), F.length("text").alias("n_chars")), "spans")
+    n_spans, n_chars = F.col("n_spans"), F.col("n_chars")
+    sizes = found.groupBy("scope_id").agg(F.sum("n_spans").alias("n_spans"), F.sum("n_chars").alias("n_chars"), F.count("*").alias("n_lines"), F.max(F.size("lens")).alias("n_words"))
+    large = (n_spans + F.col("n_lines") > few) | (n_chars > FEW_CHARACTERS) | (n_spans * n_chars > FEW_STEPS) | (F.col("n_words") > FEW_WORDS) | F.col("scope_id").isNull()
+    hit = materialize(sizes.where("n_spans > 0").select("scope_id", large.alias("large")), "sizes")
+    many = large_scopes(hit.where("large"), seed, few)
+    none = many.isEmpty()
+    plain = found.join(hit.select("scope_id"), found["scope_id"].eqNullSafe(hit["scope_id"]), "left_anti").select("page_id", "line_no", "text", F.col("text").alias("anonymized_text"))
+    small = found.join(hit.where("not large").select("scope_id"), "scope_id", "left_semi")
+    early = seed
+    if not none:
+        small = without_scopes(small, many)
+        early = None if seed is None else without_scopes(seed, many)
+    rows = scope_rows(small, options.language, early, ("lens", *BOX), _held_ranges)
+    boxes, mapping = _row_boxes(rows.select(F.inline("used"))), rows.select("scope_id", F.inline("mapping"))
+    done = plain.unionByName(rows.select(F.inline("texts")).select("ord.page_id", "ord.line_no", "text", "anonymized_text"))
+    if none:
+        return boxes, done, mapping
+    rest = of_scopes(found.join(hit.select("scope_id"), found["scope_id"].eqNullSafe(hit["scope_id"]), "left_semi"), many)
+    texts, more = anonymize_found(rest.select("scope_id", "ord", "text", "spans", "n_spans", "n_chars"), options.language, None if seed is None else of_scopes(seed, many), few)
+    done = done.unionByName(rest.join(texts, ["scope_id", "ord"]).select("page_id", "line_no", "text", "anonymized_text"))
+    return boxes.unionByName(_table_boxes(rest, more)), done, mapping.unionByName(more)
 
 
 def placeholder_boxes(boxes: DataFrame, char_width: float = 0.6) -> DataFrame:

@@ -24,6 +24,26 @@ def seed_numbers(seed: DataFrame) -> DataFrame:
     return seed.where(number != "").groupBy("scope_id", "category").agg(F.max(number.try_cast("long")).alias("largest"))
 
 
+def seed_values(seed: DataFrame) -> DataFrame:
+    """``(scope_id, category, norm, placeholder, largest)``: what an earlier mapping calls a value, and the largest number among its placeholders."""
+    number = F.regexp_extract("placeholder", r"_(\d+)\]\s*$", 1).try_cast("long")
+    if "pos" in seed.columns:
+        latest = F.max_by("placeholder", "pos")
+    else:
+        several = F.min("placeholder") != F.max("placeholder")
+        latest = F.when(several, F.raise_error(F.lit("a seed repeats a value with another placeholder; give it a column pos"))).otherwise(F.max("placeholder"))
+    return seed.withColumn("norm", normalize(F.col("original"))).groupBy("scope_id", "category", "norm").agg(latest.alias("placeholder"), F.max(number).alias("largest"))
+
+
+def seed_rows(seed: DataFrame) -> DataFrame:
+    """``(scope_id, known, largest)``: a scope's earlier mapping as two maps, placeholders by ``value_name`` and the largest number by category."""
+    rows = seed_values(seed).where("category is not null").groupBy("scope_id").agg(F.collect_list(F.struct("category", "norm", "placeholder", "largest")).alias("e"))
+    known = F.map_from_entries(F.transform(F.filter("e", lambda x: x["norm"].isNotNull()), lambda x: F.struct(value_name(x["category"], x["norm"]), x["placeholder"])))
+    categories = F.array_distinct(F.col("e.category"))
+    largest = F.map_from_arrays(categories, F.transform(categories, lambda c: F.array_max(F.transform(F.filter("e", lambda x: x["category"] == c), lambda x: x["largest"]))))
+    return rows.select("scope_id", known.alias("known"), largest.alias("largest"))
+
+
 def first_appearances(spans: DataFrame) -> DataFrame:
     """``(scope_id, category, norm, ord, start, original)``: each distinct value where it appears first."""
     keyed = spans.withColumn("norm", normalize(F.col("original")))
@@ -57,18 +77,12 @@ def build_mapping(spans: DataFrame, language: str = "de", seed: DataFrame | None
     values = first_appearances(spans)
     if seed is None:
         return number_values(values).withColumn("placeholder", placeholder(F.col("category"), F.col("number"), language)).drop("number")
-    seed = seed.withColumn("norm", normalize(F.col("original")))
-    if "pos" in seed.columns:
-        latest = F.max_by("placeholder", "pos")
-    else:
-        several = F.min("placeholder") != F.max("placeholder")
-        latest = F.when(several, F.raise_error(F.lit("a seed repeats a value with another placeholder; give it a column pos"))).otherwise(F.max("placeholder"))
-    known = seed.groupBy("scope_id", "category", "norm").agg(latest.alias("placeholder"))
+    known = seed_values(seed)
     joined = values.join(known, ["scope_id", "category", "norm"], "left")
-    new = number_values(joined.where("placeholder is null").drop("placeholder")).join(seed_numbers(seed), ["scope_id", "category"], "left")
+    new = number_values(joined.where("placeholder is null").drop("placeholder", "largest")).join(seed_numbers(seed), ["scope_id", "category"], "left")
     number = F.col("number") + F.coalesce("largest", F.lit(0))
     new = new.withColumn("placeholder", placeholder(F.col("category"), number, language)).drop("number", "largest")
-    return new.unionByName(joined.where("placeholder is not null"))
+    return new.unionByName(joined.where("placeholder is not null").drop("largest"))
 
 
 def value_key(span: Column) -> Column:
@@ -99,15 +113,20 @@ def _same_key(a: Column, b: Column) -> Column:
     return (a["category"] == b["category"]) & (a["norm"] == b["norm"])
 
 
+def value_name(category: Column, norm: Column) -> Column:
+    return F.concat_ws("\u0001", category, norm)
+
+
 def row_labels(spans: Column, mapping: Column) -> Column:
     """The placeholder of every span of a row, by its mapping."""
-    keys = F.transform(mapping, lambda m: F.concat_ws("\u0001", m["category"], m["norm"]))
+    keys = F.transform(mapping, lambda m: value_name(m["category"], m["norm"]))
     lookup = F.map_from_arrays(keys, F.transform(mapping, lambda m: m["placeholder"]))
-    return bound(lookup, lambda known: F.transform(spans, lambda s: F.try_element_at(known, F.concat_ws("\u0001", s["category"], normalize(s["original"])))))
+    return bound(lookup, lambda known: F.transform(spans, lambda s: F.try_element_at(known, value_name(s["category"], normalize(s["original"])))))
 
 
-def scope_mapping(spans: Column, language: str = "de") -> Column:
+def scope_mapping(spans: Column, language: str = "de", known: Column | None = None, largest: Column | None = None) -> Column:
     """The mapping of one scope's accepted spans, in the order of their appearance, and the placeholder of each of them.
+    With an earlier mapping's maps (``seed_rows``) known values keep their placeholders, and others are numbered on.
 
     ``(values, labels)``: ``row_mapping``'s entries and an array as long as ``spans``.  Equal values are brought together by a sort, so
     that the cost hardly grows faster than the number of spans.
@@ -121,14 +140,31 @@ def scope_mapping(spans: Column, language: str = "de") -> Column:
         x = F.get(placed, begin)
         return F.struct(x["category"].alias("category"), x["place"].alias("first"), x["norm"].alias("norm"), F.transform(F.slice(placed, begin + 1, end - begin), lambda y: y["place"]).alias("places"))
 
-    def numbered(values: Column) -> Column:
+    def named(v: Column, name: Column) -> Column:
+        return F.struct(name.alias("placeholder"), F.get(spans, v["first"])["original"].alias("original"), v["category"].alias("category"), v["norm"].alias("norm"), v["first"].alias("first"), v["places"].alias("places"))
+
+    def counted(values: Column) -> Column:
         heads = F.filter(F.transform(values, lambda v, i: F.when((i == 0) | (v["category"] != F.get(values, i - 1)["category"]), i.cast("int"))), lambda i: i.isNotNull())
 
         def entry(v: Column, i: Column, heads: Column) -> Column:
             number = i - F.array_max(F.filter(heads, lambda h: h <= i)) + 1
-            return F.struct(placeholder(v["category"], number, language).alias("placeholder"), F.get(spans, v["first"])["original"].alias("original"), v["category"].alias("category"), v["norm"].alias("norm"), v["first"].alias("first"), v["places"].alias("places"))
+            if largest is not None:
+                number = number + F.coalesce(F.try_element_at(largest, v["category"]), F.lit(0))
+            return named(v, placeholder(v["category"], number, language))
+
+        return bound(heads, lambda heads: F.transform(values, lambda v, i: entry(v, i, heads)))
+
+    def numbered(values: Column) -> Column:
+        if known is None:
+            return bound(counted(values), labelled)
+        rated = F.transform(values, lambda v: F.struct(v.alias("v"), F.try_element_at(known, value_name(v["category"], v["norm"])).alias("name")))
+
+        def both(rated: Column) -> Column:
+            new = F.transform(F.filter(rated, lambda x: x["name"].isNull()), lambda x: x["v"])
+            old = F.transform(F.filter(rated, lambda x: x["name"].isNotNull()), lambda x: named(x["v"], x["name"]))
+            return F.array_sort(F.concat(bound(new, counted), old), lambda a, b: a["first"] - b["first"])
 
-        return bound(bound(heads, lambda heads: F.transform(values, lambda v, i: entry(v, i, heads))), labelled)
+        return bound(bound(rated, both), labelled)
 
     def labelled(entries: Column) -> Column:
         labels = F.sort_array(F.flatten(F.transform(entries, lambda e: F.transform(e["places"], lambda p: F.struct(p.alias("place"), e["placeholder"].alias("placeholder"))))))

@@ -703,7 +703,7 @@ def redaction_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of many pages: words of the text layer, recognised ones where a page has none; one mapping per document, which goes on from an
     earlier one."""
-    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
+    orders = spread(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), "o_custkey")
 
     def page_words(rows: DataFrame, x: float) -> DataFrame:
         page = F.struct(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("page_no")).alias("page_id")
