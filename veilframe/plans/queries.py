@@ -660,7 +660,9 @@ WORD_ROWS_SQL = "select doc_id as page_id, i - 1 as word_idx, w[i] as text from
 
 
 def _page_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.posexplode(F.filter(F.split("text", r"(?U)\s+"), lambda x: x != "")).alias("word_idx", "text"))
+    # a page is dealt as its text, so its words need not be moved again to come together
+    pages = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), "text"), "page_id")
+    rows = pages.select("page_id", F.posexplode(F.filter(F.split("text", r"(?U)\s+"), lambda x: x != "")).alias("word_idx", "text"))
     x, y = (F.col("word_idx") % 8) * 100.0, F.floor(F.col("word_idx") / 8) * 20.0
     return rows.select("page_id", "word_idx", "text", x.alias("x0"), y.alias("y0"), (x + 90).alias("x1"), (y + 12).alias("y1"))
 
