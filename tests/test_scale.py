@@ -206,3 +206,10 @@ def test_boxes_of_small_scopes_meet_no_tables(spark, monkeypatch):
     for d, p, i, t, x0, y0, x1, y1 in words:
         if d == 0 and t and x0 is not None and any(n in t for n in names):
             assert any(q == p and a <= x0 and x1 <= b and c <= y0 and y1 <= e for q, a, b, c, e in under)
+
+
+def test_terms_made_of_groups_that_a_text_holds_apart_do_not_meet_it(spark):
+    texts = spark.createDataFrame([(1, 0, "abc bcd cde def efg fgh ghi hij ijk"), (2, 0, "xABCDEFx"), (3, 0, "an abcdefghijk"), (4, 0, None)], "scope_id long, ord long, text string")
+    terms = spark.createDataFrame([("abcdef",), ("abcdefghijk",), ("defghij",), ("cde",), ("ij",)], "text string")
+    found = {r.scope_id: [t.text for t in r.found] for r in literals.terms_by_text(texts, terms).collect()}
+    assert found == {1: ["cde", "ij"], 2: ["abcdef", "cde"], 3: ["abcdef", "abcdefghijk", "cde", "defghij", "ij"]}

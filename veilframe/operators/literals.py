@@ -1,8 +1,8 @@
 """Many literals at once: which terms of a table can stand in which texts, found by an equality join.
 
-Every term has an anchor, the one of its groups of three characters that the fewest texts hold, as counted in ``BUCKETS`` by the groups'
-hashes.  Only texts that hold the anchor meet the term; a term with a group whose bucket is empty meets none, and goes before anything is
-shuffled.  No pattern of all terms is made, and neither terms nor texts are collected.
+Every term has an anchor around the one of its groups of three characters that texts hold the fewest times, as counted in ``BUCKETS`` by the
+groups' hashes: ten or six characters where the term has as many, as groups of three are in too many texts.  Only texts that hold the anchor meet
+the term; a term with a group whose bucket is empty meets none, and goes before anything is shuffled.  No pattern of all terms is made, and neither terms nor texts are collected.
 """
 
 from __future__ import annotations
@@ -10,25 +10,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import bound, occurrences
+from ..functions.text import bound, occurrences, settled
 from ..shared import materialize, spread
 from .detectors import CANDIDATES, folded
 
 #: Characters of a group; shorter terms are a group of their own.
 GROUP = 3
+#: Characters of the anchor of a term that has as many, widest first.
+WIDE = (10, 6)
 
 
 def _groups(text: Column, size: int) -> Column:
-    """The different groups of ``size`` characters, found in one pass."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
+    """All groups of ``size`` characters, found in one pass."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
 
 
 #: Groups are counted in so many buckets, which is all of them that the driver and plans hold.
 BUCKETS = 1 << 16
+#: Anchors are looked for in so many.
+ANCHOR_BUCKETS = 1 << 20
 
 
-def _bucket(group: Column) -> Column:
-    return F.pmod(F.xxhash64(group), F.lit(BUCKETS)).cast("int")
+def _bucket(group: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(group), F.lit(buckets)).cast("int")
 
 
 def _levels(counts: DataFrame) -> bytes:
@@ -40,7 +44,18 @@ def _levels(counts: DataFrame) -> bytes:
 
 
 def _level(levels: bytes, group: Column) -> Column:
-    return F.substring(F.lit(levels), _bucket(group) + 1, F.lit(1))
+    return F.substring(F.lit(levels), _bucket(group, len(levels)) + 1, F.lit(1))
+
+
+def _present(groups: DataFrame, group: str) -> bytes:
+    """For every bucket of anchors whether a group has fallen into it; bits come to the driver."""
+    place = _bucket(F.col(group), ANCHOR_BUCKETS).cast("long") + 1  # the bitmap functions count from 1
+    maps = groups.groupBy(F.bitmap_bucket_number(place).alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+    levels, size = bytearray(ANCHOR_BUCKETS), 1 << 15
+    for row in maps:
+        bits = f"{int.from_bytes(row['bits'], 'little'):0{size}b}"[::-1]
+        levels[(row["n"] - 1) * size : row["n"] * size] = bytes(map(int, bits))
+    return bytes(levels)
 
 
 def terms_by_text(texts: DataFrame, terms: DataFrame, ids: tuple[str, ...] = ("scope_id", "ord"), scope: str | None = None, text: str = "text", term: str = "text") -> DataFrame:
@@ -59,24 +74,39 @@ def terms_by_text(texts: DataFrame, terms: DataFrame, ids: tuple[str, ...] = ("s
         return texts.select(*ids, F.array().cast(f"array<{terms.schema.simpleString()}>").alias("found")).where("false")
 
     def sized(of: Column, s: int) -> Column:
-        return F.transform(_groups(of, s), lambda g: F.concat(F.lit(str(s)), g))
+        return F.transform(_groups(of, s), lambda g: F.concat(F.lit(f"{s:02}"), g))
 
-    def groups(of: Column, size: Column | None = None) -> Column:
+    def groups(of: Column, size: Column) -> Column:
         none = F.array().cast("array<string>")
-        return F.concat(*(sized(of, s) if size is None else F.when(size == s, sized(of, s)).otherwise(none) for s in sizes))
+        return F.concat(*(F.when(size == s, sized(of, s)).otherwise(none) for s in sizes))
 
     if scope:  # texts of scopes without terms are not taken apart
         texts = texts.join(wanted.select(scope).distinct(), scope, "left_semi")
     texts = texts.where(F.col(text).isNotNull())
-    held = texts.select(F.explode(bound(folded(F.col(text)), lambda t: groups(t))).alias("_group"))
-    often = _levels(held.groupBy(_bucket(F.col("_group")).alias("bucket")).count())
+
+    def held(sizes: list[int], *keep: str) -> DataFrame:
+        """The texts' groups, as often as they stand there."""
+        every = bound(folded(F.col(text)), lambda t: F.array(*(F.struct(F.lit(f"{s:02}").alias("size"), _groups(t, s).alias("groups")) for s in sizes)))
+        apart = texts.select(*keep, F.explode(every).alias("_g")).select(*keep, F.col("_g.size").alias("_of"), F.explode("_g.groups").alias("_group"))
+        return apart.select(*keep, F.concat("_of", "_group").alias("_group"))
+
+    often = _levels(held(sizes).groupBy(_bucket(F.col("_group")).alias("bucket")).count())
     rated = F.transform(groups(F.col("_folded"), F.col("_size")), lambda g: F.struct(_level(often, g).alias("level"), g.alias("group")))
-    best = wanted.select(*by, "_term", F.array_min(rated).alias("_best")).where(F.col("_best.level") != F.lit(b"\0"))
-    anchors = materialize(best.select(*by, F.col("_best.group").alias("_group"), "_term"), "anchors")
+    # rated once, however often the best group is used
+    best = settled(wanted.select(*by, "_term", "_folded", F.array_min(rated).alias("_best"))).where(F.col("_best.level") != F.lit(b"\0"))
+    group, length = F.col("_best.group"), F.length("_folded")
+    place, anchor = F.instr("_folded", F.substring(group, 3, GROUP)), group
+    for s in sorted(WIDE):
+        around = F.substring("_folded", F.least(place, length - (s - 1)), F.lit(s))
+        anchor = F.when(length >= s, F.concat(F.lit(f"{s:02}"), around)).otherwise(anchor)
+    anchors = materialize(best.select(*by, anchor.alias("_group"), "_term"), "anchors")
     # only groups that may be an anchor leave their text
-    wanted_groups = _levels(anchors.groupBy(_bucket(F.col("_group")).alias("bucket")).count())
-    kept = bound(folded(F.col(text)), lambda t: F.filter(groups(t), lambda g: _level(wanted_groups, g) != F.lit(b"\0")))
-    pairs = texts.select(*ids, *[c for c in by if c not in ids], F.explode(kept).alias("_group")).join(anchors, [*by, "_group"])
+    present = _present(anchors, "_group")
+    looked = sorted(int(r["s"]) for r in anchors.select(F.substring("_group", 1, 2).alias("s")).distinct().collect())
+    if not looked:
+        return texts.select(*ids, F.array().cast(f"array<{terms.schema.simpleString()}>").alias("found")).where("false")
+    kept = held(looked, *ids, *[c for c in by if c not in ids]).where(_level(present, F.col("_group")) != F.lit(b"\0")).distinct()
+    pairs = kept.join(anchors, [*by, "_group"])
     return pairs.groupBy(*ids).agg(F.sort_array(F.collect_list("_term")).alias("found"))
 
 
