@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from veilframe.operators.anonymize import anonymize_rows, anonymize_scopes
-from veilframe.operators.detectors import REGISTRY, with_candidates
+from veilframe.operators.detectors import REGISTRY, Detector, with_candidates
 from veilframe.operators.resolve import resolve_overlaps
 from veilframe.operators.restore import lookup_map, restore_scopes, restore_text, restore_wide
 from veilframe.options import Options, allow, disallow, parse_allowed, parse_lines
@@ -162,3 +162,14 @@ def test_single_values_take_no_sums_of_positions(spark):
     df = spark.createDataFrame([(0, "Kunde: Max Am"), (1, "Kunde: Tel"), (2, "\ufdd0 Kunde: Max Am"), (3, "Kunde: Max Am, Kunde: Eva")], "i long, text string")
     found = with_candidates(df, "text", REGISTRY["keyword_name"], "c", 7)
     assert {r.i: [(c.start, c.len, c.original, c.seq) for c in r.c] for r in found.collect()} == {0: [(7, 3, "Max", 7)], 1: [], 2: [(9, 3, "Max", 7)], 3: [(7, 3, "Max", 7), (22, 3, "Eva", 8)]}
+
+
+def test_entry_holds_for_all_alternatives_and_hides_no_match(spark):
+    only = Detector("x", 1, "x", ("emails",), "ab|cd", entry="(?=a)")
+    assert spark.range(1).select(F.regexp_replace(F.lit("ab cd"), only.regex, "-")).first()[0] == "- cd"
+    texts = ["+41 79 123 45 67", "(079) 123-4567", "079 123 45 67", "x079 123 45 67", "1.2.3.4", "a::1:b2:3 ab:cd:12", "80712345678901234567", "xPolicy No. P-12 poliCy no. AB-1", "ſinistro n. AB12", "né le 01.02.1999", "GEB. 1.2.1999", "CHE-123.456.789", "٣٣.3.3.3"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for d in REGISTRY.values():
+        if d.id != "email":
+            flags = "(?iU)" if d.ignore_case else "(?U)"
+            assert df.where(F.regexp_replace("text", d.regex, "<$0>") != F.regexp_replace("text", flags + d.pattern, "<$0>")).count() == 0, d.id
