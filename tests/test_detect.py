@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from veilframe.operators.anonymize import anonymize_rows, anonymize_scopes
-from veilframe.operators.detectors import REGISTRY, Detector, with_candidates
+from veilframe.operators.detectors import REGISTRY, Detector, any_of, term_candidates, with_candidates
 from veilframe.operators.resolve import resolve_overlaps
 from veilframe.operators.restore import lookup_map, restore_scopes, restore_text, restore_wide
 from veilframe.options import Options, allow, disallow, parse_allowed, parse_lines
@@ -173,3 +173,13 @@ def test_entry_holds_for_all_alternatives_and_hides_no_match(spark):
         if d.id != "email":
             flags = "(?iU)" if d.ignore_case else "(?U)"
             assert df.where(F.regexp_replace("text", d.regex, "<$0>") != F.regexp_replace("text", flags + d.pattern, "<$0>")).count() == 0, d.id
+
+
+def test_pattern_of_terms_shares_how_they_begin(spark):
+    terms = ("the", "them", "THEMA", "he", "hem!", "Mär", "märz", "a\\E", "x.y", "ab", "AB", *(f"absent{i}" for i in range(300)))
+    assert len(re.findall("absent", any_of(tuple(f"absent{i}" for i in range(300))))) == 1
+    texts = ["Thematic hem! MÄRZ", "abSENT299 a\\e x.y xzy ſ", "absen Absent7absent77", "nothing?", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = {r.text: [(c.start, c.original) for c in r.c or []] for r in df.select("text", term_candidates(F.col("text"), terms).alias("c")).collect()}
+    for text in texts:
+        assert got[text] == [(m.start(), m[0]) for t in terms for m in re.finditer(re.escape(t), text or "", re.IGNORECASE)]
