@@ -73,3 +73,14 @@ def test_numbers_in_events_and_responses(number):
     machine = EventRestorer([("[NAME_1]", "Max")])
     event = 'data:  {"type":"content_block_delta","n":%s,"index":0,"delta":{"type":"text_delta","text":"[NAME_1]!"}}\r\n\r\n' % number
     assert machine.push(event) == event.replace("[NAME_1]", "Max")
+
+
+def test_strings_without_escapes_are_read_as_they_stand(monkeypatch):
+    from veilframe.functions import json_tree
+
+    calls, loads = [], json_tree.json.loads
+    monkeypatch.setattr(json_tree.json, "loads", lambda s: calls.append(s) or loads(s))
+    tree = json_tree.JsonText('{"a": "é 🎉", "\\u0061": ["x\\n\\"y", {}], "": ""}')
+    assert [tree.string(n) for n in tree.strings()] == ["é 🎉", 'x\n"y', ""]
+    assert calls == ['"x\\n\\"y"']
+    assert len(tree.members(tree.root, "a")) == 2

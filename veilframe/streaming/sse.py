@@ -35,9 +35,15 @@ class EventRestorer:
     """Re-assembles lines and events over chunk boundaries and holds back unfinished placeholders, for each block and kind."""
 
     def __init__(self, entries: list[tuple[str, str]], carry: str = "", lines: tuple[str, ...] = (), pending: dict[str, str] | None = None):
-        self.restore = {"text_delta": Restorer(entries), "input_json_delta": Restorer(entries, json_inner)}
+        self.entries, self._restorers = entries, {}
         self.carry, self.lines, self.pending = carry, list(lines), dict(pending or {})
 
+    def _restored(self, kind: str, text: str) -> str:
+        """A stream rarely has both kinds, so each one's restorer is made when it is needed."""
+        if kind not in self._restorers:
+            self._restorers[kind] = Restorer(self.entries, json_inner if kind == "input_json_delta" else None)
+        return self._restorers[kind](text)
+
     def push(self, chunk: str | None) -> str:
         *lines, self.carry = (self.carry + (chunk or "")).split("\n")
         return "".join(map(self._line, lines))
@@ -92,14 +98,14 @@ class EventRestorer:
                 places = [n for n in tree.members(delta, FIELDS[name])[-1:] if n.kind == '"']
                 shown, kept = split_open_bracket(self.pending.get(f"{name}:{index}", "") + "".join(map(tree.string, places)))
                 self.pending[f"{name}:{index}"] = kept
-                return tree.spliced([(n, self.restore[name](shown)) for n in places])
+                return tree.spliced([(n, self._restored(name, shown)) for n in places])
         return tree.text
 
     def _flush(self, name: str, index: str) -> str:
         kept = self.pending.pop(f"{name}:{index}", "")
         if not kept:
             return ""
-        event = {"type": "content_block_delta", "index": int(index), "delta": {"type": name, FIELDS[name]: self.restore[name](kept)}}
+        event = {"type": "content_block_delta", "index": int(index), "delta": {"type": name, FIELDS[name]: self._restored(name, kept)}}
         return f"event: content_block_delta\ndata: {dump(event)}\n\n"
 
 
